@@ -13,7 +13,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -24,23 +24,33 @@ from gridwright.functions.storage import staged
 SKETCH_ACCURACY = 10_000
 
 
+def size_aggregates(df: DataFrame, names: Sequence[str]) -> list[Column]:
+    """Known values and their approximate distinct count, per column.
+
+    Callers that aggregate anyway add these, and pass the row to ``exact_quantiles``.
+    """
+    values = [number(df, n) for n in names]
+    return [F.count(v).alias(f"_n{i}") for i, v in enumerate(values)] + [
+        F.approx_count_distinct(v).alias(f"_d{i}") for i, v in enumerate(values)
+    ]
+
+
 def exact_quantiles(
-    df: DataFrame, names: Sequence[str], probs: Sequence[float], buffer_values: int = BUFFER_VALUES
+    df: DataFrame, names: Sequence[str], probs: Sequence[float], buffer_values: int = BUFFER_VALUES,
+    sizes: Row | None = None,
 ) -> dict[str, list[float | None]]:
     """Quantiles per column, missing cells left out; ``None`` where all are missing."""
     if not names:
         return {}
     values = [number(df, n) for n in names]
-    sizes = df.agg(
-        *[F.count(v).alias(f"n{i}") for i, v in enumerate(values)],
-        *[F.approx_count_distinct(v).alias(f"d{i}") for i, v in enumerate(values)],
-    ).first()
+    if sizes is None:
+        sizes = df.agg(*size_aggregates(df, names)).first()
     found: dict[str, list[float | None]] = {}
     buffered = []
     for i, name in enumerate(names):
-        if sizes[f"n{i}"] == 0:
+        if sizes[f"_n{i}"] == 0:
             found[name] = [None] * len(probs)
-        elif sizes[f"d{i}"] <= buffer_values:
+        elif sizes[f"_d{i}"] <= buffer_values:
             buffered.append(i)
     if buffered:
         row = df.agg(
@@ -52,14 +62,14 @@ def exact_quantiles(
         wanted = {}
         for i in rest:
             for p in probs:
-                place = p * (sizes[f"n{i}"] - 1)
+                place = p * (sizes[f"_n{i}"] - 1)
                 for rank in (math.floor(place), math.ceil(place)):
-                    wanted[(i, rank)] = _Bracket(rank=rank, inside=sizes[f"n{i}"])
+                    wanted[(i, rank)] = _Bracket(rank=rank, inside=sizes[f"_n{i}"])
         _narrow(df, values, wanted, buffer_values)
         for i in rest:
             answers = []
             for p in probs:
-                place = p * (sizes[f"n{i}"] - 1)
+                place = p * (sizes[f"_n{i}"] - 1)
                 low = wanted[(i, math.floor(place))].answer
                 high = wanted[(i, math.ceil(place))].answer
                 answers.append(low + (place - math.floor(place)) * (high - low))

@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridwright.constants import BROADCAST_ROWS, HISTOGRAM_BINS, SCATTER_POINTS
@@ -94,22 +94,24 @@ def scatter_points(df: DataFrame, x: str, y: str, key: Sequence[str], limit: int
     return points if limit is None else seeded_sample(points, limit, key)
 
 
-def _pair_correlation(a: Column, b: Column) -> Column:
-    """Pearson over rows where both are known; null where either is constant there."""
-    both = a.isNotNull() & b.isNotNull()
-    x, y = F.when(both, a), F.when(both, b)
-    flat = (F.min(x) == F.max(x)) | (F.min(y) == F.max(y))
-    spread = F.stddev_pop(x) * F.stddev_pop(y)
-    return F.when(~flat, F.try_divide(F.covar_pop(x, y), F.nullif(spread, F.lit(0.0))))
-
-
 def correlation_matrix(df: DataFrame, names: Sequence[str] | None = None, jvm_columns: int = JVM_COLUMNS) -> DataFrame:
     """All pairs of numeric columns, both ways round and with the diagonal, in long form."""
     names = list(names if names is not None else numeric_columns(df))
     require_numeric(df, names, "Correlation")
     if len(names) < 2:
         raise ValueError("Need at least 2 numeric columns.")
-    half = _few_columns(df, names) if len(names) <= jvm_columns else _many_columns(df, names)
+    values = df.select(*[number(df, n).alias(f"v{i}") for i, n in enumerate(names)])
+    facts = values.agg(
+        F.count("*").alias("rows"),
+        *[f(c).alias(f"{tag}{c}") for c in values.columns for tag, f in (("n", F.count), ("a", F.avg))],
+    ).first()
+    centre = [facts[f"a{c}"] if facts[f"a{c}"] is not None else 0.0 for c in values.columns]
+    if len(names) <= jvm_columns:
+        complete = [facts[f"n{c}"] == facts["rows"] for c in values.columns]
+        sums = _few_columns(values, centre, complete)
+    else:
+        sums = _many_columns(values, centre)
+    half = _correlation(sums, names)
     both = F.array(
         F.struct(F.col("a").alias("col_a"), F.col("b").alias("col_b"), F.col("r")),
         F.struct(F.col("b").alias("col_a"), F.col("a").alias("col_b"), F.col("r")),
@@ -118,64 +120,71 @@ def correlation_matrix(df: DataFrame, names: Sequence[str] | None = None, jvm_co
     return half.select(F.inline(F.when(F.col("a") == F.col("b"), one).otherwise(both)))
 
 
-def _few_columns(df: DataFrame, names: list[str]) -> DataFrame:
-    pairs = list(itertools.combinations_with_replacement(names, 2))
-    slots = [f"r{i}" for i in range(len(pairs))]
-    row = df.agg(
-        *[
-            F.struct(
-                F.lit(a).alias("a"), F.lit(b).alias("b"), _pair_correlation(number(df, a), number(df, b)).alias("r")
-            ).alias(s)
-            for s, (a, b) in zip(slots, pairs)
-        ]
-    )
-    return row.select(F.inline(F.array(*slots)))
+PAIR_SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
+PAIR_SCHEMA = "i int, j int, " + ", ".join(f"{k} double" for k in PAIR_SUMS)
 
 
-def _many_columns(df: DataFrame, names: list[str]) -> DataFrame:
-    """Pair sums as one small matrix product per Arrow batch, then added up by pair.
+def _few_columns(values: DataFrame, centre: list[float], complete: list[bool]) -> DataFrame:
+    """Pair sums in one generated aggregate.
 
-    Values are shifted by the column mean first, which keeps the sums accurate.
+    Values are shifted by the column mean, which keeps the sums accurate. Columns
+    without missing cells share their own sums, so a pair of them adds only one.
     """
-    values = df.select(*[number(df, n).alias(f"v{i}") for i, n in enumerate(names)])
-    facts = values.agg(
-        *[F.avg(c).alias(f"a{c}") for c in values.columns],
-    ).first()
-    centre = np.array([facts[f"a{c}"] if facts[f"a{c}"] is not None else 0.0 for c in values.columns])
-    size = len(names)
+    shifted = [F.col(c) - F.lit(m) for c, m in zip(values.columns, centre)]
+    aggregates, pairs = [F.count("*").cast("double").alias("rows")], []
+    for i, x in enumerate(shifted):
+        if complete[i]:
+            aggregates += [F.sum(x).alias(f"s{i}"), F.sum(x * x).alias(f"q{i}")]
+    for i, j in itertools.combinations_with_replacement(range(len(shifted)), 2):
+        x, y = shifted[i], shifted[j]
+        aggregates.append(F.sum(x * y).alias(f"p{i}_{j}"))
+        if complete[i] and complete[j]:
+            parts = ["rows", f"s{i}", f"s{j}", f"q{i}", f"q{j}"]
+        else:
+            x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+            parts = [f"{k}{i}_{j}" for k in ("n", "x", "y", "xx", "yy")]
+            found = [F.count(x + y).cast("double"), F.sum(x), F.sum(y), F.sum(x * x), F.sum(y * y)]
+            aggregates += [f.alias(p) for f, p in zip(found, parts)]
+        pairs.append((i, j, [*parts, f"p{i}_{j}"]))
+    row = values.agg(*aggregates).first()
+    table = [(i, j, *[row[p] or 0.0 for p in parts]) for i, j, parts in pairs]
+    return values.sparkSession.createDataFrame(table, PAIR_SCHEMA)
+
+
+def _many_columns(values: DataFrame, centre: list[float]) -> DataFrame:
+    """Pair sums as one small matrix product per Arrow batch, then added up by pair."""
+    size, shift = len(centre), np.array(centre)
     left, right = np.triu_indices(size)
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
         for batch in batches:
-            x = batch.to_numpy(dtype="float64", na_value=np.nan) - centre
+            x = batch.to_numpy(dtype="float64", na_value=np.nan) - shift
             have = ~np.isnan(x)
             x = np.where(have, x, 0.0)
             have = have.astype("float64")
-            parts = np.stack([have.T @ have, x.T @ have, have.T @ x, (x * x).T @ have, have.T @ (x * x), x.T @ x])
+            square = x * x
+            parts = np.stack([have.T @ have, x.T @ have, have.T @ x, square.T @ have, have.T @ square, x.T @ x])
             total = parts if total is None else total + parts
         if total is not None:
-            n, sx, sy, sxx, syy, sxy = (m[left, right] for m in total)
-            yield pd.DataFrame(
-                {"i": left, "j": right, "n": n, "sx": sx, "sy": sy, "sxx": sxx, "syy": syy, "sxy": sxy}
-            )
-
-    kinds = "i long, j long, n double, sx double, sy double, sxx double, syy double, sxy double"
-    total = values.mapInPandas(sums, kinds).groupBy("i", "j").agg(
-        *[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")]
-    )
+            found = {k: m[left, right] for k, m in zip(PAIR_SUMS, total)}
+            yield pd.DataFrame({"i": left, "j": right, **found})
+
+    return values.mapInPandas(sums, PAIR_SCHEMA).groupBy("i", "j").agg(*[F.sum(k).alias(k) for k in PAIR_SUMS])
+
+
+def _correlation(sums: DataFrame, names: list[str]) -> DataFrame:
+    """Pearson per pair over the rows where both are known; null where either is constant there."""
     n = F.col("n")
     vx = F.col("sxx") - F.try_divide(F.col("sx") * F.col("sx"), n)
     vy = F.col("syy") - F.try_divide(F.col("sy") * F.col("sy"), n)
     cov = F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), n)
     # What rounding alone leaves of a constant column is not a spread.
-    flat = (vx <= 1e-12 * F.col("sxx")) | (vy <= 1e-12 * F.col("syy"))
-    r = F.when(~flat, F.try_divide(cov, F.sqrt(F.greatest(vx * vy, F.lit(0.0)))))
+    varies = (vx > 1e-12 * F.col("sxx")) & (vy > 1e-12 * F.col("syy"))
+    r = F.when(varies, F.least(F.greatest(cov / (F.sqrt(vx) * F.sqrt(vy)), F.lit(-1.0)), F.lit(1.0)))
     label = F.array(*[F.lit(c) for c in names])
-    return total.select(
-        F.element_at(label, (F.col("i") + 1).cast("int")).alias("a"),
-        F.element_at(label, (F.col("j") + 1).cast("int")).alias("b"),
-        r.alias("r"),
+    return sums.select(
+        F.element_at(label, F.col("i") + 1).alias("a"), F.element_at(label, F.col("j") + 1).alias("b"), r.alias("r")
     )
 
 

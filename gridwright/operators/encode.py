@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Sequence
 
 from pyspark.ml import Estimator, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexerModel, VectorAssembler
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from gridwright.functions.frequencies import most_frequent
-from gridwright.functions.quantiles import exact_quantiles
+from gridwright.functions.frequencies import most_frequent, stacked_counts
+from gridwright.functions.quantiles import exact_quantiles, size_aggregates
 from gridwright.functions.semantics import categorical_columns, known, number, numeric_columns, quoted, require_columns
 
 FEATURES = "_features"
-# StringIndexer keeps all categories on the driver, so their number is checked.
+# Category names are kept on the driver and in the model, so their number is checked.
 MAX_CATEGORIES = 100_000
 # Suffixes of the helper columns that hold a category's text and number.
 TEXT, CODE = "__text", "__code"
@@ -49,60 +50,90 @@ class TablePrep(Estimator):
         wanted = set(self.features)
         numbers = [c for c in numeric_columns(df) if c in wanted]
         groups = [c for c in categorical_columns(df) if c in wanted]
-        medians = {n: q[0] for n, q in exact_quantiles(df, numbers, [0.5]).items() if q[0] is not None}
-        spread = self._spread(df, medians)
         as_text = df.select(*[known(df, n).cast("string").alias(n) for n in groups])
-        modes = {n: top for n, top in most_frequent(as_text, groups).items() if top}
-        categories = sum(top.distinct for top in modes.values())
-        if categories > self.max_categories:
-            raise ValueError(f"{categories} categories exceed the limit of {self.max_categories}; drop wide text columns.")
-        if not medians and not modes:
-            raise ValueError("No usable feature columns.")
-        return self._pipeline(df, medians, spread, {n: t.value for n, t in modes.items()})
-
-    @staticmethod
-    def _spread(df: DataFrame, medians: dict[str, float]) -> dict[str, tuple[float, float]]:
-        if not medians:
-            return {}
-        filled = {n: F.coalesce(number(df, n), F.lit(m)) for n, m in medians.items()}
-        row = df.agg(
-            *[F.avg(v).alias(f"m{i}") for i, v in enumerate(filled.values())],
-            *[F.stddev_pop(v).alias(f"s{i}") for i, v in enumerate(filled.values())],
-            *[(F.min(v) == F.max(v)).alias(f"f{i}") for i, v in enumerate(filled.values())],
+        facts = df.agg(
+            F.count("*").alias("rows"),
+            *size_aggregates(df, numbers),
+            *_moments(df, numbers),
+            *[F.approx_count_distinct(known(df, n).cast("string")).alias(f"g{i}") for i, n in enumerate(groups)],
         ).first()
-        return {
-            n: (row[f"m{i}"], 1.0 if row[f"f{i}"] or not row[f"s{i}"] else row[f"s{i}"])
-            for i, n in enumerate(filled)
-        }
+        scales = _scales(df, numbers, facts)
+        # The estimate keeps a hopeless column from being counted at all.
+        rough = sum(facts[f"g{i}"] for i in range(len(groups)))
+        if rough > 2 * self.max_categories:
+            raise ValueError(_too_many(rough, self.max_categories))
+        seen: dict[str, list] = {n: [] for n in groups}
+        if groups:
+            for row in stacked_counts(as_text, groups).limit(self.max_categories + 1).collect():
+                seen[groups[row["slot"]]].append((-row["n"], row["value"]))
+        total = sum(map(len, seen.values()))
+        if total > self.max_categories:
+            raise ValueError(_too_many(total, self.max_categories))
+        categories = {n: sorted(found) for n, found in seen.items() if found}
+        if not scales and not categories:
+            raise ValueError("No usable feature columns.")
+        return self._pipeline(df, scales, categories)
 
     @staticmethod
-    def _pipeline(df, medians, spread, modes) -> PipelineModel:
+    def _pipeline(df, scales, categories) -> PipelineModel:
         taken = {c.lower() for c in df.columns}
-        numbers = [_free_name("num", n, taken) for n in medians]
-        groups = [_free_name("cat", n, taken) for n in modes]
+        numbers = [_free_name("num", n, taken) for n in scales]
+        groups = [_free_name("cat", n, taken) for n in categories]
         columns = []
-        for new, (name, median) in zip(numbers, medians.items()):
-            mean, scale = spread[name]
+        for new, (name, (median, mean, scale)) in zip(numbers, scales.items()):
             value = f"nanvl(CAST({quoted(name)} AS DOUBLE), CAST(NULL AS DOUBLE))"
             filled = f"coalesce({value}, {sql_number(median)})"
             columns.append(f"({filled} - {sql_number(mean)}) / {sql_number(scale)} AS {quoted(new)}")
-        for new, (name, mode) in zip(groups, modes.items()):
+        for new, (name, ranked) in zip(groups, categories.items()):
             # The leading '=' keeps the empty text a valid category name.
-            filled = f"coalesce(CAST({quoted(name)} AS STRING), {sql_text(mode)})"
+            filled = f"coalesce(CAST({quoted(name)} AS STRING), {sql_text(ranked[0][1])})"
             columns.append(f"concat('=', {filled}) AS {quoted(new + TEXT)}")
         stages = [SQLTransformer(statement=f"SELECT *, {', '.join(columns)} FROM __THIS__")]
         if groups:
             texts, codes = [g + TEXT for g in groups], [g + CODE for g in groups]
-            ready = stages[0].transform(df).select(*[quoted(t) for t in texts])
-            indexer = StringIndexer(
-                inputCols=texts, outputCols=codes, handleInvalid="keep", stringOrderType="alphabetAsc"
-            ).fit(ready)
+            labels = [["=" + value for value in sorted(v for _, v in ranked)] for ranked in categories.values()]
+            indexers = [
+                StringIndexerModel.from_labels(found, inputCol=text, outputCol=code, handleInvalid="keep")
+                for found, text, code in zip(labels, texts, codes)
+            ]
             encoder = OneHotEncoder(inputCols=codes, outputCols=groups, dropLast=True)
-            stages += [indexer, encoder.fit(indexer.transform(ready))]
+            ready = stages[0].transform(df).select(*[quoted(t) for t in texts])
+            stages += [*indexers, encoder.fit(PipelineModel(indexers).transform(ready))]
         stages.append(VectorAssembler(inputCols=numbers + groups, outputCol=FEATURES))
         return PipelineModel(stages)
 
 
+def _too_many(found: int, limit: int) -> str:
+    return f"About {found} categories exceed the limit of {limit}; drop wide text columns."
+
+
+def _moments(df: DataFrame, names: Sequence[str]) -> list[Column]:
+    return [
+        f(number(df, n)).alias(f"{tag}{i}")
+        for i, n in enumerate(names)
+        for tag, f in (("a", F.avg), ("v", F.var_pop), ("lo", F.min), ("hi", F.max))
+    ]
+
+
+def _scales(df: DataFrame, names: Sequence[str], facts: Row) -> dict[str, tuple[float, float, float]]:
+    """Median, and mean and population deviation of the column once filled with it.
+
+    The latter two follow from the moments of the known values, without another pass.
+    """
+    scales = {}
+    for i, (name, (median,)) in enumerate(exact_quantiles(df, names, [0.5], sizes=facts).items()):
+        if median is None:
+            continue
+        known_share = facts[f"_n{i}"] / facts["rows"]
+        average = facts[f"a{i}"]
+        mean = known_share * average + (1 - known_share) * median
+        spread = known_share * (facts[f"v{i}"] + (average - mean) ** 2) + (1 - known_share) * (median - mean) ** 2
+        # A constant column, whose median then equals it, is only centred.
+        flat = facts[f"lo{i}"] == facts[f"hi{i}"] or spread <= 0
+        scales[name] = (median, facts[f"lo{i}"], 1.0) if flat else (median, mean, math.sqrt(spread))
+    return scales
+
+
 def _free_name(kind: str, name: str, taken: set[str]) -> str:
     """A helper column name that ML stages accept (no dots) and the table does not use."""
     new = f"{kind}__{re.sub('[.`]', '_', name)}"
@@ -134,13 +165,14 @@ def feature_names(prep: PipelineModel, features: DataFrame) -> list[str]:
 
 def standardised(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Columns imputed with the median and scaled to mean 0, population deviation 1."""
-    medians = {n: q[0] for n, q in exact_quantiles(df, list(names), [0.5]).items() if q[0] is not None}
-    spread = TablePrep._spread(df, medians)
+    names = list(names)
+    facts = df.agg(F.count("*").alias("rows"), *size_aggregates(df, names), *_moments(df, names)).first()
+    scales = _scales(df, names, facts)
     out = []
     for c in df.columns:
-        if c in medians:
-            mean, scale = spread[c]
-            out.append(((F.coalesce(number(df, c), F.lit(medians[c])) - mean) / scale).alias(c))
+        if c in scales:
+            median, mean, scale = scales[c]
+            out.append(((F.coalesce(number(df, c), F.lit(median)) - mean) / scale).alias(c))
         else:
             out.append(F.col(quoted(c)))
     return df.select(*out)

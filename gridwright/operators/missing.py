@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridwright.functions.frequencies import most_frequent
-from gridwright.functions.quantiles import exact_quantiles
+from gridwright.functions.quantiles import exact_quantiles, size_aggregates
 from gridwright.functions.semantics import (
     column,
     dtype,
@@ -66,14 +66,16 @@ def fit_fill(df: DataFrame, names: Sequence[str], strategy: str, fallback: str |
     require_columns(df, names)
     plan = {n: _resolve(df, n, strategy) for n in names}
     means = [n for n in names if plan[n] == "Mean"]
+    medians = [n for n in names if plan[n] == "Median"]
     counts = df.agg(
         *[F.count_if(missing(df, n)).alias(f"m{i}") for i, n in enumerate(names)],
         *[F.avg(number(df, n)).alias(f"a{i}") for i, n in enumerate(means)],
+        *size_aggregates(df, medians),
     ).first()
     before = {n: counts[f"m{i}"] for i, n in enumerate(names)}
     values: dict[str, Any] = {n: counts[f"a{i}"] for i, n in enumerate(means)}
-    medians = exact_quantiles(df, [n for n in names if plan[n] == "Median"], [0.5])
-    values.update({n: v[0] for n, v in medians.items()})
+    found = exact_quantiles(df, medians, [0.5], sizes=counts)
+    values.update({n: v[0] for n, v in found.items()})
     for n, top in most_frequent(df, [n for n in names if plan[n] == "Mode"]).items():
         values[n] = top.value if top else (fallback if is_text(dtype(df, n)) else None)
     for n in names:

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from gridwright.constants import CLASSIFICATION, FOLDS, SEED
 from gridwright.functions.ranks import with_row_index
 from gridwright.functions.semantics import column, dtype, known
+from gridwright.functions.storage import staged
 from gridwright.operators.checks import require_rows, require_target
 from gridwright.operators.columns import features_and_label
 from gridwright.operators.encode import FEATURES, TablePrep, feature_names, prepared
@@ -125,14 +126,25 @@ def _linear(train: DataFrame, params: dict[str, Any], penalty: float | None):
     )
 
 
-def fit_estimator(train: DataFrame, task: str, algo: str, params: dict[str, Any]) -> Transformer | NeighbourModel:
-    """Fit one algorithm on prepared rows (feature vector and numeric label)."""
+def _with_id(rows: DataFrame, name: str) -> DataFrame:
+    """Add a fixed bigint id: ids are drawn once and written out, so they cannot change."""
+    return staged(rows.withColumn(name, F.monotonically_increasing_id()))
+
+
+def fit_estimator(
+    train: DataFrame, task: str, algo: str, params: dict[str, Any], row_id: str | None = None
+) -> Transformer | NeighbourModel:
+    """Fit one algorithm on prepared rows (feature vector and numeric label).
+
+    ``row_id`` names a bigint column that identifies a row, if there is one.
+    """
     name = algorithm_name(task, algo)
     if name == "neighbours":
-        rows = with_row_index(
-            train.select(vector_to_array(F.col(FEATURES)).alias("_vec"), F.col(LABEL).cast("double").alias(LABEL)),
-            name="_id",
+        rows = train.select(
+            *([F.col(row_id).alias("_id")] if row_id else []),
+            vector_to_array(F.col(FEATURES)).alias("_vec"), F.col(LABEL).cast("double").alias(LABEL),
         )
+        rows = rows if row_id else _with_id(rows, "_id")
         return NeighbourModel(
             rows, int(params.get("n_neighbors", 5)), params.get("weights", "uniform"), task == CLASSIFICATION
         )
@@ -145,9 +157,9 @@ def fit_estimator(train: DataFrame, task: str, algo: str, params: dict[str, Any]
     return _linear(train, params, float(params.get("alpha", 1.0)) if name == "ridge" else None).fit(train)
 
 
-def neighbour_predictions(rows: DataFrame, model: NeighbourModel, name: str) -> DataFrame:
+def neighbour_predictions(rows: DataFrame, model: NeighbourModel, name: str, row_id: str | None = None) -> DataFrame:
     """Add the vote of the nearest training rows as column ``name``."""
-    asked = with_row_index(rows, name="_query")
+    asked = rows.withColumn("_query", F.col(row_id)) if row_id else _with_id(rows, "_query")
     points = asked.select("_query", vector_to_array(F.col(FEATURES)).alias("_vec"))
     votes = vote(nearest_rows(points, model.train, model.k), model.weights, model.classes)
     return asked.join(votes.withColumnRenamed("prediction", name), "_query").drop("_query")
@@ -295,15 +307,15 @@ def train_with_baseline(
         parts.unpersist()
 
 
-def _scored(core: Transformer | NeighbourModel, ready: DataFrame) -> DataFrame:
-    rows = ready.select(FEATURES, LABEL)
+def _scored(core: Transformer | NeighbourModel, ready: DataFrame, row_id: str | None = None) -> DataFrame:
+    rows = ready.select(FEATURES, LABEL, *([row_id] if row_id else []))
     if isinstance(core, NeighbourModel):
-        return neighbour_predictions(rows, core, "_predicted")
+        return neighbour_predictions(rows, core, "_predicted", row_id)
     return core.transform(rows).withColumnRenamed(core.getPredictionCol(), "_predicted")
 
 
 def compare_models(
-    df: DataFrame, target: str, parallelism: int = 2, order_by: Sequence[str] = (),
+    df: DataFrame, target: str, parallelism: int = 4, order_by: Sequence[str] = (),
     candidates: dict[str, dict[str, Any]] | None = None, on_failure: Callable[[str, Exception], None] | None = None,
 ) -> DataFrame:
     """Mean score and its deviation over the folds per candidate, best first.
@@ -334,41 +346,46 @@ def compare_models(
     # The neighbour count cannot exceed the smallest training part.
     least_train = rows - math.ceil(rows / folds)
     metric = "Accuracy" if task == CLASSIFICATION else "R2"
-    scores: dict[str, list[float]] = {name: [] for name in candidates}
-    failures: dict[str, Exception] = {}
-    try:
-        for fold in range(folds):
-            inside = parts.where(F.col("_fold") != fold)
-            try:
-                prep = TablePrep([f for f in features if f not in set(order_by)]).fit(inside)
-            except ValueError as problem:
-                failures.update({name: problem for name in candidates})
-                break
-            train = prepared(prep, inside).select(FEATURES, LABEL).persist(StorageLevel.MEMORY_AND_DISK)
-            test = prepared(prep, parts.where(F.col("_fold") == fold)).select(FEATURES, LABEL)
-            test = test.persist(StorageLevel.MEMORY_AND_DISK)
-
-            def run(name: str):
-                settings = dict(candidates[name])
+    used = [f for f in features if f not in set(order_by)]
+
+    def one_fold(fold: int) -> dict[str, float | Exception]:
+        """Scores of all candidates on one fold; a failing one must not stop the others."""
+        inside = parts.where(F.col("_fold") != fold)
+        try:
+            prep = TablePrep(used).fit(inside)
+        except ValueError as problem:
+            return {name: problem for name in candidates}
+        train, test = (
+            prepared(prep, part).select("_row_key", FEATURES, LABEL).persist(StorageLevel.MEMORY_AND_DISK)
+            for part in (inside, parts.where(F.col("_fold") == fold))
+        )
+        found: dict[str, float | Exception] = {}
+        try:
+            for name, settings in candidates.items():
+                settings = dict(settings)
                 if "n_neighbors" in settings:
                     settings["n_neighbors"] = max(1, min(settings["n_neighbors"], least_train))
-                core = fit_estimator(train, task, name, settings)
-                return score(_scored(core, test), LABEL, "_predicted", task)[metric]
-
-            try:
-                left = [name for name in candidates if name not in failures]
-                with ThreadPoolExecutor(parallelism) as pool:
-                    started = {name: pool.submit(run, name) for name in left}
-                    for name, future in started.items():
-                        try:
-                            scores[name].append(future.result())
-                        except Exception as problem:  # one candidate must not stop the others
-                            failures[name] = problem
-            finally:
-                train.unpersist()
-                test.unpersist()
+                try:
+                    core = fit_estimator(train, task, name, settings, "_row_key")
+                    found[name] = score(_scored(core, test, "_row_key"), LABEL, "_predicted", task)[metric]
+                except Exception as problem:
+                    found[name] = problem
+        finally:
+            train.unpersist()
+            test.unpersist()
+        return found
+
+    try:
+        # Folds run side by side: Spark shares the executors between their jobs.
+        with ThreadPoolExecutor(parallelism) as pool:
+            results = list(pool.map(one_fold, range(folds)))
     finally:
         parts.unpersist()
+    scores = {name: [found[name] for found in results] for name in candidates}
+    failures = {
+        name: next(v for v in values if isinstance(v, Exception))
+        for name, values in scores.items() if any(isinstance(v, Exception) for v in values)
+    }
     for name, problem in failures.items():
         if on_failure:
             on_failure(name, problem)

@@ -24,8 +24,10 @@ from pyspark.sql.window import Window
 
 PIVOTS = 64
 RINGS = 8
-PIECE_ROWS = 8192
+PIECE_ROWS = 4096
 QUERY_PIECE = 32768
+# Below this many pieces, comparing with all rows is cheaper than finding blocks.
+FEW_PIECES = 16
 
 
 @dataclass(frozen=True)
@@ -33,7 +35,6 @@ class Blocks:
     """What a query needs to know about the blocks; at most PIVOTS x RINGS entries."""
 
     pivots: np.ndarray
-    edges: np.ndarray  # ring edges per pivot
     block: np.ndarray
     pivot_of: np.ndarray
     size: np.ndarray
@@ -52,10 +53,6 @@ def _distances(rows: np.ndarray, to: np.ndarray) -> np.ndarray:
     return out
 
 
-def _ring(distance: np.ndarray, pivot: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    return (distance[:, None] > edges[pivot]).sum(axis=1)
-
-
 def _with_pivot(train: DataFrame, pivots: np.ndarray) -> DataFrame:
     def locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -70,6 +67,17 @@ def _with_pivot(train: DataFrame, pivots: np.ndarray) -> DataFrame:
     return train.mapInPandas(locate, T.StructType(train.schema.fields + extra))
 
 
+def _one_block(train: DataFrame, rows: int, piece_rows: int):
+    """All rows as one block that every query visits."""
+    pieces = math.ceil(rows / piece_rows)
+    blocks = Blocks(
+        np.zeros((0, 0)), np.zeros(1, dtype=int), np.zeros(1, dtype=int), np.array([rows]), np.zeros(1),
+        np.array([np.inf]), np.array([pieces]),
+    )
+    placed = train.withColumn("_block", F.lit(0).cast("long"))
+    return placed.withColumn("_piece", F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(pieces))), blocks
+
+
 def _build_blocks(train: DataFrame, rows: int, piece_rows: int, pivots: int, rings: int):
     """Assign every training row to a block and collect the block facts."""
     # Enough pivots that a block is about one piece, within fixed limits.
@@ -78,16 +86,14 @@ def _build_blocks(train: DataFrame, rows: int, piece_rows: int, pivots: int, rin
     points = np.array([r["_vec"] for r in chosen], dtype="float64")
     located = _with_pivot(train, points)
     edges = np.full((len(points), rings - 1), np.inf)
-    if rows > piece_rows:
-        shares = F.array(*[F.lit((i + 1) / rings) for i in range(rings - 1)])
-        for r in located.groupBy("_pivot").agg(F.percentile_approx("_away", shares).alias("e")).collect():
-            edges[r["_pivot"]] = r["e"]
+    shares = F.array(*[F.lit((i + 1) / rings) for i in range(rings - 1)])
+    for r in located.groupBy("_pivot").agg(F.percentile_approx("_away", shares).alias("e")).collect():
+        edges[r["_pivot"]] = r["e"]
+    limits = F.array(*[F.array(*[F.lit(float(e)) for e in row]) for row in edges])
+    own = F.element_at(limits, (F.col("_pivot") + 1).cast("int"))
     ring = F.lit(0)
-    if rows > piece_rows:
-        limits = F.array(*[F.array(*[F.lit(float(e)) for e in row]) for row in edges])
-        own = F.element_at(limits, (F.col("_pivot") + 1).cast("int"))
-        for i in range(rings - 1):
-            ring = ring + (F.col("_away") > F.element_at(own, i + 1)).cast("int")
+    for i in range(rings - 1):
+        ring = ring + (F.col("_away") > F.element_at(own, i + 1)).cast("int")
     placed = located.withColumn("_block", F.col("_pivot") * rings + ring)
     facts = (
         placed.groupBy("_block")
@@ -97,7 +103,7 @@ def _build_blocks(train: DataFrame, rows: int, piece_rows: int, pivots: int, rin
     size = np.array([r["n"] for r in facts])
     block = np.array([r["_block"] for r in facts])
     blocks = Blocks(
-        points, edges, block, block // rings, size, np.array([r["lo"] for r in facts]),
+        points, block, block // rings, size, np.array([r["lo"] for r in facts]),
         np.array([r["hi"] for r in facts]), np.ceil(size / piece_rows).astype(int),
     )
     table = train.sparkSession.createDataFrame(
@@ -110,6 +116,9 @@ def _build_blocks(train: DataFrame, rows: int, piece_rows: int, pivots: int, rin
 
 def _visits(queries: DataFrame, blocks: Blocks, k: int) -> DataFrame:
     """One row per query and block piece that may hold a neighbour."""
+    if not len(blocks.pivots):
+        pieces = F.sequence(F.lit(0).cast("long"), F.lit(int(blocks.pieces[0]) - 1).cast("long"))
+        return queries.select("*", F.lit(0).cast("long").alias("_block"), F.explode(pieces).alias("_piece"))
 
     def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -139,32 +148,44 @@ def _visits(queries: DataFrame, blocks: Blocks, k: int) -> DataFrame:
 
 
 def _closest(rows: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k closest rows of one piece for each query of one piece."""
+    """The k closest rows of one piece for each query of one piece.
+
+    A matrix product gives rough distances; the few best are measured exactly. Where
+    too many are tied for that, the query is measured against all rows in reach.
+    """
     data = np.stack(rows["_vec"].to_numpy())
     points = np.stack(queries["_vec"].to_numpy())
     ids, labels = rows["_id"].to_numpy(), rows["_label"].to_numpy()
     lengths = np.einsum("ij,ij->i", data, data)
-    found = []
+    kept = min(k, len(data))
+    tried = min(len(data), kept + 16)
+    hits = np.empty((len(points), kept), dtype="int64")
+    away = np.empty((len(points), kept))
     for start in range(0, len(points), 512):
         part = points[start : start + 512]
         own = np.einsum("ij,ij->i", part, part)
         rough = own[:, None] + lengths[None, :] - 2.0 * (part @ data.T)
-        # Rounding of the expanded form; closer candidates are measured exactly below.
         slack = 1e-12 * (own + lengths.max())
-        cut = min(k, len(data)) - 1
-        limit = np.partition(rough, cut, axis=1)[:, cut] + 2 * slack
-        for i in range(len(part)):
-            near = np.nonzero(rough[i] <= limit[i])[0]
-            gap = data[near] - part[i]
-            exact = np.sqrt(np.einsum("ij,ij->i", gap, gap))
-            best = np.lexsort((ids[near], exact))[:k]
-            found.append((start + i, near[best], exact[best]))
-    who = np.concatenate([np.full(len(n), q) for q, n, _ in found])
-    hit = np.concatenate([n for _, n, _ in found])
+        near = np.argpartition(rough, tried - 1, axis=1)[:, :tried]
+        found = np.sort(np.take_along_axis(rough, near, axis=1), axis=1)
+        reach = found[:, kept - 1] + 2 * slack
+        gap = data[near] - part[:, None, :]
+        exact = np.sqrt(np.einsum("ijk,ijk->ij", gap, gap))
+        order = np.lexsort((ids[near], exact), axis=-1)[:, :kept]
+        hits[start : start + 512] = np.take_along_axis(near, order, axis=1)
+        away[start : start + 512] = np.take_along_axis(exact, order, axis=1)
+        tied = np.nonzero(found[:, -1] <= reach)[0] if tried < len(data) else []
+        for i in tied:
+            all_near = np.nonzero(rough[i] <= reach[i])[0]
+            gaps = data[all_near] - part[i]
+            lengths_exact = np.sqrt(np.einsum("ij,ij->i", gaps, gaps))
+            best = np.lexsort((ids[all_near], lengths_exact))[:kept]
+            hits[start + i], away[start + i] = all_near[best], lengths_exact[best]
+    flat = hits.ravel()
     return pd.DataFrame(
         {
-            "_query": queries["_query"].to_numpy()[who], "_id": ids[hit],
-            "distance": np.concatenate([d for _, _, d in found]), "_label": labels[hit],
+            "_query": np.repeat(queries["_query"].to_numpy(), kept), "_id": ids[flat],
+            "distance": away.ravel(), "_label": labels[flat],
         }
     )
 
@@ -181,7 +202,10 @@ def nearest_rows(
     rows, asked = train.count(), queries.count()
     if rows == 0:
         raise ValueError("No training rows.")
-    placed, blocks = _build_blocks(train, rows, piece_rows, pivots, rings)
+    if rows <= FEW_PIECES * piece_rows:
+        placed, blocks = _one_block(train, rows, piece_rows)
+    else:
+        placed, blocks = _build_blocks(train, rows, piece_rows, pivots, rings)
     shares = math.ceil(max(1, asked) / query_piece)
     # A block that every query visits is compared with one share of the queries at a time.
     placed = placed.withColumn("_share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))))

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from gridwright.constants import CARDINALITY_THRESHOLD, CLASSIFICATION, FOLDS, REGRESSION
 from gridwright.functions.frequencies import most_frequent
-from gridwright.functions.quantiles import exact_quantiles
+from gridwright.functions.quantiles import exact_quantiles, size_aggregates
 from gridwright.functions.semantics import (
     categorical_columns,
     is_numeric,
@@ -107,8 +107,9 @@ def describe(df: DataFrame) -> DataFrame:
             if n in numbers
             for tag, f in (("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))
         ],
+        *size_aggregates(df, numbers),
     ).first()
-    quartiles = exact_quantiles(df, numbers, [0.25, 0.5, 0.75])
+    quartiles = exact_quantiles(df, numbers, [0.25, 0.5, 0.75], sizes=row)
     tops = most_frequent(df, texts)
     out = []
     for i, n in enumerate(names):

@@ -97,21 +97,25 @@ def missing_by_column(spark, folder):
     return profile.missing_by_column(fx.orders(spark, folder))
 
 
-NUMBERS = ("l_quantity", "l_discount", "l_tax", "price")
+# Digits that leave no tie in a mean over these columns.
+NUMBERS = {"l_quantity": 8, "l_discount": 8, "l_tax": 8, "price": 4}
 DESCRIBED = ("mean", "std", "min", "p25", "p50", "p75", "max")
 
 
-def describe_sql(name: str) -> str:
-    return f"""SELECT '{name}' AS "column", count({name}) AS count, round(avg({name}), 6) AS mean,
-  round(stddev_samp({name}), 6) AS std, round(min({name}), 6) AS min, round(quantile_cont({name}, 0.25), 6) AS p25,
-  round(quantile_cont({name}, 0.5), 6) AS p50, round(quantile_cont({name}, 0.75), 6) AS p75,
-  round(max({name}), 6) AS max FROM lineitem_d"""
+def describe_sql(name: str, digits: int) -> str:
+    return f"""SELECT '{name}' AS "column", count({name}) AS count, round(avg({name}), {digits}) AS mean,
+  round(stddev_samp({name}), {digits}) AS std, round(min({name}), {digits}) AS min,
+  round(quantile_cont({name}, 0.25), {digits}) AS p25, round(quantile_cont({name}, 0.5), {digits}) AS p50,
+  round(quantile_cont({name}, 0.75), {digits}) AS p75, round(max({name}), {digits}) AS max FROM lineitem_d"""
 
 
-@query("describe_numeric", f"WITH {fx.LINEITEM} " + " UNION ALL ".join(describe_sql(n) for n in NUMBERS))
+@query("describe_numeric", f"WITH {fx.LINEITEM} " + " UNION ALL ".join(describe_sql(n, d) for n, d in NUMBERS.items()))
 def describe_numeric(spark, folder):
-    found = profile.describe(fx.lineitem(spark, folder).select(*NUMBERS))
-    return rounded(found.select("column", "count", *DESCRIBED), 6, *DESCRIBED)
+    found = profile.describe(fx.lineitem(spark, folder).select(*NUMBERS)).select("column", "count", *DESCRIBED)
+    price = F.col("column") == "price"
+    return found.withColumns(
+        {n: F.when(price, F.round(n, NUMBERS["price"])).otherwise(F.round(n, 8)) for n in DESCRIBED}
+    )
 
 
 def describe_text_sql(name: str) -> str:
@@ -794,10 +798,9 @@ def feature_vector(spark, folder):
 
 # -- nearest neighbours -----------------------------------------------------------------
 
-NEAR = """n AS (SELECT a.vec_id AS query, b.vec_id AS neighbour, b.label, b.len,
-  list_distance(a.e, b.e) AS distance,
-  row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.e, b.e), b.vec_id) AS rank FROM v a, v b),
-v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e, CAST(embedding[1] AS DOUBLE) AS len FROM embeddings)"""
+NEAR = """v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e, CAST(embedding[1] AS DOUBLE) AS len FROM embeddings),
+n AS (SELECT a.vec_id AS query, b.vec_id AS neighbour, b.label, b.len, list_distance(a.e, b.e) AS distance,
+  row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.e, b.e), b.vec_id) AS rank FROM v a, v b)"""
 
 
 def embedding_rows(spark: SparkSession, folder: str, label: str):
