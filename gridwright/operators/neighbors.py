@@ -3,7 +3,8 @@
 Training rows are grouped into blocks: the nearest of a few pivot rows, and a ring
 of distances to that pivot. A block is described by its size and its smallest and
 largest distance to the pivot, so the triangle inequality gives, for any query,
-bounds on every distance into the block. A query visits only blocks that can still
+bounds on every distance into the block; so does the plane half-way between two
+pivots. A query visits only blocks that can still
 hold one of its k nearest rows. Blocks and query sets are cut into pieces of bounded
 size; a task compares one piece of rows with one piece of queries and passes on k
 rows per query, which a second step merges.
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-PIVOTS = 64
+PIVOTS = 128
 RINGS = 8
 PIECE_ROWS = 4096
 QUERY_PIECE = 32768
@@ -80,8 +81,7 @@ def _one_block(train: DataFrame, rows: int, piece_rows: int):
 
 def _build_blocks(train: DataFrame, rows: int, piece_rows: int, pivots: int, rings: int):
     """Assign every training row to a block and collect the block facts."""
-    # Enough pivots that a block is about one piece, within fixed limits.
-    count = int(min(pivots, max(1, math.ceil(math.sqrt(rows / piece_rows)))))
+    count = min(pivots, math.ceil(rows / piece_rows))
     chosen = train.orderBy(F.xxhash64("_id"), "_id").limit(count).select("_vec").collect()
     points = np.array([r["_vec"] for r in chosen], dtype="float64")
     located = _with_pivot(train, points)
@@ -120,12 +120,22 @@ def _visits(queries: DataFrame, blocks: Blocks, k: int) -> DataFrame:
         pieces = F.sequence(F.lit(0).cast("long"), F.lit(int(blocks.pieces[0]) - 1).cast("long"))
         return queries.select("*", F.lit(0).cast("long").alias("_block"), F.explode(pieces).alias("_piece"))
 
+    apart = _distances(blocks.pivots, blocks.pivots)
+
     def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if not len(batch):
                 continue
-            d = _distances(np.stack(batch["_vec"].to_numpy()), blocks.pivots)[:, blocks.pivot_of]
+            to_pivots = _distances(np.stack(batch["_vec"].to_numpy()), blocks.pivots)
+            closest = to_pivots.argmin(axis=1)
+            d = to_pivots[:, blocks.pivot_of]
             least = np.maximum(np.maximum(d - blocks.far, blocks.near - d), 0.0)
+            # A block's rows are on its pivot's side of the plane half-way to any other pivot.
+            gap = apart[closest][:, blocks.pivot_of]
+            best = to_pivots[np.arange(len(d)), closest][:, None]
+            rounding = 1e-12 * (d**2 + best**2)
+            plane = np.divide(d**2 - best**2 - rounding, 2 * gap, out=np.zeros_like(d), where=gap > 0)
+            least = np.maximum(least, plane)
             most = d + blocks.far
             # The smallest radius within which the blocks surely hold k rows.
             order = np.argsort(most, axis=1)

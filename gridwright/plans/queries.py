@@ -451,22 +451,22 @@ LINE_IQR = IQR.format(t="lineitem_d", k="CAST(0.5 AS DOUBLE)")
 
 @query(
     "iqr_bounds",
-    f"""WITH {fx.LINEITEM}, {LINE_IQR} SELECT 'price' AS "column", round(q1, 4) AS q1, round(q3, 4) AS q3,
-  round(q3 - q1, 4) AS iqr, round(lo, 4) AS lower, round(hi, 4) AS upper FROM f""",
+    f"""WITH {fx.LINEITEM}, {LINE_IQR} SELECT 'price' AS "column", round(q1, 6) AS q1, round(q3, 6) AS q3,
+  round(q3 - q1, 6) AS iqr, round(lo, 6) AS lower, round(hi, 6) AS upper FROM f""",
 )
 def iqr_bounds(spark, folder):
     found = outliers.bounds_table(fx.lineitem(spark, folder), ["price"], 0.5)
-    return rounded(found, 4, "q1", "q3", "iqr", "lower", "upper")
+    return rounded(found, 6, "q1", "q3", "iqr", "lower", "upper")
 
 
 @query(
     "clip_iqr",
     f"""WITH {fx.LINEITEM}, {LINE_IQR} SELECT l_orderkey, l_linenumber,
-  CASE WHEN price IS NOT NULL THEN round(least(greatest(price, lo), hi), 4) END AS price FROM lineitem_d, f""",
+  CASE WHEN price IS NOT NULL THEN round(least(greatest(price, lo), hi), 6) END AS price FROM lineitem_d, f""",
 )
 def clip_iqr(spark, folder):
     df = fx.lineitem(spark, folder).select("l_orderkey", "l_linenumber", "price")
-    return rounded(outliers.clip_outliers(df, "price", 0.5), 4, "price")
+    return rounded(outliers.clip_outliers(df, "price", 0.5), 6, "price")
 
 
 def outlier_counts_sql(name: str) -> str:
@@ -540,10 +540,10 @@ def top_corr_pair(spark, folder):
 
 @query(
     "strongest_columns",
-    f"{MATRIX} SELECT col_a, round(avg(abs(r)), 6) AS mean_abs_r FROM m GROUP BY 1 ORDER BY 2 DESC NULLS LAST, 1 LIMIT 10",
+    f"{MATRIX} SELECT col_a, round(avg(abs(r)), 9) AS mean_abs_r FROM m GROUP BY 1 ORDER BY 2 DESC NULLS LAST, 1 LIMIT 10",
 )
 def strongest_columns(spark, folder):
-    return rounded(charts.strongest_columns(correlations(spark, folder)), 6, "mean_abs_r")
+    return rounded(charts.strongest_columns(correlations(spark, folder)), 9, "mean_abs_r")
 
 
 @query(
@@ -718,7 +718,7 @@ F1_SQL = """, k AS (SELECT c, count(*) FILTER (y = c) AS support, count(*) FILTE
   count(*) FILTER (y = c AND p = c) AS hit FROM s, (SELECT y AS c FROM s UNION SELECT p FROM s) GROUP BY c)
 SELECT round(sum(hit) / sum(support), 6) AS "Accuracy",
   round(sum(support * 2.0 * hit / (support + said)) / sum(support), 6) AS "F1" FROM k"""
-R2_SQL = """ SELECT round(1 - sum((y - p) * (y - p)) / sum((y - m) * (y - m)), 6) AS "R2", round(avg((y - p) * (y - p)), 2) AS "MSE"
+R2_SQL = """ SELECT round(1 - sum((y - p) * (y - p)) / sum((y - m) * (y - m)), 6) AS "R2", round(avg((y - p) * (y - p)), 0) AS "MSE"
 FROM s, (SELECT avg(y) AS m FROM s)"""
 
 
@@ -746,7 +746,7 @@ def metrics_reg(spark, folder):
     df = fx.table(spark, folder, "lineitem").select(
         F.col("l_extendedprice").alias("y"), (F.col("l_quantity") * 1000).alias("p")
     )
-    return rounded(rounded(metrics.regression_metrics(df, "y", "p"), 6, "R2"), 2, "MSE")
+    return rounded(rounded(metrics.regression_metrics(df, "y", "p"), 6, "R2"), 0, "MSE")
 
 
 # -- features ------------------------------------------------------------------------
@@ -872,13 +872,13 @@ def scores(spark: SparkSession, model: models.TrainedModel) -> DataFrame:
 
 LINE_FIT = f"""WITH {EVEN_SPLIT}, x AS (SELECT *, o_custkey AS x, o_totalprice AS y FROM p),
 t AS (SELECT avg(x) AS mx, avg(y) AS my, stddev_pop(x) AS sx, covar_pop(x, y) AS cxy, count(*) AS n FROM x WHERE split = 'Train')
-SELECT o_orderkey, round(my + (x - mx) / sx * (cxy / sx * n / (n + {{penalty}})), 2) AS prediction FROM x, t"""
+SELECT o_orderkey, round(my + (x - mx) / sx * (cxy / sx * n / (n + {{penalty}})), 0) AS prediction FROM x, t"""
 
 
 def _single_feature(spark, folder, algo):
     df = fx.table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     model = models.train_with_baseline(df, "o_totalprice", algo, {}, REGRESSION, 0.25, ["o_orderkey"])
-    return rounded(model.predict(df).select("o_orderkey", "prediction"), 2, "prediction")
+    return rounded(model.predict(df).select("o_orderkey", "prediction"), 0, "prediction")
 
 
 @query("train_linear_fit", LINE_FIT.format(penalty=0))
@@ -1008,7 +1008,7 @@ def snapshot_round_trip(spark, folder):
 CLEANED = f"""WITH {fx.ORDERS}, o AS (SELECT o_orderkey, coalesce(price, {MEDIAN.format(c='price', t='orders_d')}) AS price,
   CAST(price IS NOT NULL AS INT) AS "Hasprice" FROM orders_d),
 {IQR.format(t='o', k='CAST(0.5 AS DOUBLE)')}
-SELECT o_orderkey, round(least(greatest(price, lo), hi), 4) AS price, "Hasprice" FROM o, f"""
+SELECT o_orderkey, round(least(greatest(price, lo), hi), 6) AS price, "Hasprice" FROM o, f"""
 
 
 @query("workspace_steps", CLEANED)
@@ -1020,7 +1020,7 @@ def workspace_steps(spark, folder):
     work.undo()
     work.apply(lambda df: missing.fill_missing(df, "price"), "Fill missing: price")
     work.apply(lambda df: outliers.clip_outliers(df, "price", 0.5), "Clip outliers: price")
-    return rounded(work.current, 4, "price")
+    return rounded(work.current, 6, "price")
 
 
 @query(
@@ -1049,4 +1049,4 @@ def stream_clean(spark, folder):
         "o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).alias("price")
     )
     fitted.start(stream, f"{base}/out", f"{base}/state").awaitTermination()
-    return rounded(spark.read.parquet(f"{base}/out"), 4, "price")
+    return rounded(spark.read.parquet(f"{base}/out"), 6, "price")
