@@ -1,27 +1,35 @@
-"""Exact quantiles with linear interpolation that do not outgrow one buffer.
-
-``percentile`` is exact but keeps one entry per distinct value in a single buffer.
-It is used where the number of distinct values is measured to be small. Beyond
-that, each wanted rank is bracketed with ``percentile_approx``, the bracket is
-checked by exact counts, and the step repeats inside it until few rows remain.
-Those passes are scans with tiny shuffles; nothing is sorted globally.
+"""Exact quantiles with linear interpolation that do not outgrow one task.
+
+Where a column has few distinct values (this is measured), rows are first counted per
+value, a shuffle with map-side combining, and the quantile is taken over the counts.
+Otherwise each wanted rank is bracketed with a sketch, the bracket is checked by exact
+counts, and the step repeats inside it until few rows remain. Those passes are scans
+with tiny shuffles; nothing is sorted globally. The sketch may be built on a sample of
+the rows, as it only proposes a bracket: the counts, over all rows, decide.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridwright.constants import BUFFER_VALUES
+from gridwright.constants import BUFFER_VALUES, SEED
+from gridwright.functions.frequencies import stacked_counts
 from gridwright.functions.semantics import known, number
 from gridwright.functions.storage import staged
 
 SKETCH_ACCURACY = 10_000
+SKETCH_SLACK = 2.0 / SKETCH_ACCURACY
+# Rows a sketch sees; with very many tasks, sketches of all rows would swamp the last one.
+SKETCH_ROWS = 4_000_000
+# Limits on what one aggregation buffer holds over all columns of a pass.
+PASS_VALUES = 1_000_000
+PASS_RANKS = 96
 
 
 def size_aggregates(df: DataFrame, names: Sequence[str]) -> list[Column]:
@@ -37,7 +45,7 @@ def size_aggregates(df: DataFrame, names: Sequence[str]) -> list[Column]:
 
 def exact_quantiles(
     df: DataFrame, names: Sequence[str], probs: Sequence[float], buffer_values: int = BUFFER_VALUES,
-    sizes: Row | None = None,
+    sizes: Row | None = None, sketch_rows: int = SKETCH_ROWS,
 ) -> dict[str, list[float | None]]:
     """Quantiles per column, missing cells left out; ``None`` where all are missing."""
     if not names:
@@ -46,27 +54,29 @@ def exact_quantiles(
     if sizes is None:
         sizes = df.agg(*size_aggregates(df, names)).first()
     found: dict[str, list[float | None]] = {}
-    buffered = []
+    buffered, rest = [], []
     for i, name in enumerate(names):
         if sizes[f"_n{i}"] == 0:
             found[name] = [None] * len(probs)
-        elif sizes[f"_d{i}"] <= buffer_values:
-            buffered.append(i)
-    if buffered:
-        row = df.agg(
-            *[F.percentile(values[i], F.array(*map(F.lit, probs))).alias(f"q{i}") for i in buffered]
-        ).first()
-        found.update({names[i]: list(row[f"q{i}"]) for i in buffered})
-    rest = [i for i, n in enumerate(names) if n not in found]
-    if rest:
+        else:
+            (buffered if sizes[f"_d{i}"] <= buffer_values else rest).append(i)
+    for some in _batches(buffered, [sizes[f"_d{i}"] for i in buffered], PASS_VALUES):
+        slim = df.select(*[values[i].alias(f"v{i}") for i in some])
+        counts = stacked_counts(slim, slim.columns)
+        answers = counts.groupBy("slot").agg(
+            F.percentile("value", F.array(*map(F.lit, probs)), F.col("n")).alias("q")
+        )
+        found.update({names[some[r["slot"]]]: list(r["q"]) for r in answers.collect()})  # one row per column
+    # A rank needs a sketch and a gathered list, so a pass takes a limited number of them.
+    for some in _batches(rest, [2 * len(probs)] * len(rest), PASS_RANKS):
         wanted = {}
-        for i in rest:
+        for i in some:
             for p in probs:
                 place = p * (sizes[f"_n{i}"] - 1)
                 for rank in (math.floor(place), math.ceil(place)):
                     wanted[(i, rank)] = _Bracket(rank=rank, inside=sizes[f"_n{i}"])
-        _narrow(df, values, wanted, buffer_values)
-        for i in rest:
+        _narrow(df, values, wanted, min(buffer_values, PASS_VALUES // len(wanted)), sketch_rows)
+        for i in some:
             answers = []
             for p in probs:
                 place = p * (sizes[f"_n{i}"] - 1)
@@ -77,6 +87,20 @@ def exact_quantiles(
     return {n: found[n] for n in names}
 
 
+def _batches(items: list[int], weights: list[int], limit: int) -> Iterator[list[int]]:
+    """Cut a list into runs whose weights add up to the limit, or hold one item."""
+    run: list[int] = []
+    load = 0
+    for item, weight in zip(items, weights):
+        if run and load + weight > limit:
+            yield run
+            run, load = [], 0
+        run.append(item)
+        load += weight
+    if run:
+        yield run
+
+
 @dataclass
 class _Bracket:
     """An open interval known to hold the value at a 0-based rank."""
@@ -97,35 +121,56 @@ class _Bracket:
         return inside
 
 
-def _narrow(df: DataFrame, values: list[Column], wanted: dict[tuple, _Bracket], gather: int) -> None:
+def _narrow(
+    df: DataFrame, values: list[Column], wanted: dict[tuple, _Bracket], gather: int, sketch_rows: int = SKETCH_ROWS
+) -> None:
+    """Find the value at every wanted rank; ranks in the same interval share its sketch or list."""
+    draws = SEED
     while True:
-        open_ones = [(key, b) for key, b in wanted.items() if b.answer is None]
-        if not open_ones:
+        shared: dict[tuple, list[_Bracket]] = {}
+        for (i, _), b in wanted.items():
+            if b.answer is None:
+                shared.setdefault((i, b.low, b.high), []).append(b)
+        if not shared:
             return
-        aggregates = []
-        for j, ((i, _), b) in enumerate(open_ones):
-            inside = F.when(b.holds(values[i]), values[i])
-            if b.inside <= gather:
-                ordered = F.array_sort(F.collect_list(inside))
-                aggregates.append(F.element_at(ordered, b.rank - b.below + 1).alias(f"x{j}"))
+        aggregates, picks = [], []
+        for g, ((i, _, _), ranks) in enumerate(shared.items()):
+            holds, rows = ranks[0].holds(values[i]), ranks[0].inside
+            if rows <= gather:
+                aggregates.append(F.array_sort(F.collect_list(F.when(holds, values[i]))).alias(f"x{g}"))
+                at = [F.lit(b.rank - b.below + 1) for b in ranks]
+                picks.append(F.array(*[F.element_at(F.col(f"x{g}"), n) for n in at]).alias(f"x{g}"))
             else:
-                share = (b.rank - b.below) / b.inside
-                slack = 2.0 / SKETCH_ACCURACY
-                edges = [F.lit(max(0.0, share - slack)), F.lit(min(1.0, share + slack))]
-                aggregates.append(
-                    F.percentile_approx(inside, F.array(*edges), F.lit(SKETCH_ACCURACY)).alias(f"x{j}")
+                part = min(1.0, sketch_rows / rows)
+                # Four deviations of a sampled share, on top of the sketch's own error.
+                slack = SKETCH_SLACK + (2.0 / math.sqrt(sketch_rows) if part < 1 else 0.0)
+                edges = []
+                for b in ranks:
+                    share = (b.rank - b.below) / b.inside
+                    edges += [max(0.0, share - slack), min(1.0, share + slack)]
+                used = holds & (F.col("__draw") < part) if part < 1 else holds
+                sketch = F.percentile_approx(
+                    F.when(used, values[i]), F.array(*map(F.lit, edges)), F.lit(SKETCH_ACCURACY)
                 )
-        row = df.agg(*aggregates).first()
+                # An unlucky sample may be empty; the interval then stays as it is.
+                aggregates.append(sketch.alias(f"x{g}"))
+                picks.append(F.col(f"x{g}"))
+        draws += 1
+        drawn = df.select("*", F.rand(draws).alias("__draw"))
+        row = drawn.agg(*aggregates).select(*picks).first()
         refine = []
-        for j, (key, b) in enumerate(open_ones):
-            if b.inside <= gather:
-                b.answer = row[f"x{j}"]
-            else:
-                refine.append((key, b, row[f"x{j}"][0], row[f"x{j}"][1]))
+        for g, ((i, _, _), ranks) in enumerate(shared.items()):
+            for j, b in enumerate(ranks):
+                if b.inside <= gather:
+                    b.answer = row[f"x{g}"][j]
+                    if b.answer is None:
+                        raise RuntimeError("The table changed between two passes; write it out first.")
+                elif row[f"x{g}"] is not None:
+                    refine.append((i, b, row[f"x{g}"][2 * j], row[f"x{g}"][2 * j + 1]))
         if not refine:
-            return
+            continue
         counts = []
-        for j, ((i, _), b, low, high) in enumerate(refine):
+        for j, (i, b, low, high) in enumerate(refine):
             inside, v = b.holds(values[i]), values[i]
             counts += [
                 F.count_if(inside & (v < low)).alias(f"a{j}"),
@@ -159,8 +204,9 @@ def grouped_quantiles(
         rows.groupBy("_by").agg(F.approx_count_distinct("_v").alias("d")).agg(F.max("d")).first()[0] or 0
     )
     if widest <= buffer_values:
-        packed = rows.groupBy("_by").agg(
-            F.count("*").alias("n"), F.percentile("_v", F.array(*map(F.lit, probs))).alias("q")
+        counts = rows.groupBy("_by", "_v").agg(F.count("*").alias("_n"))
+        packed = counts.groupBy("_by").agg(
+            F.sum("_n").alias("n"), F.percentile("_v", F.array(*map(F.lit, probs)), F.col("_n")).alias("q")
         )
         return packed.select(
             F.col("_by").cast(kind).alias(by), "n", *[F.col("q")[j].alias(f"q{j}") for j in range(len(probs))]

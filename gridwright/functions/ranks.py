@@ -34,17 +34,17 @@ def with_row_index(
     # monotonically_increasing_id is (partition << 33) + position in the partition.
     marked = df.select(
         "*",
-        F.spark_partition_id().alias("_part"),
-        F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_at"),
+        F.spark_partition_id().alias("__part"),
+        F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("__at"),
     )
     if order_by or not stable:
         marked = staged(marked)
-    sizes = marked.groupBy("_part").agg(F.count("*").alias("_size"))
+    sizes = marked.groupBy("__part").agg(F.count("*").alias("__size"))
     # One row per partition: a small table by construction, also for the broadcast.
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
-    return marked.join(F.broadcast(starts), "_part").select(
-        (F.col("_start") + F.col("_at")).alias(name), *[column(c) for c in own]
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__part", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start"))
+    return marked.join(F.broadcast(starts), "__part").select(
+        (F.col("__start") + F.col("__at")).alias(name), *[column(c) for c in own]
     )
 
 

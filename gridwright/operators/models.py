@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -51,6 +52,10 @@ class NeighbourModel:
 
 def _tree_params(params: dict[str, Any], depth: int | None) -> dict[str, Any]:
     chosen = params.get("max_depth", depth)
+    if chosen is not None and int(chosen) > DEEPEST:
+        warnings.warn(f"max_depth {chosen} is limited to {DEEPEST}.", stacklevel=2)
+    if int(params.get("min_samples_split", 2)) > 2:
+        warnings.warn("min_samples_split has no counterpart and is not used; set min_samples_leaf.", stacklevel=2)
     return {
         "maxDepth": DEEPEST if chosen is None else min(int(chosen), DEEPEST),
         "minInstancesPerNode": int(params.get("min_samples_leaf", 1)),

@@ -87,7 +87,7 @@ def _build_blocks(train: DataFrame, rows: int, piece_rows: int, pivots: int, rin
     located = _with_pivot(train, points)
     edges = np.full((len(points), rings - 1), np.inf)
     shares = F.array(*[F.lit((i + 1) / rings) for i in range(rings - 1)])
-    for r in located.groupBy("_pivot").agg(F.percentile_approx("_away", shares).alias("e")).collect():
+    for r in located.groupBy("_pivot").agg(F.percentile_approx("_away", shares, F.lit(200)).alias("e")).collect():
         edges[r["_pivot"]] = r["e"]
     limits = F.array(*[F.array(*[F.lit(float(e)) for e in row]) for row in edges])
     own = F.element_at(limits, (F.col("_pivot") + 1).cast("int"))
@@ -216,10 +216,21 @@ def nearest_rows(
         placed, blocks = _one_block(train, rows, piece_rows)
     else:
         placed, blocks = _build_blocks(train, rows, piece_rows, pivots, rings)
-    shares = math.ceil(max(1, asked) / query_piece)
-    # A block that every query visits is compared with one share of the queries at a time.
-    placed = placed.withColumn("_share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))))
-    visits = _visits(queries, blocks, k).withColumn("_share", F.pmod(F.xxhash64("_query"), F.lit(shares)))
+    visits = _visits(queries, blocks, k)
+    shares = F.lit(1)
+    if asked > query_piece:
+        # A block with many visitors meets them in shares; its rows go to each share once.
+        met = visits.where("_piece = 0").groupBy("_block").agg(F.count("*").alias("n"))
+        share_count = F.ceil(F.col("n") / query_piece).cast("int").alias("_shares")
+        table = met.select("_block", share_count).collect()  # one row per block
+        shares = F.col("_shares")
+        # Two tables of the same facts: one joined to both sides could not be told apart.
+        placed, visits = (
+            side.join(F.broadcast(train.sparkSession.createDataFrame(table, "_block long, _shares int")), "_block")
+            for side in (placed, visits)
+        )
+    placed = placed.withColumn("_share", F.explode(F.sequence(F.lit(0), shares - 1)))
+    visits = visits.withColumn("_share", F.pmod(F.xxhash64("_query"), shares).cast("int"))
     cut = ["_block", "_piece", "_share"]
 
     def compare(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:

@@ -21,6 +21,7 @@ from gridwright.functions.semantics import column, known, require_columns
 from gridwright.operators.charts import histogram
 from gridwright.operators.checks import require_target
 from gridwright.operators.columns import features_and_label
+from gridwright.operators.profile import class_counts, detect_task, usable_folds
 
 TRAIN, TEST = "Train", "Test"
 
@@ -165,6 +166,14 @@ def split_target_histogram(parts: DataFrame, label: str, name: str = "split", bi
     return histogram(parts, label, bins, by=name)
 
 
+def cv_preview(df: DataFrame, target: str, task: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """What cross-validation will see: class counts or target bins, and the usable folds."""
+    features_and_label(df, target)
+    task = task or detect_task(df, target)
+    chart = class_counts(df, target) if task == CLASSIFICATION else histogram(df, target)
+    return chart, usable_folds(df, target, task)
+
+
 def assign_folds(
     df: DataFrame, row: str, folds: int = FOLDS, label: str | None = None, name: str = "fold",
     group_rows: int = GROUP_ROWS,

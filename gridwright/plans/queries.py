@@ -690,6 +690,27 @@ def split_preview(spark, folder):
     return parts.select("o_orderkey", "split", F.lit(stratified).alias("stratified"))
 
 
+@query(
+    "cv_preview_class",
+    """SELECT o_orderstatus, count(*) AS rows, least(5, (SELECT min(n) FROM (SELECT count(*) AS n FROM orders
+  GROUP BY o_orderstatus))) AS folds FROM orders GROUP BY 1""",
+)
+def cv_preview_class(spark, folder):
+    df = fx.table(spark, folder, "orders").select("o_orderstatus", "o_totalprice")
+    chart, folds = split.cv_preview(df, "o_orderstatus")
+    return chart.withColumn("folds", F.lit(folds.first()["folds"]).cast("bigint"))
+
+
+@query(
+    "cv_preview_reg",
+    f"WITH {BINS.format(c='o_totalprice', t='orders')} SELECT {BIN_COLUMNS}, CAST(5 AS BIGINT) AS folds FROM h GROUP BY bin",
+)
+def cv_preview_reg(spark, folder):
+    df = fx.table(spark, folder, "orders").select("o_orderstatus", "o_totalprice")
+    chart, folds = split.cv_preview(df, "o_totalprice")
+    return rounded(chart, 4, "low", "high").withColumn("folds", F.lit(folds.first()["folds"]).cast("bigint"))
+
+
 @query("cv_folds", "SELECT o_orderkey, CAST(ntile(5) OVER (ORDER BY o_orderkey) - 1 AS INT) AS fold FROM orders")
 def cv_folds(spark, folder):
     df = with_row_index(fx.table(spark, folder, "orders").select("o_orderkey"), ["o_orderkey"])

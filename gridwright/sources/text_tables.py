@@ -47,29 +47,31 @@ def _header(reader, path) -> list[str]:
 
 
 def read_csv_text(
-    spark: SparkSession, path: str | Sequence[str], multi_line: bool = False, separator: str = ","
+    spark: SparkSession, path: str | Sequence[str], multi_line: bool = False, separator: str = ",",
+    encoding: str | None = None,
 ) -> DataFrame:
     """All columns as text, missing tokens as null; files that are not UTF-8 are read as Latin-1.
 
     A repeated header ``a, a`` becomes ``a, a.1``. ``multi_line`` allows line breaks in
-    quoted cells, at the price that a file is read by one task.
+    quoted cells, at the price that a file is read by one task. A given ``encoding``
+    saves the pass that looks for files that are not UTF-8.
     """
-    bad = invalid_files(spark, path)
+    bad = [] if encoding else invalid_files(spark, path)
 
-    def reader(encoding: str):
+    def reader(charset: str):
         return (
             spark.read.option("sep", separator).option("quote", '"').option("escape", '"')
-            .option("encoding", encoding).option("multiLine", multi_line)
+            .option("encoding", charset).option("multiLine", multi_line)
         )
 
     listed = sorted(r[0] for r in spark.read.text(path).select("_metadata.file_path").distinct().collect()) if bad else []
     good = [f for f in listed if f not in set(bad)]
     parts = []
-    for encoding, files in (("UTF-8", good if bad else path), ("ISO-8859-1", bad)):
+    for charset, files in ((encoding or "UTF-8", good if bad else path), ("ISO-8859-1", bad)):
         if files:
-            names = _header(reader(encoding), files)
+            names = _header(reader(charset), files)
             schema = ", ".join(f"_c{i} string" for i in range(len(names)))
-            raw = reader(encoding).schema(schema).option("header", True).option("enforceSchema", True).csv(files)
+            raw = reader(charset).schema(schema).option("header", True).option("enforceSchema", True).csv(files)
             parts.append(raw.toDF(*names))
     table = parts[0]
     for other in parts[1:]:
@@ -109,7 +111,8 @@ def infer_types(table: DataFrame) -> DataFrame:
 
 
 def read_csv(
-    spark: SparkSession, path: str | Sequence[str], multi_line: bool = False, separator: str = ","
+    spark: SparkSession, path: str | Sequence[str], multi_line: bool = False, separator: str = ",",
+    encoding: str | None = None,
 ) -> DataFrame:
     """Read CSV files with a header row and inferred column types."""
-    return infer_types(read_csv_text(spark, path, multi_line, separator))
+    return infer_types(read_csv_text(spark, path, multi_line, separator, encoding))

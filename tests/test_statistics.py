@@ -23,14 +23,14 @@ def skewed(count, seed):
     return out
 
 
-@pytest.mark.parametrize("buffer", [5, 200, 10**6])
-def test_exact_quantiles_agree_with_numpy_on_every_path(spark, buffer):
+@pytest.mark.parametrize("buffer,sketch_rows", [(5, 10**6), (5, 300), (200, 50), (10**6, 10**6)])
+def test_exact_quantiles_agree_with_numpy_on_every_path(spark, buffer, sketch_rows):
     data = pd.DataFrame({"a": skewed(4001, 1), "b": skewed(4001, 2), "c": [None] * 4001, "d": [3.0] * 4001})
     df = spark.createDataFrame(
         [tuple(None if v is None or v != v else float(v) for v in r) for r in data.itertuples(index=False)],
         "a double, b double, c double, d double",
     )
-    found = exact_quantiles(df, ["a", "b", "c", "d"], PROBS, buffer)
+    found = exact_quantiles(df, ["a", "b", "c", "d"], PROBS, buffer, sketch_rows=sketch_rows)
     for name in "abd":
         assert found[name] == pytest.approx(list(np.quantile(data[name].dropna(), PROBS)))
     assert found["c"] == [None] * len(PROBS)
