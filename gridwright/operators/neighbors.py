@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from gridwright.functions.storage import staged
+
 PIVOTS = 128
 RINGS = 8
 PIECE_ROWS = 4096
@@ -84,7 +86,8 @@ def _build_blocks(train: DataFrame, rows: int, piece_rows: int, pivots: int, rin
     count = min(pivots, math.ceil(rows / piece_rows))
     chosen = train.orderBy(F.xxhash64("_id"), "_id").limit(count).select("_vec").collect()
     points = np.array([r["_vec"] for r in chosen], dtype="float64")
-    located = _with_pivot(train, points)
+    # Written out once: the block facts and the rows must come from the same distances.
+    located = staged(_with_pivot(train, points))
     edges = np.full((len(points), rings - 1), np.inf)
     shares = F.array(*[F.lit((i + 1) / rings) for i in range(rings - 1)])
     for r in located.groupBy("_pivot").agg(F.percentile_approx("_away", shares, F.lit(200)).alias("e")).collect():

@@ -212,3 +212,28 @@ def test_presence_flag(people):
     for new in (" ", "AGE"):
         with pytest.raises(ValueError):
             outliers.presence_flag(people, "email", new)
+
+
+# -- plans
+
+
+def physical(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_keep_rules_reach_the_scan(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(10).select("id", F.col("id").cast("double").alias("v"), F.lit("x").alias("t")).write.parquet(path)
+    df = spark.read.parquet(path)
+    kept = rules.keep_rows(df, rules.numeric_mask(df, "v", ">", 5.0)).select("id")
+    assert "GreaterThan(v,5.0)" in physical(kept) and "t:string" not in physical(kept)
+    assert "IsNotNull(v)" in physical(rows.drop_missing_rows(df, "v"))
+    assert "EqualTo(v,5.0)" in physical(rules.keep_rows(df, rules.numeric_mask(df, "v", "==", 5.0)))
+
+
+def test_fill_and_clip_are_one_projection(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(10).select("id", F.when(F.col("id") > 2, F.col("id").cast("double")).alias("v")).write.parquet(path)
+    df = spark.read.parquet(path)
+    plan = physical(outliers.clip_outliers(missing.fill_missing(df, "v"), "v"))
+    assert "Exchange" not in plan and "Join" not in plan and "FileScan" in plan
