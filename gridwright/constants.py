@@ -16,6 +16,6 @@ HISTOGRAM_BINS = 35
 # Rows one task may sort or hold for one group; larger groups are split.
 GROUP_ROWS = 1_000_000
 # Distinct values a single aggregation buffer may hold.
-BUFFER_VALUES = 200_000
+BUFFER_VALUES = 250_000
 # Rows a table may have (checked by a count) before it is no longer broadcast.
 BROADCAST_ROWS = 100_000

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridwright import Workspace
-from gridwright.operators import missing, outliers, rows
+from gridwright.operators import missing, rows
 from gridwright.plans.report import build_report, workspace_report
 from gridwright.sources import ingest, text_tables
 from gridwright.streaming import FittedCleaning
