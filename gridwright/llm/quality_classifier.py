@@ -87,25 +87,31 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 
 def fit(
-    labelled: DataFrame, text: str = "text", label: str = "quality", sample_rows: int = SAMPLE_ROWS
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality",
+    sample_rows: int = SAMPLE_ROWS,
 ) -> CompressionClassifier:
-    """Fit on rows whose label is 0 or 1.
-
-    At most ``sample_rows`` texts of each class reach the driver: those of the smallest text hash, of at
-    most ``SAMPLE_CHARS`` characters, so the bound in bytes is fixed too. Every other one of them builds
-    the dictionaries, the rest fits the curve, weighted to the classes' true shares. Null labels, other
-    labels and null texts are passed over. Without rows of both classes the score is one constant: the
-    smoothed share of label 1.
+    """Fit on the texts of ``docs`` that ``labels`` marks with 0 or 1.
+
+    At most ``sample_rows`` keys of each class are drawn from ``labels``, those of the smallest hash, and
+    only their texts of at most ``SAMPLE_CHARS`` characters reach the driver, so the bound in bytes is
+    fixed; no text is shuffled. Every other text drawn builds the dictionaries, the rest fits the curve,
+    weighted to the classes' true shares. Null keys, other labels and null or empty texts are passed over;
+    of a key with two labels the larger counts. Without texts of both classes the score is one constant:
+    the smoothed share of label 1.
     """
-    rows = labelled.select(text_of(text).alias("t"), quoted(label).cast("int").alias("y")).where("y IN (0, 1)")
-    counted = dict(rows.groupBy("y").count().collect())
-    total = sum(counted.values())
-    short = rows.where(F.length("t").between(1, SAMPLE_CHARS)).withColumn("h", F.xxhash64("t"))
-    drawn = {
-        y: [r.t for r in short.where(F.col("y") == y).orderBy("h", "t").limit(sample_rows).select("t").collect()]
-        for y in (0, 1)
-    }
-    share = (counted.get(1, 0) + 1) / (total + 2)
+    known = (
+        labels.select(quoted(key).alias("k"), quoted(label).cast("int").alias("y")).where("k IS NOT NULL AND y IN (0, 1)")
+        .groupBy("k").agg(F.max("y").alias("y"))
+    )
+    counted = dict(known.groupBy("y").count().collect())
+    drawn_keys = None
+    for y in (0, 1):
+        some = known.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(sample_rows)
+        drawn_keys = some if drawn_keys is None else drawn_keys.unionAll(some)
+    texts = docs.select(quoted(key).alias("k"), text_of(text).alias("t")).where(F.length("t").between(1, SAMPLE_CHARS))
+    rows = texts.join(F.broadcast(drawn_keys), "k").select("y", "t").collect()
+    drawn = {y: sorted({r.t for r in rows if r.y == y}) for y in (0, 1)}
+    share = (counted.get(1, 0) + 1) / (sum(counted.values()) + 2)
     if min(len(drawn[0]), len(drawn[1])) < 2:
         return CompressionClassifier(b"", b"", [float(np.log(share / (1 - share))), 0.0, 0.0], share)
     halves = {y: (texts[::2], texts[1::2]) for y, texts in drawn.items()}
@@ -114,7 +120,7 @@ def fit(
     )
     x = np.vstack([model.features(halves[y][1]) for y in (0, 1)])
     y = np.repeat([0.0, 1.0], [len(halves[0][1]), len(halves[1][1])])
-    weight = np.where(y == 1, counted[1] / max(1, (y == 1).sum()), counted[0] / max(1, (y == 0).sum()))
+    weight = np.where(y == 1, counted[1] / len(halves[1][1]), counted[0] / len(halves[0][1]))
     weight *= len(y) / weight.sum()
     spread = np.concatenate([[1.0], np.maximum(x[:, 1:].std(axis=0), 1e-6)])
     model.weights = [float(b) for b in _logistic(x / spread, y, weight) / spread]
