@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwright.llm import decontamination, html_text, packing, quality_classifier, quality_rules, secret_scan, url_filters
+from gridwright.llm import decontamination, html_text, packing, quality_classifier, quality_rules, secret_scan, suffix_dedup, url_filters
 from gridwright.llm.common import table, text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -164,3 +164,9 @@ def op10(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     marked = decontamination.mark(docs, test_items(spark, folder), "item_id", "question", "answer")
     return marked.select("doc_id", (F.size("items") > 0).alias("contaminated"), F.col("items").alias("item_ids"))
+
+
+@query("op8_suffix_dedup")
+def op8(spark, folder):
+    # Only what the result needs of a row travels: its id, not its text.
+    return suffix_dedup.remove(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
