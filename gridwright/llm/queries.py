@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwright.llm import decontamination, html_text, near_dedup, packing, quality_classifier, quality_rules, secret_scan, suffix_dedup, url_filters
+from gridwright.llm import decontamination, html_text, near_dedup, packing, quality_classifier, quality_rules, secret_scan, substring_dedup, suffix_dedup, url_filters
 from gridwright.llm.common import table, text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -176,3 +176,8 @@ def op8(spark, folder):
 def op4(spark, folder):
     found = near_dedup.label(table(spark, folder, "documents").select("doc_id", "text"))
     return found.select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+
+
+@query("op9_substring_dedup")
+def op9(spark, folder):
+    return substring_dedup.mark(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
