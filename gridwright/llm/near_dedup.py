@@ -253,7 +253,7 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, least: float) -> DataFrame
     Each text travels once per leader that it is compared with. A leader of very many pairs is sent to
     several tasks, with a share of the pairs each.
     """
-    sizes = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / COMPARED).cast("int").alias("parts"))
+    sizes = staged(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / COMPARED).cast("int").alias("parts")))
     members = pairs.join(sizes, "b").select(
         F.col("a").alias("k"), "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role")
     )
@@ -282,7 +282,7 @@ def classes(df: DataFrame, text: str = "text", least: float = SIMILARITY) -> Dat
     placed = sketches.select("k", F.explode(F.array(*map(band, range(BANDS)))).alias("bucket"))
     # Only buckets that two texts meet in go on; the largest in parts.
     met = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = met.select("bucket", F.ceil(F.col("n") / BUCKET).cast("int").alias("parts"))
+    met = staged(met.select("bucket", F.ceil(F.col("n") / BUCKET).cast("int").alias("parts")))
     dealt = staged(
         placed.join(met, "bucket").join(sketches, "k").select(
             "bucket", F.pmod(F.xxhash64("k"), F.col("parts")).cast("int").alias("part"), "parts", "k", "s"
@@ -306,7 +306,7 @@ def classes(df: DataFrame, text: str = "text", least: float = SIMILARITY) -> Dat
     # Texts of a bucket in different components: every pair that agrees enough and was not compared.
     apart = dealt.join(rooted.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
     several = apart.groupBy("bucket", "part").agg((F.min("root") != F.max("root")).alias("more")).where("more")
-    mixed_buckets = apart.join(several.select("bucket", "part"), ["bucket", "part"])
+    mixed_buckets = apart.join(staged(several.select("bucket", "part")), ["bucket", "part"])
     bridges = (
         mixed_buckets.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "k")
         .select("bucket", "part", "k", "s", "root").mapInArrow(_bridge, "a binary, b binary")

@@ -12,7 +12,10 @@ from __future__ import annotations
 import base64
 import bisect
 import os
+import sys
 import zlib
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +31,9 @@ CAPACITY = 2048
 #: Pieces that are packed together.
 SHARD_PIECES = 25_000
 #: Fillings tried around one piece, and nodes of the search in one shard, before the best so far stands.
-FILLINGS, NODES = 16, 40_000
+FILLINGS, NODES = 16, 2_000
+#: Full bins that the search opens again.
+REOPENED = 40
 MAIN, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
 _CODERS: dict = {}
@@ -141,13 +146,21 @@ def fillings(lengths: list[int], left: dict[int, int], room: int, limit: int = F
 
 
 def complete(lengths: list[int], counts: list[int], capacity: int, nodes: int = NODES) -> list[list[int]]:
-    """Bins as lists of lengths: as few as the search finds, never more than best-fit decreasing needs."""
+    """Bins as lists of lengths: as few as the search finds, never more than best-fit decreasing needs.
+
+    Bins that best fit leaves no room in are kept, but for those of the most pieces, which are the easiest to
+    exchange; the search packs the pieces of the others anew.
+    """
     best = best_fit(lengths, counts, capacity)
-    total = sum(a * b for a, b in zip(lengths, counts))
-    least = -(-total // capacity)
-    if len(best) <= least:
+    if len(best) <= -(-sum(a * b for a, b in zip(lengths, counts)) // capacity):
         return best
-    left = dict(zip(lengths, counts))
+    full = sorted((one for one in best if sum(one) == capacity), key=len)
+    best = [one for one in best if sum(one) < capacity] + full[len(full) - min(REOPENED, len(full)) :]
+    full = full[: len(full) - min(REOPENED, len(full))]
+    left = Counter(x for one in best for x in one)
+    lengths = sorted(left, reverse=True)
+    total = sum(a * b for a, b in left.items())
+    least = -(-total // capacity)
     bins: list[list[int]] = []
     waste = 0
     trail: list[tuple[list[tuple[int, ...]], int]] = []  # fillings still to try, and the piece they stand around
@@ -188,7 +201,7 @@ def complete(lengths: list[int], counts: list[int], capacity: int, nodes: int =
             best = [list(b) for b in bins]
             if len(best) <= least:
                 break
-    return best
+    return full + best
 
 
 def pack_lengths(values: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
@@ -218,9 +231,13 @@ def pieces(df: DataFrame, code, key: str = "doc_id", text: str = "text", capacit
     def cut_up(texts: pa.Array) -> pa.Array:
         tokens, rows = code(), []
         for value in texts.to_pylist():
-            ids = np.asarray([*tokens(value), end], "<u4")
+            ids = array("I", tokens(value))
+            ids.append(end)
+            if sys.byteorder == "big":
+                ids.byteswap()
+            raw = memoryview(ids)
             rows.append([
-                {"piece": i, "start": s, "length": n, "ids_crc32": zlib.crc32(ids[s : s + n].tobytes())}
+                {"piece": i, "start": s, "length": n, "ids_crc32": zlib.crc32(raw[s : s + n])}
                 for i, (s, n) in enumerate(cut(len(ids), capacity))
             ])
         kind = pa.list_(pa.struct([("piece", pa.int32())] + [(n, pa.int64()) for n in ("start", "length", "ids_crc32")]))

@@ -342,12 +342,15 @@ def repeats(df: DataFrame, text: str = "text") -> DataFrame:
     )
     placed = unique.select("k", "copies", F.inline("s"))
     # Anchors met twice: with one snippet only, all its windows repeat; else the snippets must be compared.
+    # Written, so that the join deals both sides anew and a hot anchor's rows can be split.
     met = placed.groupBy("h").agg(F.sum("copies").alias("m"), F.min("d").alias("x"), F.max("d").alias("y")).where("m > 1")
-    again = staged(placed.join(met.select("h", (F.col("x") == F.col("y")).alias("whole")), "h"))
+    met = staged(met.select("h", (F.col("x") == F.col("y")).alias("whole")))
+    again = staged(placed.join(met, "h"))
     compared = again.where("NOT whole").groupBy("h", "d").agg(
         F.sum("copies").alias("m"), F.min(F.struct("k", "a")).alias("first")
     )
-    groups = compared.groupBy("h").agg((F.count(F.lit(1)) > HOT_SNIPPETS).alias("hot"))
+    compared = staged(compared)
+    groups = staged(compared.groupBy("h").agg((F.count(F.lit(1)) > HOT_SNIPPETS).alias("hot")))
     compared = compared.join(groups, "h")
     told = again.join(compared, ["h", "d"], "left").select(
         "k",
