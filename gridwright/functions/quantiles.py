@@ -82,7 +82,9 @@ def exact_quantiles(
                 place = p * (sizes[f"_n{i}"] - 1)
                 low = wanted[(i, math.floor(place))].answer
                 high = wanted[(i, math.ceil(place))].answer
-                answers.append(low + (place - math.floor(place)) * (high - low))
+                # The built-in percentile's formula, so that both paths agree to the last bit.
+                share = (math.ceil(place) - place) * low + (place - math.floor(place)) * high
+                answers.append(low if low == high else share)
             found[names[i]] = answers
     return {n: found[n] for n in names}
 
@@ -224,7 +226,9 @@ def grouped_quantiles(
     answers = []
     for j, p in enumerate(probs):
         place = F.lit(p) * (F.col("n") - 1)
-        answers.append((F.col(f"l{j}") + (place - F.floor(place)) * (F.col(f"h{j}") - F.col(f"l{j}"))).alias(f"q{j}"))
+        low, high = F.col(f"l{j}"), F.col(f"h{j}")
+        share = (F.ceil(place) - place) * low + (place - F.floor(place)) * high
+        answers.append(F.when(low == high, low).otherwise(share).alias(f"q{j}"))
     return packed.select(F.col("_by").cast(kind).alias(by), "n", *answers)
 
 

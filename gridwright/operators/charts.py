@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwright.constants import BROADCAST_ROWS, HISTOGRAM_BINS, SCATTER_POINTS
+from gridwright.constants import BROADCAST_ROWS, HISTOGRAM_BINS
 from gridwright.functions.quantiles import grouped_quantiles
 from gridwright.functions.ranks import seeded_sample
 from gridwright.functions.semantics import (
@@ -87,8 +87,8 @@ def bar_sum(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.groupBy(known(df, x).alias(x)).agg(F.sum(number(df, y)).alias("height"))
 
 
-def scatter_points(df: DataFrame, x: str, y: str, key: Sequence[str], limit: int | None = SCATTER_POINTS) -> DataFrame:
-    """The points of a scatter chart; ``limit`` picks a seeded sample, ``None`` gives all."""
+def scatter_points(df: DataFrame, x: str, y: str, key: Sequence[str], limit: int | None = None) -> DataFrame:
+    """All points of a scatter chart; a given ``limit`` picks a seeded sample of that size."""
     require_columns(df, [x, y, *key])
     points = df.select(*[column(c) for c in dict.fromkeys([*key, x, y])])
     return points if limit is None else seeded_sample(points, limit, key)

@@ -53,9 +53,11 @@ class NeighbourModel:
 def _tree_params(params: dict[str, Any], depth: int | None) -> dict[str, Any]:
     chosen = params.get("max_depth", depth)
     if chosen is not None and int(chosen) > DEEPEST:
-        warnings.warn(f"max_depth {chosen} is limited to {DEEPEST}.", stacklevel=2)
+        raise ValueError(f"Trees end at depth {DEEPEST}; max_depth {chosen} would be another model.")
+    if chosen is None:
+        warnings.warn(f"Trees without a limit end at depth {DEEPEST}.", stacklevel=2)
     if int(params.get("min_samples_split", 2)) > 2:
-        warnings.warn("min_samples_split has no counterpart and is not used; set min_samples_leaf.", stacklevel=2)
+        raise ValueError("min_samples_split over 2 is not offered; min_samples_leaf bounds the leaves.")
     return {
         "maxDepth": DEEPEST if chosen is None else min(int(chosen), DEEPEST),
         "minInstancesPerNode": int(params.get("min_samples_leaf", 1)),
@@ -222,7 +224,7 @@ class TrainedModel:
             weights = abs(self.core.coefficients.toArray())
         else:
             return []
-        names = self.meta["feature_names"]
+        names = self.meta.get("feature_names") or [f"feature {i}" for i in range(len(weights))]
         return sorted(zip(names, map(float, weights)), key=lambda f: (-f[1], f[0]))
 
 

@@ -12,6 +12,7 @@ from gridwright.constants import CARDINALITY_THRESHOLD, CLASSIFICATION, FOLDS, R
 from gridwright.functions.frequencies import most_frequent
 from gridwright.functions.quantiles import exact_quantiles, size_aggregates
 from gridwright.functions.semantics import (
+    column,
     categorical_columns,
     is_numeric,
     is_text,
@@ -93,10 +94,14 @@ DESCRIBE_SCHEMA = (
 
 
 def describe(df: DataFrame) -> DataFrame:
-    """One row per column: counts and top value for text, moments and quartiles for numbers."""
-    names = [
-        f.name for f in df.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))
-    ]
+    """One row per column: counts and top value for text, moments and quartiles for numbers.
+
+    Dates and times are described like numbers, as seconds since 1970 in UTC; of nested columns only the
+    count is given.
+    """
+    names = df.columns
+    dates = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))]
+    df = df.withColumns({n: _seconds(df, n) for n in dates}) if dates else df
     numbers = [n for n in names if n in set(numeric_columns(df))]
     texts = [n for n in names if n in set(categorical_columns(df))]
     row = df.agg(
@@ -126,6 +131,14 @@ def describe(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(out, DESCRIBE_SCHEMA)
 
 
+def _seconds(df: DataFrame, name: str):
+    """A date or time as seconds since 1970."""
+    if isinstance(df.schema[name].dataType, T.TimestampType):
+        return F.unix_micros(column(name)) / 1e6
+    moment = column(name).cast("timestamp_ntz")
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), moment) / 1e6
+
+
 def _shown(value) -> str:
     return str(value).lower() if isinstance(value, bool) else str(value)
 

@@ -592,7 +592,7 @@ def bar_sum(spark, folder):
 
 @query("scatter_points", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
 def scatter_points(spark, folder):
-    return charts.scatter_points(fx.table(spark, folder, "orders"), "o_custkey", "o_totalprice", ["o_orderkey"], None)
+    return charts.scatter_points(fx.table(spark, folder, "orders"), "o_custkey", "o_totalprice", ["o_orderkey"])
 
 
 @query(
@@ -601,13 +601,13 @@ def scatter_points(spark, folder):
 ORDER BY md5(CAST(o_orderkey AS VARCHAR) || '-42'), o_orderkey LIMIT 6000""",
 )
 def scatter_sample(spark, folder):
-    return charts.scatter_points(fx.table(spark, folder, "orders"), "o_custkey", "o_totalprice", ["o_orderkey"])
+    return charts.scatter_points(fx.table(spark, folder, "orders"), "o_custkey", "o_totalprice", ["o_orderkey"], 6000)
 
 
 @query(
     "suggested_charts",
     f"""{MATRIX} SELECT 'Target distribution' AS chart, (SELECT count(DISTINCT l_linestatus) FROM lineitem_d) AS points
-UNION ALL SELECT 'Top correlated pair: ' || col_a || ' vs ' || col_b, least(6000, (SELECT count(*) FROM lineitem_d))
+UNION ALL SELECT 'Top correlated pair: ' || col_a || ' vs ' || col_b, (SELECT count(*) FROM lineitem_d)
   FROM (SELECT * FROM m WHERE col_a < col_b AND r IS NOT NULL AND col_a <> 'flat' AND col_b <> 'flat'
     ORDER BY abs(r) DESC, col_a, col_b LIMIT 1)
 UNION ALL SELECT 'Correlation heatmap (top 10 numeric)', 16""",
@@ -969,13 +969,25 @@ def feature_importance(spark, folder):
     return spark.createDataFrame(model.importance()[:20], "feature string, importance double")
 
 
-@query("score_batch", "SELECT o_orderkey, TRUE AS scored FROM orders")
+@query("score_batch", LINE_FIT.format(penalty=0))
 def score_batch(spark, folder):
-    source = order_features(spark, folder)
-    model = models.train_with_baseline(source, "o_orderstatus", "Decision Tree", {"max_depth": 4}, key=["o_orderkey"])
-    rows = source.select("o_orderkey", "o_totalprice", "o_orderpriority")
-    found = models.score_batch(model, rows, ["o_totalprice", "o_orderpriority"], source)
-    return found.select("o_orderkey", F.col("prediction").isin("F", "O", "P").alias("scored"))
+    df = fx.table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    model = models.train_with_baseline(df, "o_totalprice", "Linear/Logistic Regression", {}, REGRESSION, 0.25, ["o_orderkey"])
+    rows = fx.table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    found = models.score_batch(model, rows, ["o_custkey"], df)
+    return rounded(found.select("o_orderkey", "prediction"), 0, "prediction")
+
+
+@query(
+    "score_batch_defaults",
+    LINE_FIT.format(penalty=0).replace("(x - mx)", "((SELECT avg(x) FROM x) - mx)"),
+)
+def score_batch_defaults(spark, folder):
+    """No feature is given, so each row takes the source's mean."""
+    df = fx.table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    model = models.train_with_baseline(df, "o_totalprice", "Linear/Logistic Regression", {}, REGRESSION, 0.25, ["o_orderkey"])
+    found = models.score_batch(model, df.select("o_orderkey"), [], df)
+    return rounded(found.select("o_orderkey", "prediction"), 0, "prediction")
 
 
 @query("model_round_trip", "SELECT CAST(0 AS BIGINT) AS changed, count(*) AS rows FROM part")
@@ -1007,7 +1019,7 @@ def read_csv_text_cells(spark, folder):
     df = fx.table(spark, folder, "documents").select("doc_id", "text")
     df.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option(
         "ignoreTrailingWhiteSpace", False).csv(path)
-    return text_tables.read_csv(spark, path, multi_line=True)
+    return text_tables.read_csv(spark, path)
 
 
 @query("file_signatures")

@@ -40,6 +40,7 @@ class Workspace:
         self._base: DataFrame | None = None
         self._stats: dict[str, int] | None = None
         self._depth = 0
+        self._restored = False
 
     # -- loading ----------------------------------------------------------------
 
@@ -165,6 +166,9 @@ class Workspace:
         if not self.folder:
             raise ValueError("The workspace has no folder.")
         if not remember:
+            if self._restored:  # its tables are read from what is deleted now
+                self.raw, self.current = staged(self.raw), staged(self.current)
+                self._base, self.history, self._restored = self.current, [], False
             forget_snapshot(self.spark, self.folder)
             return False
         if self.current is None:
@@ -181,6 +185,7 @@ class Workspace:
             return False
         current, raw, settings = found
         self.load(current, "Loaded saved progress", raw)
+        self._restored = True
         target = settings.get("target")
         self.target = target if target in current.columns else None
         return True

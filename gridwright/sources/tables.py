@@ -44,10 +44,13 @@ def save_snapshot(spark: SparkSession, folder: str, current: DataFrame, raw: Dat
     """
     version = uuid.uuid4().hex
     base = f"{folder}/{version}"
+    found = read_text(spark, f"{folder}/latest")
+    before = json.loads(found) if found else {}
+    earlier = [*before.get("earlier", []), before["version"]] if before.get("version") else []
     current.write.parquet(f"{base}/current")
     if raw is not None:
         raw.write.parquet(f"{base}/raw")
-    facts = {"version": version, "has_raw": raw is not None, "settings": settings}
+    facts = {"version": version, "has_raw": raw is not None, "settings": settings, "earlier": earlier}
     write_text(spark, f"{folder}/latest", json.dumps(facts))
     return base
 
@@ -65,6 +68,11 @@ def load_snapshot(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFram
 
 
 def forget_snapshot(spark: SparkSession, folder: str) -> None:
-    """Make the folder hold no snapshot; its versions stay for the storage's own clean-up."""
-    if read_text(spark, f"{folder}/latest"):
+    """Delete the folder's snapshot: the version that it points to, and then the pointer's content."""
+    found = read_text(spark, f"{folder}/latest")
+    facts = json.loads(found) if found else {}
+    if facts.get("version"):
         write_text(spark, f"{folder}/latest", "{}")
+        for version in [*facts.get("earlier", []), facts["version"]]:
+            place = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{version}")
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from gridwright.functions.semantics import column
@@ -17,18 +17,36 @@ MISSING_TOKENS = [
 # Texts that mean true and false when a whole column holds nothing else.
 TRUE_TEXT = ["True", "TRUE", "true"]
 FALSE_TEXT = ["False", "FALSE", "false"]
+# The column for cells beyond the header while a file is read.
+EXTRA = "_cells_beyond_header"
 WHOLE = r"^\s*[+-]?[0-9]+\s*$"
 DECIMAL = r"^\s*[+-]?((([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?)|(?i:inf(inity)?))\s*$"
 
 
-def invalid_files(spark: SparkSession, path: str | Sequence[str]) -> list[str]:
-    """Files that are not valid UTF-8.
+def file_forms(spark: SparkSession, path: str | Sequence[str], any_charset: bool = False) -> list[Row]:
+    """``header, latin, broken, files``: files that can be read together, in an order that does not change.
 
-    The text source keeps raw bytes, so this works line by line on files of any size.
+    One pass over the lines, of files of any size: ``latin`` files are not valid UTF-8, ``broken`` ones have
+    a line with an odd number of quotes, so a quoted cell goes on in the next line. No more rows than
+    different headers; together they list each file once, as Spark's own file index does.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
-    bad = lines.where(~F.is_valid_utf8("value")).select("file").distinct()
-    return sorted(r["file"] for r in bad.collect())  # no more rows than listed files
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), "value", place.alias("place")
+    )
+    quotes = F.length("value") - F.length(F.translate("value", '"', ""))
+    forms = lines.groupBy("file").agg(
+        F.min_by(F.rtrim(F.col("value"), F.lit("\r")), "place").alias("header"),
+        F.max(F.lit(False) if any_charset else ~F.is_valid_utf8("value")).alias("latin"),
+        F.max(quotes % 2 == 1).alias("broken"),
+    )
+    found = forms.groupBy("header", "latin", "broken").agg(F.sort_array(F.collect_list("file")).alias("files")).collect()
+    return sorted(found, key=lambda r: r["files"][0])
+
+
+def invalid_files(spark: SparkSession, path: str | Sequence[str]) -> list[str]:
+    """Files that are not valid UTF-8."""
+    return sorted(f for form in file_forms(spark, path) if form["latin"] for f in form["files"])
 
 
 def _header(reader, path) -> list[str]:
@@ -46,47 +64,61 @@ def _header(reader, path) -> list[str]:
     return names
 
 
+def _cells(
+    spark: SparkSession, path: str | Sequence[str], multi_line: bool, separator: str, encoding: str | None
+) -> tuple[DataFrame, Column]:
+    """All cells as text, missing tokens as null; and the column that holds what a row has beyond its header."""
+    forms = file_forms(spark, path, any_charset=bool(encoding))
+    if not forms:
+        raise ValueError("Dataset is empty.")
+    table = None
+    for form in forms:
+        charset = encoding or ("ISO-8859-1" if form["latin"] else "UTF-8")
+        reader = (
+            spark.read.option("sep", separator).option("quote", '"').option("escape", '"')
+            .option("encoding", charset).option("multiLine", multi_line or form["broken"])
+        )
+        names = _header(reader, form["files"][:1])
+        schema = ", ".join(f"_c{i} string" for i in range(len(names) + 1))
+        raw = reader.schema(schema).option("header", True).option("enforceSchema", True).csv(form["files"])
+        part = raw.toDF(*names, EXTRA)
+        table = part if table is None else table.unionByName(part, allowMissingColumns=True)
+    tokens = [F.lit(t) for t in MISSING_TOKENS]
+    kept = [c for c in table.columns if c != EXTRA]
+    cells = [F.when(~column(c).isin(*tokens), column(c)).alias(c) for c in kept]
+    return table.select(*cells, column(EXTRA)), column(EXTRA)
+
+
+def _too_long(rows: int) -> ValueError:
+    return ValueError(f"{rows} rows have more cells than their header.")
+
+
 def read_csv_text(
     spark: SparkSession, path: str | Sequence[str], multi_line: bool = False, separator: str = ",",
     encoding: str | None = None,
 ) -> DataFrame:
     """All columns as text, missing tokens as null; files that are not UTF-8 are read as Latin-1.
 
-    A repeated header ``a, a`` becomes ``a, a.1``. ``multi_line`` allows line breaks in
-    quoted cells, at the price that a file is read by one task. A given ``encoding``
-    saves the pass that looks for files that are not UTF-8.
+    Each file is read by its own header, and files are put together by column name; a column that a file
+    lacks is null there. A repeated header ``a, a`` becomes ``a, a.1``. A file in which a quoted cell spans
+    lines is read by one task, as is every file under ``multi_line``. Rows with too few cells are filled with
+    null; rows with too many are an error, found in a pass of its own.
     """
-    bad = [] if encoding else invalid_files(spark, path)
-
-    def reader(charset: str):
-        return (
-            spark.read.option("sep", separator).option("quote", '"').option("escape", '"')
-            .option("encoding", charset).option("multiLine", multi_line)
-        )
-
-    listed = sorted(r[0] for r in spark.read.text(path).select("_metadata.file_path").distinct().collect()) if bad else []
-    good = [f for f in listed if f not in set(bad)]
-    parts = []
-    for charset, files in ((encoding or "UTF-8", good if bad else path), ("ISO-8859-1", bad)):
-        if files:
-            names = _header(reader(charset), files)
-            schema = ", ".join(f"_c{i} string" for i in range(len(names)))
-            raw = reader(charset).schema(schema).option("header", True).option("enforceSchema", True).csv(files)
-            parts.append(raw.toDF(*names))
-    table = parts[0]
-    for other in parts[1:]:
-        table = table.unionByName(other)
-    tokens = [F.lit(t) for t in MISSING_TOKENS]
-    return table.select(*[F.when(~column(c).isin(*tokens), column(c)).alias(c) for c in table.columns])
+    table, extra = _cells(spark, path, multi_line, separator, encoding)
+    if beyond := table.where(extra.isNotNull()).count():
+        raise _too_long(beyond)
+    return table.drop(EXTRA)
 
 
 def infer_types(table: DataFrame) -> DataFrame:
     """Give text columns the narrowest type that fits all their cells, found in one aggregate.
 
-    Whole numbers, then decimals, then booleans, else text. Dates stay text.
+    Whole numbers, then decimals, then booleans, else text. Dates stay text. Rows that a reader has marked
+    as too long are an error.
     """
-    checks: list[Column] = []
-    for i, name in enumerate(table.columns):
+    names = [c for c in table.columns if c != EXTRA]
+    checks: list[Column] = [F.count(column(EXTRA)).alias("beyond")] if EXTRA in table.columns else []
+    for i, name in enumerate(names):
         c = column(name)
         checks += [
             F.count(c).alias(f"n{i}"),
@@ -95,8 +127,10 @@ def infer_types(table: DataFrame) -> DataFrame:
             F.count_if(c.isin(TRUE_TEXT + FALSE_TEXT)).alias(f"b{i}"),
         ]
     seen = table.agg(*checks).first()
+    if EXTRA in table.columns and seen["beyond"]:
+        raise _too_long(seen["beyond"])
     out = []
-    for i, name in enumerate(table.columns):
+    for i, name in enumerate(names):
         c, total = column(name), seen[f"n{i}"]
         if total == 0 or total == seen[f"d{i}"] != seen[f"w{i}"]:
             typed = c.try_cast("double")
@@ -115,4 +149,4 @@ def read_csv(
     encoding: str | None = None,
 ) -> DataFrame:
     """Read CSV files with a header row and inferred column types."""
-    return infer_types(read_csv_text(spark, path, multi_line, separator, encoding))
+    return infer_types(_cells(spark, path, multi_line, separator, encoding)[0])

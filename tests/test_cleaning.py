@@ -237,3 +237,31 @@ def test_fill_and_clip_are_one_projection(spark, tmp_path):
     df = spark.read.parquet(path)
     plan = physical(outliers.clip_outliers(missing.fill_missing(df, "v"), "v"))
     assert "Exchange" not in plan and "Join" not in plan and "FileScan" in plan
+
+
+def test_numeric_rules_reach_the_scan_in_the_columns_type(spark, tmp_path):
+    path = str(tmp_path / "k")
+    spark.range(10).selectExpr("id + 9007199254740990 AS k", "cast(id AS int) AS i", "cast(id AS decimal(5, 1)) AS d").write.parquet(path)
+    df = spark.read.parquet(path)
+
+    def pushed(mask):
+        return rules.keep_rows(df, mask)._jdf.queryExecution().executedPlan().toString()
+
+    assert "EqualTo(k,9007199254740993)" in pushed(rules.numeric_mask(df, "k", "==", 9007199254740993))
+    assert "GreaterThan(i,5)" in pushed(rules.numeric_mask(df, "i", ">", 5.5))
+    assert "LessThanOrEqual(d,2.5)" in pushed(rules.numeric_mask(df, "d", "<=", 2.5))
+    count = lambda name, rule, a, b=0: rules.keep_rows(df, rules.numeric_mask(df, name, rule, a, b)).count()
+    assert count("k", "==", 9007199254740993) == 1 and count("k", ">", 9007199254740992) == 7
+    assert [count("i", r, 5.5) for r in (">", ">=", "<", "<=", "==", "!=")] == [4, 4, 6, 6, 0, 10]
+    assert [count("i", r, 1e30) for r in (">", ">=", "<", "<=", "==", "!=")] == [0, 0, 10, 10, 0, 10]
+    assert [count("d", r, -1e30) for r in (">", "<")] == [10, 0] and count("d", "between", 7.25, 2) == 6
+    nan = float("nan")
+    assert [count("i", r, nan) for r in ("==", "!=")] == [0, 10]
+    assert rules.keep_rows(df, rules.rule_mask(df, "k", "==", "9007199254740993")).count() == 1
+
+
+def test_long_row_lists(spark):
+    df = spark.range(20_000).toDF("i").repartition(3)
+    spec = ",".join(str(i) for i in range(0, 20_000, 3)) + ",19000-19999"
+    kept = rows.drop_row_positions(df, spec, ["i"])
+    assert sorted(r.i for r in kept.collect()) == [i for i in range(19_000) if i % 3]

@@ -230,7 +230,7 @@ def test_logistic_gradient_is_zero_for_the_summed_loss(numbers, c):
     assert abs((p - t).sum()) < 1e-2
 
 
-@pytest.mark.parametrize("algo,params", [("Random Forest", {"n_estimators": 10, "max_depth": 40}), ("Decision Tree", {"max_depth": None, "min_samples_leaf": 3}), ("KNN", {"weights": "distance"}), ("Linear/Logistic Regression", {})])
+@pytest.mark.parametrize("algo,params", [("Random Forest", {"n_estimators": 10, "max_depth": 30}), ("Decision Tree", {"max_depth": None, "min_samples_leaf": 3}), ("KNN", {"weights": "distance"}), ("Linear/Logistic Regression", {})])
 def test_classifiers_beat_the_baseline_and_survive_saving(spark, numbers, tmp_path, algo, params):
     df = numbers.select("id", "a", "b", "g", "c")
     model = models.train_with_baseline(df, "c", algo, params, key=["id"])

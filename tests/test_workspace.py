@@ -55,13 +55,63 @@ def test_csv_empty(spark, tmp_path):
 def test_ingest_recognises_content(spark, tmp_path):
     write(tmp_path / "a.csv", "x\n1\n2\n")
     write(tmp_path / "b.csv", "x\n3\n2\n")
-    for limit in (10**6, 1):
-        found = ingest.file_signatures(spark, str(tmp_path / "*.csv"), limit)
-        manifest = str(tmp_path / f"manifest{limit}")
-        ingest.remember_files(found.where("name = 'a.csv'"), manifest)
-        fresh = ingest.new_files(found, spark.read.parquet(manifest))
-        assert [r["name"] for r in fresh.collect()] == ["b.csv"]
-        assert {r["size"] for r in found.collect()} == {6}
+    found = ingest.file_signatures(spark, str(tmp_path / "*.csv"))
+    manifest = str(tmp_path / "manifest")
+    ingest.remember_files(found.where("name = 'a.csv'"), manifest)
+    fresh = ingest.new_files(found, spark.read.parquet(manifest))
+    assert [r["name"] for r in fresh.collect()] == ["b.csv"]
+    assert {r["size"] for r in found.collect()} == {6}
+
+
+def test_signature_follows_line_order_and_line_ends_but_not_the_parts_read(spark, tmp_path):
+    lines = [f"{i},{'x' * (i % 50)}" for i in range(4000)]
+    folder = tmp_path / "f"
+    folder.mkdir()
+    texts = {
+        "same1": "\n".join(lines), "same2": "\n".join(lines), "turned": "\n".join(lines[::-1]), "ended": "\n".join(lines) + "\n",
+        "dos": "\r\n".join(lines), "swapped": "\n".join([lines[1], lines[0], *lines[2:]]),
+    }
+    for name, content in texts.items():
+        (folder / name).write_bytes(content.encode())
+    digests = lambda: {r["name"]: r["digest"] for r in ingest.file_signatures(spark, str(folder)).collect()}
+    whole = digests()
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+    try:
+        assert digests() == whole
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert whole["same1"] == whole["same2"] and len(set(whole.values())) == len(texts) - 1
+
+
+def test_csv_keeps_every_cell(spark, tmp_path):
+    df = text_tables.read_csv(spark, write(tmp_path / "breaks.csv", 'a,b\n1,"line one\nline two"\n2,"say ""hi"""\n'))
+    assert [tuple(r) for r in df.orderBy("a").collect()] == [(1, "line one\nline two"), (2, 'say "hi"')]
+    with pytest.raises(ValueError, match="more cells"):
+        text_tables.read_csv(spark, write(tmp_path / "long.csv", "a,b\n1,x\n2,y,EXTRA\n"))
+    with pytest.raises(ValueError, match="more cells"):
+        text_tables.read_csv_text(spark, write(tmp_path / "long2.csv", "a,b\n1,x\n2,y,EXTRA\n"))
+    short = text_tables.read_csv(spark, write(tmp_path / "short.csv", "a,b\n1,x\n2\n"))
+    assert sorted(map(tuple, short.collect())) == [(1, "x"), (2, None)]
+    folder = tmp_path / "orders"
+    folder.mkdir()
+    write(folder / "1.csv", "a,b\n1,x\n")
+    write(folder / "2.csv", "b,a\ny,2\n")
+    write(folder / "3.csv", "a,c\n3,z\n")
+    both = text_tables.read_csv(spark, str(folder)).select("a", "b", "c").orderBy("a")
+    assert [tuple(r) for r in both.collect()] == [(1, "x", None), (2, "y", None), (3, None, "z")]
+
+
+def test_forgotten_snapshots_are_deleted(spark, people, tmp_path):
+    place = tmp_path / "work"
+    work = Workspace(spark, str(place)).load(people, "people")
+    work.save()
+    work.save()
+    assert len(list(place.rglob("*.parquet"))) > 0
+    again = Workspace(spark, str(place))
+    assert again.restore() and again.save(remember=False) is False
+    assert not list(place.glob("*/current/*.parquet")) and again.current.count() == people.count()
+    assert not Workspace(spark, str(place)).restore()
 
 
 # -- workspace
