@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 
 from gridwright.constants import BUFFER_VALUES, SEED
 from gridwright.functions.frequencies import stacked_counts
-from gridwright.functions.semantics import known, number
+from gridwright.functions.semantics import column, known, number
 from gridwright.functions.storage import staged
 
 SKETCH_ACCURACY = 10_000
@@ -197,16 +197,18 @@ def _narrow(
 
 
 def grouped_quantiles(
-    df: DataFrame, by: str, value: str, probs: Sequence[float], buffer_values: int = BUFFER_VALUES
+    df: DataFrame, by: str, value: str, probs: Sequence[float], buffer_values: int = BUFFER_VALUES,
+    count: str | None = None,
 ) -> DataFrame:
-    """Exact quantiles of ``value`` per ``by`` as columns ``q0, q1, ...``."""
+    """Exact quantiles of ``value`` per ``by`` as columns ``q0, q1, ...``; a column ``count`` repeats rows."""
     kind = df.schema[by].dataType
-    rows = df.select(known(df, by).alias("_by"), number(df, value).alias("_v")).na.drop()
+    times = F.lit(1) if count is None else column(count)
+    rows = df.select(known(df, by).alias("_by"), number(df, value).alias("_v"), times.alias("_c")).na.drop()
     widest = (
         rows.groupBy("_by").agg(F.approx_count_distinct("_v").alias("d")).agg(F.max("d")).first()[0] or 0
     )
     if widest <= buffer_values:
-        counts = rows.groupBy("_by", "_v").agg(F.count("*").alias("_n"))
+        counts = rows.groupBy("_by", "_v").agg(F.sum("_c").alias("_n"))
         packed = counts.groupBy("_by").agg(
             F.sum("_n").alias("n"), F.percentile("_v", F.array(*map(F.lit, probs)), F.col("_n")).alias("q")
         )
@@ -214,7 +216,7 @@ def grouped_quantiles(
             F.col("_by").cast(kind).alias(by), "n", *[F.col("q")[j].alias(f"q{j}") for j in range(len(probs))]
         )
     ranked = _running_counts(rows)
-    totals = ranked.groupBy("_by").agg(F.max("_upto").alias("n"))
+    totals = staged(ranked.groupBy("_by").agg(F.max("_upto").alias("n")))  # written: the join can split a hot group
     placed = ranked.join(totals, "_by")
     picks = []
     for j, p in enumerate(probs):
@@ -239,7 +241,7 @@ def _running_counts(rows: DataFrame) -> DataFrame:
     so a large group spans many partitions; each partition's total gives the next
     one its start.
     """
-    counts = rows.groupBy("_by", "_v").agg(F.count("*").alias("_n"))
+    counts = rows.groupBy("_by", "_v").agg(F.sum("_c").alias("_n"))
     spread = counts.repartitionByRange("_by", "_v").withColumn("_part", F.spark_partition_id())
     spread = staged(spread)
     totals = spread.groupBy("_by", "_part").agg(F.sum("_n").alias("_t"))

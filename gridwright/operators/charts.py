@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwright.constants import BROADCAST_ROWS, HISTOGRAM_BINS
+from gridwright.constants import HISTOGRAM_BINS
 from gridwright.functions.quantiles import grouped_quantiles
 from gridwright.functions.ranks import seeded_sample
 from gridwright.functions.semantics import (
@@ -23,6 +23,7 @@ from gridwright.functions.semantics import (
     require_columns,
     require_numeric,
 )
+from gridwright.functions.storage import staged
 
 # Up to this many columns all pairs fit comfortably into one generated aggregate.
 JVM_COLUMNS = 12
@@ -59,23 +60,22 @@ def box_summary(df: DataFrame, x: str, y: str) -> DataFrame:
     """Per ``x``: rows, quartiles of ``y``, whiskers (furthest values within 1.5 IQR) and outliers."""
     require_columns(df, [x])
     require_numeric(df, [y], "Box")
-    quartiles = grouped_quantiles(df, x, y, [0.25, 0.5, 0.75]).select(
-        column(x).alias("_x"), F.col("n").alias("rows"), F.col("q0").alias("q1"), F.col("q1").alias("median"),
-        F.col("q2").alias("q3"),
+    # Equal values are counted once; quartiles and whiskers both follow from the counts.
+    counts = staged(
+        df.select(known(df, x).alias("_x"), number(df, y).alias("_y")).na.drop().groupBy("_x", "_y").agg(F.count("*").alias("_n"))
     )
-    groups = df.agg(F.approx_count_distinct(known(df, x))).first()[0]
-    if groups <= BROADCAST_ROWS:
-        quartiles = F.broadcast(quartiles)
-    values = df.select(known(df, x).alias("_x"), number(df, y).alias("_y")).na.drop()
+    quartiles = staged(grouped_quantiles(counts, "_x", "_y", [0.25, 0.5, 0.75], count="_n").select(
+        "_x", F.col("n").alias("rows"), F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3")
+    ))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col("_y").between(F.col("q1") - reach, F.col("q3") + reach)
     return (
-        values.join(quartiles, "_x")
+        counts.join(quartiles, "_x")
         .groupBy(F.col("_x").alias(x), "rows", "q1", "median", "q3")
         .agg(
             F.min(F.when(inside, F.col("_y"))).alias("whisker_low"),
             F.max(F.when(inside, F.col("_y"))).alias("whisker_high"),
-            F.count_if(~inside).alias("outliers"),
+            F.sum(F.when(inside, 0).otherwise(F.col("_n"))).alias("outliers"),
         )
     )
 

@@ -870,7 +870,10 @@ def knn_weighted_mean(spark, folder):
 def line_features(spark: SparkSession, folder: str) -> DataFrame:
     """Rows with a price, to be predicted from quantity, discount, tax and return flag."""
     df = fx.lineitem(spark, folder).where(F.col("price").isNotNull())
-    return df.select("price", "l_quantity", "l_discount", "l_tax", "l_returnflag")
+    return df.select("l_orderkey", "l_linenumber", "price", "l_quantity", "l_discount", "l_tax", "l_returnflag")
+
+
+LINE_KEY = ["l_orderkey", "l_linenumber"]
 
 
 def order_features(spark: SparkSession, folder: str) -> DataFrame:
@@ -931,13 +934,14 @@ def train_logistic(spark, folder):
 
 @query("train_random_forest")
 def train_random_forest(spark, folder):
-    params = {"n_estimators": 20, "max_depth": 6, "min_samples_leaf": 2}
+    params = {"n_estimators": 120, "max_depth": 12, "min_samples_leaf": 2}
     return scores(spark, models.train_with_baseline(order_features(spark, folder), "o_orderstatus", "Random Forest", params, key=["o_orderkey"]))
 
 
 @query("train_decision_tree")
 def train_decision_tree(spark, folder):
-    return scores(spark, models.train_with_baseline(line_features(spark, folder), "price", "Decision Tree", {"max_depth": 6}))
+    df = line_features(spark, folder)
+    return scores(spark, models.train_with_baseline(df, "price", "Decision Tree", {"max_depth": 10}, key=LINE_KEY))
 
 
 @query("train_knn")
@@ -949,23 +953,18 @@ def train_knn(spark, folder):
 @query("compare_models_reg")
 def compare_models_reg(spark, folder):
     df = fx.table(spark, folder, "part").select("p_retailprice", "p_size", "p_type", "p_brand")
-    candidates = models.candidate_models(REGRESSION)
-    candidates["Random Forest"] = {"n_estimators": 10, "max_depth": 8}
-    return models.compare_models(df, "p_retailprice", candidates=candidates)
+    return models.compare_models(df, "p_retailprice", order_by=["p_brand", "p_type", "p_size", "p_retailprice"])
 
 
 @query("compare_models_class")
 def compare_models_class(spark, folder):
     df = labelled_documents(spark, folder)
-    candidates = models.candidate_models(CLASSIFICATION)
-    candidates["Random Forest"] = {"n_estimators": 10, "max_depth": 8}
-    candidates["Decision Tree"] = {"max_depth": 8}
-    return models.compare_models(df, "quality", order_by=["doc_id"], candidates=candidates)
+    return models.compare_models(df, "quality", order_by=["doc_id"])
 
 
 @query("feature_importance")
 def feature_importance(spark, folder):
-    model = models.train_with_baseline(line_features(spark, folder), "price", "Random Forest", {"n_estimators": 10, "max_depth": 5})
+    model = models.train_with_baseline(line_features(spark, folder), "price", "Random Forest", {"n_estimators": 10, "max_depth": 5}, key=LINE_KEY)
     return spark.createDataFrame(model.importance()[:20], "feature string, importance double")
 
 
