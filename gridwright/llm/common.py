@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -68,3 +70,29 @@ def lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     np.cumsum([len(p) for p in parts], out=offsets[1:])
     flat = np.concatenate(parts) if parts else np.empty(0)
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, kind))
+
+
+def values(column: pa.Array, rows: int = 256) -> Iterator:
+    """The values of a column one by one; only a few of them are Python objects at a time."""
+    for i in range(0, len(column), rows):
+        yield from column.slice(i, rows).to_pylist()
+    pa.default_memory_pool().release_unused()
+
+
+def mapped(column: pa.Array, function: Callable, kind: pa.DataType, rows: int = 256) -> pa.Array:
+    """``function`` of each value, as a column; made in parts, so that few values at a time are Python objects."""
+    parts = [
+        pa.array([function(v) for v in column.slice(i, rows).to_pylist()], kind) for i in range(0, len(column), rows)
+    ]
+    found = pa.concat_arrays(parts) if parts else pa.array([], kind)
+    del parts
+    pa.default_memory_pool().release_unused()
+    return found
+
+
+def small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that few texts at a time become Python strings."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+        pa.default_memory_pool().release_unused()
