@@ -4,8 +4,9 @@ Each different text is a weighted set of five-word shingles. Improved consistent
 for each of a fixed number of hash functions, one shingle and its quantised weight, such that two texts
 draw alike with the probability of their weighted Jaccard similarity. Draws are grouped to bands; texts
 that agree in a band meet in its bucket. A bucket does not emit its pairs: each text is matched with the
-best of a few leaders, links are verified on the whole texts, and only texts of a bucket that are still
-unconnected afterwards are matched with one another. Linked texts form classes.
+best of a few leaders, and links are verified on the whole texts. Then each text is matched with those of its
+buckets that it is not connected with and agrees with most, round by round, until a round finds no new link.
+Linked texts form classes.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridwright.functions.storage import staged
-from gridwright.llm.common import lists, mixed, quoted, spare, text_key, text_of, window_hashes, word_hashes
+from gridwright.llm.common import lists, mixed, quoted, small, spare, text_key, text_of, window_hashes, word_hashes
 from gridwright.llm.components import components
 
 SHINGLE = 5
@@ -26,12 +27,14 @@ SIMILARITY = 0.8
 #: 12 bands of 3 draws find 99.98 % of the pairs of similarity 0.8, and more above.
 BANDS, ROWS = 12, 3
 DRAWS = BANDS * ROWS
-#: Equal draws that a pair needs to be looked at: one of similarity 0.8 has fewer with a chance below 1e-6.
-AGREE = 16
+#: Equal draws that a pair needs to be compared: one of similarity 0.8 has fewer with a chance of 2e-4.
+AGREE = 20
 #: Equal draws from which a text is not made a leader of its bucket itself.
 CLOSE = 29
-#: Texts of a bucket that are matched in one task; larger buckets are dealt to several.
-BUCKET = 20_000
+#: Texts of a bucket that are matched in one task; larger buckets are dealt to several, each round otherwise.
+BUCKET = 5_000
+#: Unconnected texts of its bucket that a text is compared with in one round: those that agree most.
+NEAREST = 2
 #: Texts that are compared with one leader in one task.
 COMPARED = 2_000
 #: Document frequencies are counted in this many buckets of shingles, whatever the corpus.
@@ -39,7 +42,7 @@ DF_BUCKETS = 1 << 16
 #: What a shingle weighs: 1 + IDF_SHARE * log10(N / df). Small, so that a group of near copies which is a
 #: third of the corpus is still held together by its common shingles.
 IDF_SHARE = 0.1
-DRAW_ROWS = 1 << 16
+DRAW_ROWS = 1 << 15
 
 _TABLES: list[np.ndarray] = []
 
@@ -57,14 +60,16 @@ def weights(h: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 def _tables() -> list[np.ndarray]:
     """r, 1 / r, ln c and beta of each draw for each of ``DRAW_ROWS`` remainders of a shingle's hash."""
     if not _TABLES:
-        size = DRAW_ROWS * DRAWS
-        u = [
-            (mixed(np.arange(size, dtype=np.uint64) * np.uint64(5) + np.uint64(i + 1)) >> np.uint64(11)).astype(np.float64)
-            * 2.0**-53 + 2.0**-54
-            for i in range(5)
-        ]
-        r, c = -np.log(u[0] * u[1]), -np.log(u[2] * u[3])
-        _TABLES.extend(x.reshape(DRAW_ROWS, DRAWS).astype(np.float32) for x in (r, 1 / r, np.log(c), u[4]))
+        _TABLES.extend(np.empty((DRAW_ROWS, DRAWS), np.float32) for _ in range(4))
+        for d in range(DRAWS):
+            at = np.arange(DRAW_ROWS, dtype=np.uint64) * np.uint64(DRAWS) + np.uint64(d)
+            u = [
+                (mixed(at * np.uint64(5) + np.uint64(i + 1)) >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
+                for i in range(5)
+            ]
+            r, c = -np.log(u[0] * u[1]), -np.log(u[2] * u[3])
+            for table, column in zip(_TABLES, (r, 1 / r, np.log(c), u[4])):
+                table[:, d] = column
     return _TABLES
 
 
@@ -102,7 +107,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per task one row: in how many texts each bucket of shingles occurs, and the number of texts."""
     total, n = np.zeros(DF_BUCKETS, np.int64), 0
-    for batch in batches:
+    for batch in small(batches):
         for text in batch.column("t").to_pylist():
             h, _ = counted_shingles(text)
             if len(h):
@@ -126,7 +131,7 @@ def inverse_frequencies(texts: DataFrame) -> np.ndarray:
 
 def _sketcher(idf):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             found = []
             for text in batch.column("t").to_pylist():
                 h, counts = counted_shingles(text)
@@ -159,6 +164,10 @@ def _by_group(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa
         yield pa.Table.from_batches(rest)
 
 
+def _draws(column: pa.ChunkedArray) -> np.ndarray:
+    return np.concatenate([c.flatten().to_numpy() for c in column.chunks]).reshape(-1, DRAWS)
+
+
 PAIR = pa.struct([("a", pa.binary()), ("b", pa.binary())])
 
 
@@ -172,7 +181,7 @@ def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows: list[dict] = []
     for group in _by_group(batches, ["bucket", "part"]):
         keys = group["k"].to_pylist()
-        draws = np.array(group["s"].to_pylist(), np.int32)
+        draws = _draws(group["s"])
         leaders = np.zeros(len(keys), np.int64)
         count = 0
         for i in range(len(keys)):
@@ -198,23 +207,24 @@ LED = pa.struct([("a", pa.binary()), ("b", pa.binary()), ("bucket", pa.int64())]
 
 
 def _bridge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per bucket: the pairs of different components that agree enough."""
+    """Per bucket: each text with those of other components that it agrees with most."""
     rows: list[dict] = []
     for group in _by_group(batches, ["bucket", "part"]):
         roots = group["root"].to_pylist()
-        if len(set(roots)) < 2:
+        number = {r: i for i, r in enumerate(dict.fromkeys(roots))}
+        if len(number) < 2:
             continue
         keys = group["k"].to_pylist()
-        number = {r: i for i, r in enumerate(dict.fromkeys(roots))}
         own = np.array([number[r] for r in roots])
-        draws = np.array(group["s"].to_pylist(), np.int32)
-        for i in range(1, len(keys)):
-            equal = (draws[:i] == draws[i]).sum(axis=1)
-            for j in np.flatnonzero((equal >= AGREE) & (own[:i] != own[i])).tolist():
-                rows.append({"a": keys[i], "b": keys[j]})
-            if len(rows) >= 10_000:
-                yield from _emit(rows, PAIR)
-                rows = []
+        draws = _draws(group["s"])
+        for i in range(len(keys)):
+            equal = (draws == draws[i]).sum(axis=1)
+            equal[own == own[i]] = 0
+            near = np.argsort(-equal, kind="stable")[:NEAREST] if len(keys) > NEAREST else np.arange(len(keys))
+            rows += [{"a": keys[i], "b": keys[j]} for j in near.tolist() if equal[j] >= AGREE]
+        if len(rows) >= 10_000:
+            yield from _emit(rows, PAIR)
+            rows = []
     yield from _emit(rows, PAIR)
 
 
@@ -233,7 +243,7 @@ def _verifier(idf, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by leader and part, the leader's own text first."""
         lead, head, rows = None, None, []
-        for batch in batches:
+        for batch in small(batches):
             for b, part, role, k, text in zip(*(batch.column(c).to_pylist() for c in ("b", "part", "role", "k", "t"))):
                 h, counts = counted_shingles(text)
                 own = h, weights(h, counts, idf.value)
@@ -260,7 +270,8 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, least: float) -> DataFrame
     heads = sizes.select(
         F.col("b").alias("k"), "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role")
     )
-    dealt = members.unionAll(heads).join(texts, "k").select("b", "part", "role", "k", "t")
+    # One join strategy at every size: sorted on both sides.
+    dealt = members.unionAll(heads).hint("merge").join(texts, "k").select("b", "part", "role", "k", "t")
     return (
         dealt.repartition("b", "part").sortWithinPartitions("b", "part", "role")
         .mapInArrow(_verifier(idf, least), "a binary, b binary")
@@ -299,23 +310,31 @@ def classes(df: DataFrame, text: str = "text", least: float = SIMILARITY) -> Dat
     across = ordered(again).select(*columns).mapInArrow(_lead, kind)
     ordered_pair = lambda d: d.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     pairs = staged(ordered_pair(led.unionAll(across).where("b IS NOT NULL").select("a", "b")))
-    wanted = dealt.select("k").distinct()
-    held = staged(texts.join(wanted, "k").mapInArrow(one_of_each, "k binary, t string"))
+    wanted = staged(dealt.select("k").distinct())
+    held = staged(texts.join(wanted.hint("merge"), "k").mapInArrow(one_of_each, "k binary, t string"))
     links = staged(verified(pairs, held, idf, least))
     rooted = staged(components(links))
-    # Texts of a bucket in different components: every pair that agrees enough and was not compared.
-    apart = dealt.join(rooted.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
-    several = apart.groupBy("bucket", "part").agg((F.min("root") != F.max("root")).alias("more")).where("more")
-    mixed_buckets = apart.join(staged(several.select("bucket", "part")), ["bucket", "part"])
-    bridges = (
-        mixed_buckets.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "k")
-        .select("bucket", "part", "k", "s", "root").mapInArrow(_bridge, "a binary, b binary")
-    )
-    left = staged(ordered_pair(bridges).join(pairs, ["a", "b"], "left_anti"))
-    more = staged(verified(left, held, idf, least))
-    if more.isEmpty():
-        return rooted.select(F.col("node").alias("k"), "root")
-    return components(links.unionAll(more)).select(F.col("node").alias("k"), "root")
+    done, turn = pairs, 0
+    while True:
+        turn += 1
+        apart = dealt.join(rooted.withColumnRenamed("node", "k"), "k", "left").select(
+            "bucket", F.pmod(F.xxhash64("k", F.lit(turn)), F.col("parts")).cast("int").alias("part"), "k", "s",
+            F.coalesce("root", "k").alias("root"),
+        )
+        apart = staged(apart)
+        several = apart.groupBy("bucket", "part").agg((F.min("root") != F.max("root")).alias("more")).where("more")
+        open_buckets = apart.join(staged(several.select("bucket", "part")), ["bucket", "part"])
+        bridges = (
+            open_buckets.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "k")
+            .select("bucket", "part", "k", "s", "root").mapInArrow(_bridge, "a binary, b binary")
+        )
+        untried = staged(ordered_pair(bridges).join(done, ["a", "b"], "left_anti"))
+        more = staged(verified(untried, held, idf, least))
+        if more.isEmpty():
+            return rooted.select(F.col("node").alias("k"), "root")
+        done = done.unionAll(untried)
+        stars = rooted.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        rooted = staged(components(stars.unionAll(more)))  # from what is known, so few rounds are left
 
 
 def _labels(df: DataFrame, key: str, text: str, least: float) -> DataFrame:
@@ -338,7 +357,8 @@ def label(df: DataFrame, key: str = "doc_id", text: str = "text", least: float =
     """
     rows = df.drop(*[c for c in df.columns if c.lower() in ("class_id", "class_size")])
     k = spare(rows, "key_of_text")
-    found = _labels(rows, key, text, least).select(F.col("k").alias(k), "class_id", "class_size")
+    # Written, so that the join can split a text of very many rows.
+    found = staged(_labels(rows, key, text, least).select(F.col("k").alias(k), "class_id", "class_size"))
     return rows.withColumn(k, text_key(text_of(text))).join(found, k).drop(k)
 
 
