@@ -11,6 +11,9 @@ from __future__ import annotations
 
 import base64
 import bisect
+import functools
+import hashlib
+import json
 import os
 import sys
 import zlib
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridwright.functions.storage import staged
-from gridwright.llm.common import quoted, text_of
+from gridwright.llm.common import quoted, text_of, values
 
 CAPACITY = 2048
 #: Pieces that are packed together.
@@ -36,7 +39,11 @@ FILLINGS, NODES = 16, 2_000
 REOPENED = 40
 MAIN, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
+#: Texts whose pieces a process remembers, by digest, in case copies follow.
+REMEMBERED = 30_000
+
 _CODERS: dict = {}
+_SEEN: dict[tuple, dict[bytes, list]] = {}
 
 
 def encoder(main_path: str, ranks_path: str | None = None):
@@ -48,16 +55,21 @@ def encoder(main_path: str, ranks_path: str | None = None):
     """
     if (main_path, ranks_path) not in _CODERS:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
 
-        main = Tokenizer.from_file(main_path)
-        special = [t.content for t in main.get_added_tokens_decoder().values()]
-        slow = lambda text: main.encode(text, add_special_tokens=False).ids
+        @functools.cache
+        def tokenizer():  # read when first needed
+            from tokenizers import Tokenizer
+
+            return Tokenizer.from_file(main_path)
+
+        slow = lambda text: tokenizer().encode(text, add_special_tokens=False).ids
         code = slow
         if ranks_path:
             import public_tokenizers
             import tiktoken
 
+            with open(main_path, encoding="utf-8") as file:
+                special = [t["content"] for t in json.load(file)["added_tokens"]]
             with open(ranks_path, "rb") as file:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
             fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -230,7 +242,12 @@ def pieces(df: DataFrame, code, key: str = "doc_id", text: str = "text", capacit
     @F.arrow_udf("array<struct<piece:int,start:long,length:long,ids_crc32:long>>")
     def cut_up(texts: pa.Array) -> pa.Array:
         tokens, rows = code(), []
-        for value in texts.to_pylist():
+        seen = _SEEN.setdefault((tokens, capacity, end), {})
+        for value in values(texts):
+            mark = hashlib.blake2b(value.encode(), digest_size=16).digest()
+            if mark in seen:  # a copy of a text that this process has cut up
+                rows.append(seen[mark])
+                continue
             ids = array("I", tokens(value))
             ids.append(end)
             if sys.byteorder == "big":
@@ -240,6 +257,9 @@ def pieces(df: DataFrame, code, key: str = "doc_id", text: str = "text", capacit
                 {"piece": i, "start": s, "length": n, "ids_crc32": zlib.crc32(raw[s : s + n])}
                 for i, (s, n) in enumerate(cut(len(ids), capacity))
             ])
+            if len(seen) >= REMEMBERED:
+                seen.clear()
+            seen[mark] = rows[-1]
         kind = pa.list_(pa.struct([("piece", pa.int32())] + [(n, pa.int64()) for n in ("start", "length", "ids_crc32")]))
         return pa.array(rows, kind)
 
