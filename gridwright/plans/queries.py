@@ -952,8 +952,8 @@ def train_knn(spark, folder):
 
 @query("compare_models_reg")
 def compare_models_reg(spark, folder):
-    df = fx.table(spark, folder, "part").select("p_retailprice", "p_size", "p_type", "p_brand")
-    return models.compare_models(df, "p_retailprice", order_by=["p_brand", "p_type", "p_size", "p_retailprice"])
+    df = fx.table(spark, folder, "part").select("p_partkey", "p_retailprice", "p_size", "p_type", "p_brand")
+    return models.compare_models(df, "p_retailprice", order_by=["p_partkey"])
 
 
 @query("compare_models_class")
