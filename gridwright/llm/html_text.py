@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwright.llm.common import spare, text_of
+from gridwright.llm.common import mapped, spare, text_of
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(>|\Z)",
@@ -40,8 +40,12 @@ CUT_NAMES = set(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion promoted banner sidebar nav navbar "
     "navigation menu breadcrumb breadcrumbs footer comment comments disqus reply replies cookie cookies consent gdpr notice "
     "notices popup modal overlay newsletter subscribe subscription signup share sharing social related recommended "
-    "recommendations widget widgets toolbar pagination pager login masthead copyright disclaimer skip".split()
+    "recommendations widget widgets toolbar pagination pager login masthead copyright disclaimer skip respond responses "
+    "discussion alert alerts notification notifications announcement toast".split()
 )
+#: A word before a name above that turns it into a remark on the layout; words that make a header part of the article.
+LAYOUT = {"no", "has", "with", "without", "hide", "is"}
+CONTENT = {"article", "post", "entry", "content", "story"}
 HEAD_PARTS = {"meta", "title", "style", "script", "link", "base", "noscript", "template", "head", "html"}
 WHOLE = {"article", "main"}
 NO_CUT = {"html", "body", "article", "main"}
@@ -76,8 +80,12 @@ def _unwanted(tag: str, rest: str, inside: bool) -> bool:
             return True
         if name == "role" and value.lower() in CUT_ROLES:
             return True
-        if name in ("class", "id") and any(w.lower() in CUT_NAMES for w in NAME.findall(value)):
-            return True
+        if name in ("class", "id"):
+            words = [w.lower() for w in NAME.findall(value)]
+            if any(w in CUT_NAMES and before not in LAYOUT for before, w in zip(["", *words], words)):
+                return True
+            if "header" in words and not inside and not CONTENT.intersection(words):
+                return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
             return True
     return False
@@ -278,7 +286,7 @@ def extract(df: DataFrame, page: str = "html", into: str = "text") -> DataFrame:
 
     @F.arrow_udf("string")
     def texts(pages: pa.Array) -> pa.Array:
-        return pa.array([main_text(p) for p in pages.to_pylist()], pa.string())
+        return mapped(pages, main_text, pa.string())
 
     held = spare(df, "page_text")
     found = df.withColumn(held, texts(text_of(page)))

@@ -76,6 +76,7 @@ PAGES = {
     "<article><h1>H</h1><p>cut of": "H\ncut of", "<article><p>whole</p><p cla": "whole", "": "", "<html></html>": "", "plain text": "plain text",
     "<article><table><tr><td>a</td><td>b</td></tr><tr><td>c</td></tr></table><pre> k \n l </pre><blockquote>q</blockquote></article>": "a b\nc\nk l\nq",
     "<article><p>keep</p><div class=ad>buy</div><p role='alert'>no</p><span class='share'>tweet</span>tail</article>": "keep\ntail",
+    "<body class='has-sidebar'><div class='page no-sidebar'><div class='site-header'>Site</div><div class='article-header'><h1>T</h1></div><p>Body text.</p><section id=respond><p>Reply</p></section></div></body>": "T\nBody text.",
     "<body><div class=menu><a href=1>a</a></div><p><a href=2>Only a link</a></p></body>": "Only a link",
 }
 
