@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwright.llm.common import quoted, spare, text_of
+from gridwright.llm.common import mapped, quoted, spare, text_of
 
 WORD = re.compile(r"\w+")
 #: Words of an index entry at most; a passage has twice as many, and starts as many words after the last.
@@ -211,7 +211,7 @@ def _finder(index, kind: str):
     @F.arrow_udf(f"array<{kind}>")
     def find(texts: pa.Array) -> pa.Array:
         names = index.value.names
-        return pa.array([[names[i] for i in held_items(index.value, t)] for t in texts.to_pylist()], arrow)
+        return mapped(texts, lambda t: [names[i] for i in held_items(index.value, t)], arrow)
 
     return find
 

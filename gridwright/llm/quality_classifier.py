@@ -8,6 +8,7 @@ probability that the label is 1. Fitting uses a bounded sample; scoring is one p
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -16,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwright.llm.common import quoted, spare, text_of
+from gridwright.llm.common import quoted, spare, text_of, values
 
 BLOCK_BYTES = 2048
 DICTIONARY_BYTES = 112 * 1024
@@ -53,11 +54,11 @@ class CompressionClassifier:
     weights: list[float] = field(default_factory=lambda: [0.0, 0.0, 0.0])
     share: float = 0.5  # of label 1: the score of an empty text
 
-    def features(self, texts: list[str]) -> np.ndarray:
+    def features(self, texts: Sequence[str]) -> np.ndarray:
         """For each text: 1, the normalised size difference, the normalised size itself."""
         good, bad = compressor(self.good), compressor(self.bad)
         rows = np.zeros((len(texts), 3))
-        for i, text in enumerate(texts):
+        for i, text in enumerate(values(texts) if isinstance(texts, pa.Array) else texts):
             raw = text.encode("utf-8", "surrogatepass")
             blocks = [raw[k : k + BLOCK_BYTES] for k in range(0, len(raw), BLOCK_BYTES)]
             a = sum(len(good.compress(b)) for b in blocks)
@@ -66,7 +67,7 @@ class CompressionClassifier:
             rows[i] = 1.0, (b - a) / n, min(a, b) / n
         return rows
 
-    def probabilities(self, texts: list[str]) -> np.ndarray:
+    def probabilities(self, texts: Sequence[str]) -> np.ndarray:
         x = self.features(texts)
         found = 1.0 / (1.0 + np.exp(-np.clip(x @ np.asarray(self.weights), -40, 40)))
         return np.where(x[:, 2] > 0, found, self.share)
@@ -136,7 +137,7 @@ def score(df: DataFrame, model: CompressionClassifier, text: str = "text", into:
 
     @F.arrow_udf("double")
     def probability(texts: pa.Array) -> pa.Array:
-        return pa.array(held.value.probabilities(texts.to_pylist()), pa.float64())
+        return pa.array(held.value.probabilities(texts), pa.float64())
 
     return df.withColumn(into, probability(text_of(text)))
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwright.llm.common import quoted, spare, text_of
+from gridwright.llm.common import mapped, quoted, spare, text_of
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(
@@ -150,13 +150,13 @@ def scan(df: DataFrame, text: str = "text", least_cost: float = LEAST_COST) -> D
 
     @F.arrow_udf(kinds)
     def found(texts: pa.Array) -> pa.Array:
-        rows = []
-        for value in texts.to_pylist():
+        def row(value: str) -> dict:
             spans = secret_spans(value, least_cost)
             base = listed([s for s in spans if s[2] != "guess"])
             counts = {f"n_{k}": sum(s[2] == k for s in spans) for k in KINDS}
-            rows.append(counts | {"base_sha256": hashlib.sha256(base.encode()).hexdigest(), "spans": listed(spans)})
-        return pa.array(rows, RESULT)
+            return counts | {"base_sha256": hashlib.sha256(base.encode()).hexdigest(), "spans": listed(spans)}
+
+        return mapped(texts, row, RESULT)
 
     name = spare(df, "found_secrets")
     with_found = df.withColumn(name, found(text_of(text)))
@@ -178,6 +178,6 @@ def mask(df: DataFrame, text: str = "text", mark: str = "[secret]", least_cost:
 
     @F.arrow_udf("string")
     def clean(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else masked(t, mark, least_cost) for t in texts.to_pylist()], pa.string())
+        return mapped(texts, lambda t: None if t is None else masked(t, mark, least_cost), pa.string())
 
     return df.withColumn(text, clean(quoted(text)))
