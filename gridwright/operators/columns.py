@@ -47,11 +47,11 @@ def rename_column(df: DataFrame, old: str, new: str) -> DataFrame:
     """Rename one column; the new name is stripped and must be free."""
     new = new.strip()
     if old not in df.columns:
-        raise ValueError("Old column not found.")
+        raise ValueError("There is no column to rename: it is gone.")
     if not new:
-        raise ValueError("New name cannot be empty.")
+        raise ValueError("A column needs a name that is not empty.")
     if new != old and new.lower() in {c.lower() for c in df.columns if c != old}:
-        raise ValueError("New name already exists.")
+        raise ValueError("A column of that name exists.")
     return df.select(*[column(c).alias(new if c == old else c) for c in df.columns])
 
 
@@ -75,7 +75,7 @@ def features_and_label(df: DataFrame, target: str) -> list[str]:
     require_target(df, target)
     features = [c for c in df.columns if c != target]
     if not features:
-        raise ValueError("No features found.")
+        raise ValueError("No features are left beside the label.")
     if not df.where(missing(df, target)).isEmpty():
-        raise ValueError("Target contains missing values. Fill or drop missing target rows first.")
+        raise ValueError("The label has missing values; fill them or drop their rows.")
     return features

@@ -45,13 +45,13 @@ class Fill:
 def _resolve(df: DataFrame, name: str, strategy: str) -> str:
     kind = dtype(df, name)
     if strategy not in STRATEGIES:
-        raise ValueError("Unknown strategy.")
+        raise ValueError(f"No such way to fill: {strategy}.")
     if strategy == AUTO:
         return "Median" if is_numeric(kind) else "Mode"
     if strategy in ("Mean", "Median") and not is_numeric(kind):
-        raise ValueError(f"{strategy} requires numeric column.")
+        raise ValueError(f"{strategy} fills numeric columns only.")
     if strategy == "Unknown" and not is_text(kind):
-        raise ValueError("Unknown is for categorical columns.")
+        raise ValueError("The text Unknown fills categorical columns only.")
     if strategy == "Zero" and not (is_numeric(kind) or is_text(kind) or isinstance(kind, T.BooleanType)):
         raise ValueError(f"Zero cannot fill a column of type {kind.simpleString()}.")
     return strategy

@@ -281,7 +281,7 @@ def train_with_baseline(
     params = dict(params or {})
     features = [f for f in features_and_label(df, target) if f not in set(key)]
     if not features:
-        raise ValueError("No features found.")
+        raise ValueError("No features are left beside the label.")
     task = task or detect_task(df, target)
     if not key:
         df, key = with_row_index(df, name="_row_key"), ["_row_key"]
@@ -339,11 +339,11 @@ def compare_models(
             df.groupBy(known(df, target)).agg(F.count("*").alias("n")).agg(F.sum("n"), F.min("n")).first()
         )
         if smallest < 2:
-            raise ValueError("Need at least 2 rows in each target class to compare models.")
+            raise ValueError("A comparison takes 2 rows or more in each target class.")
     else:
         rows = smallest = df.count()
         if rows < 2:
-            raise ValueError("Need at least 2 rows to compare models.")
+            raise ValueError("A comparison takes 2 rows or more.")
     folds = min(FOLDS, smallest, rows)
     candidates = candidate_models(task) if candidates is None else candidates
     classes = label_classes(df, target) if task == CLASSIFICATION else None
@@ -399,7 +399,7 @@ def compare_models(
     rows = [(n, [float(v) for v in s]) for n, s in scores.items() if n not in failures]
     if not rows:
         name, problem = next(iter(failures.items()), ("", "no candidate"))
-        raise ValueError(f"Model comparison failed. {name}: {problem}")
+        raise ValueError(f"The comparison failed for every candidate; {name}: {problem}")
     table = df.sparkSession.createDataFrame(rows, "Model string, scores array<double>")
     return (
         table.select("Model", F.explode("scores").alias("s")).groupBy("Model")

@@ -82,7 +82,7 @@ def outlier_counts(df: DataFrame, names: Sequence[str], factor: float = DEFAULT_
     """Per column: known values, how many would be clipped and how many kept."""
     bounds = fit_bounds(df, names, factor)
     if not bounds:
-        raise ValueError("No numeric values to evaluate.")
+        raise ValueError("No numeric values are known here.")
     slots = {f"c{i}": n for i, n in enumerate(bounds)}
     pairs = [
         F.struct(
@@ -102,7 +102,7 @@ def outlier_labels(
     """Key, value and ``Will clip`` or ``Keep`` for a chart: a seeded sample, in key order."""
     bounds = fit_bounds(df, [name], factor)
     if name not in bounds:
-        raise ValueError("No numeric values to evaluate.")
+        raise ValueError("No numeric values are known here.")
     status = F.when(outside(df, name, bounds[name]), "Will clip").otherwise("Keep")
     points = df.where(~missing(df, name)).select(
         *[column(c) for c in key], number(df, name).alias("value"), status.alias("status")
@@ -115,9 +115,9 @@ def presence_flag(df: DataFrame, source: str, new: str | None = None) -> DataFra
     require_columns(df, [source])
     new = f"Has{source.replace(' ', '')}" if new is None else new.strip()
     if not new:
-        raise ValueError("New column name cannot be empty.")
+        raise ValueError("A flag needs a name that is not empty.")
     if new.lower() in {c.lower() for c in df.columns}:
-        raise ValueError("New column already exists.")
+        raise ValueError("A column of that name exists.")
     present = ~missing(df, source)
     if is_text(dtype(df, source)):
         present = present & column(source).rlike(NON_BLANK)

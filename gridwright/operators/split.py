@@ -54,7 +54,7 @@ def plan_split(df: DataFrame, label: str, fraction: float, task: str, strict: bo
         raise ValueError(f"Unknown task type: {task}")
     fraction = float(fraction)
     if not 0.0 < fraction < 1.0:
-        raise ValueError("test_size must be between 0 and 1.")
+        raise ValueError("The test share lies above 0 and below 1.")
     rows, smallest, classes, unlabelled = (
         _class_sizes(df, label if task == CLASSIFICATION else None)
         .agg(
@@ -64,13 +64,13 @@ def plan_split(df: DataFrame, label: str, fraction: float, task: str, strict: bo
         .first()
     )
     if unlabelled:
-        raise ValueError("Target contains missing values. Fill or drop missing target rows first.")
+        raise ValueError("The label has missing values; fill them or drop their rows.")
     if rows < (4 if strict else 2):
-        raise ValueError("Need at least 4 rows to train and evaluate a model.")
+        raise ValueError("Fewer than 4 rows are too few for training and testing.")
     stratified = task == CLASSIFICATION
     if stratified and smallest < 2:
         if strict:
-            raise ValueError("Need at least 2 rows in each target class to train/test split.")
+            raise ValueError("A split by class takes 2 rows or more in each target class.")
         stratified = False
     test = math.ceil(fraction * rows)
     train = rows - test

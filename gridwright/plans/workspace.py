@@ -88,7 +88,7 @@ class Workspace:
 
     def _need(self) -> DataFrame:
         if self.current is None:
-            raise ValueError("Dataset is empty.")
+            raise ValueError("The workspace is empty.")
         return self.current
 
     def undo(self, label: str = "Undo") -> bool:
@@ -102,7 +102,7 @@ class Workspace:
     def reset(self) -> bool:
         """Back to the raw table, as a step that can be undone."""
         if self.raw is None:
-            raise ValueError("Dataset is empty.")
+            raise ValueError("The workspace is empty.")
         return self._install(self.raw, "Reset to original upload")
 
     def reset_workspace(self) -> None:
@@ -128,7 +128,7 @@ class Workspace:
             try:
                 self._set(checked(self.raw, "Raw recovery"))
             except ValueError:
-                raise ValueError(f"Dataset state is invalid and could not be recovered: {problem}") from problem
+                raise ValueError(f"No usable table is left; the workspace could not be recovered: {problem}") from problem
             self.history = []
             self.log("Auto-recover: restored uploaded dataset")
             return False

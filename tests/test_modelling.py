@@ -73,7 +73,7 @@ def test_preview_falls_back_and_explains(spark):
     parts, stratified, reason = split.split_preview(df, "c", 0.25, CLASSIFICATION, ["id"])
     assert not stratified and reason is None and by_class(parts, "split", "Test") == {"Test": 2}
     holes = df.withColumn("c", F.when(F.col("id") > 2, F.col("c")))
-    assert split.split_preview(holes, "c", 0.25, CLASSIFICATION, ["id"])[2].startswith("Target contains")
+    assert split.split_preview(holes, "c", 0.25, CLASSIFICATION, ["id"])[2].startswith("The label has missing values")
 
 
 def test_class_counts_are_zero_filled(spark):
