@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridwright.functions.storage import staged
-from gridwright.llm.common import lists, mixed, quoted, signed, spare, text_key, text_of
+from gridwright.llm.common import lists, mixed, quoted, signed, small, spare, text_key, text_of
 
 WINDOW = 400
 #: Bytes whose hash makes an anchor.
@@ -116,11 +116,11 @@ def two_stage_order(codes: np.ndarray, depth: int) -> np.ndarray:
     step[:-1] = np.sign(codes[:-1].astype(np.int16) - codes[1:].astype(np.int16))
     step[-1] = 1
     known = np.flatnonzero(step)
-    larger = step[known[np.searchsorted(known, np.arange(n))]] > 0
+    larger = np.repeat(step[known] > 0, np.diff(known, prepend=-1))
     padded = np.concatenate([codes, np.zeros(depth + 16, np.uint8)])
     words = np.ndarray(n + depth, ">u8", padded, strides=(1,)).astype(np.uint64)
-    small = np.flatnonzero(~larger)
-    order = small[np.argsort(words[small], kind="stable")]
+    lesser = np.flatnonzero(~larger)
+    order = lesser[np.argsort(words[lesser])]
     key = words[order]
     fresh = np.ones(len(order), bool)  # differs from the one before
     fresh[1:] = key[1:] != key[:-1]
@@ -234,7 +234,7 @@ def pieces(part: bytes, h: int, window: int = WINDOW, count: int = HOT_PIECES) -
 
 
 def _document_snippets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         found = [snippets(t.encode()) for t in batch.column("t").to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [batch.column("k"), *(lists([signed(f[i]) for f in found], pa.int64()) for i in (0, 1)),
@@ -259,7 +259,7 @@ CUT = pa.struct([("g", pa.int64()), ("h", pa.int64()), ("d", pa.int64()), ("skip
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The wanted snippets of each text; those of a hot anchor in pieces."""
-    for batch in batches:
+    for batch in small(batches):
         found = []
         for text, listed in zip(batch.column("t").to_pylist(), batch.column("w").to_pylist()):
             raw = text.encode()
@@ -315,7 +315,7 @@ def without(raw: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, bytes]:
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What is left of each text that has repeated windows."""
     kind = pa.struct([("k", pa.binary()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
-    for batch in batches:
+    for batch in small(batches):
         rows = []
         for k, text, listed, more in zip(*(batch.column(c).to_pylist() for c in ("k", "t", "w", "more"))):
             spans = [(w["a"], w["a"] + w["n"] + WINDOW - 1) for w in listed if w["whole"]]
@@ -360,9 +360,9 @@ def repeats(df: DataFrame, text: str = "text") -> DataFrame:
             F.coalesce("hot", F.lit(False)).alias("hot"),
         ).alias("w"),
     )
-    listed = told.groupBy("k").agg(F.collect_list("w").alias("w"))  # a text's own snippets
+    listed = staged(told.groupBy("k").agg(F.collect_list("w").alias("w")))  # a text's own snippets
     held = staged(
-        texts.join(listed, "k").mapInArrow(
+        texts.join(listed.hint("merge"), "k").mapInArrow(
             _one_each,
             "k binary, t string, w array<struct<h:long,d:long,a:int,n:int,whole:boolean,wanted:boolean,hot:boolean>>",
         )
@@ -391,7 +391,8 @@ def remove(df: DataFrame, text: str = "text") -> DataFrame:
     rows = df.drop(*[c for c in df.columns if c.lower() in names])
     key = spare(rows, "key_of_text")
     t = text_of(text)
-    found = repeats(rows, text).select(F.col("k").alias(key), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    # Written, so that the join can split a text of very many rows.
+    found = staged(repeats(rows, text).select(F.col("k").alias(key), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")))
     marked = rows.withColumns({key: text_key(t), "n_bytes": F.octet_length(t).cast("long"), "own_sha256_": F.sha2(t.cast("binary"), 256)})
     order = [quoted(c) for c in rows.columns]
     return marked.join(found, key, "left").select(
