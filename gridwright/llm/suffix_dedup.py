@@ -28,8 +28,8 @@ WINDOW = 400
 GRAM = 32
 #: Texts are hashed in stretches of so many window starts; a bound on memory, without effect on results.
 STRETCH = 1 << 20
-#: Bytes of snippets that are sorted together.
-SORTED_BYTES = 1 << 20
+#: Bytes of snippets from which whole groups are sorted together; small enough for a processor cache.
+SORTED_BYTES = 1 << 16
 #: An anchor with more distinct snippets is split by the bytes that its windows share, piece by piece.
 HOT_SNIPPETS = 4096
 HOT_PIECES = 16
