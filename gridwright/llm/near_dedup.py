@@ -5,8 +5,8 @@ for each of a fixed number of hash functions, one shingle and its quantised weig
 draw alike with the probability of their weighted Jaccard similarity. Draws are grouped to bands; texts
 that agree in a band meet in its bucket. A bucket does not emit its pairs: each text is matched with the
 best of a few leaders, and links are verified on the whole texts. Then each text is matched with those of its
-buckets that it is not connected with and agrees with most, round by round, until a round finds no new link.
-Linked texts form classes.
+buckets that it is not connected with, those that agree most first, round by round, until each pair of a bucket
+that agrees enough is verified or connected. Linked texts form classes.
 """
 
 from __future__ import annotations
@@ -31,9 +31,9 @@ DRAWS = BANDS * ROWS
 AGREE = 20
 #: Equal draws from which a text is not made a leader of its bucket itself.
 CLOSE = 29
-#: Texts of a bucket that are matched in one task; larger buckets are dealt to several, each round otherwise.
+#: Texts of a bucket that are matched in one task; larger buckets are dealt to several.
 BUCKET = 5_000
-#: Unconnected texts of its bucket that a text is compared with in one round: those that agree most.
+#: Unconnected texts of its bucket that a text is compared with in the first round; twice as many in each further.
 NEAREST = 2
 #: Texts that are compared with one leader in one task.
 COMPARED = 2_000
@@ -206,26 +206,45 @@ def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 LED = pa.struct([("a", pa.binary()), ("b", pa.binary()), ("bucket", pa.int64())])
 
 
-def _bridge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per bucket: each text with those of other components that it agrees with most."""
-    rows: list[dict] = []
-    for group in _by_group(batches, ["bucket", "part"]):
-        roots = group["root"].to_pylist()
-        number = {r: i for i, r in enumerate(dict.fromkeys(roots))}
-        if len(number) < 2:
-            continue
-        keys = group["k"].to_pylist()
-        own = np.array([number[r] for r in roots])
-        draws = _draws(group["s"])
-        for i in range(len(keys)):
-            equal = (draws == draws[i]).sum(axis=1)
-            equal[own == own[i]] = 0
-            near = np.argsort(-equal, kind="stable")[:NEAREST] if len(keys) > NEAREST else np.arange(len(keys))
-            rows += [{"a": keys[i], "b": keys[j]} for j in near.tolist() if equal[j] >= AGREE]
-        if len(rows) >= 10_000:
-            yield from _emit(rows, PAIR)
-            rows = []
-    yield from _emit(rows, PAIR)
+def _bridge(quota: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per meeting: each seeker with the next ``quota`` unconnected texts in its order, most equal draws first.
+
+        A row without ``b`` says where the seeker goes on (``at``), as there are more. Texts that a seeker has
+        passed are tried or connected with it, and both stay so.
+        """
+        rows: list[dict] = []
+        for group in _by_group(batches, MEETING):
+            roots = group["root"].to_pylist()
+            number = {r: i for i, r in enumerate(dict.fromkeys(roots))}
+            if len(number) < 2:
+                continue
+            keys, at = group["k"].to_pylist(), group["at"].to_numpy()
+            own = np.array([number[r] for r in roots])
+            draws = _draws(group["s"])
+            sought = np.flatnonzero(at < 0)
+            sought_draws = draws[sought]
+            meeting = {c: group[c][0].as_py() for c in MEETING}
+            for i in np.flatnonzero(at >= 0).tolist():
+                equal = (sought_draws == draws[i]).sum(axis=1)
+                near = np.flatnonzero(equal >= AGREE)
+                near = sought[near[np.argsort(-equal[near], kind="stable")]][at[i] :]
+                apart = np.flatnonzero(own[near] != own[i])
+                rows += [{"a": keys[i], "b": keys[j]} for j in near[apart[:quota]].tolist()]
+                if len(apart) > quota:
+                    rows.append({"a": keys[i], "at": int(at[i] + apart[quota])} | meeting)
+                if len(rows) >= 10_000:
+                    yield from _emit(rows, BRIDGE)
+                    rows = []
+        yield from _emit(rows, BRIDGE)
+
+    return run
+
+
+MEETING = ["bucket", "block", "part"]
+BRIDGE = pa.struct(
+    [("a", pa.binary()), ("b", pa.binary()), ("bucket", pa.int64()), ("block", pa.int32()), ("part", pa.int32()), ("at", pa.int32())]
+)
 
 
 def one_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,27 +333,41 @@ def classes(df: DataFrame, text: str = "text", least: float = SIMILARITY) -> Dat
     held = staged(texts.join(wanted.hint("merge"), "k").mapInArrow(one_of_each, "k binary, t string"))
     links = staged(verified(pairs, held, idf, least))
     rooted = staged(components(links))
-    done, turn = pairs, 0
-    while True:
-        turn += 1
-        apart = dealt.join(rooted.withColumnRenamed("node", "k"), "k", "left").select(
-            "bucket", F.pmod(F.xxhash64("k", F.lit(turn)), F.col("parts")).cast("int").alias("part"), "k", "s",
-            F.coalesce("root", "k").alias("root"),
+    with_root = lambda d: d.join(rooted.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
+    # Texts outside the largest component of a bucket seek: each unconnected pair has one of them. In blocks, they
+    # meet each part of the bucket.
+    of_root = with_root(dealt.select("bucket", "k")).groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+    open_buckets = of_root.groupBy("bucket").agg(
+        F.max_by("root", "n").alias("main"), F.ceil((F.sum("n") - F.max("n")) / BUCKET).cast("int").alias("blocks")
+    )
+    open_buckets = staged(open_buckets.where("blocks > 0"))
+    opened = dealt.join(open_buckets, "bucket")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    sought = staged(opened.select("bucket", upto("blocks").alias("block"), "part", "k", "s", F.lit(-1).alias("at")))
+    seekers = staged(
+        with_root(opened).where(F.col("root") != F.col("main")).select(
+            "bucket", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int").alias("block"), upto("parts").alias("part"),
+            "k", "s", F.lit(0).alias("at"),
         )
-        apart = staged(apart)
-        several = apart.groupBy("bucket", "part").agg((F.min("root") != F.max("root")).alias("more")).where("more")
-        open_buckets = apart.join(staged(several.select("bucket", "part")), ["bucket", "part"])
-        bridges = (
-            open_buckets.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "k")
-            .select("bucket", "part", "k", "s", "root").mapInArrow(_bridge, "a binary, b binary")
+    )
+    done, quota = pairs, NEAREST
+    while True:
+        meetings = with_root(sought.unionAll(seekers)).select(*MEETING, "k", "s", "at", "root")
+        found = staged(
+            meetings.repartition(*MEETING).sortWithinPartitions(*MEETING, "k")
+            .mapInArrow(_bridge(quota), "a binary, b binary, bucket long, block int, part int, at int")
         )
-        untried = staged(ordered_pair(bridges).join(done, ["a", "b"], "left_anti"))
+        untried = staged(ordered_pair(found.where("b IS NOT NULL").select("a", "b")).join(done, ["a", "b"], "left_anti"))
         more = staged(verified(untried, held, idf, least))
-        if more.isEmpty():
+        if not more.isEmpty():
+            stars = rooted.select(F.col("node").alias("a"), F.col("root").alias("b"))
+            rooted = staged(components(stars.unionAll(more)))  # from what is known, so few rounds are left
+        left = found.where("b IS NULL").select(*MEETING, F.col("a").alias("k"), "at")
+        if left.isEmpty():
             return rooted.select(F.col("node").alias("k"), "root")
-        done = done.unionAll(untried)
-        stars = rooted.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        rooted = staged(components(stars.unionAll(more)))  # from what is known, so few rounds are left
+        done, quota = done.unionAll(untried), 2 * quota
+        seekers = staged(left.join(sketches, "k").select(*MEETING, "k", "s", "at"))
+        sought = sought.join(staged(left.select(*MEETING).distinct()), MEETING, "left_semi")
 
 
 def _labels(df: DataFrame, key: str, text: str, least: float) -> DataFrame:

@@ -104,6 +104,34 @@ def test_classes_match_all_pairs(spark, monkeypatch, bucket, compared):
     assert {k: r.class_size for k, r in got.items()} == {key: sizes[root[i]] for i, (key, _) in enumerate(rows)}
 
 
+def decoys(seed, n=259, others=60):
+    """Edits of one text, similar by less than 0.8 to the last two of them, which are alike by more."""
+    r = random.Random(seed)
+    base, places = prose(seed, n).split(), list(range(8, n - 12, 6))
+
+    def variant(edits):
+        words = list(base)
+        for at, name in edits:
+            words[at] = f"changed{name}"
+        return " ".join(words)
+
+    texts = [variant([(p, f"{i}x{p}") for p in r.sample(places, 3)]) for i in range(others)]
+    p = r.sample(places, 5)
+    texts.append(variant([(p[0], "both"), (p[1], "a"), (p[2], "b"), (1, "e")]))
+    texts.append(variant([(p[0], "both"), (p[3], "c"), (p[4], "d"), (n - 2, "f")]))
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize("seed, bucket", [(20, 5_000), (69, 5_000), (69, 7)])
+def test_refused_decoys_do_not_hide_a_partner(spark, monkeypatch, seed, bucket):
+    monkeypatch.setattr(nd, "BUCKET", bucket)
+    rows = decoys(seed)
+    root = weighted_classes(rows)
+    assert root[60] == root[61] and list(root.values()).count(root[60]) == 2
+    got = {r.doc_id: r.class_id for r in nd.label(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == root
+
+
 def test_draws_agree_as_often_as_texts_are_similar():
     r = np.random.RandomState(3)
     errors = []
