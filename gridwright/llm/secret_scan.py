@@ -109,7 +109,7 @@ def guess_cost(value: str) -> float:
 
 
 def secret_spans(text: str, least_cost: float = LEAST_COST) -> list[tuple[int, int, str]]:
-    """(start, end, kind) in code points, by start and then kind; ``guess`` spans overlap no other span.
+    """(start, end, kind) in code points, by start and then kind; no other span holds a ``guess`` span whole.
 
     ``assign`` spans hold name, sign and value; a ``guess`` span holds the value alone.
     """
@@ -122,10 +122,11 @@ def secret_spans(text: str, least_cost: float = LEAST_COST) -> list[tuple[int, i
         found += [(*m.span(), "access") for m in ACCESS.finditer(text) if len(m[0]) >= 18]
     found += [(*m.span(), "hex") for m in HEX.finditer(text)]
     if hinted:
-        base = sorted(found)
+        base = list(found)
         for m in CONTEXT.finditer(text):
             a, b = m.span(1)
-            if not any(s < b and a < e for s, e, _ in base) and guess_cost(m[1]) >= least_cost:
+            # A value that a plain pattern holds in part alone counts as a whole.
+            if not any(s <= a and b <= e for s, e, _ in base) and guess_cost(m[1]) >= least_cost:
                 found.append((a, b, "guess"))
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 

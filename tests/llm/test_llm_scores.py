@@ -193,3 +193,15 @@ def test_masking(spark, odd, nothing):
     assert sorted(map(str, ss.mask(odd).select("text").collect())) == sorted(map(str, odd.select("text").collect()))
     assert ss.scan(nothing).count() == 0
     assert ss.mask(odd).where(F.col("text").isNull()).count() == 1
+
+
+@pytest.mark.parametrize("name, value", [("password", "Abcdefghijkl$Rest!OfSecret9"), ("private_key", "Zx9!deadbeefdeadbeef!Qp7")])
+def test_values_held_in_part_by_a_plain_pattern_are_masked_whole(name, value):
+    text = f"so {name}={value} here"
+    at = text.index(value)
+    assert (at, at + len(value), "guess") in ss.secret_spans(text)
+    assert ss.masked(text, "[secret]") in (f"so {name}=[secret] here", "so [secret] here")
+
+
+def test_values_held_whole_by_a_plain_pattern_get_no_span_more():
+    assert [k for *_, k in ss.secret_spans("password=Xq9vK2pLw7Rt4 here")] == ["assign"]
