@@ -7,8 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwright.llm import decontamination, html_text, near_dedup, packing, quality_classifier, quality_rules, secret_scan, substring_dedup, suffix_dedup, url_filters
+from gridwright.functions.storage import staged
+from gridwright.llm import (
+    conversation_repair, decontamination, html_text, kd_sharding, near_dedup, packing, quality_classifier, quality_rules, secret_scan,
+    spelling_variants, substring_dedup, suffix_dedup, url_filters,
+)
 from gridwright.llm.common import table, text_of
+from gridwright.llm.variant_sql import VARIANT_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Query, str | None]] = {}
@@ -181,3 +186,27 @@ def op4(spark, folder):
 @query("op9_substring_dedup")
 def op9(spark, folder):
     return substring_dedup.mark(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
+
+
+@query("op11_spelling_variants", VARIANT_SQL)
+def op11(spark, folder):
+    words = spelling_variants.corpus_words(table(spark, folder, "documents").select("doc_id", "text"))
+    return spelling_variants.forms(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query("op12_conversation_repair")
+def op12(spark, folder):
+    said = conversation_repair.filled(table(spark, folder, "conversations"), "conv_id", "turn", "role", "text")
+    rows = staged(conversation_repair.ordered(conversation_repair.damaged(said)))
+    return conversation_repair.audit(said, rows)
+
+
+#: The shards of the query.
+SHARDS = 24
+
+
+@query("op13_kd_sharding")
+def op13(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    dealt = kd_sharding.shard(docs, shards=SHARDS)
+    return dealt.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
