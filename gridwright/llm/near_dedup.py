@@ -4,9 +4,9 @@ Each different text is a weighted set of five-word shingles. Improved consistent
 for each of a fixed number of hash functions, one shingle and its quantised weight, such that two texts
 draw alike with the probability of their weighted Jaccard similarity. Draws are grouped to bands; texts
 that agree in a band meet in its bucket. A bucket does not emit its pairs: each text is matched with the
-best of a few leaders, and links are verified on the whole texts. Then each text is matched with those of its
-buckets that it is not connected with, those that agree most first, round by round, until each pair of a bucket
-that agrees enough is verified or connected. Linked texts form classes.
+best of a few leaders, and links are verified on the whole texts. Then texts that agree enough but are not
+connected are brought together in groups, once each, and compared there: each such pair is verified, or connected
+by then. Only links that connect something leave a task. Linked texts form classes.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridwright.functions.storage import staged
-from gridwright.llm.common import lists, mixed, quoted, small, spare, text_key, text_of, window_hashes, word_hashes
+from gridwright.llm.common import lists, mixed, quoted, small, spare, text_key, text_of, values, window_hashes, word_hashes
 from gridwright.llm.components import components
 
 SHINGLE = 5
@@ -33,8 +33,8 @@ AGREE = 20
 CLOSE = 29
 #: Texts of a bucket that are matched in one task; larger buckets are dealt to several.
 BUCKET = 5_000
-#: Unconnected texts of its bucket that a text is compared with in the first round; twice as many in each further.
-NEAREST = 2
+#: Texts, and characters of texts, that are compared with each other in one task; larger groups meet in pairs of blocks.
+GROUP_TEXTS, GROUP_CHARS = 1_000, 8_000_000
 #: Texts that are compared with one leader in one task.
 COMPARED = 2_000
 #: Document frequencies are counted in this many buckets of shingles, whatever the corpus.
@@ -206,45 +206,90 @@ def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 LED = pa.struct([("a", pa.binary()), ("b", pa.binary()), ("bucket", pa.int64())])
 
 
-def _bridge(quota: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Per meeting: each seeker with the next ``quota`` unconnected texts in its order, most equal draws first.
+def _merge(own: np.ndarray, at: int, others: np.ndarray) -> list[int]:
+    """Put the sets of ``others`` together with the set of ``at``; one member of each set that was apart."""
+    labels, first = np.unique(own[others], return_index=True)
+    apart = labels != own[at]
+    if apart.any():
+        own[np.isin(own, labels[apart])] = own[at]
+    return others[first[apart]].tolist()
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per meeting, links that span the unconnected texts which agree enough: at most one less than there are texts."""
+    rows: list[dict] = []
+    for group in _by_group(batches, MEETING):
+        roots = group["root"].to_pylist()
+        number = {r: i for i, r in enumerate(dict.fromkeys(roots))}
+        if len(number) < 2:
+            continue
+        keys, seeks = group["k"].to_pylist(), group["seeks"].to_numpy(zero_copy_only=False)
+        root = np.array([number[r] for r in roots])
+        draws, spanned = _draws(group["s"]), np.arange(len(keys))
+        for i in np.flatnonzero(seeks).tolist():
+            equal = (draws == draws[i]).sum(axis=1)
+            near = np.flatnonzero((equal >= AGREE) & (root != root[i]))
+            rows += [{"a": keys[i], "b": keys[j]} for j in _merge(spanned, i, near)]
+        if len(rows) >= 10_000:
+            yield from _emit(rows, PAIR)
+            rows = []
+    yield from _emit(rows, PAIR)
+
+
+class _Together:
+    """Texts that are compared with each other: their shingles as one long list."""
+
+    def __init__(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        self.texts = texts
+        self.total = np.array([w.sum() for _, w in texts])
+        self.starts = np.cumsum([0, *[len(h) for h, _ in texts[:-1]]])
+        found, self.places = np.unique(np.concatenate([h for h, _ in texts]), return_inverse=True)
+        self.weights = np.concatenate([w for _, w in texts])
+        self.spread = np.zeros(len(found))
+
+    def similarities(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Weighted Jaccard similarities of text ``i`` and others."""
+        if len(others) < 4:
+            return np.array([similarity(self.texts[i], self.texts[j]) for j in others])
+        own = slice(self.starts[i], self.starts[i] + len(self.texts[i][0]))
+        self.spread[self.places[own]] = self.weights[own]
+        both = np.add.reduceat(np.minimum(self.spread[self.places], self.weights), self.starts)
+        self.spread[self.places[own]] = 0
+        return (both / (self.total + self.total[i] - both))[others]
+
 
-        A row without ``b`` says where the seeker goes on (``at``), as there are more. Texts that a seeker has
-        passed are tried or connected with it, and both stay so.
-        """
+def _verify_together(idf, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per group and pair of blocks: each pair of texts that agree enough is connected already or verified; new links."""
         rows: list[dict] = []
-        for group in _by_group(batches, MEETING):
-            roots = group["root"].to_pylist()
+        for group in _by_group(batches, ["group", "x", "y"]):
+            roots, keys = group["root"].to_pylist(), group["k"].to_pylist()
             number = {r: i for i, r in enumerate(dict.fromkeys(roots))}
+            root = np.array([number[r] for r in roots])
             if len(number) < 2:
                 continue
-            keys, at = group["k"].to_pylist(), group["at"].to_numpy()
-            own = np.array([number[r] for r in roots])
-            draws = _draws(group["s"])
-            sought = np.flatnonzero(at < 0)
-            sought_draws = draws[sought]
-            meeting = {c: group[c][0].as_py() for c in MEETING}
-            for i in np.flatnonzero(at >= 0).tolist():
-                equal = (sought_draws == draws[i]).sum(axis=1)
-                near = np.flatnonzero(equal >= AGREE)
-                near = sought[near[np.argsort(-equal[near], kind="stable")]][at[i] :]
-                apart = np.flatnonzero(own[near] != own[i])
-                rows += [{"a": keys[i], "b": keys[j]} for j in near[apart[:quota]].tolist()]
-                if len(apart) > quota:
-                    rows.append({"a": keys[i], "at": int(at[i] + apart[quota])} | meeting)
-                if len(rows) >= 10_000:
-                    yield from _emit(rows, BRIDGE)
-                    rows = []
-        yield from _emit(rows, BRIDGE)
+            texts = []
+            for text in values(group["t"].combine_chunks()):
+                h, counts = counted_shingles(text)
+                texts.append((h, weights(h, counts, idf.value)))
+            block, draws, together = group["block"].to_numpy(), _draws(group["s"]), _Together(texts)
+            crossing = block.min() != block.max()
+            for i in range(1, len(keys)):
+                near = np.flatnonzero(((draws[:i] == draws[i]).sum(axis=1) >= AGREE) & (root[:i] != root[i]))
+                if crossing:
+                    near = near[block[near] != block[i]]
+                if len(near):
+                    alike = near[together.similarities(i, near) >= least]
+                    rows += [{"a": keys[i], "b": keys[j]} for j in _merge(root, i, alike)]
+            if len(rows) >= 10_000:
+                yield from _emit(rows, PAIR)
+                rows = []
+        yield from _emit(rows, PAIR)
 
     return run
 
 
 MEETING = ["bucket", "block", "part"]
-BRIDGE = pa.struct(
-    [("a", pa.binary()), ("b", pa.binary()), ("bucket", pa.int64()), ("block", pa.int32()), ("part", pa.int32()), ("at", pa.int32())]
-)
 
 
 def one_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,31 +388,44 @@ def classes(df: DataFrame, text: str = "text", least: float = SIMILARITY) -> Dat
     open_buckets = staged(open_buckets.where("blocks > 0"))
     opened = dealt.join(open_buckets, "bucket")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    sought = staged(opened.select("bucket", upto("blocks").alias("block"), "part", "k", "s", F.lit(-1).alias("at")))
-    seekers = staged(
-        with_root(opened).where(F.col("root") != F.col("main")).select(
-            "bucket", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int").alias("block"), upto("parts").alias("part"),
-            "k", "s", F.lit(0).alias("at"),
-        )
+    sought = opened.select("bucket", upto("blocks").alias("block"), "part", "k", "s", F.lit(False).alias("seeks"))
+    seekers = with_root(opened).where(F.col("root") != F.col("main")).select(
+        "bucket", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int").alias("block"), upto("parts").alias("part"), "k", "s",
+        F.lit(True).alias("seeks"),
+    )
+    meetings = with_root(staged(sought.unionAll(seekers))).select(*MEETING, "k", "s", "seeks", "root")
+    maybe = staged(
+        meetings.repartition(*MEETING).sortWithinPartitions(*MEETING, "k").mapInArrow(_candidates, "a binary, b binary")
+    )
+    more = staged(_verified_in_groups(maybe, sketches, held, with_root, idf, least))
+    if not more.isEmpty():
+        stars = rooted.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        rooted = components(stars.unionAll(more))  # from what is known, so few rounds are left
+    return rooted.select(F.col("node").alias("k"), "root")
+
+
+def _verified_in_groups(maybe: DataFrame, sketches: DataFrame, held: DataFrame, with_root, idf, least: float) -> DataFrame:
+    """New links ``(a, b)`` among texts that candidate links ``maybe`` bring into one group.
+
+    A group's texts meet once, those of a large group in pairs of blocks: compared there, with nothing but links that
+    connect what was apart going out.
+    """
+    groups = components(maybe).select(F.col("node").alias("k"), F.col("root").alias("group"))
+    texts = staged(groups.join(held.hint("merge"), "k"))
+    sizes = texts.groupBy("group").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / GROUP_TEXTS), F.ceil(F.sum(F.length("t")) / GROUP_CHARS)).cast("int").alias("blocks")
+    )
+    own, other = F.col("block"), F.col("other")
+    placed = texts.join(staged(sizes), "group").withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "group", F.least(own, other).alias("x"), F.greatest(own, other).alias("y"), "block", "k", "t"
+    )
+    known = with_root(sketches.join(groups.select("k"), "k", "left_semi")).select("k", "s", "root")
+    met = dealt.join(known.hint("merge"), "k").select("group", "x", "y", "block", "k", "t", "s", "root")
+    return (
+        met.repartition("group", "x", "y").sortWithinPartitions("group", "x", "y", "k")
+        .mapInArrow(_verify_together(idf, least), "a binary, b binary")
     )
-    done, quota = pairs, NEAREST
-    while True:
-        meetings = with_root(sought.unionAll(seekers)).select(*MEETING, "k", "s", "at", "root")
-        found = staged(
-            meetings.repartition(*MEETING).sortWithinPartitions(*MEETING, "k")
-            .mapInArrow(_bridge(quota), "a binary, b binary, bucket long, block int, part int, at int")
-        )
-        untried = staged(ordered_pair(found.where("b IS NOT NULL").select("a", "b")).join(done, ["a", "b"], "left_anti"))
-        more = staged(verified(untried, held, idf, least))
-        if not more.isEmpty():
-            stars = rooted.select(F.col("node").alias("a"), F.col("root").alias("b"))
-            rooted = staged(components(stars.unionAll(more)))  # from what is known, so few rounds are left
-        left = found.where("b IS NULL").select(*MEETING, F.col("a").alias("k"), "at")
-        if left.isEmpty():
-            return rooted.select(F.col("node").alias("k"), "root")
-        done, quota = done.unionAll(untried), 2 * quota
-        seekers = staged(left.join(sketches, "k").select(*MEETING, "k", "s", "at"))
-        sought = sought.join(staged(left.select(*MEETING).distinct()), MEETING, "left_semi")
 
 
 def _labels(df: DataFrame, key: str, text: str, least: float) -> DataFrame:
