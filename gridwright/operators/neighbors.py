@@ -1,13 +1,14 @@
 """Exact k nearest neighbours (Euclidean) without a cross join.
 
-Training rows are grouped into blocks: the nearest of a few pivot rows, and a ring
-of distances to that pivot. A block is described by its size and its smallest and
-largest distance to the pivot, so the triangle inequality gives, for any query,
-bounds on every distance into the block; so does the plane half-way between two
-pivots. A query visits only blocks that can still
-hold one of its k nearest rows. Blocks and query sets are cut into pieces of bounded
-size; a task compares one piece of rows with one piece of queries and passes on k
-rows per query, which a second step merges.
+Training rows are grouped into blocks: the nearest of some pivot rows (their number grows with the root of the
+rows), and a ring of distances to that pivot. A block is described by its size and its smallest and largest
+distance to the pivot, so the triangle inequality gives, for any query, bounds on every distance into the block;
+so does the plane half-way between two pivots. Pivots are grouped into balls, which bound many blocks at once.
+
+The search has two phases. A query first meets the block that it would be in itself, which gives a true k-th
+distance. Then it visits only blocks with a bound below that distance; the table of balls and blocks is walked
+from the top. Blocks and query sets are cut into pieces of bounded size; a task compares one piece of rows with
+one piece of queries and passes on k rows per query, which a last step merges.
 """
 
 from __future__ import annotations
@@ -25,9 +26,12 @@ from pyspark.sql.window import Window
 
 from gridwright.functions.storage import staged
 
-PIVOTS = 128
-RINGS = 8
+# Pivots per root of the number of rows; rings per pivot.
+PIVOT_SHARE = 1.0
+RINGS = 4
 PIECE_ROWS = 4096
+# Queries whose visits are listed at once.
+QUERY_SLICE = 256
 QUERY_PIECE = 32768
 # Below this many pieces, comparing with all rows is cheaper than finding blocks.
 FEW_PIECES = 16
@@ -35,7 +39,7 @@ FEW_PIECES = 16
 
 @dataclass(frozen=True)
 class Blocks:
-    """What a query needs to know about the blocks; at most PIVOTS x RINGS entries."""
+    """What a query needs to know about the blocks: a few numbers each, some times the root of the rows in all."""
 
     pivots: np.ndarray
     block: np.ndarray
@@ -44,6 +48,21 @@ class Blocks:
     near: np.ndarray
     far: np.ndarray
     pieces: np.ndarray
+    center: np.ndarray  # of each ball, the number of its middle pivot
+    radius: np.ndarray  # of each ball, from its middle to its farthest row
+    members: list[np.ndarray]  # of each ball, the positions of its blocks
+
+
+def _balls(pivots: np.ndarray, pivot_of: np.ndarray, far: np.ndarray):
+    """Group the pivots around as many of them as the root of their number."""
+    count = math.ceil(math.sqrt(len(pivots)))
+    center = np.arange(len(pivots))[:: max(1, len(pivots) // count)][:count]
+    away = _distances(pivots, pivots[center])
+    ball = away.argmin(axis=1)
+    reach = away[np.arange(len(pivots)), ball][pivot_of] + far
+    members = [np.nonzero(ball[pivot_of] == b)[0] for b in range(len(center))]
+    radius = np.array([reach[m].max() if len(m) else -np.inf for m in members])
+    return center, radius, members
 
 
 def _distances(rows: np.ndarray, to: np.ndarray) -> np.ndarray:
@@ -75,15 +94,15 @@ def _one_block(train: DataFrame, rows: int, piece_rows: int):
     pieces = math.ceil(rows / piece_rows)
     blocks = Blocks(
         np.zeros((0, 0)), np.zeros(1, dtype=int), np.zeros(1, dtype=int), np.array([rows]), np.zeros(1),
-        np.array([np.inf]), np.array([pieces]),
+        np.array([np.inf]), np.array([pieces]), np.zeros(1, dtype=int), np.array([np.inf]), [np.zeros(1, dtype=int)],
     )
     placed = train.withColumn("_block", F.lit(0).cast("long"))
     return placed.withColumn("_piece", F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(pieces))), blocks
 
 
-def _build_blocks(train: DataFrame, rows: int, piece_rows: int, pivots: int, rings: int):
+def _build_blocks(train: DataFrame, rows: int, piece_rows: int, pivots: int | None, rings: int):
     """Assign every training row to a block and collect the block facts."""
-    count = min(pivots, math.ceil(rows / piece_rows))
+    count = min(pivots or math.ceil(PIVOT_SHARE * math.sqrt(rows)), rows)
     chosen = train.orderBy(F.xxhash64("_id"), "_id").limit(count).select("_vec").collect()
     points = np.array([r["_vec"] for r in chosen], dtype="float64")
     # Written out once: the block facts and the rows must come from the same distances.
@@ -105,9 +124,10 @@ def _build_blocks(train: DataFrame, rows: int, piece_rows: int, pivots: int, rin
     )
     size = np.array([r["n"] for r in facts])
     block = np.array([r["_block"] for r in facts])
+    far = np.array([r["hi"] for r in facts])
     blocks = Blocks(
-        points, block, block // rings, size, np.array([r["lo"] for r in facts]),
-        np.array([r["hi"] for r in facts]), np.ceil(size / piece_rows).astype(int),
+        points, block, block // rings, size, np.array([r["lo"] for r in facts]), far,
+        np.ceil(size / piece_rows).astype(int), *_balls(points, block // rings, far),
     )
     table = train.sparkSession.createDataFrame(
         [(int(b), int(p)) for b, p in zip(blocks.block, blocks.pieces)], "_block long, _pieces long"
@@ -117,47 +137,125 @@ def _build_blocks(train: DataFrame, rows: int, piece_rows: int, pivots: int, rin
     return placed.withColumn("_piece", piece).drop("_pivot", "_away", "_pieces"), blocks
 
 
-def _visits(queries: DataFrame, blocks: Blocks, k: int) -> DataFrame:
-    """One row per query and block piece that may hold a neighbour."""
+def _least(d: np.ndarray, near: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """No row of a block is closer, by the distances to its pivot."""
+    return np.maximum(np.maximum(d - far, near - d), 0.0)
+
+
+def _home(points: np.ndarray, blocks: Blocks, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Queries and the blocks of their own pivot: the nearest ones, until they hold ``k`` rows."""
+    closest = _distances(points, blocks.pivots).argmin(axis=1)
+    queries, at = [], []
+    for pivot in np.unique(closest):
+        own, here = np.nonzero(closest == pivot)[0], np.nonzero(blocks.pivot_of == pivot)[0]
+        d = _distances(points[own], blocks.pivots[[pivot]])
+        order = np.argsort(_least(d, blocks.near[here], blocks.far[here]), axis=1, kind="stable")
+        sizes = blocks.size[here][order]
+        row, place = np.nonzero(np.cumsum(sizes, axis=1) - sizes < k)
+        queries.append(own[row])
+        at.append(here[order[row, place]])
+    return np.concatenate(queries), np.concatenate(at)
+
+
+def _surely(points: np.ndarray, blocks: Blocks, k: int) -> np.ndarray:
+    """The smallest radius within which the blocks surely hold ``k`` rows."""
+    most = _distances(points, blocks.pivots)[:, blocks.pivot_of] + blocks.far
+    order = np.argsort(most, axis=1)
+    held = np.cumsum(blocks.size[order], axis=1)
+    enough = np.minimum((held < k).sum(axis=1), held.shape[1] - 1)
+    radius = np.take_along_axis(most, order, axis=1)[np.arange(len(points)), enough]
+    radius[held[:, -1] < k] = np.inf
+    return radius
+
+
+def _in_reach(points: np.ndarray, blocks: Blocks, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Queries and the blocks that may hold a row within the query's radius, ball by ball."""
+    closest = _distances(points, blocks.pivots).argmin(axis=1)
+    best = np.sqrt(((points - blocks.pivots[closest]) ** 2).sum(axis=1))
+    to_balls = _distances(points, blocks.pivots[blocks.center])
+    queries, at = [], []
+    for ball, members in enumerate(blocks.members):
+        slack = 1e-9 * (1.0 + to_balls[:, ball] + abs(blocks.radius[ball]))
+        own = np.nonzero(to_balls[:, ball] - blocks.radius[ball] <= radius + slack)[0] if len(members) else []
+        if not len(own):
+            continue
+        pivots, place = np.unique(blocks.pivot_of[members], return_inverse=True)
+        d = _distances(points[own], blocks.pivots[pivots])[:, place]
+        # A block's rows are on its pivot's side of the plane half-way to any other pivot.
+        seen, which = np.unique(closest[own], return_inverse=True)
+        gap = _distances(blocks.pivots[seen], blocks.pivots[pivots])[which][:, place]
+        nearest = best[own][:, None]
+        plane = np.divide(d**2 - nearest**2 - 1e-12 * (d**2 + nearest**2), 2 * gap, out=np.zeros_like(d), where=gap > 0)
+        least = np.maximum(_least(d, blocks.near[members], blocks.far[members]), plane)
+        row, place = np.nonzero(least <= radius[own][:, None] + 1e-9 * (1.0 + d + blocks.far[members]))
+        queries.append(own[row])
+        at.append(members[place])
+    if not queries:
+        return np.empty(0, int), np.empty(0, int)
+    return np.concatenate(queries), np.concatenate(at)
+
+
+def _visits(queries: DataFrame, blocks: Blocks, k: int, first: bool) -> DataFrame:
+    """One row per query and block piece: the query's own blocks ``first``, else all others within its ``_radius``."""
+    slim = queries.select("_query", "_vec") if first else queries
     if not len(blocks.pivots):
         pieces = F.sequence(F.lit(0).cast("long"), F.lit(int(blocks.pieces[0]) - 1).cast("long"))
-        return queries.select("*", F.lit(0).cast("long").alias("_block"), F.explode(pieces).alias("_piece"))
-
-    apart = _distances(blocks.pivots, blocks.pivots)
+        return slim.select("_query", "_vec", F.lit(0).cast("long").alias("_block"), F.explode(pieces).alias("_piece"))
 
     def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            to_pivots = _distances(np.stack(batch["_vec"].to_numpy()), blocks.pivots)
-            closest = to_pivots.argmin(axis=1)
-            d = to_pivots[:, blocks.pivot_of]
-            least = np.maximum(np.maximum(d - blocks.far, blocks.near - d), 0.0)
-            # A block's rows are on its pivot's side of the plane half-way to any other pivot.
-            gap = apart[closest][:, blocks.pivot_of]
-            best = to_pivots[np.arange(len(d)), closest][:, None]
-            rounding = 1e-12 * (d**2 + best**2)
-            plane = np.divide(d**2 - best**2 - rounding, 2 * gap, out=np.zeros_like(d), where=gap > 0)
-            least = np.maximum(least, plane)
-            most = d + blocks.far
-            # The smallest radius within which the blocks surely hold k rows.
-            order = np.argsort(most, axis=1)
-            held = np.cumsum(blocks.size[order], axis=1)
-            enough = np.minimum((held < k).sum(axis=1), held.shape[1] - 1)
-            radius = np.take_along_axis(most, order, axis=1)[np.arange(len(d)), enough]
-            radius[held[:, -1] < k] = np.inf
-            query, at = np.nonzero(least <= radius[:, None] + 1e-9 * (1.0 + d + blocks.far))
-            times = blocks.pieces[at]
-            query, at = np.repeat(query, times), np.repeat(at, times)
-            piece = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
-            for start in range(0, len(query), 65536):
-                part = slice(start, start + 65536)
-                out = batch.iloc[query[part]].copy()
-                out["_block"], out["_piece"] = blocks.block[at[part]], piece[part]
-                yield out
-
-    extra = [T.StructField("_block", T.LongType()), T.StructField("_piece", T.LongType())]
-    return queries.mapInPandas(plan, T.StructType(queries.schema.fields + extra))
+        for whole in batches:
+            for start in range(0, len(whole), QUERY_SLICE):
+                batch = whole.iloc[start : start + QUERY_SLICE]
+                points = np.stack(batch["_vec"].to_numpy())
+                query, at = _home(points, blocks, k)
+                if not first:
+                    radius = batch["_radius"].to_numpy(dtype="float64", na_value=np.nan)
+                    open_ = np.isnan(radius)
+                    if open_.any():
+                        radius[open_] = _surely(points[open_], blocks, k)
+                    met = set(zip(query.tolist(), at.tolist()))
+                    query, at = _in_reach(points, blocks, radius)
+                    new = np.array([(q, b) not in met for q, b in zip(query.tolist(), at.tolist())], bool)
+                    query, at = query[new], at[new]
+                times = blocks.pieces[at]
+                query, at = np.repeat(query, times), np.repeat(at, times)
+                piece = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+                for lo in range(0, len(query), 16384):
+                    part = slice(lo, lo + 16384)
+                    out = batch[["_query", "_vec"]].iloc[query[part]].copy()
+                    out["_block"], out["_piece"] = blocks.block[at[part]], piece[part]
+                    yield out
+
+    return slim.mapInPandas(plan, "_query long, _vec array<double>, _block long, _piece long")
+
+
+def _met(placed: DataFrame, visits: DataFrame, k: int, query_piece: int, many: bool) -> DataFrame:
+    """The ``k`` closest rows of each piece for each of its visitors."""
+    shares = F.lit(1)
+    if many:
+        # A block with many visitors meets them in shares; its rows go to each share once.
+        met = visits.where("_piece = 0").groupBy("_block").agg(F.count("*").alias("n"))
+        share_count = F.ceil(F.col("n") / query_piece).cast("int").alias("_shares")
+        table = met.select("_block", share_count).collect()  # one row per block
+        shares = F.col("_shares")
+        # Two tables of the same facts: one joined to both sides could not be told apart.
+        placed, visits = (
+            side.join(F.broadcast(placed.sparkSession.createDataFrame(table, "_block long, _shares int")), "_block")
+            for side in (placed, visits)
+        )
+    placed = placed.withColumn("_share", F.explode(F.sequence(F.lit(0), shares - 1)))
+    visits = visits.withColumn("_share", F.pmod(F.xxhash64("_query"), shares).cast("int"))
+    cut = ["_block", "_piece", "_share"]
+
+    def compare(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(queries):
+            return pd.DataFrame({"_query": [], "_id": [], "distance": [], "_label": []})
+        return _closest(rows, queries, k)
+
+    return (
+        placed.groupBy(*cut).cogroup(visits.groupBy(*cut))
+        .applyInPandas(compare, "_query long, _id long, distance double, _label double")
+    )
 
 
 def _closest(rows: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -205,7 +303,7 @@ def _closest(rows: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
 
 def nearest_rows(
     queries: DataFrame, train: DataFrame, k: int, piece_rows: int = PIECE_ROWS, query_piece: int = QUERY_PIECE,
-    pivots: int = PIVOTS, rings: int = RINGS,
+    pivots: int | None = None, rings: int = RINGS,
 ) -> DataFrame:
     """``_query, rank, _id, distance, _label`` of the k nearest training rows.
 
@@ -215,38 +313,21 @@ def nearest_rows(
     rows, asked = train.count(), queries.count()
     if rows == 0:
         raise ValueError("No training rows.")
-    if rows <= FEW_PIECES * piece_rows:
+    if rows <= FEW_PIECES * piece_rows and pivots is None:
         placed, blocks = _one_block(train, rows, piece_rows)
     else:
         placed, blocks = _build_blocks(train, rows, piece_rows, pivots, rings)
-    visits = _visits(queries, blocks, k)
-    shares = F.lit(1)
-    if asked > query_piece:
-        # A block with many visitors meets them in shares; its rows go to each share once.
-        met = visits.where("_piece = 0").groupBy("_block").agg(F.count("*").alias("n"))
-        share_count = F.ceil(F.col("n") / query_piece).cast("int").alias("_shares")
-        table = met.select("_block", share_count).collect()  # one row per block
-        shares = F.col("_shares")
-        # Two tables of the same facts: one joined to both sides could not be told apart.
-        placed, visits = (
-            side.join(F.broadcast(train.sparkSession.createDataFrame(table, "_block long, _shares int")), "_block")
-            for side in (placed, visits)
-        )
-    placed = placed.withColumn("_share", F.explode(F.sequence(F.lit(0), shares - 1)))
-    visits = visits.withColumn("_share", F.pmod(F.xxhash64("_query"), shares).cast("int"))
-    cut = ["_block", "_piece", "_share"]
-
-    def compare(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows) or not len(queries):
-            return pd.DataFrame({"_query": [], "_id": [], "distance": [], "_label": []})
-        return _closest(rows, queries, k)
-
-    near = (
-        placed.groupBy(*cut).cogroup(visits.groupBy(*cut))
-        .applyInPandas(compare, "_query long, _id long, distance double, _label double")
-    )
+    many = asked > query_piece
+    near = _met(placed, _visits(queries, blocks, k, True), k, query_piece, many)
     order = Window.partitionBy("_query").orderBy("distance", "_id")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    best = lambda found: found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    if len(blocks.pivots):
+        # The k-th distance so far is true, so no farther block can hold a nearer row.
+        first = staged(best(near).drop("rank"))
+        radius = first.groupBy("_query").agg(F.count("*").alias("_n"), F.max("distance").alias("_far"))
+        known = queries.join(radius, "_query", "left").select("_query", "_vec", F.when(F.col("_n") >= k, F.col("_far")).alias("_radius"))
+        near = first.unionByName(_met(placed, _visits(known, blocks, k, False), k, query_piece, many))
+    return best(near)
 
 
 def vote(neighbours: DataFrame, weights: str = "uniform", classes: bool = True) -> DataFrame:

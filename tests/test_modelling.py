@@ -149,7 +149,7 @@ def brute(queries, train, k):
     return [[(i, d[i]) for i in np.lexsort((np.arange(len(train)), d))[:k]] for d in gaps]
 
 
-@pytest.mark.parametrize("piece,pivots,rings,query_piece", [(10**4, 64, 8, 10**4), (10, 6, 3, 7), (20, 4, 2, 100), (25, 1, 4, 1000)])
+@pytest.mark.parametrize("piece,pivots,rings,query_piece", [(10**4, None, 8, 10**4), (10**4, 64, 8, 10**4), (10, 6, 3, 7), (20, 4, 2, 100), (25, 1, 4, 1000)])
 def test_neighbours_agree_with_brute_force(spark, piece, pivots, rings, query_piece):
     pick = np.random.default_rng(5)
     train = np.vstack([pick.normal(0, 1, (250, 3)), np.tile([0.5, 0.5, 0.5], (150, 1)), pick.normal(20, 0.1, (100, 3))])
@@ -164,15 +164,34 @@ def test_neighbours_agree_with_brute_force(spark, piece, pivots, rings, query_pi
         assert r["_id"] == i and r["distance"] == pytest.approx(d, abs=1e-12)
 
 
+def pairs_visited(spark, train, asked, k, pivots=None, rings=neighbors.RINGS):
+    """The share of all pairs that the two phases compare."""
+    t = spark.createDataFrame([(i, [float(x) for x in v], 0.0) for i, v in enumerate(train)], "_id long, _vec array<double>, _label double")
+    placed, blocks = neighbors._build_blocks(t, len(train), 10**4, pivots, rings)
+    assert placed.count() == len(train) == blocks.size.sum()
+    radius = [float(n[-1][1]) for n in brute(asked, train, k)]
+    rows = [(i, [float(x) for x in v], r) for i, (v, r) in enumerate(zip(asked, radius))]
+    q = spark.createDataFrame(rows, "_query long, _vec array<double>, _radius double")
+    size = dict(zip(blocks.block.tolist(), blocks.size.tolist()))
+    home = [(r["_query"], r["_block"]) for r in neighbors._visits(q, blocks, k, True).collect()]
+    other = [(r["_query"], r["_block"]) for r in neighbors._visits(q, blocks, k, False).collect()]
+    assert not set(home) & set(other)
+    return sum(size[b] for _, b in home + other) / (len(train) * len(asked))
+
+
 def test_blocks_are_skipped(spark):
     """Far clusters: a query visits few of the pieces."""
     pick = np.random.default_rng(1)
     train = np.vstack([pick.normal(100 * c, 1, (200, 2)) for c in range(6)])
-    t = spark.createDataFrame([(i, [float(x) for x in v], 0.0) for i, v in enumerate(train)], "_id long, _vec array<double>, _label double")
-    placed, blocks = neighbors._build_blocks(t, len(train), 20, 12, 4)
-    q = spark.createDataFrame([(0, [0.0, 0.0])], "_query long, _vec array<double>")
-    assert neighbors._visits(q, blocks, 5).count() < blocks.pieces.sum() / 2
-    assert placed.count() == len(train)
+    assert pairs_visited(spark, train, np.zeros((1, 2)), 5, 12, 4) < 0.5
+
+
+def test_clustered_vectors_in_many_dimensions_visit_few_pairs(spark):
+    pick = np.random.default_rng(2)
+    centers = pick.normal(0, 10, (60, 64))
+    train = np.vstack([c + pick.normal(0, 1, (100, 64)) for c in centers])
+    asked = centers[pick.integers(0, 60, 40)] + pick.normal(0, 1, (40, 64))
+    assert pairs_visited(spark, train, asked, 5) < 0.1
 
 
 def test_more_neighbours_than_rows(spark):
