@@ -23,6 +23,7 @@ from gridwright.constants import CLASSIFICATION, FOLDS, SEED
 from gridwright.functions.ranks import with_row_index
 from gridwright.functions.semantics import column, dtype, known
 from gridwright.functions.storage import staged
+from gridwright.operators import trees
 from gridwright.operators.checks import require_rows, require_target
 from gridwright.operators.columns import features_and_label
 from gridwright.operators.encode import FEATURES, TablePrep, feature_names, prepared
@@ -32,8 +33,6 @@ from gridwright.operators.profile import default_features, detect_task
 from gridwright.operators.split import TEST, TRAIN, assign_folds, plan_split, split_by_plan
 
 LABEL, PREDICTION = "_label", "prediction"
-# MLlib's limit on tree depth; a tree "without limit" grows to this.
-DEEPEST = 30
 # Ridge weight, relative to the row count, that only decides between equal fits.
 VANISHING = 1e-10
 # Classes are listed on the driver and in the model, so their number is checked.
@@ -50,16 +49,12 @@ class NeighbourModel:
     classes: bool
 
 
-def _tree_params(params: dict[str, Any], depth: int | None) -> dict[str, Any]:
-    chosen = params.get("max_depth", depth)
-    if chosen is not None and int(chosen) > DEEPEST:
-        raise ValueError(f"Trees end at depth {DEEPEST}; max_depth {chosen} would be another model.")
+def _tree_params(params: dict[str, Any]) -> dict[str, Any]:
+    chosen = params.get("max_depth")
     if chosen is None:
-        warnings.warn(f"Trees without a limit end at depth {DEEPEST}.", stacklevel=2)
-    if int(params.get("min_samples_split", 2)) > 2:
-        raise ValueError("min_samples_split over 2 is not offered; min_samples_leaf bounds the leaves.")
+        warnings.warn(f"Trees without a limit end at depth {trees.DEEPEST}.", stacklevel=2)
     return {
-        "maxDepth": DEEPEST if chosen is None else min(int(chosen), DEEPEST),
+        "maxDepth": trees.DEEPEST if chosen is None else min(int(chosen), trees.DEEPEST),
         "minInstancesPerNode": int(params.get("min_samples_leaf", 1)),
         "seed": SEED,
         "featuresCol": FEATURES,
@@ -97,16 +92,23 @@ def candidate_models(task: str) -> dict[str, dict[str, Any]]:
     }
 
 
-def _forest(task: str, params: dict[str, Any]):
-    shared = {"numTrees": int(params.get("n_estimators", 100)), **_tree_params(params, None)}
+def _forest(task: str, shared: dict[str, Any], params: dict[str, Any]):
+    count = int(params.get("n_estimators", 100))
     if task == CLASSIFICATION:
-        return RandomForestClassifier(featureSubsetStrategy="sqrt", **shared)
-    return RandomForestRegressor(featureSubsetStrategy="all", **shared)
+        return RandomForestClassifier(featureSubsetStrategy="sqrt", numTrees=count, **shared)
+    return RandomForestRegressor(featureSubsetStrategy="all", numTrees=count, **shared)
 
 
-def _tree(task: str, params: dict[str, Any]):
-    kind = DecisionTreeClassifier if task == CLASSIFICATION else DecisionTreeRegressor
-    return kind(**_tree_params(params, None))
+def _fit_trees(train: DataFrame, task: str, name: str, params: dict[str, Any]):
+    """A tree or forest within the depth and the least number of rows to split that are asked for."""
+    shared = _tree_params(params)
+    tree = (DecisionTreeClassifier if task == CLASSIFICATION else DecisionTreeRegressor)(**shared)
+    model = (tree if name == "tree" else _forest(task, shared, params)).fit(train)
+    if int(params.get("max_depth") or 0) > trees.DEEPEST:
+        model = trees.deeper(model, train, tree, int(params["max_depth"]))
+    if int(params.get("min_samples_split", 2)) > 2:
+        model = trees.least_split(model, int(params["min_samples_split"]), train.sparkSession)
+    return model
 
 
 def _logistic(train: DataFrame, params: dict[str, Any]):
@@ -155,10 +157,8 @@ def fit_estimator(
         return NeighbourModel(
             rows, int(params.get("n_neighbors", 5)), params.get("weights", "uniform"), task == CLASSIFICATION
         )
-    if name == "forest":
-        return _forest(task, params).fit(train)
-    if name == "tree":
-        return _tree(task, params).fit(train)
+    if name in ("forest", "tree"):
+        return _fit_trees(train, task, name, params)
     if name == "logistic":
         return _logistic(train, params).fit(train)
     return _linear(train, params, float(params.get("alpha", 1.0)) if name == "ridge" else None).fit(train)

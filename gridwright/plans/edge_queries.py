@@ -193,6 +193,31 @@ def train_tree_one_cut(spark, folder):
     return rounded(model.predict(df).select("o_orderkey", "prediction"), 4, "prediction")
 
 
+MIN_SPLIT_SQL = f"""WITH RECURSIVE {EVEN_SPLIT}, t AS (SELECT * FROM p WHERE split = 'Train'),
+g AS (SELECT o_orderpriority AS c, count(*) AS n, sum(o_totalprice) AS s FROM t GROUP BY 1),
+cuts AS (SELECT 0 AS step, (SELECT list(c) FROM g) AS open
+  UNION ALL
+  SELECT step + 1, list_filter(open, lambda x: x <> best) FROM (
+    SELECT step, open, arg_max(g.c, g.s * g.s / g.n + (total - g.s) * (total - g.s) / (rows - g.n)) AS best
+    FROM (SELECT step, open, sum(g.n) AS rows, sum(g.s) AS total FROM cuts JOIN g ON list_contains(open, g.c) GROUP BY ALL) AS node
+    JOIN g ON list_contains(open, g.c)
+    WHERE len(open) > 1 AND rows >= (SELECT floor(sum(n) / 2) FROM g) GROUP BY step, open)),
+rest AS (SELECT arg_max(open, step) AS open FROM cuts),
+leaves AS (SELECT g.c, CASE WHEN list_contains(open, g.c) THEN (SELECT sum(s) / sum(n) FROM g, rest WHERE list_contains(rest.open, g.c))
+  ELSE s / n END AS prediction FROM g, rest)
+SELECT o_orderkey, round(prediction, 4) AS prediction FROM p JOIN leaves ON o_orderpriority = leaves.c"""
+
+
+@query("train_tree_min_split", MIN_SPLIT_SQL)
+def train_tree_min_split(spark, folder):
+    """A regression tree over one text column; nodes of fewer than half the training rows are leaves."""
+    df = fx.table(spark, folder, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    rows = df.count()
+    params = {"max_depth": 10, "min_samples_split": (rows - -(-rows // 4)) // 2}
+    model = models.train_with_baseline(df, "o_totalprice", "Decision Tree", params, REGRESSION, 0.25, ["o_orderkey"])
+    return rounded(model.predict(df).select("o_orderkey", "prediction"), 4, "prediction")
+
+
 # -- sources ------------------------------------------------------------------------
 
 

@@ -3,11 +3,12 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from gridwright.constants import CLASSIFICATION, REGRESSION
-from gridwright.operators import encode, models, neighbors, split
+from gridwright.operators import encode, models, neighbors, split, trees
 from gridwright.sources import model_store
 
 
@@ -336,3 +337,56 @@ def test_comparison_guards(spark, numbers):
     with pytest.raises(ValueError, match="comparison failed"):
         models.compare_models(numbers.select("a", "y").withColumn("a", F.lit(None).cast("double")), "y", on_failure=lambda n, e: noted.append(n))
     assert len(noted) == 4
+
+
+# -- trees beyond the library's limits
+
+
+def tree_rows(spark, rows=400):
+    pick = np.random.default_rng(8)
+    data = [(i, float(pick.normal()), float(pick.integers(0, 9)), 0.0) for i in range(rows)]
+    data = [(i, a, b, float(a * a > 0.5) + float(b > 4) + 0.1 * a) for i, a, b, _ in data]
+    return VectorAssembler(inputCols=["a", "b"], outputCol=encode.FEATURES).transform(
+        spark.createDataFrame(data, f"id long, a double, b double, {models.LABEL} double")
+    )
+
+
+def test_least_rows_to_split(spark):
+    df = tree_rows(spark)
+    for name in ("Decision Tree", "Random Forest"):
+        found = models.fit_estimator(df, REGRESSION, name, {"max_depth": 8, "min_samples_split": 60, "n_estimators": 3})
+        plain = models.fit_estimator(df, REGRESSION, name, {"max_depth": 8, "n_estimators": 3})
+        for tree, whole in zip(*([[m] if name == "Decision Tree" else m.trees for m in (found, plain)])):
+            nodes, = trees._nodes(tree, spark)
+            inner = nodes[nodes.leftChild >= 0]
+            reached = {0, *inner.leftChild, *inner.rightChild}
+            assert nodes.rawCount[0] >= 60 and (inner.rawCount >= 60).all() and whole.numNodes > tree.numNodes > 1
+            old, = trees._nodes(whole, spark)
+            assert reached >= {0} and len(old[(old.leftChild >= 0) & (old.rawCount >= 60)]) == len(inner)
+        assert type(found) is type(plain) and found.transform(df).count() == 400
+
+
+@pytest.mark.parametrize("task", [REGRESSION, CLASSIFICATION])
+def test_trees_grow_on_beyond_the_limit(spark, monkeypatch, task):
+    df = tree_rows(spark)
+    if task == CLASSIFICATION:
+        df = df.withColumn(models.LABEL, (F.col("a") * 3 + F.col("b")).cast("int") % 3 + 0.0).where(F.col(models.LABEL) >= 0)
+    whole = models.fit_estimator(df, task, "Decision Tree", {"max_depth": 7})
+    monkeypatch.setattr(trees, "DEEPEST", 3)
+    found = models.fit_estimator(df, task, "Decision Tree", {"max_depth": 7})
+    assert 3 < found.depth <= 7
+    # Later cuts are offered from the rows of their node, so the grown tree fits the training rows at least about as well.
+    loss = lambda m: m.transform(df).select(F.avg(F.pow(F.col("prediction") - F.col(models.LABEL), 2))).first()[0]
+    assert loss(found) <= 1.1 * loss(whole) + 1e-9
+    forest = models.fit_estimator(df, task, "Random Forest", {"max_depth": 5, "n_estimators": 2, "min_samples_split": 4})
+    assert max(t.depth for t in forest.trees) > 3
+
+
+def test_a_tree_of_depth_over_30(spark):
+    df = VectorAssembler(inputCols=["x"], outputCol=encode.FEATURES).transform(
+        spark.range(40).selectExpr("CAST(id AS double) AS x", f"pow(3.0D, id) AS `{models.LABEL}`")
+    )
+    cut = {d: models.fit_estimator(df, REGRESSION, "Decision Tree", {"max_depth": d}) for d in (30, 38)}
+    assert cut[30].depth == 30 < cut[38].depth <= 38
+    exact = {d: m.transform(df).where(F.col("prediction") == F.col(models.LABEL)).count() for d, m in cut.items()}
+    assert exact[38] > exact[30]
