@@ -48,6 +48,24 @@ def with_row_index(
     )
 
 
+def total_before(df: DataFrame, order_by: Sequence[str], value: str, name: str) -> DataFrame:
+    """Add the sum of ``value`` over all rows that come before in the order; the columns should identify a row.
+
+    Sums run inside range partitions and are shifted by the sums of the partitions before.
+    """
+    keys = [column(c) for c in order_by]
+    marked = staged(df.repartitionByRange(*keys).select("*", F.spark_partition_id().alias("__part")))
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = marked.groupBy("__part").agg(F.sum(column(value)).alias("__sum")).select(
+        "__part", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__start")
+    )  # one row per partition
+    inside = Window.partitionBy("__part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    within = F.coalesce(F.sum(column(value)).over(inside), F.lit(0))
+    return marked.withColumn("__in", within).join(F.broadcast(starts), "__part").select(
+        *[column(c) for c in df.columns], (F.col("__start") + F.col("__in")).alias(name)
+    )
+
+
 def hash_order(key: Sequence[str], seed: int = SEED) -> Column:
     """A reproducible pseudo-random order: md5 of the key columns and the seed."""
     return F.md5(F.concat_ws("-", *[column(c).cast("string") for c in key], F.lit(str(seed))))

@@ -6,7 +6,8 @@ import itertools
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,9 @@ from gridwright.functions.storage import staged
 
 # Up to this many columns all pairs fit comfortably into one generated aggregate.
 JVM_COLUMNS = 12
+# Tasks' sums that are added in one further task; pairs whose sums travel in one row (48 bytes each).
+FAN_IN = 16
+STRIP_PAIRS = 200_000
 
 
 def histogram(df: DataFrame, name: str, bins: int = HISTOGRAM_BINS, by: str | None = None) -> DataFrame:
@@ -151,26 +155,85 @@ def _few_columns(values: DataFrame, centre: list[float], complete: list[bool]) -
     return values.sparkSession.createDataFrame(table, PAIR_SCHEMA)
 
 
+def _strips(size: int) -> list[tuple[int, int]]:
+    """Runs of matrix rows whose part of the upper triangle is of about ``STRIP_PAIRS`` pairs, at least one row."""
+    edges, start, held = [], 0, 0
+    for row in range(size):
+        held += size - row
+        if held >= STRIP_PAIRS or row == size - 1:
+            edges.append((start, row + 1))
+            start, held = row + 1, 0
+    return edges
+
+
 def _many_columns(values: DataFrame, centre: list[float]) -> DataFrame:
-    """Pair sums as one small matrix product per Arrow batch, then added up by pair."""
+    """Pair sums as small matrix products per Arrow batch, packed, and added up by a tree of tasks.
+
+    A task hands on its upper triangle in one row for each strip of it (mostly there is one strip), as bytes. Some such
+    rows at a time are added in the next level, in the order of the tasks, until one row is left; only that one is taken
+    apart into pairs.
+    """
     size, shift = len(centre), np.array(centre)
+    strips = _strips(size)
+    inside = [np.triu_indices(size)[0].searchsorted([lo, hi]) for lo, hi in strips]
     left, right = np.triu_indices(size)
 
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
-            x = batch.to_numpy(dtype="float64", na_value=np.nan) - shift
+            x = batch.to_pandas().to_numpy(dtype="float64", na_value=np.nan) - shift
             have = ~np.isnan(x)
             x = np.where(have, x, 0.0)
             have = have.astype("float64")
             square = x * x
-            parts = np.stack([have.T @ have, x.T @ have, have.T @ x, square.T @ have, have.T @ square, x.T @ x])
-            total = parts if total is None else total + parts
+            total = np.zeros((len(PAIR_SUMS), len(left))) if total is None else total
+            for k, (m, n) in enumerate(((have, have), (x, have), (have, x), (square, have), (have, square), (x, x))):
+                total[k] += (m.T @ n)[left, right]
         if total is not None:
-            found = {k: m[left, right] for k, m in zip(PAIR_SUMS, total)}
-            yield pd.DataFrame({"i": left, "j": right, **found})
+            slot = TaskContext.get().partitionId()
+            for strip, (lo, hi) in enumerate(inside):
+                yield _packed(strip, slot, np.ascontiguousarray(total[:, lo:hi]))
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, total = None, None
+        for batch in batches:
+            for strip, slot, packed in zip(*(batch.column(c) for c in ("strip", "slot", "packed"))):
+                at, own = (strip.as_py(), slot.as_py() // FAN_IN), np.frombuffer(packed.as_buffer(), np.float64)
+                if at != here:
+                    if here is not None:
+                        yield _packed(*here, total)
+                    here, total = at, own.copy()
+                else:
+                    total += own
+        if here is not None:
+            yield _packed(*here, total)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for strip, packed in zip(batch.column("strip").to_pylist(), batch.column("packed")):
+                lo, hi = inside[strip]
+                own = np.frombuffer(packed.as_buffer(), np.float64).reshape(len(PAIR_SUMS), -1)
+                for at in range(0, hi - lo, 100_000):
+                    part = slice(at, at + 100_000)
+                    found = [pa.array(x[lo:hi][part].astype(np.int32)) for x in (left, right)] + [pa.array(k[part]) for k in own]
+                    yield pa.RecordBatch.from_arrays(found, ["i", "j", *PAIR_SUMS])
+
+    rows = staged(values.mapInArrow(sums, PACKED_SCHEMA))
+    tasks = (rows.agg(F.max("slot")).first()[0] or 0) + 1
+    while tasks > 1:
+        order = ["strip", F.floor(F.col("slot") / FAN_IN), "slot"]
+        rows = rows.repartition(*order[:2]).sortWithinPartitions(*order).mapInArrow(added, PACKED_SCHEMA)
+        tasks = -(-tasks // FAN_IN)
+    return rows.mapInArrow(pairs, PAIR_SCHEMA)
+
 
-    return values.mapInPandas(sums, PAIR_SCHEMA).groupBy("i", "j").agg(*[F.sum(k).alias(k) for k in PAIR_SUMS])
+PACKED_SCHEMA = "strip int, slot int, packed binary"
+
+
+def _packed(strip: int, slot: int, total: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([strip], pa.int32()), pa.array([slot], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["strip", "slot", "packed"]
+    )
 
 
 def _correlation(sums: DataFrame, names: list[str]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -200,6 +201,47 @@ def is_unchanged(new: DataFrame, old: DataFrame) -> bool:
     return balance.where("sign <> 0").isEmpty()
 
 
+@dataclass(frozen=True)
+class TableMark:
+    """What stands for a version of a table: columns, rows, 128 bits of contents, and the rows' order."""
+
+    columns: tuple
+    rows: int
+    contents: tuple[int, int]
+    order: int
+    sorted: bool
+
+    def same(self, before: TableMark) -> bool:
+        """Whether this version, made from ``before``, equals it. Order counts where this version's plan sorts."""
+        alike = (self.columns, self.rows, self.contents) == (before.columns, before.rows, before.contents)
+        return alike and (not self.sorted or self.order == before.order)
+
+
+def table_mark(df: DataFrame) -> TableMark:
+    """One scan of ``df``, one row of sums per partition.
+
+    Contents are sums of two hashes of each row. The order's mark sums each row's hash times its position; positions
+    are numbered inside partitions, and the partitions' sums are shifted by the rows before them.
+    """
+    kinds = tuple((f.name, f.dataType.simpleString()) for f in df.schema.fields)
+    is_sorted = not df._jdf.queryExecution().optimizedPlan().outputOrdering().isEmpty()
+    named = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    marked = named.select(
+        F.spark_partition_id().alias("part"), at.cast("decimal(11,0)").alias("at"),
+        F.xxhash64(*named.columns).cast("decimal(20,0)").alias("a"), F.xxhash64(F.lit(1), *named.columns).cast("decimal(20,0)").alias("b"),
+        F.shiftright(F.xxhash64(F.lit(2), *named.columns), 24).cast("decimal(13,0)").alias("c"),
+    )
+    parts = marked.groupBy("part").agg(
+        F.count("*").alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("c").alias("c"), F.sum(F.col("c") * F.col("at")).alias("w")
+    ).orderBy("part").collect()
+    before = order = 0
+    for r in parts:
+        order += int(r.w) + before * int(r.c)
+        before += r.n
+    return TableMark(kinds, before, (sum(int(r.a) for r in parts), sum(int(r.b) for r in parts)), order, is_sorted)
+
+
 def default_features(df: DataFrame, names: Sequence[str] | None = None) -> dict[str, float | str]:
     """A safe value per column: the mean for numbers (0.0 if all missing), the mode as text (or "")."""
     names = list(names if names is not None else df.columns)

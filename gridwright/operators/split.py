@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridwright.constants import BROADCAST_ROWS, CLASSIFICATION, FOLDS, GROUP_ROWS, HISTOGRAM_BINS, REGRESSION, SEED
-from gridwright.functions.ranks import hash_bucket, hash_order, rows_at_ranks
+from gridwright.functions.ranks import hash_bucket, hash_order, rows_at_ranks, total_before, with_row_index
 from gridwright.functions.semantics import column, known, require_columns
 from gridwright.operators.charts import histogram
 from gridwright.operators.checks import require_target
@@ -81,18 +81,23 @@ def plan_split(df: DataFrame, label: str, fraction: float, task: str, strict: bo
     return SplitPlan(rows, train, test, classes if stratified else 1, stratified)
 
 
-def _test_quotas(sizes: DataFrame, plan: SplitPlan) -> DataFrame:
+def _test_quotas(sizes: DataFrame, plan: SplitPlan, group_rows: int) -> DataFrame:
     """Test rows per class: training rows are shared by largest remainder, in whole numbers.
 
-    The table has one row per class. Ties go to the smaller class value.
+    The table has one row per class. Ties go to the smaller class value. Up to ``group_rows`` classes are ranked in
+    one task, more by range partitions.
     """
     product = F.col("_size").cast("decimal(38,0)") * F.lit(plan.train_rows).cast("decimal(19,0)")
     whole = F.lit(plan.rows).cast("decimal(19,0)")
     share = sizes.withColumn("_left", product % whole)
     share = share.withColumn("_floor", ((product - F.col("_left")) / whole).cast("bigint"))
     spare = plan.train_rows - share.agg(F.sum("_floor")).first()[0]
-    order = Window.orderBy(F.desc("_left"), "_class")
-    extra = F.when(F.row_number().over(order) <= spare, 1).otherwise(0)
+    if plan.classes > group_rows:
+        share = with_row_index(share.withColumn("_less", -F.col("_left")), ["_less", "_class"], "_place")
+        place = F.col("_place")
+    else:
+        place = F.row_number().over(Window.orderBy(F.desc("_left"), "_class")) - 1
+    extra = F.when(place < spare, 1).otherwise(0)
     return share.select("_class", (F.col("_size") - F.col("_floor") - extra).alias("_rank")).where("_rank > 0")
 
 
@@ -122,7 +127,8 @@ def split_by_plan(
         *([bucket.alias("_bucket")] if bucket is not None else []),
     )
     parts = ["_hash", *[f"_k{i}" for i in range(len(key))]]
-    targets = _test_quotas(_class_sizes(df, label if plan.stratified else None), plan).withColumn("_target", F.lit(0))
+    sizes = _class_sizes(df, label if plan.stratified else None)
+    targets = _test_quotas(sizes, plan, group_rows).withColumn("_target", F.lit(0))
     few = plan.classes <= BROADCAST_ROWS
     cuts = rows_at_ranks(rows, ["_class"], parts, targets, bucket is not None, few)
     cuts = cuts.select("_class", F.struct(*parts).alias("_cut"))
@@ -196,8 +202,11 @@ def assign_folds(
     sizes = df.groupBy(known(df, label).alias("_class")).agg(F.count("*").alias("_size"), F.min(at).alias("_first"))
     rows, classes = sizes.agg(F.sum("_size"), F.count("*")).first()
     # One row per class from here on.
-    before = Window.orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sizes.withColumn("_start", F.coalesce(F.sum("_size").over(before), F.lit(0)))
+    if classes > group_rows:
+        placed = total_before(sizes, ["_first"], "_size", "_start")
+    else:
+        before = Window.orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
+        placed = sizes.withColumn("_start", F.coalesce(F.sum("_size").over(before), F.lit(0)))
 
     def dealt(upto, fold):  # positions below `upto` that go to `fold`
         return F.floor((upto + (folds - 1 - fold)) / folds)

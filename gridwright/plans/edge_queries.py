@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from gridwright.constants import CLASSIFICATION, REGRESSION
 from gridwright.functions.quantiles import exact_quantiles, grouped_quantiles
+from gridwright.functions.ranks import with_row_index
 from gridwright.functions.storage import shared_folder
 from gridwright.operators import charts, missing, models, neighbors, profile, rules, split
 from gridwright.operators import rows as row_ops
@@ -146,6 +147,82 @@ def knn_vote_in_blocks(spark, folder):
     return votes.select(F.col("_query").alias("query"), F.col("prediction").cast("int"))
 
 
+#: Columns of the wide table.
+WIDE = 200
+
+
+@query(
+    "corr_matrix_wide",
+    f"""WITH t AS (SELECT [CASE WHEN (p_partkey + i) % 11 > 0 OR i % 3 > 0 THEN (p_partkey * (i + 3) + p_size * i) % (17 + i) END::DOUBLE
+  FOR i IN range({WIDE})] AS x FROM part)
+SELECT 'c' || i AS col_a, 'c' || j AS col_b, round(corr(x[i + 1], x[j + 1]), 6) + 0.0 AS r
+FROM t, range({WIDE}) AS a(i), range({WIDE}) AS b(j) WHERE i < j GROUP BY i, j""",
+)
+def corr_matrix_wide(spark, folder):
+    """All pairs of 200 columns, a third of them with missing cells."""
+    made = [
+        f"CAST(CASE WHEN (p_partkey + {i}) % 11 > 0 OR {i % 3} > 0 THEN (p_partkey * {i + 3} + p_size * {i}) % {17 + i} END AS double) AS c{i}"
+        for i in range(WIDE)
+    ]
+    matrix = charts.correlation_matrix(fx.table(spark, folder, "part").selectExpr(*made))
+    upper = F.substring("col_a", 2, 9).cast("int") < F.substring("col_b", 2, 9).cast("int")
+    return matrix.where(upper).withColumn("r", F.round("r", 6) + 0.0)
+
+
+CLASSES_OF = {"spark": "o_orderkey DIV 5 * 2 + IF(o_orderkey % 5 < 2, 0, 1)", "sql": "o_orderkey // 5 * 2 + CASE WHEN o_orderkey % 5 < 2 THEN 0 ELSE 1 END"}
+#: Two and three rows a class; more classes are to get a row more than there are such rows.
+PAIRS = f"o AS (SELECT o_orderkey, {CLASSES_OF['sql']} AS class FROM orders)"
+
+
+def paired_orders(spark: SparkSession, folder: str) -> DataFrame:
+    return fx.table(spark, folder, "orders").selectExpr("o_orderkey", f"{CLASSES_OF['spark']} AS class")
+
+
+@query(
+    "strat_split_many_classes",
+    f"""WITH {PAIRS}, c AS (SELECT class AS s, count(*) AS n FROM o GROUP BY 1),
+t AS (SELECT CAST(sum(n) AS BIGINT) AS n, CAST(sum(n) - ceil(CAST(0.45 AS DOUBLE) * sum(n)) AS BIGINT) AS train FROM c),
+q AS (SELECT s, c.n, (c.n * train) // t.n AS fl, (c.n * train) % t.n AS rest, train FROM c, t),
+e AS (SELECT *, row_number() OVER (ORDER BY rest DESC, s) <= train - (SELECT sum(fl) FROM q) AS extra FROM q)
+SELECT o_orderkey, class, CASE WHEN row_number() OVER (PARTITION BY class ORDER BY md5(CAST(o_orderkey AS VARCHAR) || '-42'), o_orderkey)
+  <= e.n - fl - extra::INT THEN 'Test' ELSE 'Train' END AS split FROM o JOIN e ON class = s""",
+)
+def strat_split_many_classes(spark, folder):
+    """As many classes as there are pairs and triples of rows: quotas and cut points are found without one task for all."""
+    return split.train_test_split(paired_orders(spark, folder), "class", 0.45, CLASSIFICATION, ["o_orderkey"], group_rows=100)
+
+
+@query(
+    "cv_folds_many_classes",
+    f"""WITH {PAIRS}, r AS (SELECT o_orderkey, class AS s, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos FROM o),
+c AS (SELECT s, min(pos) AS head FROM r GROUP BY 1),
+d AS (SELECT s, (row_number() OVER (ORDER BY head, r.pos) - 1) % 3 AS fold FROM r JOIN c USING (s)),
+k AS (SELECT s, fold, sum(count(*)) OVER (PARTITION BY s ORDER BY fold) AS upto FROM d GROUP BY 1, 2),
+n AS (SELECT o_orderkey, s, row_number() OVER (PARTITION BY s ORDER BY pos) AS nth FROM r)
+SELECT o_orderkey, s AS class, CAST(min(fold) AS INT) AS fold FROM n JOIN k USING (s) WHERE nth <= upto GROUP BY 1, 2""",
+)
+def cv_folds_many_classes(spark, folder):
+    df = with_row_index(paired_orders(spark, folder), ["o_orderkey"])
+    return split.assign_folds(df, "_row", 3, "class", group_rows=100).select("o_orderkey", "class", "fold")
+
+
+@query(
+    "ordered_steps",
+    """WITH o AS (SELECT list(o_orderkey ORDER BY o_orderkey) AS k, list(o_orderkey ORDER BY o_totalprice DESC, o_orderkey) AS p,
+  bool_and(o_totalprice + 1 = o_totalprice) AS same FROM orders)
+SELECT unnest(['by key', 'by price', 'by price again', 'back', 'one more']) AS step, unnest([k <> k, k <> p, p <> p, p <> k, NOT same]) AS changed FROM o""",
+)
+def ordered_steps(spark, folder):
+    """Which steps count as changes: sorting does where rows change places."""
+    work = Workspace(spark).load(fx.table(spark, folder, "orders").select("o_orderkey", "o_totalprice"), "Orders")
+    by_price = lambda df: df.orderBy(F.desc("o_totalprice"), "o_orderkey")
+    steps = {
+        "by key": lambda df: df.orderBy("o_orderkey"), "by price": by_price, "by price again": by_price,
+        "back": lambda df: df.orderBy("o_orderkey"), "one more": lambda df: df.withColumn("o_totalprice", F.col("o_totalprice") + 1),
+    }
+    return spark.createDataFrame([(name, work.apply(step, name)) for name, step in steps.items()], "step string, changed boolean")
+
+
 # -- a whole mixed table, a tree with one cut -----------------------------------------
 
 MOMENT = """SELECT 'o_orderdate' AS "column", count(*) AS count, NULL::BIGINT AS "unique", NULL AS top, NULL::BIGINT AS freq,

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from gridwright.constants import HISTORY_DEPTH
 from gridwright.functions.storage import staged
 from gridwright.operators.checks import checked
-from gridwright.operators.profile import dataset_stats, is_unchanged, stats_delta
+from gridwright.operators.profile import TableMark, dataset_stats, table_mark
 from gridwright.sources.tables import forget_snapshot, load_snapshot, read_table, save_snapshot
 
 # After this many steps on top of each other the current table is written out.
@@ -38,6 +38,9 @@ class Workspace:
         self.model: Any = None
         self.target: str | None = None
         self._base: DataFrame | None = None
+        self._base_stats: dict[str, int] | None = None
+        self._mark: TableMark | None = None  # of the current table, once it is needed
+        self._marks: list[TableMark | None] = []  # of the tables in the history
         self._stats: dict[str, int] | None = None
         self._depth = 0
         self._restored = False
@@ -71,18 +74,24 @@ class Workspace:
     def _install(self, result: DataFrame, label: str, detect_no_change: bool = True) -> bool:
         result = checked(result, label)
         self.pending = None
-        if detect_no_change and is_unchanged(result, self._need()):
-            return False
+        mark = None
+        if detect_no_change:
+            # Each version is marked once; the mark of the table before the step is known from its own step.
+            self._mark = self._mark or table_mark(self._need())
+            mark = table_mark(result)
+            if mark.same(self._mark):
+                return False
         self.history = (self.history + [self._need()])[-HISTORY_DEPTH:]
+        self._marks = (self._marks + [self._mark])[-HISTORY_DEPTH:]
         self._depth += 1
         if self._depth >= STEPS_PER_STAGE:
             result, self._depth = staged(result), 0
-        self._set(result)
+        self._set(result, mark)
         self.log(label)
         return True
 
-    def _set(self, df: DataFrame) -> None:
-        self.current, self._stats, self.pending = df, None, None
+    def _set(self, df: DataFrame, mark: TableMark | None = None) -> None:
+        self.current, self._stats, self.pending, self._mark = df, None, None, mark
         if self.target not in df.columns:
             self.target = None
 
@@ -95,7 +104,8 @@ class Workspace:
         """Back to the table before the last step; ``False`` when there is none."""
         if not self.history:
             return False
-        self._set(checked(self.history.pop(), "Undo snapshot"))
+        mark = self._marks.pop() if self._marks else None
+        self._set(checked(self.history.pop(), "Undo snapshot"), mark)
         self.log(label)
         return True
 
@@ -129,7 +139,7 @@ class Workspace:
                 self._set(checked(self.raw, "Raw recovery"))
             except ValueError:
                 raise ValueError(f"No usable table is left; the workspace could not be recovered: {problem}") from problem
-            self.history = []
+            self.history, self._marks = [], []
             self.log("Auto-recover: restored uploaded dataset")
             return False
 
@@ -157,7 +167,10 @@ class Workspace:
         return self._stats
 
     def delta(self) -> dict[str, int]:
-        return stats_delta(self._need(), self._base).first().asDict()
+        """The current statistics less those of the table as it was loaded, which are computed once."""
+        if self._base_stats is None:
+            self._base_stats = dataset_stats(self._base).first().asDict()
+        return {name: value - self._base_stats[name] for name, value in self.stats().items()}
 
     # -- snapshots ------------------------------------------------------------------
 
@@ -168,7 +181,7 @@ class Workspace:
         if not remember:
             if self._restored:  # its tables are read from what is deleted now
                 self.raw, self.current = staged(self.raw), staged(self.current)
-                self._base, self.history, self._restored = self.current, [], False
+                self._base, self.history, self._marks, self._restored = self.current, [], [], False
             forget_snapshot(self.spark, self.folder)
             return False
         if self.current is None:

@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from gridwright.functions import ranks
 from gridwright.functions.frequencies import most_frequent
 from gridwright.functions.quantiles import exact_quantiles, grouped_quantiles
 from gridwright.operators import charts, metrics, profile
@@ -183,3 +184,47 @@ def test_regression_metrics(spark, y, p, want):
     assert found["R2"] == pytest.approx(want)
     assert found["MSE"] == pytest.approx(sum((a - b) ** 2 for a, b in zip(y, p)) / len(y))
     assert math.isfinite(found["R2"])
+
+
+def test_many_columns_add_up_in_a_tree(spark, monkeypatch):
+    """Few rows a task are handed on, whatever the number of pairs; strips and levels agree with one aggregate."""
+    pick = np.random.default_rng(3)
+    data = pick.normal(5, 2, (300, 15)) @ pick.normal(0, 1, (15, 15))
+    rows = [[None if (i + j) % 13 == 0 else float(v) for j, v in enumerate(r)] for i, r in enumerate(data)]
+    df = spark.createDataFrame(rows, ", ".join(f"c{j} double" for j in range(15))).repartition(9)
+    monkeypatch.setattr(charts, "FAN_IN", 2)
+    want = {(r.col_a, r.col_b): r.r for r in charts.correlation_matrix(df, jvm_columns=20).collect()}
+    for pairs in (1, 40, 10**6):
+        monkeypatch.setattr(charts, "STRIP_PAIRS", pairs)
+        found = {(r.col_a, r.col_b): r.r for r in charts.correlation_matrix(df, jvm_columns=1).collect()}
+        assert found == pytest.approx(want, abs=1e-9) and len(found) == 225
+    monkeypatch.setattr(charts, "STRIP_PAIRS", 10**6)
+    values = df.select(*[F.col(c).alias(f"v{i}") for i, c in enumerate(df.columns)])
+    plan = charts._many_columns(values, [0.0] * 15)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(strip") == 4  # 9 tasks, 5, 3, 2, 1
+    assert len(charts._strips(4)) == 1
+
+
+
+def test_marks_of_table_versions(spark, people):
+    rows = spark.range(200).selectExpr("id", "id * 37 % 101 AS v", "IF(id % 7 = 0, NULL, CAST(id AS string)) AS t").repartition(5, "v").persist()
+    mark = profile.table_mark(rows)
+    assert mark.rows == 200 and profile.table_mark(rows.where("id >= 0")).same(mark)
+    # Dealt anew without a sort: the same rows. Sorted: another order, unless it was that order already.
+    assert profile.table_mark(rows.repartition(3)).same(mark)
+    by_v = profile.table_mark(rows.orderBy("v", "id"))
+    assert by_v.sorted and not by_v.same(mark)
+    assert profile.table_mark(rows.orderBy("v", "id").coalesce(1).orderBy("v", "id")).same(by_v)
+    assert not profile.table_mark(rows.orderBy("id")).same(by_v)
+    for other in (rows.where("id <> 5"), rows.withColumn("v", F.expr("IF(id = 9, 0, v)")), rows.withColumn("v", F.col("v").cast("int")), rows.union(rows.limit(1))):
+        assert not profile.table_mark(other).same(mark)
+    assert profile.table_mark(rows.limit(0)).rows == 0
+    rows.unpersist()
+
+
+def test_running_totals_in_range_parts(spark):
+    pick = random.Random(4)
+    data = [(i, pick.randint(0, 9)) for i in range(500)]
+    df = spark.createDataFrame(data, "k int, v int").repartition(7)
+    found = {r.k: r.before for r in ranks.total_before(df, ["k"], "v", "before").collect()}
+    assert found == {k: sum(v for _, v in data[:k]) for k, _ in data}
