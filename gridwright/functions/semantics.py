@@ -82,6 +82,20 @@ def text(df: DataFrame, name: str) -> Column:
     return F.coalesce(known(df, name).cast("string"), F.lit(""))
 
 
+def row_hash(df: DataFrame, seed: int) -> Column:
+    """64 bits that stand for a row, missing cells included; NaN counts as missing, nested cells by their JSON text.
+
+    The hash functions skip nulls, so whether a cell is null is hashed beside it.
+    """
+    cells: list[Column] = [F.lit(seed)]
+    for field in df.schema.fields:
+        cell = known(df, field.name)
+        if isinstance(field.dataType, (T.ArrayType, T.StructType, T.MapType)):
+            cell = F.to_json(F.struct(cell.alias("v")), {"ignoreNullFields": "false"})
+        cells += [cell, cell.isNull()]
+    return F.xxhash64(*cells)
+
+
 def require_columns(df: DataFrame, names: Iterable[str]) -> None:
     absent = [n for n in names if n not in df.columns]
     if absent:

@@ -22,6 +22,7 @@ from gridwright.functions.semantics import (
     number,
     numeric_columns,
     require_columns,
+    row_hash,
 )
 from gridwright.operators.checks import require_target
 
@@ -45,21 +46,21 @@ def workspace_counters(df: DataFrame) -> DataFrame:
 def dataset_stats(df: DataFrame) -> DataFrame:
     """Rows, columns, missing cells and duplicate rows (beyond the first of each).
 
-    Equal rows are combined on the map side with their count and missing cells, so
-    only distinct rows are shuffled and one pass serves all four numbers.
+    Rows are told apart by 128 bits of hash, so a row of any width is shuffled as two numbers, and equal rows are
+    combined on the map side with their count and missing cells. One pass serves all four numbers. Two different rows
+    of n would be taken for equal with a chance of n^2 / 2^129.
     """
     cells = F.lit(0)
     for c in df.columns:
         cells = cells + missing(df, c).cast("int")
     distinct = (
-        df.select(*[known(df, c).alias(f"c{i}") for i, c in enumerate(df.columns)], cells.alias("cells"))
-        .groupBy(*[f"c{i}" for i in range(len(df.columns))], "cells")
-        .agg(F.count("*").alias("copies"))
+        df.select(row_hash(df, 1).alias("a"), row_hash(df, 2).alias("b"), cells.alias("cells"))
+        .groupBy("a", "b").agg(F.count("*").alias("copies"), F.sum("cells").alias("cells"))
     )
     return distinct.agg(
         F.coalesce(F.sum("copies"), F.lit(0)).alias("rows"),
         F.lit(len(df.columns)).cast("bigint").alias("cols"),
-        F.coalesce(F.sum(F.col("cells") * F.col("copies")), F.lit(0)).alias("missing"),
+        F.coalesce(F.sum("cells"), F.lit(0)).alias("missing"),
         F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("duplicates"),
     )
 
@@ -225,12 +226,10 @@ def table_mark(df: DataFrame) -> TableMark:
     """
     kinds = tuple((f.name, f.dataType.simpleString()) for f in df.schema.fields)
     is_sorted = not df._jdf.queryExecution().optimizedPlan().outputOrdering().isEmpty()
-    named = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
     at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    marked = named.select(
-        F.spark_partition_id().alias("part"), at.cast("decimal(11,0)").alias("at"),
-        F.xxhash64(*named.columns).cast("decimal(20,0)").alias("a"), F.xxhash64(F.lit(1), *named.columns).cast("decimal(20,0)").alias("b"),
-        F.shiftright(F.xxhash64(F.lit(2), *named.columns), 24).cast("decimal(13,0)").alias("c"),
+    marked = df.select(
+        F.spark_partition_id().alias("part"), at.cast("decimal(11,0)").alias("at"), row_hash(df, 1).cast("decimal(20,0)").alias("a"),
+        row_hash(df, 2).cast("decimal(20,0)").alias("b"), F.shiftright(row_hash(df, 3), 24).cast("decimal(13,0)").alias("c"),
     )
     parts = marked.groupBy("part").agg(
         F.count("*").alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("c").alias("c"), F.sum(F.col("c") * F.col("at")).alias("w")
