@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gridwright.functions.storage import staged
 from gridwright.llm import decontamination, near_dedup, packing, quality_classifier, secret_scan
-from gridwright.llm.common import table
+from gridwright.llm.common import spare, table
 from gridwright.llm.queries import GOOD, fitted_classifier, public_tokens, test_items
 
 
@@ -36,11 +36,12 @@ def decontaminate(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """All documents, with secrets masked and ``n_chars`` counted anew where the text has changed."""
-    masked = secret_scan.mask(docs.withColumn("text_before_", F.col("text")))
-    changed = ~F.col("text").eqNullSafe(F.col("text_before_"))
+    before = spare(docs, "text_before_")
+    masked = secret_scan.mask(docs.withColumn(before, F.col("text")))
+    changed = ~F.col("text").eqNullSafe(F.col(before))
     return masked.withColumn(
         "n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    ).drop("text_before_")
+    ).drop(before)
 
 
 def pack(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
