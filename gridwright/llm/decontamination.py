@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 from gridwright.llm.common import mapped, quoted, spare, text_of
 
@@ -206,7 +208,7 @@ def mark(
 
 
 def _finder(index, kind: str):
-    arrow = pa.list_({"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind])
+    arrow = pa.list_(to_arrow_type(_parse_datatype_string(kind)))
 
     @F.arrow_udf(f"array<{kind}>")
     def find(texts: pa.Array) -> pa.Array:

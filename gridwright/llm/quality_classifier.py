@@ -97,7 +97,7 @@ def fit(
     only their texts of at most ``SAMPLE_CHARS`` characters reach the driver, so the bound in bytes is
     fixed; no text is shuffled. Every other text drawn builds the dictionaries, the rest fits the curve,
     weighted to the classes' true shares. Null keys, other labels and null or empty texts are passed over;
-    of a key with two labels the larger counts. Without texts of both classes the score is one constant:
+    of a key with two labels the larger counts, of one with several texts any of them. Without texts of both classes the score is one constant:
     the smoothed share of label 1.
     """
     known = (
@@ -110,7 +110,8 @@ def fit(
         some = known.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(sample_rows)
         drawn_keys = some if drawn_keys is None else drawn_keys.unionAll(some)
     texts = docs.select(quoted(key).alias("k"), text_of(text).alias("t")).where(F.length("t").between(1, SAMPLE_CHARS))
-    rows = texts.join(F.broadcast(drawn_keys), "k").select("y", "t").collect()
+    # One text of a key, however often the key repeats.
+    rows = texts.join(F.broadcast(drawn_keys), "k").groupBy("k", "y").agg(F.min_by("t", F.xxhash64("t")).alias("t")).collect()
     drawn = {y: sorted({r.t for r in rows if r.y == y}) for y in (0, 1)}
     share = (counted.get(1, 0) + 1) / (sum(counted.values()) + 2)
     if min(len(drawn[0]), len(drawn[1])) < 2:

@@ -77,9 +77,10 @@ def _covered(starts: Column) -> Column:
     )
 
 
-def base_columns(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with the base counts and ``base_failed`` (see ``rules`` for their meaning)."""
-    t, w, s, r = (spare(df, n) for n in ("t_", "w_", "s_", "r_"))
+def base_columns(df: DataFrame, text: str = "text", words: str = "words_") -> DataFrame:
+    """``df`` with the base counts, ``base_failed`` (see ``rules`` for their meaning) and the list of ``words``."""
+    t, s, r = (spare(df, n) for n in ("t_", "s_", "r_"))
+    w = words
     lines = F.filter(F.split(F.col(t), "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     worded = df.withColumn(t, text_of(text)).withColumn(w, words_of(F.col(t)))
     # Each sorted list is a column of its own, so that no lambda computes it anew for each element.
@@ -102,25 +103,36 @@ def base_columns(df: DataFrame, text: str = "text") -> DataFrame:
             (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")),
         )
         .drop(t, s, r)
-        .withColumnRenamed(w, "words_")
     )
 
 
-def bucket_counts(texts: DataFrame, buckets: int, name: str) -> DataFrame:
-    """How often each bucket occurs in the column ``t`` of ``texts``; one row per bucket that occurs."""
-    grams = texts.select(words_of(F.col("t")).alias("w")).select(F.explode(gram_buckets(F.col("w"), buckets)).alias("b"))
-    return grams.groupBy("b").agg(F.count(F.lit(1)).alias(name))
+def bucket_counts(texts: DataFrame, buckets: int) -> DataFrame:
+    """How often each bucket occurs in the column ``t`` of ``texts``, in all and in the ``trusted`` ones, in one pass."""
+    grams = texts.select("trusted", words_of(F.col("t")).alias("w")).select(
+        "trusted", F.explode(gram_buckets(F.col("w"), buckets)).alias("b")
+    )
+    return grams.groupBy("b").agg(F.count_if("trusted").alias("n_trusted"), F.count(F.lit(1)).alias("n_all"))
 
 
 def log_ratios(trusted: DataFrame, corpus: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> DataFrame:
-    """One row, one column ``ratios``: the log ratio of each bucket, in order. Both inputs have a column ``t``.
+    """The ratios of two separate tables of texts (column ``t``); see ``log_ratios_within``."""
+    sides = trusted.select("t", F.lit(True).alias("trusted")).unionAll(corpus.select("t", F.lit(False).alias("trusted")))
+    found = bucket_counts(sides, buckets).withColumn("n_corpus", F.col("n_all") - F.col("n_trusted"))
+    return _ratios(found, buckets, smoothing)
+
+
+def log_ratios_within(texts: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> DataFrame:
+    """One row, one column ``ratios``: the log ratio of each bucket, in order.
 
-    No trusted or no corpus text: every text of that side counts as evenly spread.
+    ``texts`` has a column ``t`` and a boolean ``trusted``; the corpus is all of them. No trusted text, or none at
+    all: that side counts as evenly spread.
     """
+    return _ratios(bucket_counts(texts, buckets).withColumnRenamed("n_all", "n_corpus"), buckets, smoothing)
+
+
+def _ratios(found: DataFrame, buckets: int, smoothing: float) -> DataFrame:
     counted = (
-        corpus.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b"))
-        .join(bucket_counts(trusted, buckets, "n_trusted"), "b", "left")
-        .join(bucket_counts(corpus, buckets, "n_corpus"), "b", "left")
+        found.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b")).join(found, "b", "left")
         .fillna(0, ["n_trusted", "n_corpus"])
     )
     sums = counted.agg(
@@ -136,15 +148,21 @@ def log_ratios(trusted: DataFrame, corpus: DataFrame, buckets: int = BUCKETS, sm
     )
 
 
-def trusted_texts(docs: DataFrame, trusted_ids: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The texts (column ``t``) whose key is in the first column of ``trusted_ids``.
+def marked_texts(docs: DataFrame, trusted_ids: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The texts (column ``t``); ``trusted`` are those whose key is in the first column of ``trusted_ids``.
 
     Few ids are sent to the tasks, so no text is shuffled; the number is counted first.
     """
-    ids = trusted_ids.select(F.col(trusted_ids.columns[0]).alias("k")).distinct()
+    ids = trusted_ids.select(F.col(trusted_ids.columns[0]).alias("k")).dropna().distinct()
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    return docs.select(F.col(key).alias("k"), text_of(text).alias("t")).join(ids, "k", "left_semi").select("t")
+    known = docs.select(F.col(key).alias("k"), text_of(text).alias("t")).join(ids.withColumn("y", F.lit(True)), "k", "left")
+    return known.select("t", F.coalesce("y", F.lit(False)).alias("trusted"))
+
+
+def trusted_texts(docs: DataFrame, trusted_ids: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The trusted ones of ``marked_texts``."""
+    return marked_texts(docs, trusted_ids, key, text).where("trusted").select("t")
 
 
 def rules(
@@ -157,15 +175,16 @@ def rules(
     more. A null text counts as empty: no words, so the base rules fail it. Columns of these names are
     replaced, all others stay. The verdict of one text depends on no other row of ``df``.
     """
-    based = base_columns(df, text)
+    words = spare(df, "words_")
+    based = base_columns(df, text, words)
     # A list of fixed length; as text it becomes one constant when the plan is optimised.
     listed = ratios.select(F.transform("ratios", lambda x: F.round(x, 6).cast("string")).alias("r")).first().r
     weight = F.split(F.lit(",".join(listed)), ",").cast("array<double>")
-    grams = gram_buckets(F.col("words_"), buckets)
+    grams = gram_buckets(F.col(words), buckets)
     total = F.aggregate(grams, F.lit(0.0), lambda acc, b: acc + F.get(weight, b))
     mean = F.when(F.col("n_words") > 0, total / (2 * F.col("n_words") - 1)).otherwise(F.lit(0.0))
     return (
         based.withColumn("log_ratio", mean)
         .withColumn("kept", ~F.col("base_failed") & (F.col("log_ratio") >= threshold))
-        .drop("words_")
+        .drop(words)
     )

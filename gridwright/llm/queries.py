@@ -12,7 +12,7 @@ from gridwright.llm import (
     conversation_repair, decontamination, html_text, kd_sharding, near_dedup, packing, quality_classifier, quality_rules, secret_scan,
     spelling_variants, substring_dedup, suffix_dedup, url_filters,
 )
-from gridwright.llm.common import table, text_of
+from gridwright.llm.common import table
 from gridwright.llm.variant_sql import VARIANT_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,8 +51,7 @@ def op1(spark, folder):
 def op3(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     good = table(spark, folder, "labels").where("quality = 1").select("doc_id")
-    trusted = quality_rules.trusted_texts(docs, good)
-    ratios = quality_rules.log_ratios(trusted, docs.select(text_of().alias("t")))
+    ratios = quality_rules.log_ratios_within(quality_rules.marked_texts(docs, good))
     return quality_rules.rules(docs, ratios).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_ratio"
     )

@@ -381,22 +381,22 @@ def repeats(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def remove(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept_sha256`` of the bytes left of each text.
+    """``df`` with ``n_bytes``, ``n_removed``, ``n_spans``, ``has_repeats`` and ``kept_sha256`` of the bytes left of each text.
 
     A byte goes if a 400-byte string around it starts anywhere else in the texts of ``df``, the same text
     and equal rows included. Null texts count as empty; texts below 400 bytes, and an empty table, lose
-    nothing. Columns of the four names are replaced, all others stay.
+    nothing. ``has_repeats`` says whether any went. Columns of the five names are replaced, all others stay.
     """
-    names = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
+    names = ("n_bytes", "n_removed", "n_spans", "has_repeats", "kept_sha256")
     rows = df.drop(*[c for c in df.columns if c.lower() in names])
-    key = spare(rows, "key_of_text")
+    key, own = spare(rows, "key_of_text"), spare(rows, "own_sha256")
     t = text_of(text)
     # Written, so that the join can split a text of very many rows.
     found = staged(repeats(rows, text).select(F.col("k").alias(key), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")))
-    marked = rows.withColumns({key: text_key(t), "n_bytes": F.octet_length(t).cast("long"), "own_sha256_": F.sha2(t.cast("binary"), 256)})
+    marked = rows.withColumns({key: text_key(t), "n_bytes": F.octet_length(t).cast("long"), own: F.sha2(t.cast("binary"), 256)})
     order = [quoted(c) for c in rows.columns]
     return marked.join(found, key, "left").select(
         *order, "n_bytes", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
         F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"),
-        F.coalesce("kept_sha256", "own_sha256_").alias("kept_sha256"),
+        F.coalesce(F.col("n_removed") > 0, F.lit(False)).alias("has_repeats"), F.coalesce("kept_sha256", own).alias("kept_sha256"),
     )

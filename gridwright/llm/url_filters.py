@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridwright.llm.common import spare
+
 #: Entries up to this number are sent to all tasks; it is counted before. Patterns longer than a URL may be never match.
 BROADCAST_ENTRIES = 200_000
 
@@ -71,18 +73,19 @@ def evaluate(captures: DataFrame, valid: DataFrame, url: str = "url", fetched: s
     """
     names = ("blocked", "lists", "pattern")
     kept = captures.drop(*[c for c in captures.columns if c.lower() in names])
-    asked = kept.select(F.col(url).alias("u_"), F.col(fetched).alias("f_")).dropna().distinct()
-    wanted = asked.withColumn("pattern", F.explode(patterns_of(host_of(F.col("u_")), path_of(F.col("u_")))))
+    u, f = spare(kept, "u_"), spare(kept, "f_")
+    asked = kept.select(F.col(url).alias(u), F.col(fetched).alias(f)).dropna().distinct()
+    wanted = asked.withColumn("pattern", F.explode(patterns_of(host_of(F.col(u)), path_of(F.col(u)))))
     if valid.count() <= BROADCAST_ENTRIES:
         valid = F.broadcast(valid)
     hits = wanted.join(valid, "pattern").where(
-        (F.col("f_") >= F.col("since")) & (F.col("until").isNull() | (F.col("f_") < F.col("until")))
+        (F.col(f) >= F.col("since")) & (F.col("until").isNull() | (F.col(f) < F.col("until")))
     )
-    found = hits.groupBy("u_", "f_").agg(
+    found = hits.groupBy(u, f).agg(
         F.array_join(F.sort_array(F.collect_set("list")), ",").alias("lists"),
         F.max_by("pattern", F.struct(F.length("pattern"), "pattern")).alias("pattern"),
     )
-    joined = kept.join(found, (F.col(url) == F.col("u_")) & (F.col(fetched) == F.col("f_")), "left").drop("u_", "f_")
+    joined = kept.join(found, (F.col(url) == F.col(u)) & (F.col(fetched) == F.col(f)), "left").drop(u, f)
     return joined.withColumns(
         {"blocked": F.col("lists").isNotNull(), "lists": F.coalesce("lists", F.lit("")), "pattern": F.coalesce("pattern", F.lit(""))}
     )

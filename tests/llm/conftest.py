@@ -20,7 +20,7 @@ def odd(spark):
     ]
     kind = "doc_id long, text string, lang string, score double, n_words int, k string"
     wide = spark.createDataFrame(rows, kind)
-    for name in ("t", "h", "s", "class_id", "key_of_text", "w_", "items", "found_secrets", "predicted", "own"):
+    for name in ("t", "h", "s", "class_id", "key_of_text", "w_", "items", "found_secrets", "predicted", "own", "words_", "u_", "f_", "own_sha256_", "text_before_"):
         wide = wide.selectExpr("*", f"'{name}' AS `{name}`")
     return wide.repartition(3).cache()
 
