@@ -3,8 +3,9 @@
 Texts are tokenised and cut into pieces, then dealt evenly into shards of a bounded number of pieces; each
 shard is packed on its own. A shard starts from best-fit decreasing. Unless that already meets the lower
 bound, bins are filled one after the other around the largest piece left: the fillings that no other
-filling dominates are tried, least waste first, and a branch ends where its waste cannot beat the best
-packing so far. Only piece lengths take part in the search, so equal lengths are one choice.
+filling dominates are tried, least waste first, each for as many bins as the pieces allow, and a branch ends
+where its waste cannot beat the best packing so far. Only piece lengths and their numbers take part in the
+search, so equal lengths are one choice, and equal bins one node.
 """
 
 from __future__ import annotations
@@ -33,7 +34,8 @@ from gridwright.llm.common import quoted, text_of, values
 CAPACITY = 2048
 #: Pieces that are packed together.
 SHARD_PIECES = 25_000
-#: Fillings tried around one piece, and nodes of the search in one shard, before the best so far stands.
+#: Fillings tried around one piece, and nodes of a search (or four times the different lengths, if more), before the
+#: best so far stands.
 FILLINGS, NODES = 16, 2_000
 #: Full bins that the search opens again.
 REOPENED = 40
@@ -157,63 +159,82 @@ def fillings(lengths: list[int], left: dict[int, int], room: int, limit: int = F
     return kept
 
 
-def complete(lengths: list[int], counts: list[int], capacity: int, nodes: int = NODES) -> list[list[int]]:
-    """Bins as lists of lengths: as few as the search finds, never more than best-fit decreasing needs.
+def search(left: Counter, capacity: int, below: int, nodes: int) -> list[list[int]] | None:
+    """Fewer than ``below`` bins for the pieces ``left`` (length to number), or None if the search finds none.
 
-    Bins that best fit leaves no room in are kept, but for those of the most pieces, which are the easiest to
-    exchange; the search packs the pieces of the others anew.
+    A node of the search places one filling around the largest piece left, as often as the numbers of its pieces allow
+    or else once; so a way down to a packing takes about as many nodes as there are different lengths.
     """
-    best = best_fit(lengths, counts, capacity)
-    if len(best) <= -(-sum(a * b for a, b in zip(lengths, counts)) // capacity):
-        return best
-    full = sorted((one for one in best if sum(one) == capacity), key=len)
-    best = [one for one in best if sum(one) < capacity] + full[len(full) - min(REOPENED, len(full)) :]
-    full = full[: len(full) - min(REOPENED, len(full))]
-    left = Counter(x for one in best for x in one)
+    left = Counter(left)
     lengths = sorted(left, reverse=True)
-    total = sum(a * b for a, b in left.items())
+    total = sum(x * n for x, n in left.items())
     least = -(-total // capacity)
-    bins: list[list[int]] = []
+    best: list[tuple[tuple[int, ...], int]] | None = None
+    placed: list[tuple[tuple[int, ...], int]] = []
+    trail: list[list[tuple[tuple[int, ...], int]]] = []  # what is still to be tried at each depth
     waste = 0
-    trail: list[tuple[list[tuple[int, ...]], int]] = []  # fillings still to try, and the piece they stand around
 
-    def put(first: int, taken: tuple[int, ...], sign: int) -> None:
+    def put(one: tuple[int, ...], times: int) -> None:
         nonlocal waste
-        for x in (first, *taken):
-            left[x] -= sign
-        waste += sign * (capacity - first - sum(taken))
+        for x in one:
+            left[x] -= times
+        waste += times * (capacity - sum(one))
 
     def descend() -> bool:
         """One more level; False at a leaf."""
         first = next((x for x in lengths if left[x]), None)
         if first is None:
             return False
-        here = [x for x in lengths if left[x] and x <= capacity - first]
         left[first] -= 1
-        options = fillings(here, left, capacity - first)
+        here = [x for x in lengths if left[x] and x <= capacity - first]
+        options = []
+        for taken in fillings(here, left, capacity - first):
+            one = (first, *taken)
+            most = min((left[x] + (x == first)) // n for x, n in Counter(one).items())
+            options += [(one, most), (one, 1)] if most > 1 else [(one, 1)]
         left[first] += 1
-        trail.append((options[::-1], first))
+        trail.append(options[::-1])
         return True
 
-    spare_nodes = nodes
     descend()
-    while trail and spare_nodes:
-        spare_nodes -= 1
-        options, first = trail[-1]
-        if len(bins) == len(trail):  # back from the filling tried last
-            put(first, tuple(bins.pop()[1:]), -1)
-        if not options:
+    while trail and nodes:
+        nodes -= 1
+        if len(placed) == len(trail):  # back from what was tried last
+            one, times = placed.pop()
+            put(one, -times)
+        if not trail[-1]:
             trail.pop()
             continue
-        taken = options.pop()
-        put(first, taken, 1)
-        bins.append([first, *taken])
-        # Waste that any packing with one bin fewer than the best may have.
-        if waste <= (len(best) - 1) * capacity - total and not descend():
-            best = [list(b) for b in bins]
-            if len(best) <= least:
+        placed.append(trail[-1].pop())
+        put(*placed[-1])
+        # Waste that any packing with fewer bins may have.
+        if waste <= (below - 1) * capacity - total and not descend():
+            best, below = list(placed), sum(times for _, times in placed)
+            if below <= least:
                 break
-    return full + best
+    return None if best is None else [list(one) for one, times in best for _ in range(times)]
+
+
+def complete(lengths: list[int], counts: list[int], capacity: int, nodes: int = NODES) -> list[list[int]]:
+    """Bins as lists of lengths: as few as the search finds, never more than best-fit decreasing needs.
+
+    The search first packs anew the pieces of the bins that best fit leaves room in, and of some full bins of the most
+    pieces, which are the easiest to exchange; where that does not meet the lower bound, all pieces.
+    """
+    best = best_fit(lengths, counts, capacity)
+    least = -(-sum(a * b for a, b in zip(lengths, counts)) // capacity)
+    nodes = max(nodes, 4 * len(lengths))
+    full = sorted((one for one in best if sum(one) == capacity), key=len)
+    for opened in (REOPENED, len(full)):
+        if len(best) <= least:
+            break
+        kept = full[: max(0, len(full) - opened)]
+        rest = Counter(dict(zip(lengths, counts)))
+        rest.subtract(x for one in kept for x in one)
+        found = search(rest, capacity, len(best) - len(kept), nodes)
+        if found is not None:
+            return kept + found
+    return best
 
 
 def pack_lengths(values: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:

@@ -1,5 +1,6 @@
 """URL lists, page texts, packing and decontamination against plain Python and on odd rows."""
 
+import collections
 import datetime
 import random
 import zlib
@@ -267,3 +268,12 @@ def test_given_documents_against_substrings(spark):
     held = set(duckdb.sql(f"SELECT doc_id, item_id FROM '{folder}/documents.parquet' d, '{folder}/benchmark.parquet' b WHERE contains(d.text, b.text)").fetchall())
     got = {(r.doc_id, i) for r in queries.op10(spark, folder).collect() for i in r.item_ids}
     assert held <= got and len(got - held) <= 5
+
+
+@pytest.mark.parametrize("copies, bins", [(10, 14), (2_499, 3_332), (6_247, 8_330)])
+def test_search_places_many_equal_bins_at_once(copies, bins):
+    """Three of the lengths fill a bin, the fourth goes three to a bin; best fit needs a fifth more."""
+    kinds = [1032, 528, 520, 496]
+    found = pk.complete(kinds, [copies] * 4, 2048)
+    assert len(found) == bins < len(pk.best_fit(kinds, [copies] * 4, 2048)) and max(map(sum, found)) <= 2048
+    assert collections.Counter(x for one in found for x in one) == dict.fromkeys(kinds, copies)
