@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from gridwright.functions.ranks import top_rows, with_row_index
 from gridwright.functions.semantics import column, known, missing, normalised, require_columns
 
+# Neighbouring row numbers that meet the spans of a list in one bucket.
+BUCKET_ROWS = 512
+
 _PART = re.compile(r"\s*(\d+)\s*(?:-\s*(\d+)\s*)?")
 
 
@@ -61,6 +64,30 @@ def drop_row_positions(df: DataFrame, spec: str, order_by: Sequence[str] = (), s
     return numbered.withColumn("_before", before).where(~inside).drop("_row", "_before")
 
 
+def drop_rows_listed(
+    df: DataFrame, spans: DataFrame, order_by: Sequence[str] = (), stable: bool = False, bucket_rows: int = BUCKET_ROWS
+) -> DataFrame:
+    """Drop rows by their 0-based number, which is inside one of ``spans``: a table of any size, ``low`` and ``high``.
+
+    Both ends count, in either order; spans may repeat and overlap. Rows and spans meet in buckets of ``bucket_rows``
+    neighbouring numbers, so neither side is sent whole anywhere. A null end, or one that no row has, is an error.
+    """
+    total = df.count()
+    ends = spans.select(F.least("low", "high").cast("long").alias("_low"), F.greatest("low", "high").cast("long").alias("_high"))
+    facts = spans.agg(F.min(F.least("low", "high")), F.max(F.greatest("low", "high")), F.count_if(F.col("low").isNull() | F.col("high").isNull())).first()
+    if facts[2]:
+        raise ValueError("A span of rows has no end.")
+    if facts[0] is None:
+        return df
+    if facts[0] < 0 or facts[1] >= total:
+        raise ValueError(f"Row index out of range: {facts[0] if facts[0] < 0 else facts[1]}")
+    bucket = lambda c: F.floor(F.col(c) / bucket_rows)
+    met = ends.select("_low", "_high", F.explode(F.sequence(bucket("_low"), bucket("_high"))).alias("_bucket")).distinct()
+    numbered = with_row_index(df, order_by, name="_row", stable=stable).withColumn("_bucket", bucket("_row"))
+    inside = (numbered["_bucket"] == met["_bucket"]) & F.col("_row").between(F.col("_low"), F.col("_high"))
+    return numbered.join(met, inside, "left_anti").drop("_row", "_bucket")
+
+
 def drop_missing_rows(df: DataFrame, name: str) -> DataFrame:
     """Keep rows where the column is known."""
     require_columns(df, [name])

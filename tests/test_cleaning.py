@@ -265,3 +265,18 @@ def test_long_row_lists(spark):
     spec = ",".join(str(i) for i in range(0, 20_000, 3)) + ",19000-19999"
     kept = rows.drop_row_positions(df, spec, ["i"])
     assert sorted(r.i for r in kept.collect()) == [i for i in range(19_000) if i % 3]
+
+
+def test_rows_of_a_listed_table(spark):
+    df = spark.range(3_000).selectExpr("id AS i", "id % 7 AS v").repartition(4)
+    spans = [(5, 5), (5, 5), (20, 11), (15, 30), (1_000, 2_100), (2_999, 2_999)]
+    gone = {i for a, b in spans for i in range(min(a, b), max(a, b) + 1)}
+    table = spark.createDataFrame(spans, "low long, high long")
+    for size in (1, 100, 512, 10_000):
+        left = rows.drop_rows_listed(df, table, ["i"], bucket_rows=size)
+        assert {r.i for r in left.collect()} == set(range(3_000)) - gone and left.columns == df.columns
+    assert rows.drop_rows_listed(df, table.limit(0), ["i"]).count() == 3_000
+    for bad in ([(3, 3_000)], [(-1, 4)], [(None, 4)]):
+        with pytest.raises(ValueError):
+            rows.drop_rows_listed(df, spark.createDataFrame(bad, "low long, high long"), ["i"])
+
