@@ -22,7 +22,7 @@ THRESHOLD = -0.15
 LEAST_WORDS = 50
 MOST_REPEATED = 50
 #: Up to so many trusted ids are sent to all tasks; more are joined by a shuffle of the texts.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 200_000
 
 GAP = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
