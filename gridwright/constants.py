@@ -10,7 +10,6 @@ FOLDS = 5
 # Undo depth, chart point limits, default histogram bins.
 HISTORY_DEPTH = 12
 OUTLIER_POINTS = 2500
-SCATTER_POINTS = 6000
 HISTOGRAM_BINS = 35
 
 # Rows one task may sort or hold for one group; larger groups are split.
