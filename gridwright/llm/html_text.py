@@ -3,8 +3,10 @@
 A page becomes a tree of its block elements. Scripts, forms, menus and other parts that say by tag, role
 or class that they are not the article are cut off first. Every node left has a density: its characters
 per tag, lowered where characters and tags belong to links. The node whose children's densities have the
-largest sum holds the article; the least density on the way from the body to it is the threshold below
-which containers with links inside it are left out.
+largest sum holds the article (of equals the outermost and first); the least density on the way from the
+body to it is the threshold. Inside the article a container below it is left out only if it also has three
+links or more that make up over 60 % of its characters: short paragraphs have low densities too, and all of
+an article's text must stay. Time and memory grow with the length of a page, however deeply it nests.
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter, defaultdict
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -52,7 +56,9 @@ NO_CUT = {"html", "body", "article", "main"}
 #: An open p ends before any of these; an open element of the key ends before those in its set.
 ENDS_P = BLOCK - {"tbody", "tfoot", "thead", "tr", "caption", "head", "html", "body", "button", "select", "svg", "canvas", "object", "iframe", "noscript", "template"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "tbody": {"tbody", "tfoot", "thead", "tr"}}
-FENCE = {"ul": "li", "ol": "li", "menu": "li", "dl": "dd", "table": "tr"}
+LISTS = {"ul", "ol", "menu"}
+#: Elements whose inside is not part of the sibling list around them.
+FENCES = {"li": LISTS, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "tbody": {"table"}}
 ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -95,23 +101,30 @@ def parse(page: str) -> Node:
     """The tree of block elements. Inline elements leave their text and their counts to the block around."""
     root = Node("html", False, None)
     node, inside, links = root, 0, 0
+    open_nodes: list[Node] = []  # from the outermost; the root is not among them
+    places: dict[str, list[int]] = defaultdict(list)  # of each tag, where it is in that list
     hidden: list[str] = []  # open inline elements that are cut, with those inside them
+    hidden_tags: Counter[str] = Counter()
     at, n = 0, len(page)
 
-    def close(to: Node) -> Node:
+    def close(at_place: int) -> Node:
+        """Close the open node of that place and all inside it; the node around them."""
         nonlocal inside, links
-        one = node
-        while one is not to:
-            inside -= one.tag in WHOLE
-            one = one.parent
+        while len(open_nodes) > at_place:
+            tag = open_nodes.pop().tag
+            places[tag].pop()
+            inside -= tag in WHOLE
         links = 0
-        return to
+        return open_nodes[-1] if open_nodes else root
 
-    def opened(tag: str, fences: tuple[str, ...] = ()) -> Node | None:
-        one = node
-        while one is not root and one.tag != tag and one.tag not in fences:
-            one = one.parent
-        return one if one is not root and one.tag == tag else None
+    def opened(tag: str, fences: Iterable[str] = ()) -> int | None:
+        """Place of the innermost open node of the tag, unless a fence is open inside it."""
+        found = places[tag]
+        return found[-1] if found and all(not places[f] or places[f][-1] < found[-1] for f in fences) else None
+
+    def forget_hidden() -> None:
+        hidden.clear()
+        hidden_tags.clear()
 
     def say(text: str) -> None:
         if text and not hidden and not node.cut:
@@ -136,16 +149,19 @@ def parse(page: str) -> Node:
         tag = tag.lower()
         if shut:
             if hidden:
-                if tag in hidden:
-                    del hidden[len(hidden) - 1 - hidden[::-1].index(tag) :]
+                if hidden_tags[tag]:
+                    last = None
+                    while last != tag:
+                        last = hidden.pop()
+                        hidden_tags[last] -= 1
                     continue
                 if tag not in BLOCK:
                     continue
             if tag == "a":
                 links = max(0, links - 1)
-            if tag in BLOCK and (one := opened(tag)) is not None:
-                node = close(one.parent)
-                hidden.clear()
+            if tag in BLOCK and (place := opened(tag)) is not None:
+                node = close(place)
+                forget_hidden()
             elif tag in ("td", "th"):
                 say(" ")
             continue
@@ -165,6 +181,7 @@ def parse(page: str) -> Node:
             if hidden or _unwanted(tag, rest, inside > 0):
                 if not rest.endswith("/"):
                     hidden.append(tag)
+                    hidden_tags[tag] += 1
             elif not node.cut:
                 node.tags += 1
                 if tag == "a":
@@ -172,18 +189,17 @@ def parse(page: str) -> Node:
                     node.link_tags += 1
             continue
         if tag in ("html", "body"):
-            if (one := opened("head")) is not None:
-                node = close(one.parent)
+            if (place := opened("head")) is not None:
+                node = close(place)
             if tag == "html" or opened("body") is not None:
                 continue
         elif node.tag == "head" and tag not in HEAD_PARTS:
-            node = close(node.parent)
-        if tag in ENDS_P and (one := opened("p", ("body", "td", "button"))) is not None:
-            node = close(one.parent)
+            node = close(len(open_nodes) - 1)
+        if tag in ENDS_P and (place := opened("p", ("body", "td", "button"))) is not None:
+            node = close(place)
         for other in SIBLINGS.get(tag, ()):
-            fences = tuple(k for k, v in FENCE.items() if v == tag or {v, tag} == {"dt", "dd"} or v == "tr" and tag == "tbody")
-            if (one := opened(other, fences)) is not None:
-                node = close(one.parent)
+            if (place := opened(other, FENCES[tag])) is not None:
+                node = close(place)
         if tag == "hr":
             if not node.cut:
                 node.parts.append(Node("hr", True, node))
@@ -191,6 +207,8 @@ def parse(page: str) -> Node:
         child = Node(tag, node.cut or bool(hidden) or _unwanted(tag, rest, inside > 0), node)
         node.parts.append(child)
         if not rest.endswith("/") or tag not in ("svg", "iframe", "object"):
+            places[tag].append(len(open_nodes))
+            open_nodes.append(child)
             node, links = child, 0
             inside += tag in WHOLE
     return root

@@ -2,7 +2,10 @@
 
 import collections
 import datetime
+import math
 import random
+import re
+import time
 import zlib
 
 import numpy as np
@@ -101,9 +104,93 @@ def test_page_densities():
     assert (plain.chars, plain.tags, plain.link_chars) == (19, 1, 0) and plain.density > 5 * linked.density
 
 
+LINK = re.compile(r"<a [^>]*>(.*?)</a>", re.DOTALL)
+
+
+def letters(markup):
+    return len("".join(re.sub(r"<[^>]*>", " ", markup).split()))
+
+
+def plain_density(inner, page):
+    """Composite text density of the markup inside one node, counted from the markup itself."""
+    chars, tags, links = letters(inner), len(re.findall(r"<[a-z]", inner)), LINK.findall(inner)
+    linked, shared = sum(map(letters, links)), sum(map(letters, LINK.findall(page))) / max(1, letters(page))
+    if not chars:
+        return 0.0
+    base = math.log(chars / max(1, chars - linked) * linked + shared * chars + math.e)
+    ratio = chars / max(1, linked) * max(1, tags) / max(1, len(links))
+    return chars / max(1, tags) * (math.log(ratio) / max(math.log(base), 1.0) if base > 1 and ratio > 1 else 1e-3)
+
+
+def random_page(r, depth=0):
+    """A nested list of pages' parts: texts, links and further nodes."""
+    kinds = ["text", "link", "node", "node"] if depth < 4 else ["text", "link"]
+    parts = []
+    for _ in range(r.randint(1, 5)):
+        kind = r.choice(kinds)
+        words = " ".join("w" * r.randint(1, 9) for _ in range(r.choice([2, 5, 40])))
+        parts.append(random_page(r, depth + 1) if kind == "node" else words if kind == "text" else f"<a href=x>{words}</a>")
+    return parts
+
+
+def markup(parts):
+    return "".join(p if isinstance(p, str) else f"<div>{markup(p)}</div>" for p in parts)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_densities_and_choice_equal_a_plain_recount(seed):
+    page = random_page(random.Random(seed))
+    whole = markup(page)
+    root = ht.parse(whole)
+    best, threshold = ht.article(root)
+    pairs, rest = [], [(root, page, [])]
+    while rest:
+        node, parts, above = rest.pop()
+        own = plain_density(markup(parts), whole)
+        assert node.density == pytest.approx(own)
+        inner = [p for p in parts if not isinstance(p, str)]
+        pairs.append((sum(plain_density(markup(p), whole) for p in inner) or own, node, [*above, own]))
+        nodes = [p for p in node.parts if isinstance(p, ht.Node)]
+        rest += [(n, p, [*above, own]) for n, p in zip(nodes, inner, strict=True)]
+    most, _, way = next(p for p in pairs if p[1] is best)
+    assert most == pytest.approx(max(p[0] for p in pairs)) and threshold == pytest.approx(min(way))
+
+
+STORY = "".join(f"<div>Sentence {i} of the story tells, in many plain words, what went on that day in the old town.</div>" for i in range(12))
+TOPICS = "".join(f"<div><a href=/t/{i}>Topic {i}</a></div>" for i in range(30))
+
+
+@pytest.mark.parametrize("page", [
+    f"<body><div>{TOPICS}</div><div>{STORY}</div><div>{TOPICS}</div></body>",
+    f"<body><table><tr><td>{TOPICS}<td><div>{STORY}</div></table></body>",
+    f"<div><div>{TOPICS}</div><div><div>{STORY}</div></div></div>",
+])
+def test_pages_without_any_name(page):
+    """No article, main, menu, class or id: only the densities tell the story from the lists of links."""
+    assert ht.main_text(page).split("\n") == re.findall(r"Sentence [^<]*", page)
+
+
+def test_several_articles_and_long_comments():
+    """The densest article is the text; named comments never are, however long."""
+    long = "<p>A reader's words that go on and on about something else.</p>" * 60
+    short = "<article><p>Teaser.</p></article>"
+    page = f"<main>{short}</main><div><article>{STORY}</article></div><div class=comments>{long}</div>"
+    assert ht.main_text(page).split("\n") == re.findall(r"Sentence [^<]*", page)
+
+
+@pytest.mark.parametrize("page", [
+    "<ul><li>" * 50_000, "<div>" * 100_000, "<p hidden><b>" * 50_000, "<span hidden>" * 50_000 + "</span>" * 50_000, "<dl><dt>" * 50_000,
+])
+def test_time_is_linear_in_open_tags(page):
+    start = time.perf_counter()
+    ht.main_text(page[: len(page) // 10])
+    tenth = time.perf_counter() - start
+    ht.main_text(page + "end")
+    assert time.perf_counter() - start < 40 * max(tenth, 0.05)
+
+
 def test_given_pages(spark):
     import html
-    import re
 
     for r in queries.op7(spark, "/root/testdata/sf0.001").join(
         spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "html"), "page_id"
