@@ -3,7 +3,10 @@
 import collections
 import hashlib
 import math
+import random
 import re
+import string
+import time
 
 import numpy as np
 import pytest
@@ -205,3 +208,59 @@ def test_values_held_in_part_by_a_plain_pattern_are_masked_whole(name, value):
 
 def test_values_held_whole_by_a_plain_pattern_get_no_span_more():
     assert [k for *_, k in ss.secret_spans("password=Xq9vK2pLw7Rt4 here")] == ["assign"]
+
+
+CODE = """private_key: /etc/ssl/certs/service.pem|api_key=os.environ.get_required_value()|token=self.tokenizer.encode(text)
+token = tokenizer.convert_tokens_to_ids(words)|password: ${DB_PASSWORD}|password={{vault_db_password}}|secret=process.env.CLIENT_SECRET
+api_key = config.get_string(section)|credentials: ~/.aws/credentials|token: github.com/actions/checkout|passwd = getpass.getpass()
+pwd=/home/builder/workspace/project|secret: kubernetes.io/service-account-token|signing_key = load_signing_key(path)
+passphrase=read_passphrase_from_terminal()|token := strings.TrimSpace(header)|password: changeme_please|token=std::string::npos
+secret => config/initializers/secret_token.rb|password=%(db_password)s|token = parser->current_token()
+credential=https://accounts.example.com/oauth/authorize"""
+# Written after the limits were set.
+LATER_CODE = """token = jwt.sign(payload)|password=request.form.get(field)|secret = hvac.Client.read(path)|api_key: ${{secrets.DEPLOY_KEY}}
+private_key=/var/lib/postgresql/server.key|access_key = boto.session.Session()|passwd = entry.get_text()|pwd=$(pwd)
+token = Token.objects.filter(user)|credentials = grpc.ssl_channel_credentials()|signing_key=./keys/release.asc
+authorization: bearer ${GITHUB_TOKEN}|secret: vault/data/production/database|api_key = os.getenv(name)|token=lexer.next_token()
+passphrase = click.prompt(message)|password=user.password.strip()|token = cookies.csrf_token|secret_key = settings.get(name)
+private_key: C:\\certs\\server.pem|access_key=props.getProperty(key)|passcode = random.randint(low)|pwd = Path.home()"""
+
+
+def planted_secrets(r, n):
+    both, low = string.ascii_letters + string.digits, string.ascii_lowercase
+    kinds = [(both + "!@#$%^&*", 14), (both, 20), (both + "+/", 32), (both + "-_", 43), ("0123456789abcdef", 32), (low, 16)]
+    for letters, length in kinds * n:
+        yield "".join(r.choice(letters) for _ in range(length))
+    for _ in range(n):
+        yield ".".join("".join(r.choice(both) for _ in range(k)) for k in (20, 30, 43))
+
+
+@pytest.mark.parametrize("lines", [CODE, LATER_CODE])
+def test_code_lines_are_no_secrets_and_planted_ones_are(lines):
+    lines = re.split(r"[|\n]", lines)
+    false = sum(any(cost >= ss.LEAST_COST for *_, cost in ss.scored_values(line)) for line in lines)
+    secrets = list(planted_secrets(random.Random(3), 40))
+    caught = sum(any(cost >= ss.LEAST_COST for *_, cost in ss.scored_values(f"my passphrase = {s} ok")) for s in secrets)
+    assert false <= len(lines) / 10 and caught >= 0.98 * len(secrets)
+
+
+def test_words_of_the_corpus_cost_by_rank(spark, odd, nothing):
+    docs = spark.createDataFrame([("the Lantern lantern lantern (marble) marble x password: lanterns zebra. a9b \u00fcber",)] * 3 + [(None,), ("",)], "text string")
+    ranks = ss.word_ranks(docs)
+    first = len(ss.FAMILIAR) + 1
+    assert ranks == {"lantern": first, "marble": first + 1, "the": first + 2, "zebra": first + 3}
+    assert ss.guess_cost("lanternmarble", ranks) < ss.guess_cost("lanternmarble") and ss.word_ranks(docs, words=2).keys() == {"lantern", "marble"}
+    assert ss.word_ranks(nothing) == {} and ss.word_ranks(odd)
+
+
+def test_every_value_in_place_is_scored(spark):
+    text = "password=Xq9vK2pLw7Rt4 then pwd: hunter22 done"
+    row = ss.scan(spark.createDataFrame([(text,)], "text string")).first()
+    assert [c.rsplit(":", 1)[0] for c in row.costs.split(",")] == ["9:22", "33:41"] and row.n_guess == 0 and row.n_assign == 1
+
+
+def test_time_is_linear_in_long_values():
+    for unit in ("a", ")", "/a", "x-", "token="):
+        start = time.perf_counter()
+        ss.secret_spans("pwd=$" + unit * (40_000 // len(unit)) + "!")
+        assert time.perf_counter() - start < 10
