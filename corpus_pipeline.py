@@ -37,7 +37,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
 def mask_secrets(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """All documents, with secrets masked and ``n_chars`` counted anew where the text has changed."""
     before = spare(docs, "text_before_")
-    masked = secret_scan.mask(docs.withColumn(before, F.col("text")))
+    masked = secret_scan.mask(docs.withColumn(before, F.col("text")), ranks=secret_scan.word_ranks(docs))
     changed = ~F.col("text").eqNullSafe(F.col(before))
     return masked.withColumn(
         "n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))
