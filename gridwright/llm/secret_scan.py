@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridwright.functions.storage import staged
 from gridwright.llm.common import mapped, quoted, spare, text_of
 
 KINDS = ("assign", "access", "hex", "guess")
@@ -79,14 +80,20 @@ def word_ranks(df: DataFrame, text: str = "text", words: int = RANKED_WORDS) ->
     """The most frequent ``words`` words of all texts with their ranks, after those of the fixed list.
 
     Words stand free in the text, have 3 to 24 letters a-z, small but for the first, and count without regard to
-    case; values in a credential's place do not count, or a secret would make itself familiar. Of equally frequent
-    words the first in order ranks first. Counted over all rows with partial counts; at most ``words`` short words
-    come to the driver.
+    case; values in a credential's place do not count, or a secret would make itself familiar. Equally frequent
+    words get ranks in their order, and all of them are left out where they would not fit whole. Counted over all
+    rows with partial counts; the driver gets at most ``words`` counts and ``words`` short words.
     """
     plain = F.regexp_replace(text_of(text), F.lit("(?i)" + CONTEXT.pattern), F.lit(" "))
     words_of = F.regexp_extract_all(plain, F.lit(FREE_WORD), F.lit(0))
     counts = df.select(F.explode(words_of).alias("w")).groupBy(F.lower("w").alias("w")).agg(F.count("*").alias("n"))
-    top = counts.orderBy(F.desc("n"), "w").limit(words).collect()
+    counts = staged(counts)
+    # Far fewer counts than words exist, so these rows are few before the driver asks for the largest.
+    sizes = counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(words).collect()
+    within = [r["n"] for r, total in zip(sizes, accumulate(r["words"] for r in sizes)) if total <= words]
+    if not within:
+        return {}
+    top = sorted(counts.where(F.col("n") >= within[-1]).collect(), key=lambda r: (-r["n"], r["w"]))
     return {r["w"]: len(FAMILIAR) + i + 1 for i, r in enumerate(top)}
 
 

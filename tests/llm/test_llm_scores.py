@@ -250,6 +250,7 @@ def test_words_of_the_corpus_cost_by_rank(spark, odd, nothing):
     first = len(ss.FAMILIAR) + 1
     assert ranks == {"lantern": first, "marble": first + 1, "the": first + 2, "zebra": first + 3}
     assert ss.guess_cost("lanternmarble", ranks) < ss.guess_cost("lanternmarble") and ss.word_ranks(docs, words=2).keys() == {"lantern", "marble"}
+    assert ss.word_ranks(docs, words=3).keys() == {"lantern", "marble"} and ss.word_ranks(docs, words=0) == {}
     assert ss.word_ranks(nothing) == {} and ss.word_ranks(odd)
 
 
