@@ -1,5 +1,6 @@
-"""Fitted cleaning on streams."""
+"""Fitted cleaning and trained models on streams."""
 
 from gridwright.streaming.clean import FittedCleaning
+from gridwright.streaming.score import StreamScorer
 
-__all__ = ["FittedCleaning"]
+__all__ = ["FittedCleaning", "StreamScorer"]
