@@ -7,7 +7,7 @@ import re
 from collections.abc import Sequence
 
 from pyspark.ml import Estimator, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, OneHotEncoderModel, SQLTransformer, StringIndexerModel, VectorAssembler
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -163,6 +163,35 @@ def feature_names(prep: PipelineModel, features: DataFrame) -> list[str]:
     return names
 
 
+def stage_names(prep: PipelineModel) -> list[str]:
+    """Names of the vector's entries as the stages tell them, for a pipeline that comes without its facts.
+
+    A column of one number is one entry; a one-hot column has an entry for each label of the indexer behind it,
+    but for the one that the encoder drops.
+    """
+    labels = {}
+    for stage in prep.stages:
+        if isinstance(stage, StringIndexerModel):
+            outs = [stage.getOutputCol()] if stage.isSet("outputCol") else stage.getOutputCols()
+            for out, found in zip(outs, stage.labelsArray):
+                unknown = ["unknown"] if stage.getHandleInvalid() == "keep" else []
+                labels[out] = [*found, *unknown]
+    spread = {}
+    for stage in prep.stages:
+        if isinstance(stage, OneHotEncoderModel):
+            single = stage.isSet("inputCol")
+            sources = [stage.getInputCol()] if single else stage.getInputCols()
+            outs = [stage.getOutputCol()] if single else stage.getOutputCols()
+            for source, out, size in zip(sources, outs, stage.categorySizes):
+                known = labels.get(source, [str(i) for i in range(size)])
+                spread[out] = known[: size - 1] if stage.getDropLast() else known
+    names = []
+    for column in prep.stages[-1].getInputCols():
+        # Saved preparations put '=' before a category, so that the empty text has a name.
+        names += [f"{column}_{v.removeprefix('=')}" for v in spread[column]] if column in spread else [column]
+    return names
+
+
 def standardised(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Columns imputed with the median and scaled to mean 0, population deviation 1."""
     names = list(names)

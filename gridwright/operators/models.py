@@ -26,7 +26,7 @@ from gridwright.functions.storage import staged
 from gridwright.operators import trees
 from gridwright.operators.checks import require_rows, require_target
 from gridwright.operators.columns import features_and_label
-from gridwright.operators.encode import FEATURES, TablePrep, feature_names, prepared
+from gridwright.operators.encode import FEATURES, TablePrep, feature_names, prepared, stage_names
 from gridwright.operators.metrics import score
 from gridwright.operators.neighbors import nearest_rows, vote
 from gridwright.operators.profile import default_features, detect_task
@@ -224,7 +224,9 @@ class TrainedModel:
             weights = abs(self.core.coefficients.toArray())
         else:
             return []
-        names = self.meta.get("feature_names") or [f"feature {i}" for i in range(len(weights))]
+        names = self.meta.get("feature_names") or stage_names(self.prep)
+        if len(names) != len(weights):  # an input column that is a vector without a stage that tells its entries
+            names = [f"feature {i}" for i in range(len(weights))]
         return sorted(zip(names, map(float, weights)), key=lambda f: (-f[1], f[0]))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import IndexToString, VectorAssembler
 from pyspark.sql import SparkSession
 
 from gridwright.operators.models import NeighbourModel, TrainedModel
@@ -36,11 +36,17 @@ def save_model(spark: SparkSession, model: TrainedModel | None, path: str) -> No
 
 
 def load_model(spark: SparkSession, path: str) -> TrainedModel:
-    """Load a saved model, or a bare saved pipeline, whose facts are then empty."""
+    """Load a saved model, or a bare saved pipeline, whose facts are then empty.
+
+    A bare pipeline predicts class texts if a stage of it turns class numbers back into texts; the names of its
+    features come from its stages.
+    """
     content = read_text(spark, f"{path}/facts")
     if content is None:
-        prep, core = _cut(PipelineModel.load(path))
-        return TrainedModel(prep, core, "", "", [], None, "double")
+        whole = PipelineModel.load(path)
+        prep, core = _cut(whole)
+        texts = [s.getLabels() for s in whole.stages if isinstance(s, IndexToString) and s.getLabels()]
+        return TrainedModel(prep, core, "", "", [], texts[-1] if texts else None, "string" if texts else "double")
     facts = json.loads(content)
     pipeline = PipelineModel.load(f"{path}/pipeline")
     near = facts.pop("neighbours")

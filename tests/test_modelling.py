@@ -3,7 +3,9 @@ import math
 
 import numpy as np
 import pytest
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import DecisionTreeClassifier
+from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -286,6 +288,24 @@ def test_bare_pipeline_loads_without_facts(spark, numbers, tmp_path):
         model_store.save_model(spark, None, str(tmp_path / "n"))
 
 
+def test_bare_pipeline_tells_names_and_class_texts(spark, tmp_path):
+    rows = spark.createDataFrame(
+        [(i, float(i % 7), "abc"[i % 3] if i % 5 else None, "" if i % 2 else "x", float(i % 7) * 2 + i % 3) for i in range(60)],
+        "id long, n double, c string, e string, y double",
+    )
+    model = models.train_with_baseline(rows, "y", "Linear", key=["id"])
+    model_store.save_model(spark, model, str(tmp_path / "m"))
+    bare = model_store.load_model(spark, str(tmp_path / "m" / "pipeline"))
+    assert bare.importance() == model.importance() and "cat__e_" in dict(bare.importance())
+    label = StringIndexer(inputCol="e", outputCol="label").fit(rows)
+    ready = VectorAssembler(inputCols=["n"], outputCol="_features")
+    core = DecisionTreeClassifier(featuresCol="_features", labelCol="label").fit(ready.transform(label.transform(rows)))
+    back = IndexToString(inputCol="prediction", outputCol="text", labels=label.labels)
+    PipelineModel([ready, core, back]).write().save(str(tmp_path / "classes"))
+    got = model_store.load_model(spark, str(tmp_path / "classes")).predict(rows)
+    assert {r[0] for r in got.select("prediction").distinct().collect()} <= {"", "x"} and got.schema["prediction"].dataType.simpleString() == "string"
+
+
 def test_training_without_key_and_scoring_with_defaults(numbers):
     df = numbers.select("a", "b", "g", "y")
     model = models.train_with_baseline(df, "y", "Linear/Logistic Regression")
