@@ -331,6 +331,31 @@ def test_passages_cover_exact_repeats_and_fuzzy_ones(spark):
     assert not any(got[i].n_spans for i in range(46, len(texts)))
 
 
+def test_changed_passages_are_found(spark):
+    """Passages of 60 words with 5 to 20 % of their words changed; and one of frequent sentences among texts with one of them."""
+    texts, sets = [], {}
+    for share in (5, 10, 15, 20):
+        for n in range(40):
+            r = random.Random(1000 * share + n)
+            passage = prose(7000 + 100 * share + n, 60).split()
+            alike = set(r.sample(range(60), 60 - 60 * share // 100))
+            sets.setdefault(share, []).append(len(texts))
+            texts.append(f"{prose(20_000 + len(texts), 40)} {' '.join(passage)} {prose(30_000 + len(texts), 40)}")
+            other = [w if i in alike else f"new{r.random()}" for i, w in enumerate(passage)]
+            texts.append(f"{prose(20_000 + len(texts), 40)} {' '.join(other)} {prose(30_000 + len(texts), 40)}")
+    sentences = [prose(50_000 + i, 10) for i in range(6)]
+    for i in range(60):
+        texts.append(f"{prose(60_000 + i, 40)} {sentences[i % 6]} {prose(61_000 + i, 40)}")
+    made = [len(texts), len(texts) + 1]
+    texts += [f"{prose(62_000 + i, 40)} {' '.join(sentences)} {prose(63_000 + i, 40)}" for i in range(2)]
+    got = {r.id: r for r in sb.mark(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), "id").collect()}
+    found = {share: sum(got[i].partners == [i + 1] and got[i].n_repeated >= 45 for i in ids) / len(ids) for share, ids in sets.items()}
+    assert found[5] >= 0.95 and found[10] >= 0.9 and found[15] >= 0.8, found
+    assert all(got[i].n_repeated >= 60 and made[1 - n] in got[i].partners for n, i in enumerate(made))
+    assert not any(got[i].n_spans for i in range(made[0] - 60, made[0]))
+    print("share found by changed words:", found)
+
+
 def test_passages_on_odd_rows_and_given_documents(spark, odd, nothing):
     got = sb.mark(odd)
     assert got.count() == odd.count() and set(odd.columns) < set(got.columns) and sb.mark(nothing).count() == 0
