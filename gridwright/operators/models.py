@@ -37,6 +37,8 @@ LABEL, PREDICTION = "_label", "prediction"
 VANISHING = 1e-10
 # Classes are listed on the driver and in the model, so their number is checked.
 MAX_CLASSES = 10_000
+# Training rows of a task. A fit goes over its rows again and again, so its time counts, not the bytes of its rows.
+TASK_ROWS = 5_000
 
 
 @dataclass(frozen=True)
@@ -49,6 +51,16 @@ class NeighbourModel:
     classes: bool
 
 
+def _spread(df: DataFrame, rows: int) -> DataFrame:
+    """The rows in even parts for the tasks of a fit.
+
+    Adaptive execution joins partitions by their bytes: a table of some MB would be one partition, and each pass of a
+    fit over it one task.
+    """
+    parts = min(math.ceil(rows / TASK_ROWS), df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(parts) if parts > 1 and df.rdd.getNumPartitions() < parts else df
+
+
 def _tree_params(params: dict[str, Any]) -> dict[str, Any]:
     chosen = params.get("max_depth")
     if chosen is None:
@@ -57,6 +69,8 @@ def _tree_params(params: dict[str, Any]) -> dict[str, Any]:
         "maxDepth": trees.DEEPEST if chosen is None else min(int(chosen), trees.DEEPEST),
         "minInstancesPerNode": int(params.get("min_samples_leaf", 1)),
         "seed": SEED,
+        # Each row's node is kept, so a level does not walk every tree from its root again.
+        "cacheNodeIds": True,
         "featuresCol": FEATURES,
         "labelCol": LABEL,
     }
@@ -297,7 +311,7 @@ def train_with_baseline(
             raise ValueError(f"The key {list(key)} does not identify rows.")
         base = score(baseline_predictions(parts, LABEL, task, "_split"), LABEL, PREDICTION, task)
         prep = TablePrep(features).fit(train)
-        ready = prepared(prep, train).persist(StorageLevel.MEMORY_AND_DISK)
+        ready = _spread(prepared(prep, train), plan.train_rows).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             core = fit_estimator(ready.select(FEATURES, LABEL), task, algo, params)
             names = feature_names(prep, ready)
@@ -307,7 +321,7 @@ def train_with_baseline(
             prep, core, task, target, features, classes, dtype(df, target).simpleString(), algo, params,
             meta={"target": target, "feature_names": names},
         )
-        scored = _scored(core, prepared(prep, test))
+        scored = _scored(core, _spread(prepared(prep, test), plan.test_rows))
         model.metrics = {**score(scored, LABEL, "_predicted", task), "test_size": float(test_size)}
         strategy = "most_frequent" if task == CLASSIFICATION else "mean"
         model.baseline = {**base, "strategy": strategy}
@@ -365,7 +379,7 @@ def compare_models(
         except ValueError as problem:
             return {name: problem for name in candidates}
         train, test = (
-            prepared(prep, part).select("_row_key", FEATURES, LABEL).persist(StorageLevel.MEMORY_AND_DISK)
+            _spread(prepared(prep, part).select("_row_key", FEATURES, LABEL), rows).persist(StorageLevel.MEMORY_AND_DISK)
             for part in (inside, parts.where(F.col("_fold") == fold))
         )
         found: dict[str, float | Exception] = {}

@@ -410,3 +410,25 @@ def test_a_tree_of_depth_over_30(spark):
     assert cut[30].depth == 30 < cut[38].depth <= 38
     exact = {d: m.transform(df).where(F.col("prediction") == F.col(models.LABEL)).count() for d, m in cut.items()}
     assert exact[38] > exact[30]
+
+
+def test_a_fit_goes_over_its_rows_in_many_tasks(spark, monkeypatch):
+    """Adaptive execution joins small partitions, so a fit used to read a table of few bytes in one task."""
+    monkeypatch.setattr(models, "TASK_ROWS", 50)
+    seen, fit = [], models.fit_estimator
+
+    def noted(train, *rest, **more):
+        seen.append(train.rdd.getNumPartitions())
+        return fit(train, *rest, **more)
+
+    monkeypatch.setattr(models, "fit_estimator", noted)
+    df = spark.range(400).selectExpr("id AS k", "CAST(id % 7 AS DOUBLE) AS x", "IF(id % 7 > 3, 'a', 'b') AS y").coalesce(1)
+    model = models.train_with_baseline(df, "y", "Random Forest", {"n_estimators": 3, "max_depth": 3}, key=["k"])
+    models.compare_models(df, "y", order_by=["k"], candidates={"Decision Tree": {"max_depth": 3}})
+    assert seen and min(seen) == 4 and model.core.getOrDefault("cacheNodeIds")
+    assert model.metrics["Accuracy"] == 1.0
+
+
+def test_rows_for_one_task_stay_as_they_are(spark):
+    df = spark.range(100).coalesce(1)
+    assert models._spread(df, 100) is df
