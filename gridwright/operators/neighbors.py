@@ -5,17 +5,22 @@ rows), and a ring of distances to that pivot. A block is described by its size a
 distance to the pivot, so the triangle inequality gives, for any query, bounds on every distance into the block;
 so does the plane half-way between two pivots. Pivots are grouped into balls, which bound many blocks at once.
 
-The search has two phases. A query first meets the block that it would be in itself, which gives a true k-th
-distance. Then it visits only blocks with a bound below that distance; the table of balls and blocks is walked
-from the top. Blocks and query sets are cut into pieces of bounded size; a task compares one piece of rows with
-one piece of queries and passes on k rows per query, which a last step merges.
+What travels are lots and shares: neighbouring blocks make up a lot, a share is a part of the queries, and both are as
+large as a task can hold. A query goes once to each lot with a block that it must visit, however many blocks that are;
+a task compares the rows of one lot with the queries of one share, a slice at a time and without the blocks that no
+query of the slice can reach. Where nothing can be left out (many dimensions, no clusters) rows and queries thus travel
+as often as there are shares and lots, not as there are blocks.
+
+The search has two phases. A query first meets the lot of the block that it would be in itself, which gives a true k-th
+distance. Then it visits only lots with a block whose bound is below that distance, and takes only rows within it. A
+last step merges the closest rows of all lots.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -29,10 +34,16 @@ from gridwright.functions.storage import staged
 # Pivots per root of the number of rows; rings per pivot.
 PIVOT_SHARE = 1.0
 RINGS = 4
+# Rows of a piece and queries of a share, at least; lots and shares take as many as make LOT_BYTES of vectors, but
+# there are LEAST_LOTS of them where pieces and shares are that many.
 PIECE_ROWS = 4096
+QUERY_PIECE = 4096
+LOT_BYTES = 32 << 20
+LEAST_LOTS = 4
 # Queries whose visits are listed at once.
 QUERY_SLICE = 256
-QUERY_PIECE = 32768
+# Rough distances that a task holds at once.
+PAIRS = 1 << 22
 # Below this many pieces, comparing with all rows is cheaper than finding blocks.
 FEW_PIECES = 16
 
@@ -47,7 +58,8 @@ class Blocks:
     size: np.ndarray
     near: np.ndarray
     far: np.ndarray
-    pieces: np.ndarray
+    lot: np.ndarray  # the first lot of each block
+    lots: np.ndarray  # and their number: a large block has lots of its own
     center: np.ndarray  # of each ball, the number of its middle pivot
     radius: np.ndarray  # of each ball, from its middle to its farthest row
     members: list[np.ndarray]  # of each ball, the positions of its blocks
@@ -89,15 +101,33 @@ def _with_pivot(train: DataFrame, pivots: np.ndarray) -> DataFrame:
     return train.mapInPandas(locate, T.StructType(train.schema.fields + extra))
 
 
-def _one_block(train: DataFrame, rows: int, piece_rows: int):
+def _lot_count(rows: int, least: int, width: int) -> int:
+    """Lots (or shares) for so many vectors of ``width`` numbers, none of them below ``least`` vectors."""
+    return max(1, min(math.ceil(rows / least), max(LEAST_LOTS, math.ceil(rows * max(width, 1) * 8 / LOT_BYTES))))
+
+
+def _one_block(train: DataFrame, rows: int, lots: int):
     """All rows as one block that every query visits."""
-    pieces = math.ceil(rows / piece_rows)
     blocks = Blocks(
         np.zeros((0, 0)), np.zeros(1, dtype=int), np.zeros(1, dtype=int), np.array([rows]), np.zeros(1),
-        np.array([np.inf]), np.array([pieces]), np.zeros(1, dtype=int), np.array([np.inf]), [np.zeros(1, dtype=int)],
+        np.array([np.inf]), np.zeros(1, dtype=int), np.array([lots]), np.zeros(1, dtype=int), np.array([np.inf]), [np.zeros(1, dtype=int)],
     )
     placed = train.withColumn("_block", F.lit(0).cast("long"))
-    return placed.withColumn("_piece", F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(pieces))), blocks
+    return placed.withColumn("_lot", F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(lots)).cast("int")), blocks
+
+
+def _lots(size: np.ndarray, members: list[np.ndarray], rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first lot of each block, and how many it has: neighbouring blocks share a lot of ``rows`` rows."""
+    first, count = np.zeros(len(size), int), np.ones(len(size), int)
+    lot, held = 0, 0
+    for at in (int(b) for ball in members for b in ball):
+        if held and held + size[at] > rows:
+            lot, held = lot + 1, 0
+        first[at], held = lot, held + size[at]
+        if held > rows:
+            count[at] = math.ceil(size[at] / rows)
+            lot, held = lot + int(count[at]), 0
+    return first, count
 
 
 def _build_blocks(train: DataFrame, rows: int, piece_rows: int, pivots: int | None, rings: int):
@@ -125,16 +155,16 @@ def _build_blocks(train: DataFrame, rows: int, piece_rows: int, pivots: int | No
     size = np.array([r["n"] for r in facts])
     block = np.array([r["_block"] for r in facts])
     far = np.array([r["hi"] for r in facts])
-    blocks = Blocks(
-        points, block, block // rings, size, np.array([r["lo"] for r in facts]), far,
-        np.ceil(size / piece_rows).astype(int), *_balls(points, block // rings, far),
-    )
+    size_of_lot = math.ceil(rows / _lot_count(rows, piece_rows, points.shape[1]))
+    center, radius, members = _balls(points, block // rings, far)
+    lot, lots = _lots(size, members, size_of_lot)
+    blocks = Blocks(points, block, block // rings, size, np.array([r["lo"] for r in facts]), far, lot, lots, center, radius, members)
     table = train.sparkSession.createDataFrame(
-        [(int(b), int(p)) for b, p in zip(blocks.block, blocks.pieces)], "_block long, _pieces long"
+        list(zip(block.tolist(), lot.tolist(), lots.tolist())), "_block long, _first int, _lots int"
     )
     placed = placed.join(F.broadcast(table), "_block")
-    piece = F.pmod(F.xxhash64("_id", F.lit(7)), F.col("_pieces"))
-    return placed.withColumn("_piece", piece).drop("_pivot", "_away", "_pieces"), blocks
+    lot = (F.col("_first") + F.pmod(F.xxhash64("_id", F.lit(7)), F.col("_lots"))).cast("int")
+    return placed.withColumn("_lot", lot).drop("_pivot", "_away", "_first", "_lots"), blocks
 
 
 def _least(d: np.ndarray, near: np.ndarray, far: np.ndarray) -> np.ndarray:
@@ -195,62 +225,73 @@ def _in_reach(points: np.ndarray, blocks: Blocks, radius: np.ndarray) -> tuple[n
     return np.concatenate(queries), np.concatenate(at)
 
 
-def _visits(queries: DataFrame, blocks: Blocks, k: int, first: bool) -> DataFrame:
-    """One row per query and block piece: the query's own blocks ``first``, else all others within its ``_radius``."""
-    slim = queries.select("_query", "_vec") if first else queries
+def _reached(points: np.ndarray, radius: np.ndarray, blocks: Blocks, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Queries and the blocks within their radius (NaN: not known)."""
+    open_ = np.isnan(radius)
+    if open_.any():
+        radius = radius.copy()
+        radius[open_] = _surely(points[open_], blocks, k)
+    return _in_reach(points, blocks, radius)
+
+
+def _in_lots(at: np.ndarray, blocks: Blocks) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the visited blocks its lots, as (place in ``at``, lot)."""
+    times = blocks.lots[at]
+    place = np.repeat(np.arange(len(at)), times)
+    return place, blocks.lot[at][place] + np.arange(len(place)) - np.repeat(np.cumsum(times) - times, times)
+
+
+def _radius(batch: pd.DataFrame) -> np.ndarray:
+    return batch["_radius"].to_numpy(dtype="float64", na_value=np.nan)
+
+
+def _visits(queries: DataFrame, blocks: Blocks, k: int, first: bool, by_lot: bool = False) -> DataFrame:
+    """One row per query and block: the query's own blocks ``first``, else all others within its ``_radius``.
+
+    With ``by_lot`` one row per query and lot of those blocks, lots of its own blocks only ``first``.
+    """
+    slim = queries.select("_query", "_vec", (F.lit(None).cast("double") if first else F.col("_radius")).alias("_radius"))
+    name = "_lot" if by_lot else "_block"
+    lots = int((blocks.lot + blocks.lots).max())
     if not len(blocks.pivots):
-        pieces = F.sequence(F.lit(0).cast("long"), F.lit(int(blocks.pieces[0]) - 1).cast("long"))
-        return slim.select("_query", "_vec", F.lit(0).cast("long").alias("_block"), F.explode(pieces).alias("_piece"))
+        return slim.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(lots - 1))) if by_lot else F.lit(0))
 
     def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
             for start in range(0, len(whole), QUERY_SLICE):
                 batch = whole.iloc[start : start + QUERY_SLICE]
                 points = np.stack(batch["_vec"].to_numpy())
-                query, at = _home(points, blocks, k)
+                wanted = np.zeros((len(points), lots if by_lot else len(blocks.block)), bool)
+
+                def mark(query: np.ndarray, at: np.ndarray, value: bool) -> None:
+                    if by_lot:
+                        place, at = _in_lots(at, blocks)
+                        query = query[place]
+                    wanted[query, at] = value
+
                 if not first:
-                    radius = batch["_radius"].to_numpy(dtype="float64", na_value=np.nan)
-                    open_ = np.isnan(radius)
-                    if open_.any():
-                        radius[open_] = _surely(points[open_], blocks, k)
-                    met = set(zip(query.tolist(), at.tolist()))
-                    query, at = _in_reach(points, blocks, radius)
-                    new = np.array([(q, b) not in met for q, b in zip(query.tolist(), at.tolist())], bool)
-                    query, at = query[new], at[new]
-                times = blocks.pieces[at]
-                query, at = np.repeat(query, times), np.repeat(at, times)
-                piece = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+                    mark(*_reached(points, _radius(batch), blocks, k), True)
+                mark(*_home(points, blocks, k), first)
+                query, at = np.nonzero(wanted)
                 for lo in range(0, len(query), 16384):
                     part = slice(lo, lo + 16384)
-                    out = batch[["_query", "_vec"]].iloc[query[part]].copy()
-                    out["_block"], out["_piece"] = blocks.block[at[part]], piece[part]
+                    out = batch[["_query", "_vec", "_radius"]].iloc[query[part]].copy()
+                    out[name] = at[part] if by_lot else blocks.block[at[part]]
                     yield out
 
-    return slim.mapInPandas(plan, "_query long, _vec array<double>, _block long, _piece long")
-
-
-def _met(placed: DataFrame, visits: DataFrame, k: int, query_piece: int, many: bool) -> DataFrame:
-    """The ``k`` closest rows of each piece for each of its visitors."""
-    shares = F.lit(1)
-    if many:
-        # A block with many visitors meets them in shares; its rows go to each share once.
-        met = visits.where("_piece = 0").groupBy("_block").agg(F.count("*").alias("n"))
-        share_count = F.ceil(F.col("n") / query_piece).cast("int").alias("_shares")
-        table = met.select("_block", share_count).collect()  # one row per block
-        shares = F.col("_shares")
-        # Two tables of the same facts: one joined to both sides could not be told apart.
-        placed, visits = (
-            side.join(F.broadcast(placed.sparkSession.createDataFrame(table, "_block long, _shares int")), "_block")
-            for side in (placed, visits)
-        )
-    placed = placed.withColumn("_share", F.explode(F.sequence(F.lit(0), shares - 1)))
-    visits = visits.withColumn("_share", F.pmod(F.xxhash64("_query"), shares).cast("int"))
-    cut = ["_block", "_piece", "_share"]
+    return slim.mapInPandas(plan, f"_query long, _vec array<double>, _radius double, {name} {'int' if by_lot else 'long'}")
+
+
+def _met(placed: DataFrame, visits: DataFrame, blocks: Blocks, k: int, shares: int, first: bool) -> DataFrame:
+    """The ``k`` closest rows of each lot for each of its visitors."""
+    placed = placed.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    visits = visits.withColumn("_share", F.pmod(F.xxhash64("_query"), F.lit(shares)).cast("int"))
+    cut = ["_lot", "_share"]
 
     def compare(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(queries):
             return pd.DataFrame({"_query": [], "_id": [], "distance": [], "_label": []})
-        return _closest(rows, queries, k)
+        return _closest(rows, queries, k, blocks, first)
 
     return (
         placed.groupBy(*cut).cogroup(visits.groupBy(*cut))
@@ -258,47 +299,85 @@ def _met(placed: DataFrame, visits: DataFrame, k: int, query_piece: int, many: b
     )
 
 
-def _closest(rows: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k closest rows of one piece for each query of one piece.
+def _gaps(data: np.ndarray, rows: np.ndarray, point: np.ndarray) -> np.ndarray:
+    """Exact distances; one way to add them up, so that equal distances are equal numbers."""
+    gap = data[rows] - point
+    return np.sqrt(np.einsum("ij,ij->i", gap, gap))
 
-    A matrix product gives rough distances; the few best are measured exactly. Where
-    too many are tied for that, the query is measured against all rows in reach.
+
+def _closest(rows: pd.DataFrame, queries: pd.DataFrame, k: int, blocks: Blocks, first: bool) -> pd.DataFrame:
+    """The k closest rows of one lot for each query of one share, of those within the query's radius if it is known.
+
+    ``first``: no query comes to this lot again, so none of its blocks is left out.
     """
-    data = np.stack(rows["_vec"].to_numpy())
-    points = np.stack(queries["_vec"].to_numpy())
+    data, points = np.stack(rows["_vec"].to_numpy()), np.stack(queries["_vec"].to_numpy())
+    radius = _radius(queries)
+    order = np.arange(len(points))
+    if len(blocks.pivots):  # queries that are close to each other visit the same blocks
+        order = np.argsort(_distances(points, blocks.pivots).argmin(axis=1), kind="stable")
+        own = np.searchsorted(blocks.block, rows["_block"].to_numpy())
+        sort = np.argsort(own, kind="stable")
+        data, rows, own = data[sort], rows.iloc[sort], own[sort]
+        here = np.zeros(len(blocks.block), bool)
+        here[own] = True
+        blocks = replace(blocks, members=[m[here[m]] for m in blocks.members])
     ids, labels = rows["_id"].to_numpy(), rows["_label"].to_numpy()
     lengths = np.einsum("ij,ij->i", data, data)
+    step = max(8, min(512, PAIRS // len(data)))
+    found = []
+    for start in range(0, len(points), step):
+        asked = order[start : start + step]
+        near, near_lengths, at = data, lengths, None
+        if len(blocks.pivots) and not first:
+            seen = np.zeros(len(blocks.block), bool)
+            seen[_reached(points[asked], radius[asked], blocks, k)[1]] = True
+            taken = seen[own]
+            if not taken.all():
+                at = np.nonzero(taken)[0]
+                near, near_lengths = data[at], lengths[at]
+        if not len(near):
+            continue
+        query, row, away = _best(near, near_lengths, ids if at is None else ids[at], points[asked], radius[asked], k)
+        found.append((asked[query], row if at is None else at[row], away))
+    query, row, away = (np.concatenate(c) for c in zip(*found)) if found else (np.empty(0, int), np.empty(0, int), np.empty(0))
+    return pd.DataFrame({"_query": queries["_query"].to_numpy()[query], "_id": ids[row], "distance": away, "_label": labels[row]})
+
+
+def _best(data, lengths, ids, part, radius, k):
+    """(query, row, distance) of the k closest rows of each query.
+
+    A matrix product gives rough distances; the few best are measured exactly. Where
+    too many are tied for that, the query is measured against all rows in reach.
+    """
     kept = min(k, len(data))
     tried = min(len(data), kept + 16)
-    hits = np.empty((len(points), kept), dtype="int64")
-    away = np.empty((len(points), kept))
-    for start in range(0, len(points), 512):
-        part = points[start : start + 512]
-        own = np.einsum("ij,ij->i", part, part)
-        rough = own[:, None] + lengths[None, :] - 2.0 * (part @ data.T)
-        slack = 1e-12 * (own + lengths.max())
-        near = np.argpartition(rough, tried - 1, axis=1)[:, :tried]
-        found = np.sort(np.take_along_axis(rough, near, axis=1), axis=1)
-        reach = found[:, kept - 1] + 2 * slack
-        gap = data[near] - part[:, None, :]
-        exact = np.sqrt(np.einsum("ijk,ijk->ij", gap, gap))
-        order = np.lexsort((ids[near], exact), axis=-1)[:, :kept]
-        hits[start : start + 512] = np.take_along_axis(near, order, axis=1)
-        away[start : start + 512] = np.take_along_axis(exact, order, axis=1)
-        tied = np.nonzero(found[:, -1] <= reach)[0] if tried < len(data) else []
-        for i in tied:
-            all_near = np.nonzero(rough[i] <= reach[i])[0]
-            gaps = data[all_near] - part[i]
-            lengths_exact = np.sqrt(np.einsum("ij,ij->i", gaps, gaps))
-            best = np.lexsort((ids[all_near], lengths_exact))[:kept]
-            hits[start + i], away[start + i] = all_near[best], lengths_exact[best]
-    flat = hits.ravel()
-    return pd.DataFrame(
-        {
-            "_query": np.repeat(queries["_query"].to_numpy(), kept), "_id": ids[flat],
-            "distance": away.ravel(), "_label": labels[flat],
-        }
-    )
+    own = np.einsum("ij,ij->i", part, part)
+    rough = own[:, None] + lengths[None, :] - 2.0 * (part @ data.T)
+    slack = 1e-12 * (own + lengths.max())
+    limit = np.where(np.isnan(radius), np.inf, radius**2) + 2 * slack
+    if not np.isnan(radius).any():
+        within = rough <= limit[:, None]
+        if np.count_nonzero(within) <= tried * len(part):
+            query, row = np.nonzero(within)
+            away = _gaps(data, row, part[query])
+            order = np.lexsort((ids[row], away, query))
+            query, row, away = query[order], row[order], away[order]
+            place = np.arange(len(query)) - np.searchsorted(query, query)
+            return query[place < k], row[place < k], away[place < k]
+    near = np.argpartition(rough, tried - 1, axis=1)[:, :tried]
+    sorted_ = np.sort(np.take_along_axis(rough, near, axis=1), axis=1)
+    reach = sorted_[:, kept - 1] + 2 * slack
+    away = _gaps(data, near.ravel(), np.repeat(part, tried, axis=0)).reshape(near.shape)
+    order = np.lexsort((ids[near], away), axis=-1)[:, :kept]
+    hits, away = np.take_along_axis(near, order, axis=1), np.take_along_axis(away, order, axis=1)
+    for i in np.nonzero(sorted_[:, -1] <= reach)[0] if tried < len(data) else []:
+        all_near = np.nonzero(rough[i] <= reach[i])[0]
+        gaps = _gaps(data, all_near, part[i])
+        best = np.lexsort((ids[all_near], gaps))[:kept]
+        hits[i], away[i] = all_near[best], gaps[best]
+    query = np.repeat(np.arange(len(part)), kept)
+    inside = (away**2 <= limit[:, None]).ravel()
+    return query[inside], hits.ravel()[inside], away.ravel()[inside]
 
 
 def nearest_rows(
@@ -309,16 +388,18 @@ def nearest_rows(
 
     ``queries`` has ``_query bigint, _vec array<double>``; ``train`` has ``_id bigint,
     _vec array<double>, _label double``. Equal distances are ordered by ``_id``.
+    ``piece_rows`` and ``query_piece`` are the least rows of a lot and queries of a share.
     """
-    rows, asked = train.count(), queries.count()
+    rows, width = train.agg(F.count("*"), F.max(F.size("_vec"))).first()
     if rows == 0:
         raise ValueError("No training rows.")
+    shares = _lot_count(queries.count(), query_piece, width)
     if rows <= FEW_PIECES * piece_rows and pivots is None:
-        placed, blocks = _one_block(train, rows, piece_rows)
+        placed, blocks = _one_block(train, rows, _lot_count(rows, piece_rows, width))
     else:
         placed, blocks = _build_blocks(train, rows, piece_rows, pivots, rings)
-    many = asked > query_piece
-    near = _met(placed, _visits(queries, blocks, k, True), k, query_piece, many)
+        queries = queries.repartition("_query")  # a file of few bytes is one task's, its visits are not
+    near = _met(placed, _visits(queries, blocks, k, True, True), blocks, k, shares, True)
     order = Window.partitionBy("_query").orderBy("distance", "_id")
     best = lambda found: found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     if len(blocks.pivots):
@@ -326,7 +407,7 @@ def nearest_rows(
         first = staged(best(near).drop("rank"))
         radius = first.groupBy("_query").agg(F.count("*").alias("_n"), F.max("distance").alias("_far"))
         known = queries.join(radius, "_query", "left").select("_query", "_vec", F.when(F.col("_n") >= k, F.col("_far")).alias("_radius"))
-        near = first.unionByName(_met(placed, _visits(known, blocks, k, False), k, query_piece, many))
+        near = first.unionByName(_met(placed, _visits(known, blocks, k, False, True), blocks, k, shares, False))
     return best(near)
 
 

@@ -197,6 +197,28 @@ def test_clustered_vectors_in_many_dimensions_visit_few_pairs(spark):
     assert pairs_visited(spark, train, asked, 5) < 0.1
 
 
+def test_a_query_goes_to_lots_not_to_pieces(spark):
+    """Without clusters every block is in reach; a query used to be sent to each of hundreds of pieces."""
+    pick = np.random.default_rng(4)
+    train = pick.normal(0, 1, (400, 32))
+    t = spark.createDataFrame([(i, [float(x) for x in v], 0.0) for i, v in enumerate(train)], "_id long, _vec array<double>, _label double")
+    asked = t.select(F.col("_id").alias("_query"), "_vec", F.lit(1e9).alias("_radius"))
+    placed, blocks = neighbors._build_blocks(t, len(train), 2, 8, 3)
+    lots = placed.select("_lot").distinct().count()
+    assert 1 < lots <= 8 and placed.groupBy("_block", "_lot").count().count() < 40
+    both = neighbors._visits(asked, blocks, 5, True, True).select("_query", "_lot").unionAll(
+        neighbors._visits(asked, blocks, 5, False, True).select("_query", "_lot"))
+    assert both.count() == both.distinct().count() == len(train) * lots
+    found = neighbors.nearest_rows(asked.drop("_radius"), t, 5, 2, 100, 8, 3).collect()
+    want = brute(train, train, 5)
+    assert {(r["_query"], r["rank"], r["_id"]) for r in found} == {(q, i + 1, int(want[q][i][0])) for q in range(400) for i in range(5)}
+
+
+def test_a_large_block_has_lots_of_its_own():
+    first, count = neighbors._lots(np.array([5, 25, 3, 4, 9]), [np.array([0, 1]), np.array([2, 3, 4])], 10)
+    assert first.tolist() == [0, 1, 4, 4, 5] and count.tolist() == [1, 3, 1, 1, 1]
+
+
 def test_more_neighbours_than_rows(spark):
     t = spark.createDataFrame([(0, [1.0], 2.0), (1, [3.0], 4.0)], "_id long, _vec array<double>, _label double")
     q = spark.createDataFrame([(9, [1.0])], "_query long, _vec array<double>")
