@@ -16,9 +16,7 @@ import functools
 import hashlib
 import json
 import os
-import sys
 import zlib
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -71,11 +69,13 @@ def encoder(main_path: str, ranks_path: str | None = None):
             import tiktoken
 
             with open(main_path, encoding="utf-8") as file:
-                special = [t["content"] for t in json.load(file)["added_tokens"]]
+                special = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
             with open(ranks_path, "rb") as file:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-            fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-            code = lambda text: slow(text) if any(s in text for s in special) else fast.encode_ordinary(text)
+            fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+            # As one buffer of ids, not a list of numbers; the library looks for special tokens there, so it needs one.
+            plain = functools.partial(fast.encode_to_numpy, disallowed_special=()) if special else fast.encode_ordinary
+            code = lambda text: slow(text) if any(s in text for s in special) else plain(text)
         _CODERS[main_path, ranks_path] = code
     return _CODERS[main_path, ranks_path]
 
@@ -269,13 +269,9 @@ def pieces(df: DataFrame, code, key: str = "doc_id", text: str = "text", capacit
             if mark in seen:  # a copy of a text that this process has cut up
                 rows.append(seen[mark])
                 continue
-            ids = array("I", tokens(value))
-            ids.append(end)
-            if sys.byteorder == "big":
-                ids.byteswap()
-            raw = memoryview(ids)
+            ids = np.append(np.asarray(tokens(value), "<u4"), np.array([end], "<u4"))
             rows.append([
-                {"piece": i, "start": s, "length": n, "ids_crc32": zlib.crc32(raw[s : s + n])}
+                {"piece": i, "start": s, "length": n, "ids_crc32": zlib.crc32(ids[s : s + n])}
                 for i, (s, n) in enumerate(cut(len(ids), capacity))
             ])
             if len(seen) >= REMEMBERED:

@@ -278,6 +278,16 @@ def test_both_coders_agree():
         assert list(fast(text)) == list(slow(text))
 
 
+def test_ids_come_as_one_buffer():
+    """Not as a list of numbers, which is made and copied number by number."""
+    import public_tokenizers
+
+    fast, slow = queries.public_tokens(), pk.encoder(public_tokenizers.path(pk.MAIN))
+    text = "naïve <|endoftext \U0001f600 plain words 12"
+    assert isinstance(fast(text), np.ndarray) and fast(text).dtype.itemsize == 4
+    assert fast(text).tolist() == list(slow(text))
+
+
 # -- decontamination --------------------------------------------------------------
 
 
