@@ -39,6 +39,10 @@ FILLINGS, NODES = 16, 2_000
 REOPENED = 40
 MAIN, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
+#: The split of texts into words that the tokenizer's file asks for, and one that finds the same words without going back.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+SAME_SPLIT = r"'(?:[stmd]|re|ve|ll)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+
 #: Texts whose pieces a process remembers, by digest, in case copies follow.
 REMEMBERED = 30_000
 
@@ -72,7 +76,8 @@ def encoder(main_path: str, ranks_path: str | None = None):
                 special = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
             with open(ranks_path, "rb") as file:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-            fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+            split = SAME_SPLIT if public_tokenizers.PATTERN == SPLIT else public_tokenizers.PATTERN
+            fast = tiktoken.Encoding("ranks", pat_str=split, mergeable_ranks=ranks, special_tokens=special)
             # As one buffer of ids, not a list of numbers; the library looks for special tokens there, so it needs one.
             plain = functools.partial(fast.encode_to_numpy, disallowed_special=()) if special else fast.encode_ordinary
             code = lambda text: slow(text) if any(s in text for s in special) else plain(text)

@@ -288,6 +288,19 @@ def test_ids_come_as_one_buffer():
     assert fast(text).tolist() == list(slow(text))
 
 
+def test_the_split_that_never_goes_back_finds_the_same_words():
+    import public_tokenizers
+    import regex
+
+    assert public_tokenizers.PATTERN == pk.SPLIT
+    fast, slow = queries.public_tokens(), pk.encoder(public_tokenizers.path(pk.MAIN))
+    draw = random.Random(5)
+    for _ in range(3000):
+        text = "".join(draw.choice(" \t\n\r\u00a0\u3000\x85'sStTrRevlmd1²٣aé.,!\U0001f600\u200d") for _ in range(draw.randrange(1, 30)))
+        assert regex.findall(pk.SAME_SPLIT.replace("$", r"\Z"), text) == regex.findall(pk.SPLIT, text)
+        assert list(fast(text)) == list(slow(text))
+
+
 # -- decontamination --------------------------------------------------------------
 
 
