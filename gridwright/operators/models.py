@@ -23,7 +23,7 @@ from gridwright.constants import CLASSIFICATION, FOLDS, SEED
 from gridwright.functions.ranks import with_row_index
 from gridwright.functions.semantics import column, dtype, known
 from gridwright.functions.storage import staged
-from gridwright.operators import trees
+from gridwright.operators import spread_trees, trees
 from gridwright.operators.checks import require_rows, require_target
 from gridwright.operators.columns import features_and_label
 from gridwright.operators.encode import FEATURES, TablePrep, feature_names, prepared, stage_names
@@ -330,8 +330,30 @@ def train_with_baseline(
         parts.unpersist()
 
 
-def _scored(core: Transformer | NeighbourModel, ready: DataFrame, row_id: str | None = None) -> DataFrame:
+def _grown_apart(
+    train: DataFrame, task: str, algo: str, params: dict[str, Any], rows: int, classes: Sequence[str] | None
+) -> spread_trees.SpreadTrees | None:
+    """Trees without a limit of depth on more rows than one task's: as many nodes as rows, which no model should hold."""
+    name = algorithm_name(task, algo)
+    if name not in ("forest", "tree") or params.get("max_depth") is not None or rows <= TASK_ROWS:
+        return None
+    if int(params.get("min_samples_split", 2)) > 2:
+        return None
+    shared = _tree_params(params)
+    count = int(params.get("n_estimators", 100)) if name == "forest" else 1
+    return spread_trees.SpreadTrees(
+        train, rows, count, len(classes or ()), shared["minInstancesPerNode"], shared["maxDepth"],
+        some=name == "forest" and task == CLASSIFICATION,
+    )
+
+
+def _scored(
+    core: Transformer | NeighbourModel | spread_trees.SpreadTrees, ready: DataFrame, row_id: str | None = None
+) -> DataFrame:
     rows = ready.select(FEATURES, LABEL, *([row_id] if row_id else []))
+    if isinstance(core, spread_trees.SpreadTrees):
+        said = spread_trees.predictions(core, rows, FEATURES, row_id, LABEL)
+        return rows.join(said.withColumnRenamed(PREDICTION, "_predicted"), row_id)
     if isinstance(core, NeighbourModel):
         return neighbour_predictions(rows, core, "_predicted", row_id)
     return core.transform(rows).withColumnRenamed(core.getPredictionCol(), "_predicted")
@@ -389,7 +411,8 @@ def compare_models(
                 if "n_neighbors" in settings:
                     settings["n_neighbors"] = max(1, min(settings["n_neighbors"], least_train))
                 try:
-                    core = fit_estimator(train, task, name, settings, "_row_key")
+                    core = _grown_apart(train, task, name, settings, rows, classes)
+                    core = core or fit_estimator(train, task, name, settings, "_row_key")
                     found[name] = score(_scored(core, test, "_row_key"), LABEL, "_predicted", task)[metric]
                 except Exception as problem:
                     found[name] = problem
