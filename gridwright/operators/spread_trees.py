@@ -31,7 +31,7 @@ BINS, BORDER_ROWS = 32, 10_000
 #: Rows of a node that meet in one task, and the numbers in their vectors.
 NODE_ROWS, NODE_ENTRIES = 100_000, 4_000_000
 #: Cells and numbers that a task holds at once.
-HELD_CELLS, HELD_NUMBERS = 1 << 22, 1 << 22
+HELD_CELLS, HELD_NUMBERS = 1 << 23, 1 << 22
 #: A gain below this share of a node's impurity is rounding.
 ROUNDING = 1e-10
 #: The chance of being drawn so many times or fewer, for as many draws as there are rows.
@@ -60,6 +60,8 @@ class Plan:
     depth: int
     tried: int  # features that a node tries
     draws: bool  # rows are drawn, not taken once each
+    codes: np.ndarray  # feature * BINS + bin of all bins that there are, rising
+    place: np.ndarray  # the place of each code among them
 
 
 @dataclass
@@ -130,6 +132,19 @@ def _purity(sums: np.ndarray, weight: np.ndarray, classes: int) -> np.ndarray:
     return np.divide(squares, weight, out=np.zeros(len(weight)), where=weight > 0)
 
 
+def _cells(node: np.ndarray, code: np.ndarray, nodes: int, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
+    """The different (node, feature, bin) as rising numbers, and the place of each entry's one among them."""
+    size = nodes * len(plan.codes)
+    if size > max(HELD_NUMBERS, 4 * len(code)):
+        return np.unique(node * (plan.width * BINS) + code, return_inverse=True)
+    slot = node * len(plan.codes) + plan.place[code]
+    there = np.zeros(size, bool)
+    there[slot] = True
+    cell = np.flatnonzero(there)
+    number, at = np.divmod(cell, max(1, len(plan.codes)))
+    return number * (plan.width * BINS) + plan.codes[at], (np.cumsum(there) - 1)[slot]
+
+
 def _best(cell: np.ndarray, sums: np.ndarray, totals: np.ndarray, impurity: np.ndarray, plan: Plan):
     """(feature, border) of the best split of each node, feature -1 where none gains.
 
@@ -205,7 +220,7 @@ def grow(weight: np.ndarray, label: np.ndarray, row: np.ndarray, code: np.ndarra
             if last is not None:
                 use[use] = _draw(paths[here[taken[use]]], code[use] // BINS) <= last[here[taken[use]]]
             taken, codes = taken[use], code[use]
-            cell, inverse = np.unique(here[taken] * (plan.width * BINS) + codes, return_inverse=True)
+            cell, inverse = _cells(here[taken], codes, len(paths), plan)
             found = _sums(inverse, w[taken], centred[taken], len(cell), plan.classes)
             feature, border = _best(cell, found, shifted, impurity, plan)
         split = feature >= 0
@@ -348,8 +363,11 @@ def _routed(top: Top, rows: int, row: np.ndarray, code: np.ndarray, plan: Plan)
 def _split_once(train: DataFrame, tops: list[Top], open_: list[tuple[int, int]], mean: float, plan: Plan) -> list:
     """(tree, node, feature, border, sums, weight to the left, weight to the right) of the open nodes, by one pass over the rows."""
     number = {one: i for i, one in enumerate(open_)}
-    cells = plan.width * BINS + 1  # the last one is the node's total
+    cells = len(plan.codes) + 1  # the last one is the node's total
     slots = plan.classes or 3
+    first = {tree: min(i for i, (t, _) in enumerate(open_) if t == tree) for tree in {t for t, _ in open_}}
+    count = {tree: sum(t == tree for t, _ in open_) for tree in first}
+    dense = len(open_) * cells * slots <= HELD_CELLS
 
     def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         key, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
@@ -357,10 +375,11 @@ def _split_once(train: DataFrame, tops: list[Top], open_: list[tuple[int, int]],
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
+        table = np.zeros(len(open_) * cells * slots if dense else 0)
         for batch in batches:
             ids, label = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("id", "y"))
             row, code = _entries(batch.column("e"))
-            for tree in sorted({t for t, _ in open_}):
+            for tree in sorted(first):
                 w = _weights(ids, tree, plan)
                 at = _routed(tops[tree], len(ids), row, code, plan)
                 name = np.full(len(tops[tree].feature), -1)
@@ -374,17 +393,25 @@ def _split_once(train: DataFrame, tops: list[Top], open_: list[tuple[int, int]],
                     paths = np.array(tops[tree].path, np.uint64)[at]
                     use &= _draw(paths[row], code // BINS) <= last[at][row]
                 rows = np.concatenate([row[use], np.flatnonzero(mine >= 0)])
-                key = mine[rows] * cells + np.concatenate([code[use], np.full(len(rows) - use.sum(), cells - 1)])
+                key = mine[rows] * cells + np.concatenate([plan.place[code[use]], np.full(len(rows) - use.sum(), cells - 1)])
                 if plan.classes:
                     pairs = [(key * slots + label[rows].astype(np.int64), w[rows])]
                 else:
                     y = label[rows] - mean
                     pairs = [(key * slots + i, w[rows] * y**i) for i in range(3)]
+                if dense:  # the nodes of a tree have numbers next to each other
+                    lo, size = first[tree] * cells * slots, count[tree] * cells * slots
+                    for k, x in pairs:
+                        table[lo : lo + size] += np.bincount(k - lo, x, size)
+                    continue
                 parts.append(merged(pairs))
                 held += len(parts[-1][0])
             if held > HELD_CELLS:
                 parts = [merged(parts)]
                 held = 0
+        if dense:
+            key = np.flatnonzero(table)
+            parts = [(key, table[key])]
         if parts:
             key, s = merged(parts)
             yield pa.RecordBatch.from_arrays(
@@ -397,7 +424,7 @@ def _split_once(train: DataFrame, tops: list[Top], open_: list[tuple[int, int]],
         found, inverse = np.unique(cell, return_inverse=True)
         table = np.zeros((len(found), slots))
         table[inverse, slot] = s
-        totals, table, found = table[-1:], table[:-1], found[:-1]
+        totals, table, found = table[-1:], table[:-1], plan.codes[found[:-1]]
         shifted = totals
         if not plan.classes:
             average = totals[0, 1] / totals[0, 0]
@@ -445,7 +472,7 @@ def _tops(train: DataFrame, rows: int, trees: int, most: int, mean: float, plan:
                 top.left.append(-1)
                 top.depth.append(top.depth[node] + 1)
                 top.path.append(path)
-        open_ = following
+        open_ = sorted(following)
     return tops
 
 
@@ -456,7 +483,10 @@ def predictions(model: SpreadTrees, rows: DataFrame, vector: str, key: str, labe
     for f, at in found.items():
         zero[f] = np.searchsorted(np.array(at), 0.0)
     tried = int(np.ceil(np.sqrt(width))) if model.some else width
-    plan = Plan(width, zero, model.classes, model.least, model.depth, tried, model.trees > 1)
+    codes = np.array([f * BINS + i for f in sorted(found) for i in range(len(found[f]) + 1)], np.int64)
+    place = np.zeros(width * BINS, np.int64)
+    place[codes] = np.arange(len(codes))
+    plan = Plan(width, zero, model.classes, model.least, model.depth, tried, model.trees > 1, codes, place)
     train, asked = (_binned(df, vector, key, label, found, zero, fresh) for df, fresh in ((model.train, False), (rows, True)))
     unknown = F.count_if(F.col("y").isNull() | F.col("y").isin(*map(float, ("nan", "inf", "-inf"))))
     mean, entries, bad = train.agg(F.avg("y"), F.avg(F.size("e")), unknown).first()
