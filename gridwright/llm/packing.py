@@ -137,7 +137,8 @@ def fillings(lengths: list[int], left: dict[int, int], room: int, limit: int = F
         steps += 1
         if len(found) >= 4 * limit or steps > 40 * limit:
             return
-        open_at = next((i for i in range(at, len(lengths)) if lengths[i] <= space and left[lengths[i]] > taken.count(lengths[i])), None)
+        fits = bisect.bisect_left(lengths, -space, at, key=lambda x: -x)  # lengths fall
+        open_at = next((i for i in range(fits, len(lengths)) if left[lengths[i]] > taken.count(lengths[i])), None)
         if open_at is None:
             found.append((space, tuple(taken)))
             return
@@ -150,13 +151,20 @@ def fillings(lengths: list[int], left: dict[int, int], room: int, limit: int = F
                 if found and found[-1][0] == 0 and len(found) >= limit or steps > 40 * limit:
                     return
 
+    def exchangeable(low: int, high: int, taken: tuple[int, ...]) -> bool:
+        """Is a piece of low to high left besides those taken?"""
+        at = bisect.bisect_left(lengths, -high, key=lambda x: -x)
+        while at < len(lengths) and lengths[at] >= low:
+            if left[lengths[at]] > taken.count(lengths[at]):
+                return True
+            at += 1
+        return False
+
     go(0, room, [])
     kept = []
     for waste, taken in sorted(set(found)):
-        larger = [x for x in lengths if left[x] > taken.count(x)]
-        if not any(x < y <= x + waste for x in taken for y in larger) and not any(
-            taken[i] + taken[j] <= y <= taken[i] + taken[j] + waste
-            for i in range(len(taken)) for j in range(i) for y in larger
+        if not any(exchangeable(x + 1, x + waste, taken) for x in taken) and not any(
+            exchangeable(taken[i] + taken[j], taken[i] + taken[j] + waste, taken) for i in range(len(taken)) for j in range(i)
         ):
             kept.append(taken)
         if len(kept) == limit:
