@@ -5,6 +5,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_fixtures import prose
 from pyspark.sql import functions as F
@@ -356,6 +357,51 @@ def test_changed_passages_are_found(spark):
     print("share found by changed words:", found)
 
 
+def test_passages_meet_all_texts_of_a_frequent_sentence(spark, monkeypatch):
+    """A passage whose only seeds that others have too are a frequent sentence, with texts of low and high keys around it."""
+    tail = [f"tail{i}" for i in range(45)]
+    cut = lambda n: " ".join(f"other{n}w{i}" if i % 5 == 4 else w for i, w in enumerate(tail))  # noqa: E731  runs of four words, no seed
+    for n in range(100):  # a sentence with two seeds wherever it stands
+        sentence = " ".join(prose(70_000 + n, 14).split())
+        texts = [f"{prose(72_000 + i, 40)} {sentence} {prose(73_000 + i, 40)}" for i in range(40)]
+        pair = [len(texts), len(texts) + 1]
+        texts += [f"{prose(74_000 + i, 40)} {sentence} {cut(i)} {prose(75_000 + i, 40)}" for i in range(2)]
+        if len(set.intersection(*(set(sb.seeds(sb.words_of(t))[0].tolist()) for t in texts))) > 1:
+            break
+    for meet in (sb.MEET, 7):
+        monkeypatch.setattr(sb, "MEET", meet)
+        got = {r.id: r for r in sb.mark(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), "id").collect()}
+        assert [got[i].partners for i in pair] == [[pair[1]], [pair[0]]] and all(got[i].n_repeated >= 50 for i in pair)
+        assert not any(got[i].n_spans for i in range(pair[0]))
+
+
+def test_places_that_go_on_include_all_that_align():
+    r = random.Random(9)
+    passed = 0
+    for _ in range(1500):
+        words = [f"w{r.randrange(6)}" for _ in range(60)]
+        core = [f"c{i}" for i in range(r.randint(6, 12))]
+
+        def changed(words):
+            return [w for w in (f"z{r.randrange(99)}" if r.random() < 0.1 else w for w in words) if r.random() > 0.05]
+
+        sides = [(changed(words[:30]), changed(words[30:])) for _ in range(2)]
+        if r.random() < 0.5:
+            sides[1] = ([f"q{i}" for i in range(20)], [])
+        a, b = (x + core + y for x, y in sides)
+        i, j = (len(x) for x, _ in sides)
+        (lo, hi), (start, end), alike = sb.aligned(a, b, [(i, j, len(core))], 0, len(a))
+        near = [
+            sb._words_near(iter([pa.RecordBatch.from_pylist([{"k": b"", "t": " ".join(w), "s": [{"g": 0, "x": at, "d": len(core) - 5, "n": 2, "y": 0}]}])]))
+            for w, at in ((a, i), (b, j))
+        ]
+        x, y = (np.frombuffer(next(n).column("w")[0].as_py(), np.uint32)[None, :] for n in near)
+        found = len(sb.goes_on(x, y, np.array([[len(core)]]))[0])
+        passed += found
+        assert found or max(hi - lo, end - start) < sb.LEAST_STRETCH
+    assert 0 < passed < 1500
+
+
 def test_passages_on_odd_rows_and_given_documents(spark, odd, nothing):
     got = sb.mark(odd)
     assert got.count() == odd.count() and set(odd.columns) < set(got.columns) and sb.mark(nothing).count() == 0
