@@ -87,14 +87,37 @@ def _distances(rows: np.ndarray, to: np.ndarray) -> np.ndarray:
     return out
 
 
+def _nearest(points: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The closest of ``to`` for each point (the first on a tie), and how far it is.
+
+    A matrix product gives rough distances; those that may be the least are measured exactly.
+    """
+    at, away = np.empty(len(points), int), np.empty(len(points))
+    lengths = np.einsum("ij,ij->i", to, to)
+    step = max(1, PAIRS // max(1, len(to)))
+    for start in range(0, len(points), step):
+        part, here = points[start : start + step], slice(start, start + step)
+        own = np.einsum("ij,ij->i", part, part)
+        rough = own[:, None] + lengths[None, :] - 2.0 * (part @ to.T)
+        limit = rough.min(axis=1) + 2e-12 * (own + lengths.max())
+        if not np.isfinite(limit).all():
+            d = _distances(part, to)
+            at[here] = d.argmin(axis=1)
+            away[here] = d[np.arange(len(d)), at[here]]
+            continue
+        point, row = np.nonzero(rough <= limit[:, None])
+        d = _gaps(to, row, part[point])
+        order = np.lexsort((row, d, point))
+        first = order[np.searchsorted(point, np.arange(len(part)))]
+        at[here], away[here] = row[first], d[first]
+    return at, away
+
+
 def _with_pivot(train: DataFrame, pivots: np.ndarray) -> DataFrame:
     def locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                d = _distances(np.stack(batch["_vec"].to_numpy()), pivots)
-                nearest = d.argmin(axis=1)
-                batch["_pivot"] = nearest
-                batch["_away"] = d[np.arange(len(d)), nearest]
+                batch["_pivot"], batch["_away"] = _nearest(np.stack(batch["_vec"].to_numpy()), pivots)
                 yield batch
 
     extra = [T.StructField("_pivot", T.LongType()), T.StructField("_away", T.DoubleType())]
@@ -174,7 +197,7 @@ def _least(d: np.ndarray, near: np.ndarray, far: np.ndarray) -> np.ndarray:
 
 def _home(points: np.ndarray, blocks: Blocks, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Queries and the blocks of their own pivot: the nearest ones, until they hold ``k`` rows."""
-    closest = _distances(points, blocks.pivots).argmin(axis=1)
+    closest, _ = _nearest(points, blocks.pivots)
     queries, at = [], []
     for pivot in np.unique(closest):
         own, here = np.nonzero(closest == pivot)[0], np.nonzero(blocks.pivot_of == pivot)[0]
@@ -200,8 +223,7 @@ def _surely(points: np.ndarray, blocks: Blocks, k: int) -> np.ndarray:
 
 def _in_reach(points: np.ndarray, blocks: Blocks, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Queries and the blocks that may hold a row within the query's radius, ball by ball."""
-    closest = _distances(points, blocks.pivots).argmin(axis=1)
-    best = np.sqrt(((points - blocks.pivots[closest]) ** 2).sum(axis=1))
+    closest, best = _nearest(points, blocks.pivots)
     to_balls = _distances(points, blocks.pivots[blocks.center])
     queries, at = [], []
     for ball, members in enumerate(blocks.members):
@@ -308,13 +330,17 @@ def _gaps(data: np.ndarray, rows: np.ndarray, point: np.ndarray) -> np.ndarray:
 def _closest(rows: pd.DataFrame, queries: pd.DataFrame, k: int, blocks: Blocks, first: bool) -> pd.DataFrame:
     """The k closest rows of one lot for each query of one share, of those within the query's radius if it is known.
 
-    ``first``: no query comes to this lot again, so none of its blocks is left out.
+    ``first``: no query comes to this lot again. Its own blocks are compared first; the distance of the k-th of their rows
+    says which of the lot's other blocks it must visit. Without so many rows there it visits all.
     """
     data, points = np.stack(rows["_vec"].to_numpy()), np.stack(queries["_vec"].to_numpy())
-    radius = _radius(queries)
+    radius = _radius(queries).copy()
     order = np.arange(len(points))
     if len(blocks.pivots):  # queries that are close to each other visit the same blocks
-        order = np.argsort(_distances(points, blocks.pivots).argmin(axis=1), kind="stable")
+        listed = np.concatenate(blocks.members)
+        rank = np.zeros(len(blocks.pivots), int)
+        rank[blocks.pivot_of[listed]] = np.arange(len(listed))
+        order = np.argsort(rank[_nearest(points, blocks.pivots)[0]], kind="stable")
         own = np.searchsorted(blocks.block, rows["_block"].to_numpy())
         sort = np.argsort(own, kind="stable")
         data, rows, own = data[sort], rows.iloc[sort], own[sort]
@@ -323,22 +349,42 @@ def _closest(rows: pd.DataFrame, queries: pd.DataFrame, k: int, blocks: Blocks,
         blocks = replace(blocks, members=[m[here[m]] for m in blocks.members])
     ids, labels = rows["_id"].to_numpy(), rows["_label"].to_numpy()
     lengths = np.einsum("ij,ij->i", data, data)
-    step = max(8, min(512, PAIRS // len(data)))
     found = []
-    for start in range(0, len(points), step):
-        asked = order[start : start + step]
-        near, near_lengths, at = data, lengths, None
-        if len(blocks.pivots) and not first:
-            seen = np.zeros(len(blocks.block), bool)
-            seen[_reached(points[asked], radius[asked], blocks, k)[1]] = True
-            taken = seen[own]
-            if not taken.all():
-                at = np.nonzero(taken)[0]
-                near, near_lengths = data[at], lengths[at]
-        if not len(near):
-            continue
-        query, row, away = _best(near, near_lengths, ids if at is None else ids[at], points[asked], radius[asked], k)
-        found.append((asked[query], row if at is None else at[row], away))
+
+    def among(asked: np.ndarray, taken: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The closest of the rows ``taken`` (None: all), so many queries at a time as a task can hold."""
+        at = None if taken is None or taken.all() else np.nonzero(taken)[0]
+        near, near_lengths, near_ids = (data, lengths, ids) if at is None else (data[at], lengths[at], ids[at])
+        step = max(8, min(512, PAIRS // max(1, len(near))))
+        for start in range(0, len(asked) if len(near) else 0, step):
+            part = asked[start : start + step]
+            query, row, away = _best(near, near_lengths, near_ids, points[part], radius[part], k)
+            yield part[query], row if at is None else at[row], away
+
+    def visited(at: np.ndarray) -> np.ndarray:
+        seen = np.zeros(len(blocks.block), bool)
+        seen[at] = True
+        return seen[own]
+
+    if not len(blocks.pivots):
+        found += among(order, None)
+        order = order[:0]
+    elif first:
+        # The rows of its own blocks tell each query how far the others can matter.
+        for start in range(0, len(order), QUERY_SLICE):
+            asked = order[start : start + QUERY_SLICE]
+            taken = visited(_home(points[asked], blocks, k)[1])
+            if 2 * np.count_nonzero(taken) < len(data):
+                for query, _, away in list(among(asked, taken)):
+                    last = np.flatnonzero(np.diff(query, append=-1))
+                    full = last[np.diff(last, prepend=-1) == k]
+                    radius[query[full]] = away[full]
+        open_ = np.isnan(radius[order])
+        found += among(order[open_], None)
+        order = order[~open_]
+    for start in range(0, len(order), QUERY_SLICE):
+        asked = order[start : start + QUERY_SLICE]
+        found += among(asked, visited(_reached(points[asked], radius[asked], blocks, k)[1]))
     query, row, away = (np.concatenate(c) for c in zip(*found)) if found else (np.empty(0, int), np.empty(0, int), np.empty(0))
     return pd.DataFrame({"_query": queries["_query"].to_numpy()[query], "_id": ids[row], "distance": away, "_label": labels[row]})
 

@@ -2,6 +2,7 @@ import json
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier
@@ -219,6 +220,32 @@ def test_a_large_block_has_lots_of_its_own():
     assert first.tolist() == [0, 1, 4, 4, 5] and count.tolist() == [1, 3, 1, 1, 1]
 
 
+def test_a_query_s_own_lot_is_not_compared_as_a_whole(monkeypatch):
+    rng = np.random.default_rng(5)
+    vectors = np.concatenate([rng.normal(size=(3000, 1)), np.eye(4)[rng.integers(0, 4, 3000)]], axis=1)
+    vectors[-300:] = vectors[0]  # more copies than neighbours
+    points = np.concatenate([vectors[rng.integers(0, 3000, 2000)] + 1e-3, [[50.0, 0, 0, 0, 0]]])
+    pivots = vectors[:60]
+    d = np.sqrt(((vectors[:, None] - pivots[None]) ** 2).sum(axis=2))
+    at, away = neighbors._nearest(vectors, pivots)
+    assert (at == d.argmin(axis=1)).all() and np.allclose(away, d.min(axis=1))
+    block, of = np.unique(at * 4 + (away > 0.05) + (away > 0.2), return_inverse=True)
+    near, far = (np.array([f(away[of == b]) for b in range(len(block))]) for f in (np.min, np.max))
+    lot = np.zeros(len(block), int)
+    blocks = neighbors.Blocks(
+        pivots, block, block // 4, np.bincount(of), near, far, lot, lot + 1, *neighbors._balls(pivots, block // 4, far)
+    )
+    rows = pd.DataFrame({"_id": np.arange(3000), "_vec": list(vectors), "_label": 1.0, "_block": block[of]})
+    asked = pd.DataFrame({"_query": np.arange(2001), "_vec": list(points), "_radius": np.nan})
+    pairs, best = [], neighbors._best
+    monkeypatch.setattr(neighbors, "_best", lambda data, *rest: pairs.append(len(data) * len(rest[2])) or best(data, *rest))
+    found = neighbors._closest(rows, asked, 5, blocks, True).sort_values(["_query", "distance", "_id"])
+    true = neighbors._distances(points, vectors)
+    wanted = np.lexsort((np.broadcast_to(np.arange(3000), true.shape), true), axis=-1)[:, :5]
+    assert (found["_id"].to_numpy().reshape(-1, 5) == wanted).all()
+    assert sum(pairs) < 0.7 * len(rows) * len(asked)
+
+
 def test_more_neighbours_than_rows(spark):
     t = spark.createDataFrame([(0, [1.0], 2.0), (1, [3.0], 4.0)], "_id long, _vec array<double>, _label double")
     q = spark.createDataFrame([(9, [1.0])], "_query long, _vec array<double>")
