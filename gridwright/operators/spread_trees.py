@@ -348,10 +348,30 @@ def _entries(listed) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(sizes)), sizes), listed.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _routed(top: Top, rows: int, row: np.ndarray, code: np.ndarray, plan: Plan) -> np.ndarray:
-    """The node of each row that the splits so far lead to."""
+def _bins(rows: int, row: np.ndarray, code: np.ndarray, plan: Plan) -> np.ndarray | None:
+    """The bins of all features of each row, if they are few enough to be held."""
+    if rows * plan.width > HELD_NUMBERS:
+        return None
+    bins = np.tile(plan.zero.astype(np.uint8), (rows, 1))
+    bins[row, code // BINS] = code % BINS
+    return bins
+
+
+def _routed(
+    top: Top, rows: int, row: np.ndarray, code: np.ndarray, plan: Plan, bins: np.ndarray | None = None, live: np.ndarray | None = None
+) -> np.ndarray:
+    """The node of each row that the splits so far lead to; with ``bins`` only rows that are ``live`` need move."""
     feature, border, left = (np.array(x, np.int64) for x in (top.feature, top.border, top.left))
     at = np.zeros(rows, np.int64)
+    if bins is not None:
+        live = np.arange(rows) if live is None else live
+        while True:
+            here = at[live]
+            inner = feature[here] >= 0
+            live, here = live[inner], here[inner]
+            if not len(live):
+                return at
+            at[live] = left[here] + (bins[live, feature[here]] > border[here])
     while True:
         inner = feature[at] >= 0
         if not inner.any():
@@ -376,22 +396,26 @@ def _split_once(train: DataFrame, tops: list[Top], open_: list[tuple[int, int]],
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
         table = np.zeros(len(open_) * cells * slots if dense else 0)
+        names, paths, lasts = {}, {}, {}
+        for tree in sorted(first):
+            names[tree] = np.full(len(tops[tree].feature), -1)
+            paths[tree] = np.array(tops[tree].path, np.uint64)
+            lasts[tree] = _last_tried(paths[tree], plan)
+        for t, n in open_:
+            names[t][n] = number[t, n]
         for batch in batches:
             ids, label = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("id", "y"))
             row, code = _entries(batch.column("e"))
+            bins = _bins(len(ids), row, code, plan)
             for tree in sorted(first):
                 w = _weights(ids, tree, plan)
-                at = _routed(tops[tree], len(ids), row, code, plan)
-                name = np.full(len(tops[tree].feature), -1)
-                for t, n in open_:
-                    if t == tree:
-                        name[n] = number[t, n]
-                mine = np.where(w > 0, name[at], -1)
-                last = _last_tried(np.array(tops[tree].path, np.uint64), plan)
+                at = _routed(tops[tree], len(ids), row, code, plan, bins, np.flatnonzero(w > 0))
+                mine = np.where(w > 0, names[tree][at], -1)
                 use = mine[row] >= 0
+                last = lasts[tree]
                 if last is not None:
-                    paths = np.array(tops[tree].path, np.uint64)[at]
-                    use &= _draw(paths[row], code // BINS) <= last[at][row]
+                    node = at[row[use]]
+                    use[use] = _draw(paths[tree][node], code[use] // BINS) <= last[node]
                 rows = np.concatenate([row[use], np.flatnonzero(mine >= 0)])
                 key = mine[rows] * cells + np.concatenate([plan.place[code[use]], np.full(len(rows) - use.sum(), cells - 1)])
                 if plan.classes:
@@ -499,9 +523,10 @@ def predictions(model: SpreadTrees, rows: DataFrame, vector: str, key: str, labe
         for batch in batches:
             ids, fresh = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("id", "fresh"))
             row, code = _entries(batch.column("e"))
+            bins = _bins(len(ids), row, code, plan)
             for tree, top in enumerate(tops):
                 w = np.where(fresh, 0.0, _weights(ids, tree, plan))
-                at = _routed(top, len(ids), row, code, plan)
+                at = _routed(top, len(ids), row, code, plan, bins)
                 taken = np.flatnonzero((fresh | (w > 0)) & ~np.isin(at, list(top.leaf)))
                 if len(taken):
                     part = batch.take(pa.array(taken))
@@ -531,9 +556,10 @@ def predictions(model: SpreadTrees, rows: DataFrame, vector: str, key: str, labe
         for batch in batches:
             ids = batch.column("id").to_numpy()
             row, code = _entries(batch.column("e"))
+            bins = _bins(len(ids), row, code, plan)
             for top in tops:
                 if top.leaf:
-                    at = _routed(top, len(ids), row, code, plan)
+                    at = _routed(top, len(ids), row, code, plan, bins)
                     names = np.array(sorted(top.leaf))
                     here = np.isin(at, names)
                     sums = np.array([top.leaf[n] for n in names.tolist()])

@@ -52,6 +52,28 @@ def test_where_nodes_are_split_does_not_matter(spark, monkeypatch, classes, some
     assert all(abs(whole[k] - parts[k]) < 1e-9 for k in whole)
 
 
+def test_rows_are_routed_by_their_bins_without_going_over_their_entries_at_each_split(monkeypatch):
+    rng = np.random.default_rng(3)
+    width, rows = 6, 500
+    zero = np.array([0, 2, 0, 1, 0, 3])
+    place = rng.integers(0, 5, (rows, width))
+    row, feature = np.nonzero(place != zero)
+    code = feature * spread_trees.BINS + place[row, feature]
+    plan = spread_trees.Plan(width, zero, 2, 1, 30, width, False, np.empty(0, int), np.empty(0, int))
+    top = spread_trees.Top([1, 5, -1, 0, -1, -1, -1], [2, 3, 0, 0, 0, 0, 0], [1, 3, -1, 5, -1, -1, -1], [0, 1, 1, 2, 2, 3, 3], [0] * 7, {})
+    plain = spread_trees._routed(top, rows, row, code, plan)
+    calls = []
+    monkeypatch.setattr(spread_trees, "_right", lambda *a: calls.append(a))
+    bins = spread_trees._bins(rows, row, code, plan)
+    assert (bins == place).all() and not calls
+    assert (spread_trees._routed(top, rows, row, code, plan, bins) == plain).all()
+    some = np.arange(0, rows, 3)
+    assert (spread_trees._routed(top, rows, row, code, plan, bins, some)[some] == plain[some]).all()
+    assert not calls and set(plain) == {2, 4, 5, 6}
+    monkeypatch.setattr(spread_trees, "HELD_NUMBERS", rows * width - 1)
+    assert spread_trees._bins(rows, row, code, plan) is None
+
+
 def test_a_forest_comes_near_the_library_s(spark):
     df = table(spark, 2000, 0)
     train, asked = df.where("k % 4 <> 0"), df.where("k % 4 = 0")
