@@ -28,7 +28,7 @@ from gridwright.operators.checks import require_rows, require_target
 from gridwright.operators.columns import features_and_label
 from gridwright.operators.encode import FEATURES, TablePrep, feature_names, prepared, stage_names
 from gridwright.operators.metrics import score
-from gridwright.operators.neighbors import nearest_rows, vote
+from gridwright.operators.neighbors import votes_of_nearest
 from gridwright.operators.profile import default_features, detect_task
 from gridwright.operators.split import TEST, TRAIN, assign_folds, plan_split, split_by_plan
 
@@ -182,7 +182,7 @@ def neighbour_predictions(rows: DataFrame, model: NeighbourModel, name: str, row
     """Add the vote of the nearest training rows as column ``name``."""
     asked = rows.withColumn("_query", F.col(row_id)) if row_id else _with_id(rows, "_query")
     points = asked.select("_query", vector_to_array(F.col(FEATURES)).alias("_vec"))
-    votes = vote(nearest_rows(points, model.train, model.k), model.weights, model.classes)
+    votes = votes_of_nearest(points, model.train, model.k, model.weights, model.classes)
     return asked.join(votes.withColumnRenamed("prediction", name), "_query").drop("_query")
 
 

@@ -44,6 +44,8 @@ LEAST_LOTS = 4
 QUERY_SLICE = 256
 # Rough distances that a task holds at once.
 PAIRS = 1 << 22
+# So many times as many rows as different vectors make it worth to look up each vector once.
+TIMES = 4
 # Below this many pieces, comparing with all rows is cheaper than finding blocks.
 FEW_PIECES = 16
 
@@ -480,6 +482,27 @@ def vote(neighbours: DataFrame, weights: str = "uniform", classes: bool = True)
     return sums.groupBy("_query").agg((-best["_minus"]).alias("prediction"))
 
 
+def votes_of_nearest(queries: DataFrame, train: DataFrame, k: int, weights: str = "uniform", classes: bool = True) -> DataFrame:
+    """``_query, prediction``: the vote of each query's ``k`` nearest rows.
+
+    Equal vectors have the same neighbours, and of equal training vectors only the ``k`` least ids can be among them.
+    So where vectors are much fewer than rows, as with columns of few values, each is looked up once.
+    """
+    hashed = F.xxhash64("_vec").alias("_hash")
+    rows, kinds = train.agg(F.count("*"), F.approx_count_distinct(hashed)).first()
+    asked, asked_kinds = queries.agg(F.count("*"), F.approx_count_distinct(hashed)).first()
+    if TIMES * k * kinds <= rows:
+        order = Window.partitionBy("_hash", "_vec").orderBy("_id")
+        ranked = train.select("*", hashed).withColumn("_rank", F.row_number().over(order))
+        train = staged(ranked.where(F.col("_rank") <= k).select(*train.columns))
+    if TIMES * asked_kinds > asked:
+        return vote(nearest_rows(queries, train, k), weights, classes)
+    named = queries.select("_query", "_vec", hashed)
+    once = staged(named.groupBy("_hash", "_vec").agg(F.min("_query").alias("_query")))
+    found = vote(nearest_rows(once.select("_query", "_vec"), train, k), weights, classes)
+    return named.join(once.join(found, "_query").drop("_query"), ["_hash", "_vec"]).select("_query", "prediction")
+
+
 def nearest_neighbours(
     queries: DataFrame, train: DataFrame, k: int, vector: str, query_key: str, train_key: str, **limits
 ) -> DataFrame:

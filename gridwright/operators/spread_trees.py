@@ -8,13 +8,17 @@ Here a row goes to each tree as often as a hash of its id says. Nodes of very ma
 each node's rows meet in a task, which grows all that is below the node. The rows to be scored travel along with
 weight 0 and leave with their predictions.
 
+A tree sees bins alone, so rows with the same bins (and class) take the same way. Where these are much fewer than the
+rows, as with few columns or columns of few values, they are what a tree is grown from: one row for all alike, with the sums of
+their weights and labels.
+
 Splits, bins, impurities and the drawing of features follow the library: the feature's bin borders come from a sample
 of rows, one-hot columns are numbers, a split must gain, leaves that predict the same class are joined.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,6 +36,8 @@ BINS, BORDER_ROWS = 32, 10_000
 NODE_ROWS, NODE_ENTRIES = 100_000, 4_000_000
 #: Cells and numbers that a task holds at once.
 HELD_CELLS, HELD_NUMBERS = 1 << 23, 1 << 22
+#: So many times as many rows as differ in their bins make it worth to take rows that are alike as one.
+TIMES = 4
 #: A gain below this share of a node's impurity is rounding.
 ROUNDING = 1e-10
 #: The chance of being drawn so many times or fewer, for as many draws as there are rows.
@@ -190,14 +196,23 @@ def _right(feature: np.ndarray, border: np.ndarray, row: np.ndarray, code: np.nd
     return own > border
 
 
-def grow(weight: np.ndarray, label: np.ndarray, row: np.ndarray, code: np.ndarray, depth: int, path: int, plan: Plan):
+def grow(weight: np.ndarray, label: np.ndarray, row: np.ndarray, code: np.ndarray, depth: int, path: int, plan: Plan, within: np.ndarray | None = None):
     """The subtree of one node: (number of each row's leaf, sums of all nodes by number).
 
     ``row`` and ``code`` list the numbers of the rows' vectors (feature * BINS + bin). Rows of weight 0 only follow.
+    ``within`` holds the squares of the labels around the one that stands for them, where a row stands for some.
     """
+    at, sums, _, _, children = _grown(weight, label, row, code, depth, path, plan, within)
+    if plan.classes:
+        at = _joined(sums, children)[at]
+    return at, np.concatenate(sums)
+
+
+def _grown(weight, label, row, code, depth, path, plan, within=None):
+    """Number of each row's leaf, and by level the sums, features, borders and left children of the nodes, before leaves are joined."""
     at = np.zeros(len(weight), np.int64)
     live, base, paths = np.arange(len(weight)), 0, np.array([path], np.uint64)
-    sums, children = [], []
+    sums, features, borders_, children = [], [], [], []
     while True:
         here, w, y = at[live] - base, weight[live], label[live]
         totals = _sums(here, w, y, len(paths), plan.classes)
@@ -208,7 +223,7 @@ def grow(weight: np.ndarray, label: np.ndarray, row: np.ndarray, code: np.ndarra
         else:
             centred = y - (totals[:, 1] / totals[:, 0])[here]
             shifted = _sums(here, w, centred, len(paths), 0)
-            impurity = np.bincount(here, w * centred**2, len(paths))
+            impurity = np.bincount(here, w * centred**2 + (0.0 if within is None else within[live]), len(paths))
         feature, border = np.full(len(paths), -1), np.zeros(len(paths), int)
         if depth < plan.depth:
             place = np.zeros(len(at), np.int64)
@@ -225,9 +240,11 @@ def grow(weight: np.ndarray, label: np.ndarray, row: np.ndarray, code: np.ndarra
             feature, border = _best(cell, found, shifted, impurity, plan)
         split = feature >= 0
         left = np.where(split, base + len(paths) + 2 * (np.cumsum(split) - 1), -1)
+        features.append(feature)
+        borders_.append(border)
         children.append(left)
         if not split.any():
-            break
+            return at, sums, features, borders_, children
         moving = split[here]
         live, here = live[moving], here[moving]
         place = np.full(len(at), -1)
@@ -236,9 +253,6 @@ def grow(weight: np.ndarray, label: np.ndarray, row: np.ndarray, code: np.ndarra
         row, code = row[kept], code[kept]
         at[live] = left[here] + _right(feature[here], border[here], place[row], code, plan)
         base, paths, depth = base + len(paths), _children(paths[split]), depth + 1
-    if plan.classes:
-        at = _joined(sums, children)[at]
-    return at, np.concatenate(sums)
 
 
 def _joined(sums: list[np.ndarray], children: list[np.ndarray]) -> np.ndarray:
@@ -297,9 +311,9 @@ def borders(values: list[float], zeros: int) -> list[float]:
     return taken[: BINS - 1]
 
 
-def _borders(train: DataFrame, vector: str, key: str) -> tuple[int, dict[int, list[float]]]:
+def _borders(drawn_rows: DataFrame, vector: str) -> tuple[int, dict[int, list[float]]]:
     """The width of the vectors, and the borders of each feature that has any."""
-    sample = staged(train.orderBy(F.xxhash64(key, F.lit(SEED)), key).limit(BORDER_ROWS).select(F.col(vector).alias("v")))
+    sample = staged(drawn_rows.select(F.col(vector).alias("v")))
     rows, width = sample.agg(F.count("*"), F.max(F.size(vector_to_array("v")))).first()
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,8 +329,18 @@ def _borders(train: DataFrame, vector: str, key: str) -> tuple[int, dict[int, li
     return width, {r["f"]: r["at"] for r in table.collect() if r["at"]}
 
 
-def _binned(df: DataFrame, vector: str, key: str, label: str, found: dict[int, list[float]], zero: np.ndarray, fresh: bool) -> DataFrame:
-    """``id, y, e, fresh``: the row's id, label (0 if ``fresh``), and its numbers as feature * BINS + bin, but for those in the bin of 0."""
+def _planned(width: int, found: dict[int, list[float]], classes: int, least: int, depth: int, some: bool, draws: bool) -> Plan:
+    zero = np.zeros(width, np.int64)
+    for f, at in found.items():
+        zero[f] = np.searchsorted(np.array(at), 0.0)
+    codes = np.array([f * BINS + i for f in sorted(found) for i in range(len(found[f]) + 1)], np.int64)
+    place = np.zeros(width * BINS, np.int64)
+    place[codes] = np.arange(len(codes))
+    return Plan(width, zero, classes, least, depth, int(np.ceil(np.sqrt(width))) if some else width, draws, codes, place)
+
+
+def _binning(found: dict[int, list[float]], zero: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Makes of ``id, y, v`` the row's ``id, y, e``: its numbers as feature * BINS + bin, but for those in the bin of 0."""
     names = np.array(sorted(found), np.int64)
     sizes = np.array([len(found[f]) for f in names], np.int64)
     flat = np.array([x for f in names for x in found[f]])
@@ -327,18 +351,26 @@ def _binned(df: DataFrame, vector: str, key: str, label: str, found: dict[int, l
     def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, feature, value = _vectors(batch)
-            place = np.zeros(len(row), np.int64)
-            for i in range(int(count.max(initial=0))):
-                more = count[feature] > i
-                place[more] += value[more] > flat[start[feature[more]] + i]
+            low, high = start[feature], start[feature] + count[feature]
+            for _ in range(int(count.max(initial=0)).bit_length()):  # halving: how many borders are below the value
+                middle = (low + high) // 2
+                more = low < high
+                more[more] = value[more] > flat[middle[more]]
+                low, high = np.where(more, middle + 1, low), np.where(more, high, np.maximum(middle, low))
+            place = low - start[feature]
             kept = place != zero[feature]
             ends = np.concatenate([[0], np.cumsum(np.bincount(row[kept], minlength=batch.num_rows))])
             e = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((feature * BINS + place)[kept], pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), e], ["id", "y", "e"])
 
+    return bins
+
+
+def _binned(df: DataFrame, vector: str, key: str, label: str, found: dict[int, list[float]], zero: np.ndarray, fresh: bool) -> DataFrame:
+    """``id, y, e, fresh``: the row's id, label (0 if ``fresh``), and its bins."""
     y = F.lit(0.0) if fresh else F.col(label).cast("double")
     rows = df.select(F.col(key).alias("id"), y.alias("y"), F.col(vector).alias("v"))
-    return staged(rows.mapInArrow(bins, "id long, y double, e array<int>").withColumn("fresh", F.lit(fresh)))
+    return staged(rows.mapInArrow(_binning(found, zero), "id long, y double, e array<int>").withColumn("fresh", F.lit(fresh)))
 
 
 def _entries(listed) -> tuple[np.ndarray, np.ndarray]:
@@ -500,23 +532,135 @@ def _tops(train: DataFrame, rows: int, trees: int, most: int, mean: float, plan:
     return tops
 
 
+# -- rows that are alike ------------------------------------------------------------
+
+
+def _alike(batches: Iterator[pa.RecordBatch], weighed: Callable, slots: int, classes: int) -> Iterator[tuple[pa.ListArray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of a task's rows with the same bins (and class): (bins, class, least id, sums by slot); more than once for very many.
+
+    ``weighed`` gives, for ids and labels, what is summed as (slot, numbers).
+    """
+    held: dict[tuple[bytes, int], int] = {}
+    table, least = np.zeros((slots, 0)), np.zeros(0, np.int64)
+
+    def ended():
+        flat = np.frombuffer(b"".join(name for name, _ in held), np.int32)
+        ends = np.cumsum([0, *(len(name) // 4 for name, _ in held)])
+        e = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+        return e, np.array([float(c) for _, c in held]), least[: len(held)], table[:, : len(held)]
+
+    for batch in batches:
+        ids, label = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("id", "y"))
+        listed = batch.column("e")
+        ends = np.concatenate([[0], 4 * np.cumsum(listed.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int32)
+        flat = np.ascontiguousarray(listed.flatten().to_numpy(zero_copy_only=False), np.int32)
+        coded = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(ends), pa.py_buffer(flat)]).dictionary_encode()
+        names, number = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        if classes:
+            number = number * classes + label.astype(np.int64)
+        seen, place = np.unique(number, return_inverse=True)
+        pairs = [(names[i // classes], i % classes) if classes else (names[i], 0) for i in seen.tolist()]
+        at = np.array([held.setdefault(p, len(held)) for p in pairs], np.int64)
+        if len(held) > len(least):
+            more = 2 * len(held) - len(least)
+            table, least = np.pad(table, ((0, 0), (0, more))), np.pad(least, (0, more), constant_values=np.iinfo(np.int64).max)
+        np.minimum.at(least, at[place], ids)
+        for slot, numbers in weighed(ids, label):
+            table[slot, at] += np.bincount(place, numbers, len(at))
+        if len(held) * slots > HELD_CELLS:
+            yield ended()
+            held, table, least = {}, np.zeros((slots, 0)), np.zeros(0, np.int64)
+    if held:
+        yield ended()
+
+
+def _drawn_alike(train: DataFrame, trees: int, mean: float, plan: Plan) -> DataFrame:
+    """``tree, id, y, w, q, e``: for each tree the rows with the same bins (and class) as one.
+
+    ``w`` sums how often the rows are drawn; ``y`` is the class or the mean label, ``q`` the squares of labels around it.
+    """
+    kinds = 1 if plan.classes else 3
+
+    def weighed(ids: np.ndarray, label: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        y = None if plan.classes else label - mean
+        for tree in range(trees):
+            w = _weights(ids, tree, plan)
+            for i in range(kinds):
+                yield tree * kinds + i, w * y**i if i else w
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for e, c, ids, table in _alike(batches, weighed, trees * kinds, plan.classes):
+            for tree in range(trees):
+                own = table[tree * kinds : (tree + 1) * kinds]
+                at = np.flatnonzero(own[0])
+                w, s, q = (own[i, at] if i < kinds else np.zeros(len(at)) for i in range(3))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(at), tree), pa.int32()), pa.array(ids[at]), pa.array(c[at]), pa.array(w), pa.array(s), pa.array(q), e.take(pa.array(at))],
+                    ["tree", "id", "y", "w", "s", "q", "e"],
+                )
+
+    parts = train.mapInArrow(summed, "tree int, id long, y double, w double, s double, q double, e array<int>")
+    sums = parts.repartition(min(trees, 1_000), "tree").groupBy("tree", "e", "y").agg(
+        F.min("id").alias("id"), *(F.sum(c).alias(c) for c in ("w", "s", "q"))
+    )
+    if plan.classes:
+        return sums.select("tree", "id", "y", "w", "q", "e")
+    average = F.col("s") / F.col("w")
+    return sums.select("tree", "id", (F.lit(mean) + average).alias("y"), "w", F.greatest(F.col("q") - F.col("s") * average, F.lit(0.0)).alias("q"), "e")
+
+
+def _said(ids: np.ndarray, leaf: np.ndarray, sums: np.ndarray, plan: Plan) -> pa.Table:
+    if not plan.classes:
+        value = (sums[:, 1] / sums[:, 0])[leaf]
+        return pa.table({"id": pa.array(ids, pa.int64()), "c": pa.array(np.zeros(len(ids)), pa.float64()), "x": pa.array(value)})
+    share = sums / sums.sum(axis=1, keepdims=True)
+    at, c = np.nonzero(share[leaf])
+    return pa.table({"id": pa.array(ids[at], pa.int64()), "c": pa.array(c.astype(float)), "x": pa.array(share[leaf[at], c])})
+
+
+def _voted(votes: DataFrame, plan: Plan) -> DataFrame:
+    """``id, prediction`` from what the trees say."""
+    if not plan.classes:
+        return votes.groupBy("id").agg(F.avg("x").alias("prediction"))
+    sums = votes.groupBy("id", "c").agg(F.sum("x").alias("x"))
+    best = F.max(F.struct(F.round("x", 9).alias("x"), (-F.col("c")).alias("minus")))["minus"]
+    return sums.groupBy("id").agg((-best).alias("prediction"))
+
+
+def _of_alike(train: DataFrame, asked: DataFrame, model: SpreadTrees, mean: float, plan: Plan, key: str) -> DataFrame:
+    """What ``predictions`` gives, where rows that are alike are few enough to meet in one task for each tree."""
+    kinds = staged(asked.groupBy("e").agg(F.min("id").alias("id")))
+    every = F.explode(F.sequence(F.lit(0), F.lit(model.trees - 1))).alias("tree")
+    fresh = kinds.select(every, "id", *(F.lit(0.0).alias(c) for c in ("y", "w", "q")), "e")
+
+    def grown(part: pa.Table) -> pa.Table:
+        part = part.sort_by([("id", "ascending"), ("w", "ascending")])  # sums do not depend on the order of arrival
+        ids, w, y, q = (part[n].to_numpy() for n in ("id", "w", "y", "q"))
+        row, code = _entries(part["e"])
+        path = int(_mixed(np.array([part["tree"][0].as_py() + 1], np.uint64))[0])
+        leaf, sums = grow(w, y, row, code, 0, path, plan, q)
+        return _said(ids[w == 0], leaf[w == 0], sums, plan)
+
+    spread = _drawn_alike(train, model.trees, mean, plan).unionAll(fresh)
+    found = _voted(spread.repartition(min(model.trees, 1_000), "tree").groupBy("tree").applyInArrow(grown, "id long, c double, x double"), plan)
+    of_kind = kinds.join(found, "id").select("e", "prediction")
+    return asked.select(F.col("id").alias(key), "e").join(of_kind, "e").select(key, "prediction")
+
+
 def predictions(model: SpreadTrees, rows: DataFrame, vector: str, key: str, label: str) -> DataFrame:
     """``key, prediction`` of ``rows``: the mean of the trees' leaves, or the class with most of their shares (smallest on a tie)."""
-    width, found = _borders(model.train, vector, key)
-    zero = np.zeros(width, np.int64)
-    for f, at in found.items():
-        zero[f] = np.searchsorted(np.array(at), 0.0)
-    tried = int(np.ceil(np.sqrt(width))) if model.some else width
-    codes = np.array([f * BINS + i for f in sorted(found) for i in range(len(found[f]) + 1)], np.int64)
-    place = np.zeros(width * BINS, np.int64)
-    place[codes] = np.arange(len(codes))
-    plan = Plan(width, zero, model.classes, model.least, model.depth, tried, model.trees > 1, codes, place)
-    train, asked = (_binned(df, vector, key, label, found, zero, fresh) for df, fresh in ((model.train, False), (rows, True)))
+    ordered = model.train.orderBy(F.xxhash64(key, F.lit(SEED)), key)
+    width, found = _borders(ordered.limit(BORDER_ROWS), vector)
+    plan = _planned(width, found, model.classes, model.least, model.depth, model.some, model.trees > 1)
+    train, asked = (_binned(df, vector, key, label, found, plan.zero, fresh) for df, fresh in ((model.train, False), (rows, True)))
     unknown = F.count_if(F.col("y").isNull() | F.col("y").isin(*map(float, ("nan", "inf", "-inf"))))
-    mean, entries, bad = train.agg(F.avg("y"), F.avg(F.size("e")), unknown).first()
+    kinds = F.approx_count_distinct(F.xxhash64("e", *(["y"] if model.classes else [])))
+    mean, entries, bad, alike = train.agg(F.avg("y"), F.avg(F.size("e")), unknown, kinds).first()
     if bad:
         raise ValueError(f"{bad} training rows have no label.")
     most = int(min(NODE_ROWS, max(1_000, NODE_ENTRIES / max(1.0, entries))))
+    if alike <= min(most, model.rows / TIMES) and asked.agg(F.approx_count_distinct(F.xxhash64("e"))).first()[0] <= most:
+        return _of_alike(train, asked, model, mean, plan, key)
     tops = _tops(train, model.rows, model.trees, most, mean, plan)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -535,14 +679,6 @@ def predictions(model: SpreadTrees, rows: DataFrame, vector: str, key: str, labe
                         ["tree", "node", "w", "id", "y", "e"],
                     )
 
-    def said(ids: np.ndarray, leaf: np.ndarray, sums: np.ndarray) -> pa.Table:
-        if not plan.classes:
-            value = (sums[:, 1] / sums[:, 0])[leaf]
-            return pa.table({"id": pa.array(ids, pa.int64()), "c": pa.array(np.zeros(len(ids)), pa.float64()), "x": pa.array(value)})
-        share = sums / sums.sum(axis=1, keepdims=True)
-        at, c = np.nonzero(share[leaf])
-        return pa.table({"id": pa.array(ids[at], pa.int64()), "c": pa.array(c.astype(float)), "x": pa.array(share[leaf[at], c])})
-
     def grown(key: tuple, part: pa.Table) -> pa.Table:
         top, node = tops[key[0].as_py()], key[1].as_py()
         part = part.sort_by("id")  # sums do not depend on the order of arrival
@@ -550,7 +686,7 @@ def predictions(model: SpreadTrees, rows: DataFrame, vector: str, key: str, labe
         row, code = _entries(part["e"])
         leaf, sums = grow(w, y, row, code, top.depth[node], top.path[node], plan)
         asked = w == 0
-        return said(ids[asked], leaf[asked], sums)
+        return _said(ids[asked], leaf[asked], sums, plan)
 
     def ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -565,7 +701,7 @@ def predictions(model: SpreadTrees, rows: DataFrame, vector: str, key: str, labe
                     sums = np.array([top.leaf[n] for n in names.tolist()])
                     if not plan.classes:
                         sums[:, 1] += mean * sums[:, 0]
-                    yield from said(ids[here], np.searchsorted(names, at[here]), sums).to_batches()
+                    yield from _said(ids[here], np.searchsorted(names, at[here]), sums, plan).to_batches()
 
     nodes = sum(f < 0 for top in tops for f in top.feature)
     parts = min(nodes, 1_000)
@@ -573,8 +709,4 @@ def predictions(model: SpreadTrees, rows: DataFrame, vector: str, key: str, labe
     votes = spread.repartition(parts, "tree", "node").groupBy("tree", "node").applyInArrow(grown, "id long, c double, x double")
     if any(top.leaf for top in tops):
         votes = votes.unionAll(asked.mapInArrow(ended, "id long, c double, x double"))
-    if not model.classes:
-        return votes.groupBy("id").agg(F.avg("x").alias("prediction")).withColumnRenamed("id", key)
-    sums = votes.groupBy("id", "c").agg(F.sum("x").alias("x"))
-    best = F.max(F.struct(F.round("x", 9).alias("x"), (-F.col("c")).alias("minus")))["minus"]
-    return sums.groupBy("id").agg((-best).alias("prediction")).withColumnRenamed("id", key)
+    return _voted(votes, plan).withColumnRenamed("id", key)

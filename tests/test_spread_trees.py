@@ -7,7 +7,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from gridwright.constants import CLASSIFICATION, REGRESSION
-from gridwright.operators import encode, models, spread_trees
+from gridwright.operators import encode, models, neighbors, spread_trees
 
 
 def table(spark, rows, classes, settled=False):
@@ -115,3 +115,34 @@ def test_a_comparison_holds_no_tree_without_a_limit(spark, monkeypatch):
         board = models.compare_models(df, "y", order_by=["k"], candidates={"Random Forest": {"n_estimators": 5}, "Decision Tree": {}, "KNN": {"n_neighbors": 3}})
     assert {r["Model"]: r["Score"] for r in board.collect()} == {"Random Forest": 1.0, "Decision Tree": 1.0, "KNN": 1.0}
     assert set(fitted) == {"KNN"}
+
+
+@pytest.mark.parametrize("classes, least", [(0, 1), (0, 4), (3, 1), (3, 5)])
+def test_rows_that_are_alike_are_one(spark, monkeypatch, classes, least):
+    """A tree used to take each row for itself, so its time grew with the rows, whatever their bins."""
+    df = table(spark, 4000, classes)
+    train, asked = df.where("k % 4 <> 0"), df.where("k % 4 = 0")
+    model = spread_trees.SpreadTrees(train, 4000, 5, classes, least, 30, False)
+    monkeypatch.setattr(spread_trees, "TIMES", 1e9)
+    plain = predicted(model, asked)
+    monkeypatch.undo()
+    monkeypatch.setattr(spread_trees, "_tops", None)  # goes over all rows
+    monkeypatch.setattr(spread_trees, "HELD_CELLS", 500)  # a task's sums come in parts
+    ours = predicted(model, asked)
+    assert ours.keys() == plain.keys() and len(ours) == 1000
+    assert all(abs(ours[k] - plain[k]) < 1e-9 for k in ours)
+
+
+def test_equal_vectors_are_looked_up_once(spark, monkeypatch):
+    rows = spark.range(900).selectExpr(
+        "id * 7 % 900 AS _id", "array(CAST(id % 3 AS DOUBLE), IF(id % 2 = 0, 0D, -0D)) AS _vec", "CAST(pmod(xxhash64(id), 4) AS DOUBLE) AS _label"
+    ).repartition(3)
+    asked = rows.where("_id % 5 = 0").select(F.col("_id").alias("_query"), "_vec")
+    train = rows.where("_id % 5 <> 0")
+    sizes, nearest = [], neighbors.nearest_rows
+    monkeypatch.setattr(neighbors, "nearest_rows", lambda q, t, k: sizes.append((q.count(), t.count())) or nearest(q, t, k))
+    for weights, classes in (("uniform", True), ("distance", False)):
+        ours = neighbors.votes_of_nearest(asked, train, 5, weights, classes).collect()
+        theirs = neighbors.vote(nearest(asked, train, 5), weights, classes).collect()
+        assert len(ours) == 180 and {tuple(r) for r in ours} == {tuple(r) for r in theirs}
+    assert all(q <= 6 and t <= 30 for q, t in sizes) and len(sizes) == 2
