@@ -11,9 +11,10 @@ from typing import Any
 
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel, Transformer
-from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import StringIndexerModel
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +38,8 @@ LABEL, PREDICTION = "_label", "prediction"
 VANISHING = 1e-10
 # Classes are listed on the driver and in the model, so their number is checked.
 MAX_CLASSES = 10_000
+# Rows from which on a forest for classes is grown from rows that are alike.
+MANY_ROWS = 100_000
 # Training rows of a task. A fit goes over its rows again and again, so its time counts, not the bytes of its rows.
 TASK_ROWS = 5_000
 
@@ -113,11 +116,37 @@ def _forest(task: str, shared: dict[str, Any], params: dict[str, Any]):
     return RandomForestRegressor(featureSubsetStrategy="all", numTrees=count, **shared)
 
 
+def _forest_of_alike(train: DataFrame, forest: RandomForestClassifier) -> RandomForestClassificationModel | None:
+    """The forest grown from rows with the same bins as one, where there are many rows and few that differ.
+
+    The library goes over all rows for each level, and for each lot of open nodes.
+    """
+    sound = F.count_if(F.col(LABEL).between(0, MAX_CLASSES - 1) & (F.col(LABEL) == F.floor(LABEL)))
+    rows, known_rows, last = train.agg(F.count("*"), sound, F.max(LABEL)).first()
+    if rows < MANY_ROWS or known_rows < rows:  # the library says what is wrong with labels
+        return None
+    # A fit to no more than the classes gives the form that a model has; its trees are then put in place.
+    width = train.select(F.size(vector_to_array(FEATURES))).first()[0]
+    few = train.sparkSession.createDataFrame([(Vectors.sparse(width, {}), float(c)) for c in range(int(last) + 1)], [FEATURES, LABEL])
+    form = forest.fit(few.select(FEATURES, F.col(LABEL).alias(LABEL, metadata=train.schema[LABEL].metadata)))
+    nodes, borders = spread_trees.forest_nodes(
+        train, FEATURES, LABEL, rows, forest.getNumTrees(), form.numClasses, forest.getMinInstancesPerNode(), forest.getMaxDepth()
+    )
+    if nodes is None:
+        return None
+    model = trees.with_nodes(form, nodes)
+    model.borders = borders  # of the bins; for scoring many rows at once
+    return model
+
+
 def _fit_trees(train: DataFrame, task: str, name: str, params: dict[str, Any]):
     """A tree or forest within the depth and the least number of rows to split that are asked for."""
     shared = _tree_params(params)
     tree = (DecisionTreeClassifier if task == CLASSIFICATION else DecisionTreeRegressor)(**shared)
-    model = (tree if name == "tree" else _forest(task, shared, params)).fit(train)
+    estimator = tree if name == "tree" else _forest(task, shared, params)
+    model = _forest_of_alike(train, estimator) if name == "forest" and task == CLASSIFICATION else None
+    if model is None:
+        model = estimator.fit(train)
     if int(params.get("max_depth") or 0) > trees.DEEPEST:
         model = trees.deeper(model, train, tree, int(params["max_depth"]))
     if int(params.get("min_samples_split", 2)) > 2:
@@ -356,6 +385,10 @@ def _scored(
         return rows.join(said.withColumnRenamed(PREDICTION, "_predicted"), row_id)
     if isinstance(core, NeighbourModel):
         return neighbour_predictions(rows, core, "_predicted", row_id)
+    if getattr(core, "borders", None) and not row_id:
+        said = spread_trees.said_by_bins(core, rows, FEATURES, LABEL)
+        if said is not None:
+            return said.withColumnRenamed(core.getPredictionCol(), "_predicted")
     return core.transform(rows).withColumnRenamed(core.getPredictionCol(), "_predicted")
 
 

@@ -10,7 +10,7 @@ weight 0 and leave with their predictions.
 
 A tree sees bins alone, so rows with the same bins (and class) take the same way. Where these are much fewer than the
 rows, as with few columns or columns of few values, they are what a tree is grown from: one row for all alike, with the sums of
-their weights and labels.
+their weights and labels. So is a forest of classes with a limit of depth, which becomes a model of the library.
 
 Splits, bins, impurities and the drawing of features follow the library: the feature's bin borders come from a sample
 of rows, one-hot columns are numbers, a split must gain, leaves that predict the same class are joined.
@@ -24,6 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +37,8 @@ BINS, BORDER_ROWS = 32, 10_000
 NODE_ROWS, NODE_ENTRIES = 100_000, 4_000_000
 #: Cells and numbers that a task holds at once.
 HELD_CELLS, HELD_NUMBERS = 1 << 23, 1 << 22
-#: So many times as many rows as differ in their bins make it worth to take rows that are alike as one.
-TIMES = 4
+#: Rows that differ in their bins from which a limited forest is grown, and how many times as many rows there must be.
+ALIKE, TIMES = 400_000, 4
 #: A gain below this share of a node's impurity is rounding.
 ROUNDING = 1e-10
 #: The chance of being drawn so many times or fewer, for as many draws as there are rows.
@@ -609,6 +610,98 @@ def _drawn_alike(train: DataFrame, trees: int, mean: float, plan: Plan) -> DataF
     return sums.select("tree", "id", (F.lit(mean) + average).alias("y"), "w", F.greatest(F.col("q") - F.col("s") * average, F.lit(0.0)).alias("q"), "e")
 
 
+def _nodes(weight: np.ndarray, label: np.ndarray, row: np.ndarray, code: np.ndarray, tree: int, found: dict[int, list[float]], plan: Plan) -> pa.RecordBatch:
+    """A tree for classes as the library's table of nodes."""
+    path = int(_mixed(np.array([tree + 1], np.uint64))[0])
+    _, sums, *rest = _grown(weight, label, row, code, 0, path, plan)
+    stands = _joined(sums, rest[2])
+    sums, feature, border, left = (np.concatenate(x) for x in (sums, *rest))
+    kept = stands == np.arange(len(stands))
+    inner = (left >= 0) & kept
+    inner[inner] = kept[left[inner]]
+    number = np.cumsum(kept) - 1
+    whole = sums.sum(axis=1)
+    impurity = 1.0 - (sums**2).sum(axis=1) / whole**2
+    gain, a, b = np.full(len(left), -1.0), left[inner], left[inner] + 1
+    gain[inner] = impurity[inner] - (whole[a] * impurity[a] + whole[b] * impurity[b]) / whole[inner]
+    child = [np.full(len(left), -1) for _ in range(2)]
+    child[0][inner], child[1][inner] = number[a], number[b]
+    split = [
+        {"featureIndex": int(f), "leftCategoriesOrThreshold": [found[f][b]], "numCategories": -1} if i else {"featureIndex": -1, "leftCategoriesOrThreshold": [], "numCategories": -1}
+        for f, b, i in zip(feature[kept].tolist(), border[kept].tolist(), inner[kept].tolist())
+    ]
+    columns = {
+        "treeID": np.full(kept.sum(), tree, np.int32), "id": number[kept].astype(np.int32), "prediction": sums[kept].argmax(axis=1).astype(float),
+        "impurity": impurity[kept], "impurityStats": sums[kept].tolist(), "rawCount": whole[kept].astype(np.int64), "gain": gain[kept],
+        "leftChild": child[0][kept].astype(np.int32), "rightChild": child[1][kept].astype(np.int32),
+        "split": pa.array(split, pa.struct([("featureIndex", pa.int32()), ("leftCategoriesOrThreshold", pa.list_(pa.float64())), ("numCategories", pa.int32())])),
+    }
+    return pa.RecordBatch.from_pydict(columns)
+
+
+def forest_nodes(train: DataFrame, vector: str, label: str, rows: int, trees: int, classes: int, least: int, depth: int) -> tuple[DataFrame | None, dict]:
+    """The library's table of nodes of a forest for classes, grown from the bins, and their borders; None where too many rows differ in them.
+
+    How often a tree draws the rows that are alike is one number: a sum of as many draws as there are rows.
+    """
+    sample = train.sample(fraction=min(1.0, BORDER_ROWS / rows), seed=SEED) if rows > BORDER_ROWS else train
+    width, found = _borders(sample, vector)
+    plan = _planned(width, found, classes, least, depth, True, True)
+    bins = _binning(found, plan.zero)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for e, c, _, table in _alike(bins(batches), lambda ids, label: [(0, np.ones(len(ids)))], 1, classes):
+            yield pa.RecordBatch.from_arrays([e, pa.array(c), pa.array(table[0])], ["e", "y", "n"])
+
+    slim = train.select(F.lit(0).cast("long").alias("id"), F.col(label).cast("double").alias("y"), F.col(vector).alias("v"))
+    cells = staged(slim.mapInArrow(counted, "e array<int>, y double, n double").groupBy("e", "y").agg(F.sum("n").alias("n")))
+    alike, entries = cells.agg(F.count("*"), F.sum(F.size("e"))).first()
+    if not alike or alike > min(ALIKE, rows / TIMES) or entries > NODE_ENTRIES:
+        return None, found
+    table = cells.orderBy("e", "y").toArrow()
+    row, code = _entries(table["e"])
+    y, n = (table[c].to_numpy() for c in ("y", "n"))
+
+    def grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for tree in batch.column("id").to_pylist():
+                weight = np.random.default_rng([SEED, tree]).poisson(n).astype(float)
+                if not weight.any():
+                    weight = n
+                drawn = weight > 0
+                at, use = np.cumsum(drawn) - 1, drawn[row]
+                yield _nodes(weight[drawn], y[drawn], at[row[use]], code[use], tree, found, plan)
+
+    kind = (
+        "treeID int, id int, prediction double, impurity double, impurityStats array<double>, rawCount long, gain double, leftChild int, rightChild int,"
+        " split struct<featureIndex: int, leftCategoriesOrThreshold: array<double>, numCategories: int>"
+    )
+    numbers = train.sparkSession.range(0, trees, 1, min(trees, 1_000))
+    return staged(numbers.mapInArrow(grown, kind)), found
+
+
+def said_by_bins(model, rows: DataFrame, vector: str, label: str) -> DataFrame | None:
+    """Label and prediction of each row by a model with ``borders``, asked once for rows that are alike; None where few are."""
+    found, width = model.borders, model.numFeatures
+    zero = _planned(width, found, 0, 1, 0, False, False).zero
+    asked = _binned(rows.select("*", F.lit(0).cast("long").alias("id")), vector, "id", label, found, zero, False)
+    kinds = staged(asked.select("e").distinct())
+    alike, all_rows = kinds.count(), asked.count()
+    if alike > min(ALIKE, all_rows / TIMES):
+        return None
+
+    @F.udf(VectorUDT())
+    def inside(e):
+        """A vector with these bins."""
+        places = sorted(divmod(code, BINS) for code in e)
+        values = [found[f][b] if b < len(found[f]) else np.nextafter(found[f][-1], np.inf) for f, b in places]
+        return Vectors.sparse(width, [f for f, _ in places], values)
+
+    said = model.transform(kinds.select("e", inside("e").alias(vector))).select("e", model.getPredictionCol())
+    # So many rows at most as were counted.
+    return asked.select(F.col("y").alias(label), "e").join(F.broadcast(staged(said)), "e").drop("e")
+
+
 def _said(ids: np.ndarray, leaf: np.ndarray, sums: np.ndarray, plan: Plan) -> pa.Table:
     if not plan.classes:
         value = (sums[:, 1] / sums[:, 0])[leaf]

@@ -58,6 +58,17 @@ def least_split(model, rows: int, spark):
     return _rebuilt(model, change, spark)
 
 
+def with_nodes(model, nodes: DataFrame):
+    """A forest with the trees of ``nodes`` (``treeID`` and the columns of a node) in place of its own."""
+
+    def change(table: DataFrame) -> DataFrame:
+        kind = table.schema["nodeData"].dataType
+        made = [F.col(f.name).cast(f.dataType).alias(f.name) for f in kind.fields]
+        return nodes.select(F.col("treeID").cast(table.schema["treeID"].dataType).alias("treeID"), F.struct(*made).alias("nodeData"))
+
+    return _rebuilt(model, change, nodes.sparkSession)
+
+
 def _nodes(model, spark) -> list[pd.DataFrame]:
     """The node table of each tree, by id (parents first)."""
     folder = f"{shared_folder(spark)}/trees-{uuid.uuid4().hex}"

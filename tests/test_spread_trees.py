@@ -1,13 +1,15 @@
 """Trees without a limit of depth that are grown in the tasks, against the library's own."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from gridwright.constants import CLASSIFICATION, REGRESSION
-from gridwright.operators import encode, models, neighbors, spread_trees
+from gridwright.operators import encode, models, neighbors, spread_trees, trees
 
 
 def table(spark, rows, classes, settled=False):
@@ -133,6 +135,62 @@ def test_rows_that_are_alike_are_one(spark, monkeypatch, classes, least):
     assert all(abs(ours[k] - plain[k]) < 1e-9 for k in ours)
 
 
+def test_a_table_of_nodes_is_the_library_s_tree(spark, monkeypatch):
+    monkeypatch.setattr(spread_trees, "BORDER_ROWS", 4000)
+    df = table(spark, 3000, 3)
+    with_all = models.fit_estimator(df, CLASSIFICATION, "Decision Tree", {"max_depth": 5, "min_samples_leaf": 3})
+    width, found = spread_trees._borders(df, encode.FEATURES)
+    plan = spread_trees._planned(width, found, 3, 3, 5, False, False)
+    rows = df.collect()
+    vectors = np.array([r[encode.FEATURES].toArray() for r in rows])
+    place = np.array([[np.searchsorted(found[f], v) for f, v in enumerate(x)] for x in vectors])
+    row, feature = np.nonzero(place != plan.zero)
+    label = np.array([r[models.LABEL] for r in rows])
+    made = spread_trees._nodes(np.ones(len(rows)), label, row, feature * spread_trees.BINS + place[row, feature], 0, found, plan)
+    form = RandomForestClassifier(numTrees=1, maxDepth=5, featuresCol=encode.FEATURES, labelCol=models.LABEL, seed=1).fit(df)
+    model = trees.with_nodes(form, spark.createDataFrame(pa.Table.from_batches([made]).to_pylist(), NODES))
+    theirs = {r["k"]: r["probability"].toArray() for r in with_all.transform(df).collect()}
+    ours = {r["k"]: r["probability"].toArray() for r in model.transform(df).collect()}
+    assert all(np.allclose(ours[k], theirs[k]) for k in theirs)
+    assert model.totalNumNodes == with_all.numNodes
+    assert np.allclose(model.featureImportances.toArray(), with_all.featureImportances.toArray())
+
+
+NODES = (
+    "treeID int, id int, prediction double, impurity double, impurityStats array<double>, rawCount long, gain double, leftChild int, rightChild int,"
+    " split struct<featureIndex: int, leftCategoriesOrThreshold: array<double>, numCategories: int>"
+)
+
+
+def test_a_limited_forest_of_many_rows_is_grown_from_alike_ones(spark, monkeypatch):
+    """The library's fit went over all rows for each level."""
+    # The label follows the numbers in part, so the share of rows that a forest gets right says whether it is grown well.
+    label = "IF(pmod(xxhash64(id), 3) = 0, pmod(xxhash64(id, 1), 3), pmod(CAST(a / 4 AS INT) + CAST(b AS INT), 3))"
+    df = spark.range(6000).selectExpr("id AS k", "id", "CAST(id % 23 AS DOUBLE) AS a", "CAST(id % 7 = 3 AS DOUBLE) AS b", "CAST(id % 5 = 1 AS DOUBLE) AS c")
+    df = df.selectExpr("k", "a", "b", "c", f"CAST({label} AS STRING) AS y")
+    params = {"n_estimators": 20, "max_depth": 6, "min_samples_leaf": 2}
+    plain = models.train_with_baseline(df, "y", "Random Forest", params, key=["k"])
+    monkeypatch.setattr(models, "MANY_ROWS", 1000)
+    fits = []
+    fit = models.RandomForestClassifier.fit
+    monkeypatch.setattr(models.RandomForestClassifier, "fit", lambda self, rows: fits.append(rows.count()) or fit(self, rows))
+    ours = models.train_with_baseline(df, "y", "Random Forest", params, key=["k"])
+    assert fits == [3]
+    assert ours.metrics["Accuracy"] == pytest.approx(plain.metrics["Accuracy"], abs=0.02) and ours.metrics["Accuracy"] > 0.7
+    assert ours.core.getNumTrees == 20 and max(t.depth for t in ours.core.trees) <= 6
+    # Scoring by bins says what the model says row by row.
+    asked = models._labelled(encode.prepared(ours.prep, df), "y", ours.classes)
+    by_bins = spread_trees.said_by_bins(ours.core, asked, encode.FEATURES, models.LABEL).groupBy(models.LABEL, "prediction").count()
+    by_rows = ours.core.transform(asked).groupBy(models.LABEL, "prediction").count()
+    assert {tuple(r) for r in by_bins.collect()} == {tuple(r) for r in by_rows.collect()}
+    assert dict(ours.importance()).keys() == dict(plain.importance()).keys()
+    strong = lambda m: m.importance()[0][0]
+    assert strong(ours) == strong(plain)
+    monkeypatch.setattr(spread_trees, "ALIKE", 10)  # too many differ: the library's fit on all rows
+    models.train_with_baseline(df, "y", "Random Forest", params, key=["k"])
+    assert len(fits) == 3 and fits[2] > 4000
+
+
 def test_equal_vectors_are_looked_up_once(spark, monkeypatch):
     rows = spark.range(900).selectExpr(
         "id * 7 % 900 AS _id", "array(CAST(id % 3 AS DOUBLE), IF(id % 2 = 0, 0D, -0D)) AS _vec", "CAST(pmod(xxhash64(id), 4) AS DOUBLE) AS _label"
