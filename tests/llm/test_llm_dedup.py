@@ -10,6 +10,7 @@ import pytest
 from llm_fixtures import prose
 from pyspark.sql import functions as F
 
+from gridwright.functions import storage
 from gridwright.functions.storage import staged
 from gridwright.llm import components as co
 from gridwright.llm import near_dedup as nd
@@ -402,6 +403,47 @@ def test_places_that_go_on_include_all_that_align():
     assert 0 < passed < 1500
 
 
+def test_places_of_a_frequent_pair_of_seeds_meet_in_some_tasks(spark, monkeypatch):
+    """All of them used to meet in one task; now each block meets each other block once, whatever the shares."""
+    monkeypatch.setattr(sb, "MEET", 8)
+    r = random.Random(4)
+    around = [[f"v{i}_{n}" for n in range(40)] for i in range(3)]
+    texts = [" ".join(around[i % 3][:20] + ["the", "same", "ten", "words", "are", "found", "in", "all", "these", "texts"] + around[i % 3][20:] + [f"own{i}"]) for i in range(60)]
+    r.shuffle(texts)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    go_on, found, met = sb._go_on, {}, {}
+    for shares in (1, 4):
+        joined = []
+        monkeypatch.setattr(sb, "SHARES", shares)
+        monkeypatch.setattr(sb, "_go_on", go_on)
+        rest = sb._rest
+
+        def noted(left, again, held):
+            rows = staged(rest(left, again, held))
+            joined.append(sorted((bytes(x.k), bytes(x.p), x.x, x.y) for x in rows.collect()))
+            return rows
+
+        monkeypatch.setattr(sb, "_rest", noted)
+        found[shares] = sorted(map(str, sb.mark(df).collect()))
+        monkeypatch.setattr(sb, "_rest", rest)
+        met[shares] = joined[0]
+    assert met[1] == met[4] and len(met[1]) == len(set(met[1])) > 100 and found[1] == found[4]
+
+
+def test_shuffle_files_go_when_a_step_is_written(spark, tmp_path):
+    """They used to wait until the driver collected its objects."""
+    df = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    before = spark.conf.get(storage.CLEAN_UP)
+    status = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+    ids = lambda: set(status.keys().mkString(",").split(","))
+    first = ids()
+    left = storage.staged_alone(df)
+    second = ids()
+    plain = staged(df)
+    assert not second - first and ids() - first and spark.conf.get(storage.CLEAN_UP) == before
+    assert sorted(left.collect()) == sorted(plain.collect())
+
+
 def test_passages_on_odd_rows_and_given_documents(spark, odd, nothing):
     got = sb.mark(odd)
     assert got.count() == odd.count() and set(odd.columns) < set(got.columns) and sb.mark(nothing).count() == 0
