@@ -37,7 +37,7 @@ BINS, BORDER_ROWS = 32, 10_000
 NODE_ROWS, NODE_ENTRIES = 100_000, 4_000_000
 #: Cells and numbers that a task holds at once.
 HELD_CELLS, HELD_NUMBERS = 1 << 23, 1 << 22
-#: Rows that differ in their bins from which a limited forest is grown, and how many times as many rows there must be.
+#: Rows that differ in their bins from which a limited forest is grown, or that a task holds, and how many times as many rows there must be.
 ALIKE, TIMES = 400_000, 4
 #: A gain below this share of a node's impurity is rounding.
 ROUNDING = 1e-10
@@ -568,7 +568,7 @@ def _alike(batches: Iterator[pa.RecordBatch], weighed: Callable, slots: int, cla
         np.minimum.at(least, at[place], ids)
         for slot, numbers in weighed(ids, label):
             table[slot, at] += np.bincount(place, numbers, len(at))
-        if len(held) * slots > HELD_CELLS:
+        if len(held) > ALIKE or len(held) * slots > HELD_CELLS:
             yield ended()
             held, table, least = {}, np.zeros((slots, 0)), np.zeros(0, np.int64)
     if held:

@@ -135,6 +135,22 @@ def test_rows_that_are_alike_are_one(spark, monkeypatch, classes, least):
     assert all(abs(ours[k] - plain[k]) < 1e-9 for k in ours)
 
 
+def test_a_task_holds_a_bounded_number_of_rows_that_differ(monkeypatch):
+    monkeypatch.setattr(spread_trees, "ALIKE", 50)
+    batches = [
+        pa.RecordBatch.from_pydict({"id": list(range(i, i + 20)), "y": [float(n % 2) for n in range(20)], "e": pa.array([[n, i] for n in range(20)], pa.list_(pa.int32()))})
+        for i in range(0, 400, 20)
+    ]
+    parts = list(spread_trees._alike(iter(batches + batches), lambda ids, y: [(0, np.ones(len(ids)))], 1, 2))
+    assert len(parts) > 5 and all(len(c) <= 50 + 20 for _, c, _, _ in parts)
+    found = {}
+    for e, c, ids, table in parts:
+        for key, of, i, n in zip(e.to_pylist(), c.tolist(), ids.tolist(), table[0].tolist()):
+            assert i == key[1] + key[0] and of == key[0] % 2
+            found[tuple(key)] = found.get(tuple(key), 0) + n
+    assert len(found) == 400 and set(found.values()) == {2.0}
+
+
 def test_a_table_of_nodes_is_the_library_s_tree(spark, monkeypatch):
     monkeypatch.setattr(spread_trees, "BORDER_ROWS", 4000)
     df = table(spark, 3000, 3)
